@@ -6,23 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets
+from . import minhash, mixing, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and epoch in the mix."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixed.selectExpr("doc_id", "source", "__tokens AS n_tokens", "__epoch AS epoch", "__block AS block", "__slot AS slot")
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_temperature_mixing": op1_temperature_mixing,
     "op2_line_frequency": op2_line_frequency,
+    "op4_best_fit": op4_best_fit,
+    "op7_bottom_k": op7_bottom_k,
     "op10_token_efficiency": op10_token_efficiency,
 }
 
