@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, secrets
+from . import chat, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -27,10 +27,27 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], said.schema)
+    return chat.conversation_digests(chat.prefix_trees(said.unionByName(more)))
+
+
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per line of each document."""
+    counted = tokencounts.section_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return counted.withColumn("n_tokens", counted.n_tokens.cast("bigint"))
+
+
+def op9_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -39,7 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_line_frequency": op2_line_frequency,
     "op4_best_fit": op4_best_fit,
+    "op6_prefix_tree": op6_prefix_tree,
     "op7_bottom_k": op7_bottom_k,
+    "op8_token_attribution": op8_token_attribution,
+    "op9_minimum_cut": op9_minimum_cut,
     "op10_token_efficiency": op10_token_efficiency,
 }
 
