@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
+from . import chat, licenses, media, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,10 +23,19 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip_digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per licence notice found."""
+    return licenses.scan(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
@@ -55,7 +64,9 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_line_frequency": op2_line_frequency,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_best_fit": op4_best_fit,
+    "op5_patience": op5_patience,
     "op6_prefix_tree": op6_prefix_tree,
     "op7_bottom_k": op7_bottom_k,
     "op8_token_attribution": op8_token_attribution,
