@@ -4,18 +4,24 @@ A document's set is that of its distinct 5-word shingles (words ``[^\x20\x09-\x0
 case; fewer words: the whole sequence as one), each hashed once to 64 bits; the k smallest hashes
 are its sketch.  Documents with equal sets form a class, represented by its smallest doc_id.
 
-* Inverted lists.  Two sets of Jaccard similarity t share, of the k smallest hashes of their union,
-  a binomial (k, t) number; ``floor`` (27 of 64 for 0.75, six standard deviations below the mean; for
-  sets that a sketch holds whole the exact bound) is what a sketch must share at least.  So a class
-  enters lists under its rarest retained values only, all but floor - 1 of them, and none if fewer
-  than floor of its values occur elsewhere: a passage common to many documents builds no lists.
+* Two sets of Jaccard similarity t share, of the k smallest hashes of their union, a binomial (k, t)
+  number.  ``sketch_floor`` is what a sketch must share at least: the exact bound for sets that a
+  sketch holds whole, else the mean less ``SPREAD`` standard deviations.
+* A first sketch of K values of every class finds the classes of which floor values occur in another
+  class.  Only these get a second sketch of WIDE values and go on.
+* Inverted lists.  A class enters lists under its rarest retained values only, all but floor - 1 of
+  them: passages common to many documents build no lists, and the rarest value that two similar
+  sets share is a list of both.
 * Overlaps.  Within a list every member is paired with the list's pivot, the member with the fewest
-  values of its own (the likely original).  Members that don't link to their pivot are then paired
-  with those members of the list that the triangle inequality of the Jaccard distance allows, unless
-  both already are in one component.  So a group of n copies costs n pairs, not n * n, and no link
-  between components is lost.
+  values of its own (the likely original).  So a group of n copies costs n pairs, not n * n.
 * The estimate on the union's sketch drops pairs below floor; for all others the full sets are
-  built again from the texts and compared exactly.
+  compared exactly, which also gives each member's shingles that its pivot lacks.
+* What the pivot doesn't link.  If y isn't similar to pivot p but x and y are, then x and y share a
+  shingle that p lacks, or x is smaller than p and 7 * min(|x & p|, |y & p|) >= 3 * (|x| + |y|): new
+  lists under (pivot, shingle) and a join of those few pair them.  Members too far from their pivot
+  for a comparison are paired within lists of up to SMALL members; two such members of a larger
+  list share rarer values besides the pivot's, and meet in those lists.  Pairs that are already in
+  one component are left out.
 
 Defined results: null or blank text: n_shingles 0, linked with nothing, its own component; null
 doc_id: linked with nothing, component_id null, kept true; rows that share a doc_id are one node
@@ -32,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bind, cut
 from .components import connected_components
 
-K, WIDTH, PERCENT = 64, 5, 75
+K, WIDE, WIDTH, PERCENT, SPREAD, SMALL = 64, 256, 5, 75, 5.0, 32
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +72,7 @@ def sketch_floor(n: int, k: int = K, percent: int = PERCENT) -> int:
     if n <= whole:  # it and every set similar enough are retained whole
         return -(-n * percent // 100)
     t = percent / 100
-    return max(1, int(k * t - 6 * (k * t * (1 - t)) ** 0.5))
+    return max(1, int(k * t - SPREAD * (k * t * (1 - t)) ** 0.5))
 
 
 _SIGNED = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"
@@ -95,105 +101,140 @@ def _floor_column(n: Column, k: int, percent: int) -> Column:
     return F.when(n <= whole, F.ceil(n * percent / 100)).otherwise(sketch_floor(whole + 1, k, percent)).cast("int")
 
 
-def inverted_lists(classes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """v, rep, n, own (how many of its values no other class has): the members of each list."""
-    entries = classes.select("rep", "n", F.explode("sketch").alias("v"))
+def _shared(sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """rep, n, vs (its (df, v) that other sketches have too, rarest first): classes with floor of them."""
+    entries = sketches.select("rep", "n", F.explode("sketch").alias("v"))
     often = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    floor = _floor_column(F.col("n"), k, percent)
     shared = entries.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    shared = shared.where(F.size("vs") >= floor)
-    prefix = F.slice("vs", 1, F.size("vs") - floor + 1)
+    return shared.where(F.size("vs") >= _floor_column(F.col("n"), k, percent))
+
+
+def inverted_lists(sketches: DataFrame, k: int = WIDE, percent: int = PERCENT) -> DataFrame:
+    """v, rep, n, own (how many of its values no other class has): the members of each list."""
+    shared = _shared(sketches, k, percent)
+    prefix = F.slice("vs", 1, F.size("vs") - _floor_column(F.col("n"), k, percent) + 1)
     return shared.select("rep", "n", (F.least(F.col("n"), F.lit(k)) - F.size("vs")).cast("int").alias("own"), F.explode(prefix).alias("e")).select(F.col("e.v").alias("v"), "rep", "n", "own")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs(a, b) whose union sketch shares enough (exact for sets that the sketches hold whole)."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+def _likely(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs(a, b) whose union sketch shares enough; of whole sets also those only worth a look at their differences."""
+    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    kth = F.element_at(F.col("u"), -1)
-    joined = joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).withColumn("u", union)
-    hits = F.size(F.filter(F.array_intersect("sa", "sb"), lambda x: x <= kth))
-    whole = F.greatest("na", "nb") <= k
-    # of two whole sets the union may pass k: then all of it counts
-    exact = 100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(F.array_union("sa", "sb"))
-    return joined.where(F.when(whole, exact).otherwise(hits >= sketch_floor(k, k, percent))).select("a", "b")
+    joined = joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    floor = sketch_floor(k, k, percent)
+    # bound once a pair: lambdas would compute the arrays for every element again
+    hits = lambda s: bind(F.get(s["u"], F.least(F.size(s["u"]), F.lit(k)) - 1), lambda kth: F.size(F.filter(s["i"], lambda x: x <= kth)))
+    alike = lambda s: F.when(F.greatest("na", "nb") <= k, k * F.size(s["i"]) >= floor * F.size(s["u"])).otherwise(hits(s) >= floor)
+    both = F.struct(F.array_intersect("sa", "sb").alias("i"), F.sort_array(F.array_union("sa", "sb")).alias("u"))
+    return joined.where(bind(both, alike)).select("a", "b")
+
+
+_TESTED = "a bigint, b bigint, both bigint, na bigint, nb bigint, plus array<bigint>"
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int = WIDTH, crowd: int = 256) -> DataFrame:
-    """pairs(a, b) with both (size of the intersection) and one (of the union), from the whole texts.
+def verified(pairs: DataFrame, near: DataFrame, width: int = WIDTH, crowd: int = 256) -> DataFrame:
+    """pairs(a, b) with both (size of the intersection), na, nb and plus (what b has and a lacks), on the full sets.
 
-    The b of an a are dealt out in shares of about crowd, each with a copy of a's text.
+    near: rep, sketch, text (null if the sketch is the whole set).  The b of an a are dealt out in
+    shares of about crowd, each with a copy of a's set.
     """
     crowds = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("m"))
-    members = pairs.join(crowds, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("share"), F.lit(1).alias("kind"))
-    heads = crowds.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("share"), F.lit(0).alias("kind"))
-    work = members.unionByName(heads)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    dealt = texts.join(work, "id").select("a", "share", "kind", "id", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "a", "share").sortWithinPartitions("a", "share", "kind", "id")
+    members = pairs.join(crowds, "a").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("share"), F.lit(1).alias("kind"))
+    heads = crowds.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("share"), F.lit(0).alias("kind"))
+    dealt = near.select("rep", F.when(F.col("text").isNull(), F.col("sketch")).alias("whole"), "text").join(members.unionByName(heads), "rep").select("a", "share", "kind", "rep", "whole", "text")
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "a", "share").sortWithinPartitions("a", "share", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
         for batch in batches:
             out = []
-            for a, share, kind, b, whole in zip(*batch.columns, strict=True):
+            for a, share, kind, b, whole, text in zip(*batch.columns, strict=True):
                 key = (a.as_py(), share.as_py())
-                found = shingle_set(whole.as_py(), width)
+                found = whole.values.to_numpy() if text.as_py() is None else shingle_set(text.as_py(), width)
                 if kind.as_py() == 0:
                     head, own = key, found
                 elif head == key:
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    out.append((key[0], b.as_py(), both, len(own) + len(found) - both))
+                    plus = np.setdiff1d(found, own, assume_unique=True)
+                    out.append((key[0], b.as_py(), len(found) - len(plus), len(own), len(found), plus))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "both", "one"])
+                cols = list(zip(*out, strict=True))
+                ends = np.cumsum([0, *map(len, cols[5])], dtype=np.int32)
+                plus = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[5])))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), plus], names=["a", "b", "both", "na", "nb", "plus"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, both bigint, one bigint")
+    return dealt.mapInArrow(run, _TESTED)
 
 
-def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The components' links (a, b) between class representatives."""
-    lists = cut(inverted_lists(classes, k, percent))
-    pivots = lists.groupBy("v").agg(F.min(F.struct("own", "rep", "n")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    starred = lists.join(pivots.select("v", F.col("p.rep").alias("a"), F.col("p.n").alias("pn")), "v").where("a <> rep")
-    starred = starred.select("v", "a", F.col("rep").alias("b"), (1 - F.least("n", "pn") / F.greatest("n", "pn")).alias("least"))
-    pairs = _likely(starred.select("a", "b").distinct(), classes, k, percent)
-    tested = cut(verified(pairs, docs, doc_id, text, width))
-    linked = 100 * F.col("both") >= percent * F.col("one")
+def wide_sketches(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int = WIDTH, k: int = WIDE) -> DataFrame:
+    """rep, n, sketch of k values, text (null if the sketch is the whole set) of the classes(rep, h1, h2)."""
+    wanted = classes.select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for d, t in zip(*batch.columns, strict=True):
+                found = shingle_set(t.as_py(), width)
+                h1 = int.from_bytes(xxhash.xxh3_128_digest(found.tobytes())[:8], "little", signed=True)
+                rows.append((d.as_py(), h1, len(found), found[:k], t.as_py() if len(found) > k else None))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                ends = np.cumsum([0, *map(len, cols[3])], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[3])))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), lists, pa.array(cols[4], pa.string())], names=["doc_id", "h1", "n", "sketch", "text"])
+
+    made = texts.mapInArrow(run, "doc_id bigint, h1 bigint, n bigint, sketch array<bigint>, text string")
+    # rows that share a doc_id can have other sets than the class's
+    return made.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "text")
+
+
+def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The components' links (a, b) between class representatives; classes: rep, h1, n, sketch."""
+    chosen = _shared(classes, k, percent).select("rep")
+    near = cut(wide_sketches(classes.select("rep", "h1").join(chosen, "rep", "left_semi"), docs, doc_id, text, width, wide))
+    lists = cut(inverted_lists(near, wide, percent))
+    pivots = lists.groupBy("v").agg(F.min(F.struct("own", "rep")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    starred = lists.join(pivots.select("v", "size", F.col("p.rep").alias("a")), "v").where("a <> rep").select("v", "size", "a", F.col("rep").alias("b"))
+    tested = cut(verified(_likely(starred.select("a", "b").distinct(), near, wide, percent), near, width))
+    linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
     first = tested.where(linked).select("a", "b")
-    groups = connected_components(first)
-
-    # Those that don't link to the pivot of a list, against the rest of that list.  Each member's distance
-    # to the pivot lies in [lo, hi]: known if tested; else at least 1 - the ratio of sizes, and where
-    # only the estimate failed at least 0.35 (a similarity above 0.65 fails it once in 50,000 pairs).
-    near = 1 - percent / 100
-    apart = 1 - F.col("both") / F.col("one")
-    placed = starred.join(tested.select("a", "b", apart.alias("d"), linked.alias("ok")), ["a", "b"], "left")
-    unknown = F.when(F.col("least") <= near, F.greatest("least", F.lit(near + 0.1))).otherwise(F.col("least"))
-    placed = placed.select("v", "b", F.coalesce("d", unknown).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    placed = placed.join(groups.select(F.col("a").alias("b"), F.col("b").alias("g")), "b", "left").select("v", "b", "lo", "hi", "ok", F.coalesce("g", "b").alias("g"))
-    rest = placed.where(~F.col("ok")).select("v", F.col("b").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("g").alias("gy"))
-    slack = near + 1e-9
-    allowed = (F.col("g") != F.col("gy")) & (F.col("lo") - F.col("yhi") <= slack) & (F.col("ylo") - F.col("hi") <= slack) & (F.col("ok") | (F.col("b") < F.col("y")))
-    again = rest.join(placed, "v").where(allowed).select(F.col("y").alias("a"), "b").distinct()
-    more = tested_pairs(again, classes, docs, doc_id, text, k, width, percent)
-    return first.unionByName(more.where(linked).select("a", "b"))
-
-
-def tested_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, width: int, percent: int) -> DataFrame:
-    likely = cut(_likely(pairs, classes, k, percent))
+    groups = connected_components(first).select(F.col("a").alias("m"), F.col("b").alias("g"))
+
+    def grouped(t: DataFrame) -> DataFrame:
+        return t.join(groups, F.col("b") == F.col("m"), "left").withColumn("g", F.coalesce("g", "b")).drop("m")
+
+    placed = cut(grouped(tested.withColumn("ok", linked)))
+    rest = placed.where("NOT ok")
+    renamed = lambda t: t.select(*[F.col(c).alias(c if c in ("a", "v") else f"y_{c}") for c in t.columns])
+    apart = (F.col("g") != F.col("y_g")) & (F.col("ok") | (F.col("b") < F.col("y_b")))
+    fits = 100 * F.least("nb", "y_nb") >= percent * F.greatest("nb", "y_nb")
+    # shingles that the pivot lacks and that two of its members share
+    added = placed.select("a", "b", "g", "ok", "nb", F.explode("plus").alias("v"))
+    twice = added.groupBy("a", "v").agg(F.count(F.lit(1)).alias("c"), F.min("ok").alias("all_ok")).where("c > 1 AND NOT all_ok").select("a", "v")
+    added = added.join(twice, ["a", "v"])
+    by_shingle = renamed(added.where("NOT ok")).join(added, ["a", "v"]).where(apart & fits)
+    # smaller members than the pivot, whose union with y can be smaller than the pivot's
+    by_size = renamed(rest.select("a", "b", "g", "nb", "both")).join(placed.where("nb < na").select("a", "b", "g", "ok", "nb", "both"), "a").where(apart & fits & (7 * F.least("both", "y_both") >= 3 * (F.col("nb") + F.col("y_nb"))))
+    # members that weren't compared with their pivot, within small lists
+    small = starred.where(F.col("size") <= SMALL)
+    unseen = small.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("v", F.col("b").alias("y_b"))
+    by_list = unseen.join(small.select("v", "b"), "v").where("b <> y_b").select(F.greatest("b", "y_b").alias("a"), F.least("b", "y_b").alias("b"))
+    again = by_shingle.select(F.col("y_b").alias("a"), "b").unionByName(by_size.select(F.col("y_b").alias("a"), "b")).unionByName(by_list).distinct()
+    likely = cut(_likely(again, near, wide, percent))
     if likely.isEmpty():
-        return likely.select("a", "b", F.lit(0).cast("long").alias("both"), F.lit(1).cast("long").alias("one"))
-    return verified(likely, docs, doc_id, text, width)
+        return first
+    return first.unionByName(verified(likely, near, width).where(linked).select("a", "b"))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     signed = cut(signatures(df, doc_id, text, k, width))
     known = signed.where("doc_id IS NOT NULL AND n > 0")
     classes = cut(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    found = connected_components(links(classes.select("rep", "n", "sketch"), df, doc_id, text, k, width, percent))
+    found = connected_components(links(classes.select("rep", "h1", "n", "sketch"), df, doc_id, text, k, wide, width, percent))
     placed = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("a"), "left").select("h1", "h2", F.coalesce("b", "rep").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
