@@ -126,7 +126,7 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
 
     placed = at_source(keyed, F.col(source)).join(last, F.col(source).eqNullSafe(F.col("__l")), "left")
     end = _order(seed, F.col("__whole"), F.col("__end"))
-    within = (by_block < end) | ((F.col("__b") == F.col("__end")) & (by_doc <= F.struct(F.col("__o").alias("o"), F.col("__k").alias("k"))))
+    within = F.col("__end").isNotNull() & ((by_block < end) | ((F.col("__b") == F.col("__end")) & (by_doc <= F.struct(F.col("__o").alias("o"), F.col("__k").alias("k")))))
     times = F.when(F.col("__tokens") == 0, 1).otherwise(F.col("__whole") + F.coalesce(within, F.lit(False)).cast("int"))
     out = placed.withColumn("__times", times).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     return out.select(*df.columns, "__tokens", "__epoch", F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__b")).alias("__block"), F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__h")).alias("__slot"))

