@@ -120,10 +120,10 @@ def _lookup(body: bytes) -> np.ndarray:
 
 def _tables() -> dict[str, bytes]:
     """Tables fitted to bytes of text around a bias: mostly short runs of zeros, mostly middle sizes."""
-    size = {1: 3, 2: 6, 3: 10, 4: 6, 5: 1.5, 6: 5, 7: 0.3, 8: 0.05}
+    size = {1: 3, 2: 6, 3: 10, 4: 6, 5: 1.5, 6: 5, 7: 0.3, 8: 0.05, 9: 0.01, 10: 0.01}
     first = {r << 4 | s: w * 0.08**r for r in range(16) for s, w in size.items()} | {0x00: 1, 0xF0: 1e-4}
     fine = {r << 4 | 1: 0.9**r for r in range(16)} | {0x00: 3, 0xF0: 0.1}
-    dc = {s: 1 + min(s, 9 - s) for s in range(10)}
+    dc = {s: 1 + min(s, abs(9 - s)) for s in range(12)}
     return {"dc": _define(code_lengths(dc)), "first": _define(code_lengths(first)), "fine": _define(code_lengths(fine))}
 
 
