@@ -68,6 +68,7 @@ def display(orders: list[tuple[int, bytes]], scale: float = 1.0, dx: float = 0.0
     out: list[dict] = []
     color, fill, width, dash, x, y = (0, 0, 0), None, 1.0, 0, 0, 0
     area: list[tuple[float, float]] | None = None
+    outlines: list[list[tuple[float, float]]] = []
     filled = False
     css = lambda c: None if c is None else "rgb(%d,%d,%d)" % tuple(c)  # noqa: E731, UP031
     place = lambda a, b: (dx + a * scale, dy + b * scale)
@@ -87,13 +88,15 @@ def display(orders: list[tuple[int, bytes]], scale: float = 1.0, dx: float = 0.0
             fill = tuple(p[1:4]) if len(p) >= 4 and p[0] else None
         elif code == 0x21 and len(p) >= 4:
             x, y = s16(p), s16(p, 2)
-            if area is not None:
-                area.append(place(x, y))
+            if area is not None:  # a new outline of the area
+                outlines.append(area)
+                area = [place(x, y)]
         elif code == 0x68:
-            area, filled = [place(x, y)], bool(p and p[0] & 0x80)
+            area, outlines, filled = [place(x, y)], [], bool(p and p[0] & 0x80)
         elif code == 0x60:
-            if filled and area:
-                put("polygon", area, False, fill or color)
+            for outline in [*outlines, area] if filled and area else []:
+                if len(outline) > 1:
+                    put("polygon", outline, False, fill or color)
             area, filled = None, False
         elif code == LINE and xy:
             put("line", [place(*q) for q in xy])

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ebcdic, scalars
-from ..operators import asof, diagnostics, islands, nesting, pages, ptoca, resources, search, surgery, tags
+from ..operators import asof, barcodes, diagnostics, graphics, islands, nesting, pages, ptoca, resources, search, sinks, surgery, tags
 from ..sources import framing, wire
+from ..sources.type_dim import with_type_names
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -485,3 +486,82 @@ def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_linenumber") * 10).alias("x"), F.floor("l_quantity").alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     far = F.abs(F.col("x") - 40) + F.abs(F.col("y") - 25)
     return boxes.groupBy("file").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + 240).cast("long").alias("x2"), F.min_by("id", F.struct(far, F.col("id"))).alias("hit"))
+
+
+# ---- objects and exports
+
+
+@query("""WITH t AS (SELECT p_partkey, CAST(p_partkey * 7919 AS VARCHAR) || p_brand AS s FROM part)
+SELECT p_partkey, CAST((104 + list_sum([(ascii(substr(s, i, 1)) - 32) * i FOR i IN range(1, length(s) + 1)])) % 103 AS BIGINT) AS checksum, CAST(11 * (length(s) + 2) + 13 AS BIGINT) AS n_modules, '11010010000' AS head, '1100011101011' AS tail FROM t""")
+def barcode_code128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat((F.col("p_partkey") * 7919).cast("string"), F.col("p_brand"))
+    m = fx.table(spark, sf_dir, "part").select("p_partkey", text.alias("s")).withColumn("m", barcodes.code128(F.col("s")))
+    return m.select("p_partkey", barcodes.code128_checksum(F.col("s")).cast("long").alias("checksum"), F.length("m").cast("long").alias("n_modules"), F.substring("m", 1, 11).alias("head"), F.substring("m", -13, 13).alias("tail"))
+
+
+@query("""SELECT p_partkey, CAST(95 AS BIGINT) AS ean_modules, '101' || '0001101' AS ean_head, CAST(16 * (length(CAST(p_partkey AS VARCHAR)) + 2) AS BIGINT) AS c39_modules, '1000101110111010' AS c39_head FROM part""")
+def barcode_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("p_partkey").cast("string")
+    m = fx.table(spark, sf_dir, "part").select("p_partkey", barcodes.ean13(text).alias("e"), barcodes.code39(text).alias("c"))
+    return m.select("p_partkey", F.length("e").cast("long").alias("ean_modules"), F.substring("e", 1, 10).alias("ean_head"), F.length("c").cast("long").alias("c39_modules"), F.substring("c", 1, 16).alias("c39_head"))
+
+
+@query("""WITH b AS (SELECT l_suppkey, l_linenumber * 100 - 250 AS x1, CAST(floor(l_quantity) AS BIGINT) AS y1, CAST(floor(l_quantity) AS BIGINT) * 3 AS x2, l_linenumber AS y2 FROM lineitem)
+SELECT l_suppkey AS file, CAST(min(least(x1, x2)) AS INTEGER) AS x, CAST(min(least(y1, y2)) AS INTEGER) AS y, CAST(max(greatest(x1, x2)) - min(least(x1, x2)) AS INTEGER) AS width, CAST(max(greatest(y1, y2)) - min(least(y1, y2)) AS INTEGER) AS height, CAST(count(*) AS INTEGER) AS n_orders FROM b GROUP BY l_suppkey""")
+def drawing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = lambda v: F.unhex(F.lpad(F.hex(F.pmod(v.cast("long"), F.lit(65536))), 4, "0"))
+    q = F.floor("l_quantity")
+    order = F.concat(wire.hexed("C108"), signed(F.col("l_linenumber") * 100 - 250), signed(q), signed(q * 3), signed(F.col("l_linenumber")))
+    lines = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), order.alias("o"))
+    drawn = lines.groupBy("file").agg(wire.joined(F.collect_list("o")).alias("data"))
+    return graphics.drawings(drawn).drop("ops")
+
+
+@query(f"WITH {_PT} SELECT file_id, count(*) AS pages, min(CAST(doc_id AS VARCHAR)) FILTER (page_pos = 1) AS first_tag, md5(max(text) FILTER (page_pos = 1)) AS first_text FROM t GROUP BY file_id")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sf, index = fx.print_pages(spark, sf_dir)
+    made = sinks.json_documents(tags.file_metadata(sf), fx.page_texts(sf, index), tags.tags(sf).withColumnRenamed("offset", "seq"))
+    got = lambda p: F.get_json_object("json", p)
+    return made.select("file_id", got("$.document.total_pages").cast("long").alias("pages"), got("$.metadata.tags[0].value").alias("first_tag"), F.md5(got("$.pages[0].text").cast("binary")).alias("first_text"))
+
+
+@query(f"WITH {_PT} SELECT file_id, count(*) AS sections FROM t GROUP BY file_id")
+def html_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sinks.html_documents(fx.page_texts(*fx.print_pages(spark, sf_dir)))
+    return made.select("file_id", F.regexp_count("html", F.lit('<section id="page-')).cast("long").alias("sections"))
+
+
+@query(f"WITH {_D}, c AS (SELECT file_id, count(*) AS n FROM p GROUP BY file_id) SELECT file_id, CAST((n + 6) // 7 + 1 AS BIGINT) AS entries, 'PK' AS magic FROM c")
+def zip_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = surgery.batch_split(*_opened(spark, sf_dir), 7)
+    stem = scalars.file_stem(scalars.safe_name(F.col("file_id")))
+    named = parts.withColumn("name", F.concat(scalars.part_name(stem, F.col("part"), F.col("part")), F.lit(".bin")))
+    zipped = sinks.zip_parts(named)
+    # the number of central directory entries stands 12 bytes before the end
+    count = F.conv(F.concat(F.hex(F.substring("zip", -11, 1)), F.hex(F.substring("zip", -12, 1))), 16, 10).cast("long")
+    return zipped.select("file_id", count.alias("entries"), F.substring("zip", 1, 2).cast("string").alias("magic"))
+
+
+@query("WITH h AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i, count(*) OVER () AS n FROM benchmark) SELECT item_id, i AS number, i % n + 1 AS next_number, (i - 2 + n) % n + 1 AS previous_number FROM h")
+def hit_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = fx.table(spark, sf_dir, "benchmark").select("item_id", F.lit(1).alias("search"))
+    return search.neighbours(items, ["search"], ["item_id"]).drop("search")
+
+
+@query(f"""WITH {_D}, c AS (SELECT count(DISTINCT file_id) AS f, count(*) AS n, sum((n + 24999) // 25000) AS x FROM p)
+SELECT unnest(['BDT', 'EDT', 'BPG', 'EPG', 'TLE', 'BPT', 'EPT', 'PTX']) AS abbrev, unnest(['Begin Document', 'End Document', 'Begin Page', 'End Page', 'Tag Logical Element', 'Begin Presentation Text', 'End Presentation Text', 'Presentation Text Data']) AS full_name, unnest([CAST(v AS BIGINT) FOR v IN [f, f, n, n, 2 * n, n, n, x]]) AS n FROM c""")
+def type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_type_names(fx.fields(spark, sf_dir)).groupBy("abbrev", "full_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT severity, count(*) AS n FROM (SELECT unnest(['info', 'info', 'success', 'info', 'info', 'success', 'info']) AS severity FROM (SELECT DISTINCT source || '/' || CAST(doc_id // 20000 AS VARCHAR) AS f FROM documents)) GROUP BY severity""")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fx.print_files(spark, sf_dir)
+    return diagnostics.severity_counts(diagnostics.messages(framing.frames(files), framing.corrupt_fields(files)))
+
+
+@query(f"WITH {_D} SELECT file_id, any_value(lang) AS lang, page_pos FROM pg WHERE page_pos % 5 = 0 GROUP BY file_id, page_pos")
+def tag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sf, index = fx.print_pages(spark, sf_dir)
+    placed = asof.tag_pages(tags.tags(sf).where("key = 'LANG'"), index, ["file_id"])
+    return placed.where("page_pos % 5 = 0").select("file_id", F.col("value").alias("lang"), "page_pos")
