@@ -229,6 +229,53 @@ def raster(chunks: list[bytes]) -> dict | None:
     return out | {"data": data} if raw and out["height"] > 0 else None
 
 
+def black_pixels(image: dict) -> np.ndarray:
+    """(height, width) of 1 for black, for one bit a pixel: ones are black unless they fill most of the middle row."""
+    w, h = image["width"], image["height"]
+    row = -(-w // 8)
+    ones = np.unpackbits(np.frombuffer(image["data"][: row * h].ljust(row * h, b"\0"), np.uint8).reshape(h, row), axis=1)[:, :w]
+    return 1 - ones if ones[min(h // 2, h - 1)].sum() > w / 2 else ones
+
+
+def cropped(black: np.ndarray, most: int = 8, share: float = 0.9, samples: int = 100) -> np.ndarray:
+    """Without borders: up to 8 columns or rows on a side of which more than 90 % (of about 100 samples) are black."""
+    h, w = black.shape
+
+    def solid(line: np.ndarray, of: int) -> bool:
+        seen = line[:: max(1, of // samples)]
+        return len(seen) > 0 and seen.mean() > share
+
+    left = top = right = low = 0
+    while left < min(most, w) and solid(black[:, left], h):
+        left += 1
+    while top < min(most, h) and solid(black[top, left:], w):
+        top += 1
+    while right < most and w - 1 - right > left and solid(black[top:, w - 1 - right], h):
+        right += 1
+    while low < most and h - 1 - low > top and solid(black[h - 1 - low, left : w - right], w):
+        low += 1
+    return black[top : h - low, left : w - right]
+
+
+def shown(image: dict) -> np.ndarray:
+    """A raster image's pixels: one bit cropped, 8 bits gray, other depths a gray field of its size."""
+    if image["bits"] == 1:
+        return np.where(cropped(black_pixels(image)) == 1, 0, 255).astype(np.uint8)
+    if image["bits"] == 8:
+        size = image["width"] * image["height"]
+        return np.frombuffer(image["data"][:size].ljust(size, b"\xff"), np.uint8).reshape(image["height"], image["width"])
+    return np.full((image["height"], image["width"]), 200, np.uint8)
+
+
+def vector_boxes(data: bytes, least: int = 10, least_bytes: int = 100) -> list[tuple[int, int, int, int]]:
+    """Corners of filled boxes in drawing data that looks like a matrix code (more than 10 boxes), else none."""
+    found, at = [], data.find(b"\x68\x80\xc0\x0a")
+    while 0 <= at < len(data) - 13:
+        found.append(struct.unpack_from(">4H", data, at + 6))
+        at = data.find(b"\x68\x80\xc0\x0a", at + 1)
+    return found if len(found) > least and len(data) > least_bytes else []
+
+
 def png(pixels: np.ndarray) -> bytes:
     """(height, width, 4) or (height, width) pixels as a PNG file."""
     h, w = pixels.shape[:2]
@@ -266,13 +313,13 @@ def rendered(objects: DataFrame, data: str = "data", described: str | None = Non
     def one(r: dict) -> dict:
         try:
             if described:
-                shown = rgba(descriptor(r[described] or b""), r[data] or b"")
+                picture = rgba(descriptor(r[described] or b""), r[data] or b"")
             else:
                 image = raster([r[data] or b""])
                 if image is None:
                     raise ValueError("no raster image")
-                shown = rgba({"width": image["width"], "height": image["height"], "bit_depth": image["bits"], "color_model": "gray"}, image["data"])
-            return {"width": shown.shape[1], "height": shown.shape[0], "png": png(fit(shown)), "error": None}
+                picture = shown(image)
+            return {"width": picture.shape[1], "height": picture.shape[0], "png": png(fit(picture)), "error": None}
         except (ValueError, IndexError) as e:
             return {"width": None, "height": None, "png": None, "error": str(e)}
 

@@ -131,3 +131,19 @@ def page_fonts(pages: DataFrame, fonts: DataFrame) -> DataFrame:
 def objects_of_kind(sf: DataFrame, begin: str) -> DataFrame:
     """Fields numbered by the object that was begun last."""
     return islands(sf, ["file_id"], ["offset"], F.col("type_id") == begin, "object_no")
+
+
+#: Where and how large an included object is shown, in 1/1440 inch, if nothing tells.
+OBJECT_X, OBJECT_Y, OBJECT_W, OBJECT_H = 11520, 270, 2380, 720
+
+
+def included_objects(sf: DataFrame, images: DataFrame) -> DataFrame:
+    """Includes of inline images with their payload and place.
+
+    The x is the first 24-bit number behind the name that lies 6 to 9 inches from the left.
+    """
+    refs = sf.where((F.col("type_id") == "D3AFC3") & (F.length("data") >= 8)).select("file_id", "offset", _name().alias("name"), F.substring("data", 9, 1 << 20).alias("params"))
+    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.length("params") - 3, F.lit(0))), lambda k: F.conv(F.hex(F.substring(F.col("params"), k + 1, F.lit(3))), 16, 10).cast("long"))
+    near = F.filter(triples, lambda v: (v > 6 * 1440) & (v < 9 * 1440))
+    found = resolve(refs.withColumn("x", F.when(F.length("params") >= 3, F.coalesce(F.get(near, F.lit(0)), F.lit(OBJECT_X))).otherwise(OBJECT_X)), images, ["file_id"], "name", "begin_offset", ["data"])
+    return found.where("data IS NOT NULL").select("file_id", "offset", "name", "x", F.lit(OBJECT_Y).alias("y"), F.lit(OBJECT_W).alias("w"), F.lit(OBJECT_H).alias("h"), "data")

@@ -258,3 +258,68 @@ def test_incremental_index_and_events(spark, tmp_path):
     assert index.count() == 6
     events = [json.loads(r.event) for r in streaming.index_events(index.where("file_id = '0.afp'"), 2).collect()]
     assert [e["type"] for e in events] == ["page", "page", "progress", "complete"] and events[-1]["pages"] == 2
+
+
+# ---- code pages, fonts, selections, borders
+
+
+def field(kind, data=b""):
+    return b"\x5a" + (len(data) + 8).to_bytes(2, "big") + bytes.fromhex(kind) + b"\0\0\0" + data
+
+
+def name(text):
+    return text.ljust(8).encode("cp037")
+
+
+def test_embedded_code_pages(spark):
+    from leafstream.operators import codepages
+
+    entries = bytes.fromhex("0500004151" + "0500004252")
+    body = field("D3A889", name("T1000001")) + field("D3AC89", entries) + field("D3A989") + field("D3A8A8", name("D")) + field("D3A889", name("LATE")) + field("D3A989")
+    got = codepages.embedded(opened(spark, body)[1]).collect()
+    assert [r["name"] for r in got] == ["T1000001"]
+    assert (got[0].mapping[0x51], got[0].mapping[0x52], got[0].mapping[0xC1], got[0].mapping[0x02]) == (0x41, 0x42, 0x41, 0xFFFD)
+    assert list(codepages.index_entries(bytes.fromhex("0041" + "00" * 8 + "0042" + "00" * 8))) == [(0x40, 0x41), (0x41, 0x42)]
+
+
+def test_font_containers(spark):
+    from leafstream.operators import codepages
+
+    box = lambda n, f=None: field("D3A8CE", name(n)) + (field("D3A689", f.ljust(32).encode("cp037")) if f else b"") + field("D3A9CE", name(n))
+    sf = opened(spark, box("C0FL2080", "HELVETICA") + box("T1001144") + box("C0FL2080", "OTHER") + box("IMAGE"))[1]
+    fonts = codepages.font_containers(sf)
+    assert sorted(tuple(r)[1:] for r in fonts.collect()) == [("C0FL2080", "Latin", "Bold", "HELVETICA", ""), ("T1001144", "Code Page", "—", "", "CP297 (French)")]
+    assert [r.family for r in codepages.font_families(fonts).collect()] == ["HELVETICA"]
+
+
+def test_selection(spark):
+    from leafstream.operators import selection
+
+    pages = spark.createDataFrame([("f", i) for i in range(1, 6)], "file_id string, page_pos bigint")
+    some = selection.between(pages, 4, 2)
+    at = lambda d: sorted(r.page_pos for r in d.collect())
+    assert at(some) == [2, 3, 4] and at(selection.inverted(pages, some)) == [1, 5]
+    assert at(selection.toggled(some, selection.between(pages, 4, 5))) == [2, 3, 5] and at(selection.everything(pages)) == [1, 2, 3, 4, 5]
+    from leafstream.operators import pages as paging
+
+    sf = opened(spark, stream("BDT BPG BPT EPT BPT EPT EPG EDT".split()))[1]
+    assert [r.offset for r in selection.nth_field(sf, paging.page_index(sf), ["D3A89B"], 1).collect()] == [44]
+
+
+def test_borders_and_boxes():
+    black = np.zeros((50, 60), np.uint8)
+    black[:, :2] = black[:3] = black[:, -1:] = 1
+    assert images.cropped(black).shape == (47, 57) and images.cropped(np.zeros((5, 5), np.uint8)).shape == (5, 5)
+    inverse = {"width": 16, "height": 2, "bits": 1, "data": b"\xff\xfe\xff\xff"}
+    assert images.black_pixels(inverse).tolist()[0] == [0] * 15 + [1]
+    box = bytes.fromhex("6880C00A0000" + "0001000200030004" + "60")
+    assert images.vector_boxes(box * 11) == [(1, 2, 3, 4)] * 11 and images.vector_boxes(box) == []
+
+
+def test_included_objects(spark):
+    from leafstream.operators import resources
+
+    body = field("D3A892", name("LOGO")) + field("D3EE92", b"pix") + field("D3EE92", b"els") + field("D3A992") + field("D3A8A8", name("D")) + field("D3AFC3", name("LOGO") + bytes.fromhex("00000028A0")) + field("D3AFC3", name("NONE"))
+    sf = opened(spark, body)[1]
+    got = resources.included_objects(sf, resources.inline_images(sf)).collect()
+    assert [(r["name"], r.x, bytes(r.data)) for r in got] == [("LOGO", 0x28A0, b"pixels")]
