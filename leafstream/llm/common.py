@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 
 #: Where the vocabulary files lie by default; every operator takes the path as a parameter.
 VOCAB_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -43,7 +43,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: later reads don't recompute and survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    del df
+    release(made.sparkSession)
+    return made
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that only plans behind a cut have read; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def map_rows(df: DataFrame, rows: Callable[[list[dict]], list[dict]], schema: str, slice_rows: int = 512) -> DataFrame:

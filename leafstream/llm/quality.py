@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, bind
+from .common import WORD, bind, cut
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MAX_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.001, 0.3
@@ -30,7 +30,7 @@ METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
+    return line.rlike(WORD)
 
 
 def _lines(text: Column) -> Column:
@@ -74,17 +74,18 @@ def metrics(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
 
     def counts(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeat_words(words).cast("long").alias("n_repeat_words"))
+        chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
+        return F.struct(F.size(words).cast("long").alias("n_words"), chars.alias("word_chars"), repeat_words(words).cast("long").alias("n_repeat_words"))
 
     lines = bind(_lines(whole), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     by_word = bind(F.regexp_extract_all(whole, F.lit(f"({WORD})")), counts)
-    return F.struct(
-        by_word["n_words"].alias("n_words"),
-        F.length(F.translate(whole, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+    return bind(by_word, lambda w: F.struct(
+        w["n_words"].alias("n_words"),
+        w["word_chars"].alias("word_chars"),
+        F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
-        by_word["n_repeat_words"].alias("n_repeat_words"),
-    )
+        w["n_repeat_words"].alias("n_repeat_words"),
+    ))
 
 
 def _keyed(df: DataFrame, doc_id: str, host: str, text: str) -> list[Column]:
@@ -92,44 +93,50 @@ def _keyed(df: DataFrame, doc_id: str, host: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("__id"), F.col(host).alias("__host"), F.xxhash64(F.col(text)).alias("__content")]
 
 
-def frequent_lines(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """__host, __line, __first (the document that keeps it), __docs of the lines above their limit."""
-    hashes = F.array_distinct(F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), line_hash))
+def measured(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """__id, __host, __content, __m (base counts) and __l (hash and words of each line): all that is read of the texts, once."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.transform(_lines(whole), lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    return cut(df.select(*_keyed(df, doc_id, host, text), metrics(F.col(text)).alias("__m"), lines.alias("__l")))
+
+
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """__host, __line, __first (the document that keeps it), __docs of the lines above their limit; rows: measured()."""
+    hashes = F.array_distinct(F.transform("__l", lambda x: x["h"]))
     # exact copies are one document: they are merged before the lines are dealt out
-    contents = df.select(*_keyed(df, doc_id, host, text), hashes.alias("__lines")).groupBy("__host", "__content").agg(F.min("__id").alias("__id"), F.first("__lines").alias("__lines"))
+    contents = rows.select(*_KEY, hashes.alias("__lines")).groupBy("__host", "__content").agg(F.min("__id").alias("__id"), F.first("__lines").alias("__lines"))
     lines = contents.select("__host", "__id", F.explode("__lines").alias("__line")).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__docs"), F.min("__id").alias("__first"))
-    sizes = df.select(F.col(host).alias("__h"), F.xxhash64(F.col(text)).alias("__c")).distinct().groupBy("__h").agg(F.count(F.lit(1)).alias("__all"))
+    sizes = rows.select(F.col("__host").alias("__h"), "__content").distinct().groupBy("__h").agg(F.count(F.lit(1)).alias("__all"))
     often = lines.where(F.col("__docs") > max_docs)
     return often.join(sizes, F.col("__host").eqNullSafe(F.col("__h"))).where(F.col("__docs") > max_share * F.col("__all")).select("__host", "__line", "__first", "__docs")
 
 
-def _hashed_lines(text: Column) -> Column:
-    return F.transform(_lines(F.coalesce(text, F.lit(""))), lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-
-
-def removals(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """For each document with lines to remove: its key and the lines' hashes (repeated rows share one)."""
-    spread = df.select(*_keyed(df, doc_id, host, text), F.explode(F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), line_hash)).alias("__h"))
-    often = frequent_lines(df, doc_id, host, text, max_docs, max_share).withColumnRenamed("__host", "__in")
+def removals(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """For each document with lines to remove: its key and the lines' hashes (repeated rows share one); rows: measured()."""
+    spread = rows.select(*_KEY, F.explode(F.transform("__l", lambda x: x["h"])).alias("__h"))
+    often = frequent_lines(rows, max_docs, max_share).withColumnRenamed("__host", "__in")
     hit = spread.join(often, (F.col("__h") == F.col("__line")) & F.col("__host").eqNullSafe(F.col("__in"))).where(~F.col("__id").eqNullSafe(F.col("__first")))
     return hit.groupBy(*_KEY).agg(F.collect_set("__h").alias("__cut")).select(*[F.col(k).alias(f"{k}_r") for k in _KEY], "__cut")
 
 
-def _judged(rows: DataFrame, cut: DataFrame, min_left: float) -> DataFrame:
-    """rows (with __m and __l) and __gone (its removed lines), __failed and __kept."""
-    on = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in _KEY]
+def _matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """left joined with right, whose key columns end in _r."""
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in _KEY], how).drop(*[f"{k}_r" for k in _KEY])
+
+
+def judged(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """rows (measured()) with __cut, __gone (the removed lines), __lost (their words), __failed and __kept."""
     gone = F.filter("__l", lambda x: F.array_contains(F.coalesce("__cut", F.array().cast("array<bigint>")), x["h"]))
     lost = F.aggregate("__gone", F.lit(0), lambda a, x: a + x["n"])
     n = F.col("__m.n_words")
-    out = rows.join(cut, on, "left").drop(*[f"{k}_r" for k in _KEY])
+    out = _matched(rows, removals(rows, max_docs, max_share), "left")
     out = out.withColumn("__gone", gone).withColumn("__lost", lost.cast("long")).withColumn("__failed", (n < MIN_WORDS) | (100 * F.col("__m.n_repeat_words") > REPEAT_PERCENT * n))
     return out.withColumn("__kept", ~F.col("__failed") & (n - F.col("__lost") >= min_left * n))
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """A row per input row: doc_id, the base counts, base_failed, kept, n_cut_lines, n_cut_words."""
-    rows = df.select(*_keyed(df, doc_id, host, text), metrics(F.col(text)).alias("__m"), _hashed_lines(F.col(text)).alias("__l"))
-    return _judged(rows, removals(df, doc_id, host, text, max_docs, max_share), min_left).select(
+    return judged(measured(df, doc_id, host, text), max_docs, max_share, min_left).select(
         F.col("__id").alias(doc_id),
         *[F.col(f"__m.{c}").alias(c) for c in METRICS],
         F.col("__failed").alias("base_failed"),
@@ -141,9 +148,11 @@ def report(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: st
 
 def clean(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", length: str | None = None, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The kept documents, their frequent lines removed; the schema stays (length: a column for the new length)."""
-    rows = df.select("*", *_keyed(df, doc_id, host, text), metrics(F.col(text)).alias("__m"), _hashed_lines(F.col(text)).alias("__l"))
+    found = judged(measured(df, doc_id, host, text), max_docs, max_share, min_left).where("__kept")
+    # repeated rows share a key and a verdict
+    kept = found.groupBy(*_KEY).agg(F.first("__cut").alias("__cut")).select(*[F.col(k).alias(f"{k}_r") for k in _KEY], "__cut")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__cut"), line_hash(x)))), "\n")
-    out = _judged(rows, removals(df, doc_id, host, text, max_docs, max_share), min_left).where("__kept")
+    out = _matched(df.select("*", *_keyed(df, doc_id, host, text)), kept, "inner")
     out = out.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left))
     if length:
         out = out.withColumn(length, F.length(text).cast(df.schema[length].dataType))
