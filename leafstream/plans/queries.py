@@ -291,11 +291,12 @@ FROM (SELECT file_id, page_pos, unnest(['DOCID', 'LANG']) AS k, unnest([CAST(doc
     return f"WITH {_PT} SELECT file_id, page_pos, kind, tag_key, match_index, excerpt FROM ({' UNION ALL '.join(parts)}) ORDER BY file_id, page_pos, rank, seq LIMIT {most}"
 
 
-def _search(spark: SparkSession, sf_dir: str, query: str, kind: str, most: int = 500) -> DataFrame:
+def _search(spark: SparkSession, sf_dir: str, query: str, kind: str, most: int = 500, indexed: bool = False) -> DataFrame:
+    """indexed builds the postings first; for a single search over unindexed pages comparing is cheaper."""
     sf, index = fx.print_pages(spark, sf_dir)
     text = search.search_pages(fx.page_texts(sf, index), ["file_id"], "page_pos", "text")
     tagged = search.search_tags(fx.page_tags(sf, index), ["file_id"], "page_pos")
-    posted = search.postings(text, ["file_id"], "text_lower", "text").unionByName(search.postings(tagged, ["file_id"], "combined_lower", "tag")) if len(query) > 2 else None
+    posted = search.postings(text, ["file_id"], "text_lower", "text").unionByName(search.postings(tagged, ["file_id"], "combined_lower", "tag")) if indexed else None
     return search.search(text, tagged, ["file_id"], query, kind, most, posted)
 
 
@@ -306,7 +307,7 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_hits_sql("lang = e", "tag"))
 def search_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "lang = e", "tag")
+    return _search(spark, sf_dir, "lang = e", "tag", indexed=True)
 
 
 @query(_hits_sql("LICENSE", "all", 100))

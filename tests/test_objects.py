@@ -323,3 +323,18 @@ def test_included_objects(spark):
     sf = opened(spark, body)[1]
     got = resources.included_objects(sf, resources.inline_images(sf)).collect()
     assert [(r["name"], r.x, bytes(r.data)) for r in got] == [("LOGO", 0x28A0, b"pixels")]
+
+
+@pytest.mark.parametrize("query", ["abc", "bca", "k = v", "zzz", "ab", "K = vab"])
+def test_search_with_and_without_postings(spark, query):
+    from leafstream.operators import search
+
+    rng = random.Random(5)
+    rows = [("f", i, "".join(rng.choice("abcABC ") for _ in range(rng.randint(0, 80)))) for i in range(40)]
+    pages = search.search_pages(spark.createDataFrame(rows, "file_id string, p bigint, t string"), ["file_id"], "p", "t")
+    tags = search.search_tags(spark.createDataFrame([("f", i, i, "K", "v" + t[:9]) for _, i, t in rows], "file_id string, p bigint, seq bigint, key string, value string"), ["file_id"], "p")
+    posted = search.postings(pages, ["file_id"], "text_lower", "text").unionByName(search.postings(tags, ["file_id"], "combined_lower", "tag"))
+    plain = search.search(pages, tags, ["file_id"], query, "all", 1000).collect()
+    assert plain == search.search(pages, tags, ["file_id"], query, "all", 1000, posted).collect()
+    want = sum(t.lower()[i : i + len(query)] == query.lower() for _, _, t in rows for i in range(len(t))) + sum(query.lower() in ("k = v" + t[:9]).lower() for _, _, t in rows)
+    assert len(plain) == want
