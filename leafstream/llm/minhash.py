@@ -193,7 +193,7 @@ def wide_sketches(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, w
 
 def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The components' links (a, b) between class representatives; classes: rep, h1, n, sketch."""
-    chosen = _shared(classes, k, percent).select("rep")
+    chosen = cut(_shared(classes, k, percent).select("rep"))
     near = cut(wide_sketches(classes.select("rep", "h1").join(chosen, "rep", "left_semi"), docs, doc_id, text, width, wide))
     lists = cut(inverted_lists(near, wide, percent))
     pivots = lists.groupBy("v").agg(F.min(F.struct("own", "rep")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
