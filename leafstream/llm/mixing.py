@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, n_words
 
-N_BLOCKS, SEED = 4096, 17
+N_BLOCKS, SEED, MAX_SENT = 4096, 17, 50_000
 
 
 def powered(shares: dict, alpha: float) -> dict:
@@ -109,7 +109,9 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
     _, weights = solve(counts, max_repetition, target_entropy)
     taken = epochs(counts, weights, total)
     budgets = [(s, int(e), int(round((e - int(e)) * counts[s]))) for s, e in taken.items()]
-    plan = spark.createDataFrame(budgets, f"__p {kind}, __whole int, __part bigint")
+    # a line per source: sent to all tasks up to a number of sources, joined by shuffle beyond
+    small = F.broadcast if len(budgets) <= MAX_SENT else (lambda t: t)
+    plan = small(spark.createDataFrame(budgets, f"__p {kind}, __whole int, __part bigint"))
 
     # the block of a source in which its budget ends, then the last document before that point
     at_source = lambda t, column: t.join(plan, column.eqNullSafe(F.col("__p")))
@@ -117,12 +119,12 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
     before = F.sum("__t").over(Window.partitionBy("__s").orderBy(by_block)) - F.col("__t")
     ends = at_source(totals, F.col("__s")).withColumn("__before", before).where("__before < __part")
     ends = ends.groupBy("__s", "__whole", "__part").agg(F.max_by("__b", by_block).alias("__end"), F.max("__before").alias("__before"))
-    ends = spark.createDataFrame(ends.select("__s", "__whole", "__end", (F.col("__part") - F.col("__before")).alias("__room")).collect(), f"__e {kind}, __whole int, __end bigint, __room bigint")
+    ends = small(spark.createDataFrame(ends.select("__s", "__whole", "__end", (F.col("__part") - F.col("__before")).alias("__room")).collect(), f"__e {kind}, __whole int, __end bigint, __room bigint"))
     by_doc = _order(seed, F.col("__whole"), F.col("__h"))
     edge = keyed.select(F.col(source).alias("__s"), "__b", "__h", "__tokens").join(ends, F.col("__s").eqNullSafe(F.col("__e")) & (F.col("__b") == F.col("__end")))
     running = F.sum("__tokens").over(Window.partitionBy("__s", "__b").orderBy(by_doc)) - F.col("__tokens")
     last = edge.withColumn("__run", running).where("__run < __room").groupBy("__s", "__end").agg(F.max(by_doc).alias("__last"))
-    last = spark.createDataFrame(last.select("__s", "__end", "__last.o", "__last.k").collect(), f"__l {kind}, __end bigint, __o bigint, __k bigint")
+    last = small(spark.createDataFrame(last.select("__s", "__end", "__last.o", "__last.k").collect(), f"__l {kind}, __end bigint, __o bigint, __k bigint"))
 
     placed = at_source(keyed, F.col(source)).join(last, F.col(source).eqNullSafe(F.col("__l")), "left")
     end = _order(seed, F.col("__whole"), F.col("__end"))

@@ -40,7 +40,7 @@ def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], said.schema)
-    return chat.conversation_digests(chat.prefix_trees(said.unionByName(more)))
+    return chat.conversation_digests(chat.prefix_trees(said.unionByName(more))).drop("n_tokens")
 
 
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +107,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op2_line_frequency": OP2_SQL}
+# Escapes of chat.py: a backslash doubled, then one inside each control string.
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')"
+
+OP6_SQL = rf"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+              SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM said),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x) AS whole,
+             coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '') AS loss,
+             sum(4 + length(replace({_ESCAPED.format('r')}, ':', '\:')) + 2 + length({_ESCAPED.format('x')}) + 9) AS n FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM c
+"""
+
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM pair JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op6_prefix_tree": OP6_SQL, "op7_bottom_k": OP7_SQL}
