@@ -136,7 +136,7 @@ def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- joins
 
 
-_L = """l AS (SELECT l_suppkey AS file, l_orderkey, l_linenumber, l_partkey, l_linenumber + 9 AS length, sum(l_linenumber + 9) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - (l_linenumber + 9) AS off FROM lineitem),
+_L = """l AS (SELECT l_suppkey AS file, l_orderkey, l_linenumber, l_partkey, l_linenumber + 9 AS length, sum(l_linenumber + 9) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) - (l_linenumber + 9) AS off FROM lineitem),
 o AS (SELECT file, l_orderkey, min(off) AS start, sum(length) AS len FROM l GROUP BY file, l_orderkey)"""
 
 
