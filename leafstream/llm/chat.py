@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -155,14 +156,12 @@ def read_back(tree: dict, decode) -> Iterator[tuple[int | None, str, str, list[i
 
     decode: token ids to text.  Uses each last turn's attention intervals and its own tokens.
     """
-    ids, loss, positions = tree["token_ids"], tree["loss_mask"], tree["position_ids"]
     for node in tree["nodes"]:
         if node["convs"]:
-            seen = [i for s in [*node["ancestors"], node] for i in range(s["start"], s["end"])]
-            formatted = decode([ids[i] for i in seen])
-            learnt = unescape(decode([ids[i] for i in seen if loss[i]]))
+            ids, loss, positions = ([x for s in (*node["ancestors"], node) for x in tree[c][s["start"] : s["end"]]] for c in ("token_ids", "loss_mask", "position_ids"))
+            formatted, learnt = decode(ids), unescape(decode(list(compress(ids, loss))))
             for conv in node["convs"]:
-                yield conv, formatted, learnt, [positions[i] for i in seen]
+                yield conv, formatted, learnt, positions
 
 
 def conversation_digests(trees: DataFrame, vocab_path: str = VOCAB_PATH) -> DataFrame:

@@ -83,7 +83,3 @@ def n_words(text: Column) -> Column:
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once a row even where use has it inside lambdas."""
     return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
