@@ -47,13 +47,24 @@ def decode(data: Column, page: str = "cp037") -> Column:
     return F.translate(F.decode(data, "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved))
 
 
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    """Runs of neighbouring numbers."""
+    out: list[list[int]] = []
+    for p in sorted(points):
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [(a, b) for a, b in out]
+
+
 def encode(text: Column, page: str = "cp037") -> Column:
     """Text to bytes; a character that the page lacks becomes 0x3F."""
     table = code_page(page)
     places: dict[str, int] = {}
     for i, c in enumerate(table):
         places[c] = i  # of two bytes for a character the later one counts
-    inside = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(places))
+    inside = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges([ord(c) for c in places]))
     known = F.regexp_replace(text, f"[^{inside}]", "\x1a")  # the page's 0x3F
     moved = [(c, _LATIN[i]) for c, i in sorted(places.items()) if c != _LATIN[i] and i]
     return F.encode(F.translate(known, "".join(a for a, _ in moved), "".join(b for _, b in moved)), "ISO-8859-1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.wire import joined
+
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], boundary: Column, number: str = "island") -> DataFrame:
     """Numbers the runs that begin at boundary rows; rows before the first boundary get 0."""
@@ -24,8 +26,7 @@ def begin_end_islands(sf: DataFrame, begin: str, end: str, payload: list[str], n
     closed = F.max((F.col("type_id") == end).cast("int")).over(Window.partitionBy("file_id", "island").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1))
     inside = rows.withColumn("__closed", F.coalesce(closed, F.lit(0))).where("__closed = 0")
     chunks = F.transform(F.array_sort(F.collect_list(F.when(F.col("type_id").isin(*payload), F.struct("offset", "data")))), lambda x: x["data"])
-    whole = F.aggregate(chunks, F.lit(b""), lambda a, b: F.concat(a, b))
-    return inside.groupBy("file_id", "island").agg(F.min("offset").alias("begin_offset"), F.max("__name").alias("name"), whole.alias("data")).drop("island")
+    return inside.groupBy("file_id", "island").agg(F.min("offset").alias("begin_offset"), F.max("__name").alias("name"), joined(chunks).alias("data")).drop("island")
 
 
 def document_groups(pages: DataFrame, keys: list[str], page_pos: str, label: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ebcdic
+from ..sources.wire import joined
 
 RUN = "struct<x:int,y:int,text:string,font_id:int,font_size:double,bold:boolean,underline:boolean,orientation:int,r:int,g:int,b:int,rule_length:int,rule_width:int,vertical:boolean>"
 _CONTROLS = re.compile("[\x00-\x1f\x7f-\x9f]")
@@ -236,8 +237,7 @@ def text_blocks(sf: DataFrame, pages: DataFrame, stray: bool = False) -> DataFra
     rows = rows.withColumns({"obj_no": F.sum((F.col("k") == "B").cast("long")).over(by), "__open": F.last(F.when(F.col("k") != "T", F.col("k")), ignorenulls=True).over(by)})
     inside = rows.where("k = 'T'" if stray else "k = 'T' AND __open = 'B'")
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("offset", "data"))), lambda x: x["data"])
-    whole = F.aggregate(chunks, F.lit(b""), lambda a, b: F.concat(a, b))
-    return inside.groupBy("file_id", "page_pos", "obj_no").agg(F.min("offset").alias("offset"), whole.alias("data"))
+    return inside.groupBy("file_id", "page_pos", "obj_no").agg(F.min("offset").alias("offset"), joined(chunks).alias("data"))
 
 
 def text_runs(blocks: DataFrame, page: str = "cp037", bold_fonts: str | None = None) -> DataFrame:
