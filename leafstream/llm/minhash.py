@@ -18,10 +18,11 @@ are its sketch.  Documents with equal sets form a class, represented by its smal
   compared exactly, which also gives each member's shingles that its pivot lacks.
 * What the pivot doesn't link.  If y isn't similar to pivot p but x and y are, then x and y share a
   shingle that p lacks, or x is smaller than p and 7 * min(|x & p|, |y & p|) >= 3 * (|x| + |y|): new
-  lists under (pivot, shingle) and a join of those few pair them.  Members too far from their pivot
-  for a comparison are paired within lists of up to SMALL members; two such members of a larger
-  list share rarer values besides the pivot's, and meet in those lists.  Pairs that are already in
-  one component are left out.
+  lists under (pivot, shingle) and a join of those few pair them.  A member too far from its pivot
+  for a comparison (unseen) is paired with all members of the list: in lists of up to SMALL by a
+  join, in larger ones by counting shared values block against block, which gives a row only for a
+  pair that can be similar.  Lists of the same members are looked at once.  Pairs that are already
+  in one component are left out.
 
 Defined results: null or blank text: n_shingles 0, linked with nothing, its own component; null
 doc_id: linked with nothing, component_id null, kept true; rows that share a doc_id are one node
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import bind, cut
 from .components import connected_components
 
-K, WIDE, WIDTH, PERCENT, SPREAD, SMALL = 64, 256, 5, 75, 5.0, 32
+K, WIDE, WIDTH, PERCENT, SPREAD, SMALL, BLOCK = 64, 256, 5, 75, 5.0, 32, 1024
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,6 +192,78 @@ def wide_sketches(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, w
     return made.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "text")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each of left shares with each of right (arrays of distinct values)."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    one, two = np.concatenate(left), np.concatenate(right)
+    rows, cols = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    values = np.intersect1d(one, two)
+    for at in range(0, len(values), columns):
+        some = values[at : at + columns]
+        sides = []
+        for n, of, v in ((len(left), rows, one), (len(right), cols, two)):
+            place = np.minimum(np.searchsorted(some, v), len(some) - 1)
+            hit = some[place] == v
+            dense = np.zeros((n, len(some)), np.float32)
+            dense[of[hit], place[hit]] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _block_pairs(left: list[tuple], right: list[tuple], k: int, percent: int) -> list[tuple[int, int]]:
+    """The pairs of members (rep, g, n, sketch) of two blocks that can be similar, or of whole sets a spanning forest of those that are."""
+    (ra, ga, na), (rb, gb, nb) = (tuple(np.array(c, np.int64) for c in list(zip(*x, strict=True))[:3]) for x in (left, right))
+    both = _overlaps([x[3] for x in left], [x[3] for x in right])
+    small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
+    fits = (100 * small >= percent * large) & np.not_equal.outer(ga, gb)
+    whole = fits & (large <= k) & (100 * both >= percent * (small + large - both))
+    found = [(int(ra[i]), int(rb[j])) for i, j in np.argwhere(fits & (large > k) & (both >= sketch_floor(k, k, percent)))]
+    for i in np.flatnonzero(whole.any(axis=1)):
+        near = np.flatnonzero(whole[i])
+        marks, first = np.unique(gb[near], return_index=True)
+        for mark, j in zip(marks, near[first], strict=True):
+            if mark != ga[i]:
+                found.append((int(ra[i]), int(rb[j])))
+                ga[ga == mark], gb[gb == mark] = ga[i], ga[i]
+    return found
+
+
+def crowded(members: DataFrame, near: DataFrame, k: int = WIDE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of an unseen and any other member of a list that can be similar; members: v, rep, g, unseen.
+
+    A list's unseen members and all its members are dealt into blocks; each block meets each in one
+    group of rows, so no task holds more than two blocks.
+    """
+    counted = members.groupBy("v").agg(F.ceil(F.count_if("unseen") / block).cast("int").alias("ml"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mr"))
+    joined = members.join(counted, "v")
+    place = lambda m: F.pmod(F.xxhash64("rep"), F.col(m)).cast("int")
+    upto = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    lefts = joined.where("unseen").select("v", place("ml").alias("i"), upto("mr").alias("j"), F.lit(0).alias("side"), "rep", "g")
+    rights = joined.select("v", upto("ml").alias("i"), place("mr").alias("j"), F.lit(1).alias("side"), "rep", "g")
+    dealt = lefts.unionByName(rights).join(near.select("rep", "n", "sketch"), "rep").select("v", "i", "j", "side", "rep", "g", "n", "sketch")
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sides[0] and sides[1] and (found := _block_pairs(*sides, k, percent)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            plain = [c.to_pylist() for c in batch.columns[:7]]
+            for *at, side, rep, g, n, sketch in zip(*plain, batch.column(7), strict=True):
+                if at != key:
+                    yield from done()
+                    key, sides = at, ([], [])
+                sides[side].append((rep, g, n, sketch.values.to_numpy()))
+        yield from done()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The components' links (a, b) between class representatives; classes: rep, h1, n, sketch."""
     chosen = cut(_shared(classes, k, percent).select("rep"))
@@ -198,7 +271,8 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str
     lists = cut(inverted_lists(near, wide, percent))
     pivots = lists.groupBy("v").agg(F.min(F.struct("own", "rep")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     starred = lists.join(pivots.select("v", "size", F.col("p.rep").alias("a")), "v").where("a <> rep").select("v", "size", "a", F.col("rep").alias("b"))
-    tested = cut(verified(_likely(starred.select("a", "b").distinct(), near, wide, percent), near, width))
+    stars = starred.select("a", "b").distinct()
+    tested = cut(verified(_likely(stars, near, wide, percent), near, width))
     linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
     first = tested.where(linked).select("a", "b")
     groups = connected_components(first).select(F.col("a").alias("m"), F.col("b").alias("g"))
@@ -218,11 +292,19 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str
     by_shingle = renamed(added.where("NOT ok")).join(added, ["a", "v"]).where(apart & fits)
     # smaller members than the pivot, whose union with y can be smaller than the pivot's
     by_size = renamed(rest.select("a", "b", "g", "nb", "both")).join(placed.where("nb < na").select("a", "b", "g", "ok", "nb", "both"), "a").where(apart & fits & (7 * F.least("both", "y_both") >= 3 * (F.col("nb") + F.col("y_nb"))))
-    # members that weren't compared with their pivot, within small lists
+    # members that weren't compared with their pivot: a join within small lists, blocks within larger ones
+    unseen = cut(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     small = starred.where(F.col("size") <= SMALL)
-    unseen = small.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("v", F.col("b").alias("y_b"))
-    by_list = unseen.join(small.select("v", "b"), "v").where("b <> y_b").select(F.greatest("b", "y_b").alias("a"), F.least("b", "y_b").alias("b"))
-    again = by_shingle.select(F.col("y_b").alias("a"), "b").unionByName(by_size.select(F.col("y_b").alias("a"), "b")).unionByName(by_list).distinct()
+    by_list = small.join(unseen, ["a", "b"]).select("v", F.col("b").alias("y_b")).join(small.select("v", "b"), "v").where("b <> y_b").select(F.greatest("b", "y_b").alias("a"), F.least("b", "y_b").alias("b"))
+    large = starred.where(F.col("size") > SMALL)
+    open_ = large.join(unseen, ["a", "b"]).select("v").distinct()
+    large = large.join(open_, "v", "left_semi")
+    # lists of the same members have the same pivot and the same unseen members
+    alone = large.groupBy("v", "a", "size").agg(F.bit_xor(F.xxhash64("b")).alias("x"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("s")).groupBy("a", "size", "x", "s").agg(F.min("v").alias("v")).select("v")
+    members = large.join(alone, "v", "left_semi").join(unseen.withColumn("unseen", F.lit(True)), ["a", "b"], "left")
+    members = members.join(groups, F.col("b") == F.col("m"), "left").select("v", F.col("b").alias("rep"), F.coalesce("g", "b").alias("g"), F.coalesce("unseen", F.lit(False)).alias("unseen"))
+    by_block = crowded(cut(members), near, wide, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    again = by_shingle.select(F.col("y_b").alias("a"), "b").unionByName(by_size.select(F.col("y_b").alias("a"), "b")).unionByName(by_list).unionByName(by_block).distinct()
     likely = cut(_likely(again, near, wide, percent))
     if likely.isEmpty():
         return first

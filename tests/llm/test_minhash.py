@@ -74,6 +74,23 @@ def test_groups_chains_and_passages(spark):
     check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
+@pytest.mark.parametrize(("frame", "slot"), [(70, 15), (110, 30)])  # sets that a sketch holds whole, and larger ones
+def test_slots_filled_from_few_variants(spark, monkeypatch, frame, slot):
+    rng = random.Random(frame)
+    say = lambda n: ["w%d" % rng.randrange(100_000) for _ in range(n)]
+    parts, fill = [say(frame // 5) for _ in range(5)], [[say(slot) for _ in range(6)] for _ in range(5)]
+    chosen = rng.sample(list(itertools.product(range(6), repeat=5)), 400)  # each variant is in about 67 texts
+    rows = [(i, " ".join(w for p, f, c in zip(parts, fill, choice, strict=True) for w in p + f[c])) for i, choice in enumerate(chosen)]
+    monkeypatch.setattr(minhash.crowded, "__defaults__", (minhash.WIDE, minhash.PERCENT, 24))  # several blocks a list
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in (1, 5, 30, 50, 0, 20)]
+    assert minhash._overlaps(sets[:3], sets[2:], 7).tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+
+
 def test_edges(clashing, empty):
     assert minhash.near_duplicates(clashing).count() == clashing.count()
     assert minhash.near_duplicates(empty).count() == 0
