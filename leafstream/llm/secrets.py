@@ -3,12 +3,14 @@ r"""Secret scan by token efficiency.
 Natural words need few vocabulary tokens for their length, random strings need many.  A run of
 key characters whose characters-per-token ratio under a tiktoken vocabulary is low is therefore
 reported as kind ``random``, unless it is a known digest (hex of a digest's length), a UUID, a
-decimal number or an identifier (no digit, or one case only with a digit-free core of words).
+decimal number or words joined by separators, each in one case or capitalised; other identifiers
+pass by their own ratio.  Of a run that passes, the parts between ``/`` and ``=``, then those between
+``_``, ``-`` and ``+`` are tested alike; runs and parts have LEAST characters or more.
 Beside these the scan reports three fixed kinds: ``assign``, ``access`` and ``hex``.
 
 Defined results: null text counts as empty (no spans); spans are code-point offsets, end
-exclusive, in order of start, then kind; a ``random`` run that overlaps a fixed span is left
-out (the fixed span stays); texts are scanned whole; a repeated row is scanned like any other;
+exclusive, in order of start, then kind; of a ``random`` run or
+part that overlaps fixed spans what lies outside them is reported; texts are scanned whole; a repeated row is scanned like any other;
 an empty table gives an empty table; other columns of the input aren't looked at.
 """
 
@@ -27,12 +29,17 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+LEAST = 16
+#: What a run is split at, then its parts.
+CUTS = (re.compile(r"[^/=]+"), re.compile(r"[^/=_+-]+"))
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEX_ANY = re.compile(r"[0-9a-fA-F]+")
 ALPHA = re.compile(r"[A-Za-z_/=+-]+")
+JOINED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+))+")
+LETTER = re.compile(r"[A-Za-z]")
 
 
 def is_known(run: str) -> bool:
@@ -40,7 +47,10 @@ def is_known(run: str) -> bool:
     bare = run.strip("=-_/+")
     if len(bare) in DIGESTS and HEX_ANY.fullmatch(bare):
         return True
-    return bool(UUID.fullmatch(bare)) or not any(c.isdigit() for c in bare) or not ALPHA.search(bare)
+    if UUID.fullmatch(bare) or not ALPHA.search(bare):
+        return True
+    # digit-free: rules of punctuation, words joined by separators
+    return not any(c.isdigit() for c in bare) and (len(LETTER.findall(bare)) < LEAST or bool(JOINED.fullmatch(bare)) and max(map(len, re.split(r"[/_=+-]+", bare))) < LEAST)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,19 +65,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def random_spans(text: str, ratio: float, vocab_path: str) -> list[tuple[int, int, str]]:
-    runs = [m for m in RUN.finditer(text) if not is_known(m[0])]
-    if not runs:
-        return []
-    encode = encoding(vocab_path).encode_ordinary
-    return [(m.start(), m.end(), "random") for m in runs if m.end() - m.start() < ratio * len(encode(m[0]))]
+def random_spans(text: str, ratio: float, vocab_path: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The runs and parts of low ratio, less what the base spans cover."""
+    out, encode = [], None
+    taken, at = sorted((a, b) for a, b, _ in base), 0
+    for m in RUN.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        over, upto = [], at
+        while upto < len(taken) and taken[upto][0] < m.end():
+            over += [taken[upto]] if m.start() < taken[upto][1] else []
+            upto += 1
+        # a run that a fixed span covers in part is judged by parts: the fixed span alone can make its ratio low
+        todo = [(*m.span(), 0)] if not over else [(m.start() + p.start(), m.start() + p.end(), 1) for p in CUTS[0].finditer(m[0])]
+        while todo:
+            start, end, level = todo.pop()
+            if end - start < LEAST or any(a <= start and end <= b for a, b in over):
+                continue
+            run = text[start:end]
+            encode = encode or encoding(vocab_path).encode_ordinary
+            if not is_known(run) and end - start < ratio * len(encode(run)):
+                for a, b in over:
+                    if start < a and start < end:
+                        out.append((start, min(a, end), "random"))
+                    start = max(start, b)
+                if start < end:
+                    out.append((start, end, "random"))
+            elif level < len(CUTS):
+                todo += [(start + p.start(), start + p.end(), level + 1) for p in CUTS[level].finditer(run)]
+    return out
 
 
 def scan_text(text: str, ratio: float = 2.0, vocab_path: str = VOCAB_PATH) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of a text, by start, then kind as listed in KINDS."""
     base = base_spans(text)
-    more = [s for s in random_spans(text, ratio, vocab_path) if not any(s[0] < b and a < s[1] for a, b, _ in base)]
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(base + random_spans(text, ratio, vocab_path, base), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def redact_text(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str:

@@ -32,6 +32,19 @@ def test_random_strings_but_not_digests_or_identifiers():
     assert found("password=q7Hd92KsLq0ZxVb3NmTy5RwP1") == []  # inside an assignment
 
 
+def test_random_strings_without_digits_short_or_joined():
+    found = lambda t: [t[a:b] for a, b, k in secrets.scan_text(t) if k == "random"]
+    key = "q7Hd92KsLq0ZxVb3"
+    assert found(f"key {key} end") == [key]
+    assert found("key xqzvkwjhgfqpzxkvbwqj end") == ["xqzvkwjhgfqpzxkvbwqj"]
+    assert found("key QzXvKwJhGfqPzxKvBwQj end") == ["QzXvKwJhGfqPzxKvBwQj"]
+    path = "com/webhook/services/notification/international/information/"
+    assert found(f"{path}{key}aB") == [f"{key}aB"]
+    assert found(f"password=Abcdefgh1234.{key}Zx8 {key}/0123456789abcdef0123") == [key]
+    assert found("x 0123456789abcdef" + key) == [key[0:]]  # behind a fixed span
+    assert found("srcset_mdpi_xhdpi_wxga getElementByTagNameNS -------------------- =-=-=-=-=-=-=-=-=-=- +-----+-----+-----+") == []
+
+
 def test_digest_columns(docs, rows):
     got = sorted(((r.doc_id or -1), r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.digest_columns(secrets.scan(docs)).collect())
     want = []
