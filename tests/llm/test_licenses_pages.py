@@ -45,6 +45,20 @@ def test_finds_edited_notices(name):
     assert " ".join(words[1:-1]).strip(".") in inside + " " and len(inside) <= 1.4 * len(" ".join(words))
 
 
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+def test_a_notice_is_found_as_itself_only(name):
+    text = f"Some words before. {licenses.TEMPLATES[name]} Some words behind."
+    assert [m["license"] for m in licenses.scan_text(text)] == [name]
+
+
+def test_telling_words_decide():
+    names = lambda t: [m["license"] for m in licenses.scan_text(t)]
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0 (short mention)"]
+    assert names("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0 (short mention)"]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0 (mention)"]
+    assert names("Licensed under the Apache License, Version 1.1.") == names("Licensed under CC BY-SA 3.0.") == []
+
+
 def test_no_false_notice(rows):
     assert licenses.scan_text(None) == licenses.scan_text("") == licenses.scan_text("... !!") == []
     assert not any(licenses.scan_text(t) for _, t, *_ in rows)
