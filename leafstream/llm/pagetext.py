@@ -1,19 +1,27 @@
 r"""Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks of text (a block ends where a block-level element starts or ends).  A
-linear classifier over a block's place and shape (enclosing elements, class and id words, link
-density, length, punctuation) gives what it costs to call it boilerplate or content: these are its
+linear classifier over a block's place and shape (enclosing block-level elements, class and id names,
+link density, length, punctuation) gives what it costs to call it boilerplate or content: these are its
 capacities to the source and the sink.  Blocks that follow each other, and blocks with a near common
 ancestor, are tied by smoothness edges.  The minimum cut (max-flow) labels all blocks of the page at
-once; the content blocks' text is the result.
+once; the content blocks' text is the result.  The classifier's weights are fitted (``pagemodel.fit``).
+
+Inline elements never decide for their block: text in an inline element that is an advert, a share
+button or hidden is a node of its own in the graph, tied to its block.
+
+A class or id name speaks for boilerplate only if all of its words do or are words of layout:
+``cookie-notice`` and ``share-box`` do, ``copyright-law`` doesn't.  Within an article an id, which can
+be a heading's anchor, must be one of the plain ones (FIRM).
 
 White space inside a block becomes one space; blocks are trimmed and joined in page order by one
 space; character references are decoded; ``<br>`` is white space.
 
 Defined results: null or blank html gives an empty text; text outside any element is a block of its
 own; unclosed or stray tags end where HTML's implied end tags would end them; a page with no content
-block gives an empty text; ties of the cut go to boilerplate; pages are read whole; repeated rows get
-equal results; an empty table gives an empty table; further columns aren't looked at.
+block gives an empty text; ties of the cut go to boilerplate; pages are read whole, in time that grows
+with their length; repeated rows get equal results; an empty table gives an empty table; further
+columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +29,6 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
 
 from pyspark.sql import DataFrame
 
@@ -32,28 +39,36 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset(("script", "style", "title", "textarea", "noframes", "xmp"))
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 #: An element that starts ends an open one of these, within the nearest listed container.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
 #: Elements whose text is not of the article.
 OUTSIDE = frozenset("nav footer aside noscript template dialog iframe svg head select button object canvas audio video datalist map".split())
-_NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|signup|sign-up|social|shar(?:e|ing)|"
-    r"sidebar\w*|side|widgets?|menus?|nav\w*|breadcrumbs?|toolbar|footer|header|masthead|topbar|login|search\w*|pag(?:ination|er)|skip|hidden|legal|disclaimer|copyright|teaser|outbrain|taboola)(?=$|[\s_-]|\d)",
-    re.I,
-)
-#: Sections that hold articles of their own which are not the page's.
-_FOREIGN = re.compile(r"(?:^|[\s_-])(?:(?:user-?)?comments?|comment-?(?:list|body|text|section)|reply|replies|respond|disqus\w*|responses|discussion|reactions|related\w*|recommend\w*)(?=$|[\s_-]|\d)", re.I)
-_POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body|prose)(?=$|[\s_-]|\d)", re.I)
+#: Words of class and id names (split at case changes and at all but letters) that speak for boilerplate.
+NEGATIVE = frozenset("ad ads adv advert adverts advertisement advertisements advertising advertorial adbox adsense adsbygoogle adslot sponsor sponsors sponsored sponsorship promo promos promoted promotion promotions banner banners cookie cookies consent gdpr ccpa notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup social share shares sharing sidebar sidebars side widget widgets menu menus submenu nav navbar navigation navigator breadcrumb breadcrumbs toolbar footer header masthead topbar login search pagination pager skip hidden legal disclaimer copyright teaser teasers outbrain taboola comment comments reply replies respond disqus responses discussion reactions related recommended recommendation recommendations".split())
+#: Those of sections that hold other articles or readers' texts.
+FOREIGN = frozenset("comment comments reply replies respond disqus responses discussion reactions related recommended recommendation recommendations".split())
+#: Words that name a place or a container and say nothing by themselves.
+LAYOUT = frozenset("all and also area bar bars block blocks body bottom box boxes button buttons buttons by card cards center code col column container content count entry form global group head holder icon icons id img image in info inner item items js label language layer left like link links list lists main me media message meta middle more most mobile module new news of on our outer page pages panel policy popular post posts primary read region right row section secondary settings single site slot slots small stories story sticky strip tab tabs text the this thread title to toggle tools top unit up us user users view warning web website wide wrap wrapper you your zone".split())
+#: Of the NEGATIVE words those that also count as an id within an article.
+FIRM = frozenset("ad ads adv advert advertisement adsense adbox adslot sponsored promo cookie cookies consent newsletter subscribe signup social share sharing sidebar footer widget widgets nav navbar breadcrumbs login comment comments reply replies respond disqus related recommended outbrain taboola".split())
+#: What inline elements can be besides text of their block.
+INLINE_BAD = frozenset("ad ads adv advert advertisement adbox adslot sponsored promo promoted share shares sharing social hidden skip popup".split())
+POSITIVE = frozenset("article content main post entry story text body prose".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
-#: The classifier's weights, over features() in this order.
-WEIGHTS = {"bias": -1.2, "article": 2.6, "outside": -7.0, "negative": -6.0, "positive": 2.0, "header": -3.0, "form": -3.0, "h1": 1.8, "heading": 0.6, "p": 0.9, "item": -0.4, "links": -4.0, "length": 0.9, "sentence": 0.6}
+#: The classifier's weights, over features() in this order; found by pagemodel.fit().
+WEIGHTS = {"bias": -1.2, "article": 4.08, "outside": -7.21, "negative": -6.74, "positive": 5.32, "header": -2.94, "form": -3.26, "h1": 1.07, "heading": 1.01, "p": -0.78, "item": -0.12, "links": -4.28, "length": 1.43, "sentence": 0.23}
 ADJACENT, SIBLING, COUSIN = 0.5, 0.4, 0.15
 
 
 class Block:
-    """Text of a block and where it stands: flags of its enclosing elements, parent and grandparent."""
+    """Text of a block and where it stands: flags of its enclosing block-level elements, parent and grandparent.
+
+    parts: (raw text, is it in an inline element that is no text of the block).
+    """
 
     __slots__ = ("grand", "linked", "parent", "parts", "state", "tag", "text")
 
@@ -61,18 +76,36 @@ class Block:
         self.tag, self.state, self.parent, self.grand, self.parts, self.linked, self.text = tag, state, parent, grand, [], 0, ""
 
 
+def _names(value: str) -> list[frozenset[str]]:
+    """The words of each name of a class or id attribute; digits and single letters aren't words."""
+    return [frozenset(w.lower() for w in _WORDS.findall(name) if len(w) > 1) for name in value.split()]
+
+
+def _speaks(names: list[frozenset[str]], words: frozenset[str]) -> bool:
+    """Whether a name has one of the words and beside NEGATIVE ones only words of layout."""
+    return any(not n.isdisjoint(words) and all(w in NEGATIVE or w in LAYOUT for w in n) for n in names)
+
+
+def _attributes(attrs: str) -> dict[str, str]:
+    low = attrs.lower()
+    if not any(k in low for k in ("class", "id", "role", "hid", "none")):
+        return {}
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+
+
+def _unseen(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
+
+
 def _state(before: tuple, tag: str, attrs: str) -> tuple:
-    """(article, outside, negative, positive, header, form) inside an element."""
+    """(article, outside, negative, positive, header, form) inside a block-level element."""
     article, outside, negative, positive, header, form = before
-    names = role = ""
-    if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "hid" in attrs or "none" in attrs or "CLASS" in attrs or "ID" in attrs):
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-        names, role = f"{found.get('class', '')} {found.get('id', '')}".strip(), found.get("role", "").lower()
-        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-            outside = True
-    if names and tag not in ("html", "body") and _FOREIGN.search(names):
+    found = _attributes(attrs) if attrs else {}
+    classes, ids, role = _names(found.get("class", "")), _names(found.get("id", "")), found.get("role", "").lower()
+    whole = tag in ("html", "body")
+    if found and _unseen(found) or not whole and (_speaks(classes, FOREIGN) or _speaks(ids, FOREIGN & FIRM if article else FOREIGN)):
         outside = True
-    bad = bool(names and _NEGATIVE.search(names)) or role in _ROLES
+    bad = _speaks(classes, NEGATIVE) or _speaks(ids, FIRM if article else NEGATIVE) or role in _ROLES
     if tag in ("article", "main") and not bad:
         # a page's wrappers say little about its article, but comments hold articles too
         return (True, outside, negative and article, positive, False, False)
@@ -82,42 +115,48 @@ def _state(before: tuple, tag: str, attrs: str) -> tuple:
         header = True
     elif tag in ("form", "fieldset"):
         form = True
-    if bad and tag not in ("html", "body"):
-        negative = True
-    return (article or role == "main", outside, negative, positive or bool(names and _POSITIVE.search(names)), header, form)
+    return (article or role == "main", outside, negative or bad and not whole, positive or any(not n.isdisjoint(POSITIVE) for n in classes + ids), header, form)
+
+
+def _aside(tag: str, attrs: str) -> bool:
+    """Whether an inline element is no text of its block."""
+    if tag in OUTSIDE:
+        return True
+    found = _attributes(attrs) if attrs else {}
+    return bool(found) and (_unseen(found) or _speaks(_names(found.get("class", "")), INLINE_BAD))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, int, tuple]] = [("", 0, (False,) * 6)]
+    # name, number, state, whether text is put aside; where each name is open; links open at each depth
+    stack: list[tuple[str, int, tuple, bool]] = [("", 0, (False,) * 6, False)]
+    opened: dict[str, list[int]] = {}
+    flow = [0]  # depths of the open elements that aren't inline
     now: Block | None = None
-    ids = links = at = 0
+    ids = at = 0
 
     def put(raw: str) -> None:
         nonlocal now
         if now is None:
             if not raw.strip():
                 return
-            i = len(stack) - 1
-            while stack[i][0] in INLINE:
-                i -= 1
-            now = Block(stack[i][0], stack[-1][2], stack[max(0, i - 1)][1], stack[max(0, i - 2)][1])
+            depth = len(flow) - 1
+            up = lambda k: stack[flow[max(0, depth - k)]]
+            now = Block(up(0)[0], up(0)[2], up(1)[1], up(2)[1])
             found.append(now)
-        text = _html.unescape(raw) if "&" in raw else raw
-        now.parts.append(text)
-        if links:
+        text, aside = _html.unescape(raw) if "&" in raw else raw, stack[-1][3]
+        now.parts.append((text, aside))
+        if not aside and opened.get("a"):
             now.linked += len(text)
 
     def close(name: str, within: tuple[str, ...]) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == name:
-                links -= sum(s[0] == "a" for s in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
+        i = opened[name][-1] if opened.get(name) else 0
+        if i and all(not opened.get(w) or opened[w][-1] < i for w in within):
+            while len(stack) > i:
+                opened[stack.pop()[0]].pop()
+                if flow[-1] == len(stack):
+                    flow.pop()
 
     size = len(page)
     while at < size:
@@ -150,26 +189,41 @@ def blocks(page: str) -> list[Block]:
             if one != name:
                 close(one, within)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             at = end.end() if end else size
             continue
         if name in VOID:
             continue
         ids += 1
-        stack.append((name, ids, _state(stack[-1][2], name, attrs)))
-        links += name == "a"
-    for b in found:
-        b.text = " ".join("".join(b.parts).split())
-    return [b for b in found if b.text]
+        _, _, state, aside = stack[-1]
+        opened.setdefault(name, []).append(len(stack))
+        if name in INLINE:
+            stack.append((name, ids, state, aside or _aside(name, attrs)))
+        else:
+            flow.append(len(stack))
+            within = (*state[:2], True, *state[3:]) if aside else state
+            stack.append((name, ids, _state(within, name, attrs), False))
+    return [b for b in found if any(t.strip() for t, _ in b.parts)]
+
+
+def nodes(found: list[Block]) -> list[tuple[int, bool, str]]:
+    """(block, put aside, text) of the graph's nodes: a block's own text, and what inline elements put aside."""
+    out = []
+    for i, b in enumerate(found):
+        for aside in sorted({a for _, a in b.parts}):
+            text = " ".join("".join(t for t, a in b.parts if a == aside).split())
+            if text:
+                out.append((i, aside, text))
+    return out
 
 
-def features(b: Block) -> dict[str, float]:
+def features(b: Block, aside: bool, text: str) -> dict[str, float]:
     article, outside, negative, positive, header, form = b.state
-    n = len(b.text)
+    n = len(text)
     return {
         "bias": 1,
         "article": article,
-        "outside": outside,
+        "outside": outside or aside,
         "negative": negative,
         "positive": positive,
         "header": header and b.tag != "h1" or (header and not article),
@@ -180,80 +234,132 @@ def features(b: Block) -> dict[str, float]:
         "item": b.tag in ("li", "td", "th", "dt"),
         "links": min(1.0, b.linked / n),
         "length": min(3.0, math.log1p(n / 40)),
-        "sentence": b.text[-1] in ".!?:;\"'”»…" or n > 120,
+        "sentence": text[-1] in ".!?:;\"'”»…" or n > 120,
     }
 
 
-def score(b: Block) -> float:
-    """Log-odds that the block is content."""
-    return sum(WEIGHTS[k] * v for k, v in features(b).items())
+def score(b: Block, aside: bool, text: str) -> float:
+    """Log-odds that a node is content."""
+    return sum(WEIGHTS[k] * v for k, v in features(b, aside, text).items())
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: between neighbours, and to the last block with the same parent or grandparent."""
-    out, last = [], {}
-    for i, b in enumerate(found):
-        if i and found[i - 1].state == b.state:
-            out.append((i - 1, i, ADJACENT))
+def edges(found: list[Block], made: list[tuple[int, bool, str]]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: between neighbours, and to the last block with the same parent or grandparent.
+
+    Blocks of different states aren't tied; what is put aside is tied to its block only.
+    """
+    out, last, before = [], {}, None
+    for k, (i, aside, _) in enumerate(made):
+        b = found[i]
+        if aside:
+            if k and made[k - 1][0] == i:
+                out.append((k - 1, k, ADJACENT))
+            continue
+        if before is not None and found[made[before][0]].state == b.state:
+            out.append((before, k, ADJACENT))
+        before = k
         for key, weight in ((("p", b.parent), SIBLING), (("g", b.grand), COUSIN)):
             j = last.get(key)
-            if j is not None and found[j].state == b.state:
-                out.append((j, i, weight))
-            last[key] = i
+            if j is not None and found[made[j][0]].state == b.state:
+                out.append((j, k, weight))
+            last[key] = k
     return out
 
 
 def min_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
-    """Which blocks are on the source's (content's) side of a minimum cut.
+    """Which nodes are on the source's (content's) side of a minimum cut; ties go to the sink's.
 
-    What a block could send straight from source to sink is sent first; of the rest, blocks with
-    more source than sink capacity send along shortest augmenting paths of the ties.
+    What a node could send straight from source to sink is sent first.  A node with more capacity to
+    one terminal than all its ties have is on that side whatever its neighbours are: it is settled, its
+    ties become terminal capacities of its neighbours, and so on.  What is left goes through max-flow.
     """
-    n = len(scores)
-    soft = lambda x: x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x))
-    excess = [soft(s) - soft(-s) for s in scores]
-    to, room, out = [], [], [[] for _ in range(n)]
+    excess = [max(-CERTAIN, min(CERTAIN, s)) for s in scores]  # softplus(s) - softplus(-s) is s
+    near: list[list[tuple[int, float]]] = [[] for _ in scores]
+    for a, b, w in ties:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    tied = [sum(w for _, w in n) for n in near]
+    side: list[bool | None] = [None] * len(scores)
+    todo = [v for v in range(len(scores)) if abs(excess[v]) > tied[v]]
+    while todo:
+        v = todo.pop()
+        if side[v] is not None:
+            continue
+        side[v] = excess[v] > 0
+        for u, w in near[v]:
+            if side[u] is None:
+                excess[u] += w if side[v] else -w
+                tied[u] -= w
+                if abs(excess[u]) > tied[u] + 1e-9:
+                    todo.append(u)
+    left = [v for v, s in enumerate(side) if s is None]
+    if left:
+        for v, s in zip(left, _max_flow(left, excess, [t for t in ties if side[t[0]] is None and side[t[1]] is None]), strict=True):
+            side[v] = s
+    return side
+
+
+CERTAIN = 1e6
+
+
+def _max_flow(left: list[int], supply: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
+    """Dinic's algorithm over the nodes of left: levels from all nodes with excess, then blocking flows."""
+    number, excess, tiny = {v: i for i, v in enumerate(left)}, [supply[v] for v in left], 1e-9
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in left]
     for a, b, w in ties:
-        out[a].append(len(to))
-        out[b].append(len(to) + 1)
-        to += [b, a]
+        out[number[a]].append(len(to))
+        out[number[b]].append(len(to) + 1)
+        to += [number[b], number[a]]
         room += [w, w]
-    tiny = 1e-9
     while True:
-        came = {v: -1 for v in range(n) if excess[v] > tiny}
-        queue, goal = deque(came), None
-        while queue and goal is None:
-            v = queue.popleft()
-            for e in out[v]:
-                if room[e] > tiny and to[e] not in came:
-                    came[to[e]] = e
-                    if excess[to[e]] < -tiny:
-                        goal = to[e]
-                        break
-                    queue.append(to[e])
-        if goal is None:
-            return [v in came for v in range(n)]
-        path, v = [], goal
-        while came[v] >= 0:
-            path.append(came[v])
-            v = to[came[v] ^ 1]
-        sent = min(excess[v], -excess[goal], *(room[e] for e in path))
-        for e in path:
-            room[e] -= sent
-            room[e ^ 1] += sent
-        excess[v] -= sent
-        excess[goal] += sent
-
-
-def label(page: str | None) -> list[tuple[str, bool]]:
-    """(text, is it content) of each block."""
-    found = blocks(page or "")
-    kept = min_cut([score(b) for b in found], edges(found))
-    return [(b.text, k) for b, k in zip(found, kept, strict=True)]
+        sources = [v for v, e in enumerate(excess) if e > tiny]
+        level, reached, ring = dict.fromkeys(sources, 0), False, sources
+        while ring and not reached:
+            beyond = []
+            for v in ring:
+                for e in out[v]:
+                    if room[e] > tiny and to[e] not in level:
+                        level[to[e]] = level[v] + 1
+                        reached |= excess[to[e]] < -tiny
+                        beyond.append(to[e])
+            ring = beyond
+        if not reached:
+            return [v in level for v in range(len(left))]
+        following = {}
+        for start in sources:
+            path, v = [], start
+            while excess[start] > tiny:
+                if excess[v] < -tiny:
+                    sent = min(excess[start], -excess[v], *(room[e] for e in path))
+                    for e in path:
+                        room[e] -= sent
+                        room[e ^ 1] += sent
+                    excess[start] -= sent
+                    excess[v] += sent
+                    path, v = [], start
+                    continue
+                k = following.get(v, 0)
+                while k < len(out[v]) and not (room[out[v][k]] > tiny and level.get(to[out[v][k]], -1) == level[v] + 1):
+                    k += 1
+                following[v] = k
+                if k < len(out[v]):
+                    path.append(out[v][k])
+                    v = to[path[-1]]
+                elif path:
+                    v = to[path.pop() ^ 1]
+                    following[v] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:
-    return " ".join(text for text, kept in label(page) if kept)
+    found = blocks(page or "")
+    made = nodes(found)
+    kept = {(i, aside) for (i, aside, _), k in zip(made, min_cut([score(found[i], aside, text) for i, aside, text in made], edges(found, made)), strict=True) if k}
+    texts = (" ".join("".join(t for t, a in b.parts if (i, a) in kept).split()) for i, b in enumerate(found))
+    return " ".join(t for t in texts if t)
 
 
 def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

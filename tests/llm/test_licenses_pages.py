@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from leafstream.llm import licenses, pagetext
+from leafstream.llm import licenses, pagemodel, pagetext
 
 
 def lcs(a, b):
@@ -130,3 +130,68 @@ def test_sf_pages_equal_their_articles(spark, sf_dir):
         inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split("</?(?:p|h1)>", inner)]
         assert pagetext.main_text(r.html) == " ".join(p for p in parts if p)
+
+
+LONG = "Two hundred characters of an article that go on for a while, with commas, so that nobody takes them for anything else than the main text of a page."
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    (f'<p><span class="notice">Note:</span> {LONG}</p>', f"Note: {LONG}"),
+    (f'<p><a class="share">Share</a> {LONG}</p>', LONG),
+    (f'<p><span class="header">Head</span> {LONG}</p>', f"Head {LONG}"),
+    (f'<p><b class="hidden">no</b> {LONG}</p>', LONG),
+    (f'<p>{LONG} <span class="ad">BUY</span></p>', LONG),
+    (f'<p>{LONG}</p><a class="sponsored"><div>Buy this now, it is cheap.</div></a>', LONG),
+    *[(f"<section {name}><h2>On it</h2><p>{LONG}</p></section>", f"On it {LONG}") for name in ('id="copyright-law"', 'id="legal-history"', 'class="search-results-study"', 'class="related-work"', 'id="notice"', 'class="header-files"')],
+    *[(f"<p>{LONG}</p><div {name}><p>Get all of our long mails each day, for ever and ever.</p></div>", LONG) for name in ('id="newsletter"', 'class="newsletter-signup"', 'class="relatedPosts"', 'class="ad-slot-300x250"', 'id="cookie-banner"', 'class="share-buttons"')],
+])
+def test_inline_elements_and_names_within_an_article(inside, want):
+    assert pagetext.main_text(f"<html><body><nav><a href='/'>Home</a></nav><article>{inside}</article></body></html>") == want
+
+
+def test_weights_are_those_that_the_fit_finds():
+    assert pagemodel.fit() == pagetext.WEIGHTS
+
+
+@pytest.mark.parametrize("layout", list(pagemodel.HELD_OUT))
+def test_held_out_layouts(layout):
+    wrong = total = 0
+    for page in pagemodel.pages({layout: pagemodel.HELD_OUT[layout]}, 100, 77):
+        found = pagetext.blocks(page)
+        made = pagetext.nodes(found)
+        scores = [pagetext.score(found[i], aside, text.replace(pagemodel.MARK, "") or "x") for i, aside, text in made]
+        for (_, _, text), kept in zip(made, pagetext.min_cut(scores, pagetext.edges(found, made)), strict=True):
+            total += 1
+            wrong += kept != (pagemodel.MARK in text)
+    assert wrong <= 0.01 * total
+
+
+def test_long_and_malformed_pages_in_linear_time():
+    import time
+
+    rng = random.Random(4)
+    for page in (
+        "<article>" + "<p>word, and more.</p>" * 50_000,
+        "<div><i>" * 25_000 + "x" + "</b>" * 25_000,
+        "<ul>" + "<li><span>item" * 50_000,
+        "<body>" + "".join(rng.choice(("<p>a b c</p>", "<div>some words of a text that could be either</div>", "<ul><li>x</li></ul>", "<p>Now this is one, or not.</p>")) for _ in range(50_000)),
+    ):
+        began = time.perf_counter()
+        pagetext.main_text(page)
+        assert time.perf_counter() - began < 20
+
+
+def test_cut_of_many_undecided_nodes_is_minimal():
+    """Dinic against a dynamic programme on a chain."""
+    import math
+
+    rng = random.Random(6)
+    n = 3000
+    scores, ties = [rng.uniform(-0.7, 0.7) for _ in range(n)], [(i, i + 1, rng.uniform(0, 1)) for i in range(n - 1)]
+    soft = lambda x: math.log1p(math.exp(-abs(x))) + max(x, 0)
+    labels = pagetext.min_cut(scores, ties)
+    cost = sum(soft(-s) if k else soft(s) for s, k in zip(scores, labels, strict=True)) + sum(w for a, b, w in ties if labels[a] != labels[b])
+    best = [soft(scores[0]), soft(-scores[0])]
+    for s, (_, _, w) in zip(scores[1:], ties, strict=True):
+        best = [soft(s) + min(best[0], best[1] + w), soft(-s) + min(best[1], best[0] + w)]
+    assert math.isclose(cost, min(best), rel_tol=1e-9)
