@@ -9,9 +9,12 @@ words that are aligned.
 Words that tell licences apart (TELLING and a template's numbers) decide beside the coverage: all that
 a template has must be aligned, and the match holds no word of TELLING that the template lacks.
 
-Windows start where enough of the template's words come close together; a window without that
-many words can't reach the coverage asked for, so no occurrence is missed.  After a match the
-search goes on behind it, so a licence that a text has twice is found twice.
+An occurrence is a stretch of text of at most STRETCH times the template's words (a parameter) whose
+alignment reaches the coverage; a notice into which more is inserted isn't one.  Windows start where
+enough of the template's words come close together; one without that many can't reach the coverage.
+After a match the search goes on behind it, so a licence that a text has twice is found twice.
+The alignment can be shorter than the longest common subsequence where no unique word anchors it;
+the tests measure how often that costs an occurrence.
 
 Defined results: null, empty or word-free text has no match; matches of a template don't overlap,
 those of different templates can, and a match that lies inside a longer match of another template is
@@ -72,7 +75,8 @@ TEMPLATES: dict[str, str] = {
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """The words in lower case; the i-th is that of the i-th match of WORDS in the text."""
+    return [w.lower() for w in WORDS.findall(text)]
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -171,6 +175,19 @@ def built(templates: dict[str, str], coverage: float, stretch: float) -> list[Te
     return _BUILT[key]
 
 
+def outermost(got: list[tuple[int, int, int, int, Template]]) -> list[tuple[int, int, int, int, Template]]:
+    """The matches (start, end, aligned, order, template) that lie in no longer one, one for the same words, by place.
+
+    Matches of a template don't overlap, so a sweep that keeps the farthest end so far is enough.
+    """
+    kept, far = [], -1
+    for g in sorted(got, key=lambda g: (g[0], -g[1], -g[2] / len(g[4].words), g[3])):
+        if g[1] > far:
+            kept.append(g)
+            far = g[1]
+    return sorted(kept, key=lambda g: (g[0], g[3]))
+
+
 def scan_text(text: str | None, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, stretch: float = STRETCH) -> list[dict]:
     """The matches: license, covered and template_words (counts), start and end (code points)."""
     if not text:
@@ -183,12 +200,8 @@ def scan_text(text: str | None, templates: dict[str, str] = TEMPLATES, coverage:
             got += [(a, b, n, order, t) for a, b, n in t.find(words)]
     if not got:
         return []
-    kept = [g for g in got if not any(o is not g and o[0] <= g[0] and g[1] <= o[1] and (o[1] - o[0] > g[1] - g[0] or (-o[2] / len(o[4].words), o[3]) < (-g[2] / len(g[4].words), g[3])) for o in got)]
-    # lower-casing can change a text's length, so spans are found in the text itself
     spans = [m.span() for m in WORDS.finditer(text)]
-    if len(spans) != len(words):
-        spans = [m.span() for m in WORDS.finditer(text.lower())]
-    return [{"license": t.name, "covered": n, "template_words": len(t.words), "start": spans[a][0], "end": spans[b - 1][1]} for a, b, n, _, t in sorted(kept, key=lambda g: (g[0], g[3]))]
+    return [{"license": t.name, "covered": n, "template_words": len(t.words), "start": spans[a][0], "end": spans[b - 1][1]} for a, b, n, _, t in outermost(got)]
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, stretch: float = STRETCH) -> DataFrame:

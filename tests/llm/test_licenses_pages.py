@@ -59,6 +59,43 @@ def test_telling_words_decide():
     assert names("Licensed under the Apache License, Version 1.1.") == names("Licensed under CC BY-SA 3.0.") == []
 
 
+def test_offsets_are_those_of_the_text():
+    text = "İstanbul. Released under the MIT License. end"
+    assert [(m["start"], m["end"]) for m in licenses.scan_text(text)] == [(10, 40)]
+
+
+@pytest.mark.parametrize("name", ["MIT", "ISC", "BSD-3-Clause", "GPL-3.0-or-later", "MPL-2.0"])
+def test_recall_against_the_longest_common_subsequence(name):
+    """Brute force: a notice occurs where a window's longest common subsequence with it reaches the coverage."""
+    rng = random.Random(name)
+    template = licenses.Template(name, licenses.TEMPLATES[name], licenses.COVERAGE, licenses.STRETCH)
+    noise = ["lorem", "the", "of", "software", "use", "this", "and", "a", "license", "dolor"]
+    due = got = extra = 0
+    for _ in range(60):
+        words = template.words.copy()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice((0, 1, 1))] = [] if rng.random() < 0.3 else [rng.choice(noise)]
+        text = [rng.choice(noise) for _ in range(40)] + words + [rng.choice(noise) for _ in range(40)]
+        occurs = any(lcs(text[i : i + template.width], template.words) >= template.least for i in range(0, len(text), 2))
+        found = any(m["license"] == name for m in licenses.scan_text(" ".join(text)))
+        told = all(template.words[j] in words for j in template.telling)
+        due += occurs and told
+        got += occurs and told and found
+        extra += found and not occurs
+    assert due >= 10 and got >= 0.95 * due and not extra, (got, due)
+
+
+def test_matches_inside_longer_ones_by_brute_force():
+    rng = random.Random(8)
+    made = licenses.built(licenses.TEMPLATES, licenses.COVERAGE, licenses.STRETCH)[:6]
+    for _ in range(200):
+        got = [(a := rng.randrange(30), a + rng.randint(1, 12), rng.randint(1, 9), o, made[o]) for o in rng.choices(range(6), k=rng.randint(0, 9))]
+        better = lambda x, y: (x[0] <= y[0] and y[1] <= x[1]) and (x[1] - x[0] > y[1] - y[0] or (-x[2] / len(x[4].words), x[3]) < (-y[2] / len(y[4].words), y[3]))
+        want = [g for g in got if not any(better(o, g) for o in got)]
+        assert sorted({g[:4] for g in licenses.outermost(got)}) == sorted({g[:4] for g in want})
+
+
 def test_no_false_notice(rows):
     assert licenses.scan_text(None) == licenses.scan_text("") == licenses.scan_text("... !!") == []
     assert not any(licenses.scan_text(t) for _, t, *_ in rows)
