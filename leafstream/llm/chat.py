@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VOCAB_PATH, encoding, map_rows
+from .common import VOCAB_PATH, encode_text, encoding, map_rows
 
 MAX_CONVERSATIONS, MAX_CHARS = 256, 1_000_000
 LOSS_ROLE = "assistant"
 _HEAD, _MID, _END = "### ", ":\n", "\n</turn>\n"
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*):\n((?:\\.|[^\\])*?)\n</turn>\n", re.S)
+_ROLE = re.compile(r"### ((?:\\.|[^\\:])*+):\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -43,7 +43,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", r"\1", text, flags=re.S) if "\\" in text else text
 
 
 def segments(role: str, text: str) -> tuple[str, str, str]:
@@ -55,11 +55,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """The (role, text) turns of a formatted conversation."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if m is None:
+        m = _ROLE.match(formatted, at)
+        end = formatted.find(_END, m.end()) if m else -1  # escaped texts have no end mark
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(m[1]), unescape(formatted[m.end() : end])))
+        at = end + len(_END)
     return turns
 
 
@@ -136,7 +137,7 @@ def prefix_trees(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     schema = to_arrow_schema(_parse_datatype_string(_TREES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocab_path).encode_ordinary
+        encode = lambda t: encode_text(t, vocab_path)
         tree = Tree(encode)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

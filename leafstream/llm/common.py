@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +33,26 @@ def encoding(path: str = VOCAB_PATH):
     return _ENCODINGS[path]
 
 
+#: White space as the split pattern means it, in runs that its look-ahead can't take (it keeps a state a character).
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}")
+
+
+def encode_text(text: str, path: str = VOCAB_PATH) -> list[int]:
+    """The tokens of a text of any length.
+
+    The split pattern takes a run of white space but for its last character as one piece, or all of it
+    at the text's end; such pieces of long runs are encoded without the pattern, to the same tokens.
+    """
+    enc = encoding(path)
+    out, at = [], 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the folder that the cluster names; set a local one only where none is named (tests)."""
     context = spark.sparkContext

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import VOCAB_PATH, encoding
+from .common import VOCAB_PATH, encode_text, encoding
 
 RULES = ("majority", "first", "split")
 _LENGTHS: dict[str, np.ndarray] = {}
@@ -52,7 +52,7 @@ def line_starts(text: str) -> np.ndarray:
 def token_starts(text: str, vocab_path: str = VOCAB_PATH) -> np.ndarray:
     """The code point at which each token of the whole text starts, and the text's length."""
     data = text.encode()
-    ids = encoding(vocab_path).encode_ordinary(text)
+    ids = encode_text(text, vocab_path)
     ends = np.concatenate([[0], np.cumsum(token_lengths(vocab_path)[ids])]) if ids else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters begun before each byte

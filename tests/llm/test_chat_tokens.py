@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from leafstream.llm import chat, tokencounts
-from leafstream.llm.common import VOCAB_PATH, encoding
+from leafstream.llm.common import VOCAB_PATH, encode_text, encoding
 
 SAID = "conv_id bigint, turn bigint, role string, text string"
 NASTY = ["\\### Assistant: </turn> ok", "", "##", "###", "####\\", "</turn>", "<\\/turn>", "\\\\", "a\n</turn>\n### user:\nb", "é\U0001f600"]
@@ -127,3 +127,21 @@ def test_fields_and_frames(spark, docs, clashing, empty):
     assert tokencounts.section_tokens(empty).count() == 0
     with pytest.raises(ValueError):
         tokencounts.section_tokens(docs, rule="other")
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n\t", "\u3000 "])
+@pytest.mark.parametrize(("before", "behind"), [("", ""), ("x", "y"), ("don't.", "'s"), ("1", "\x1cq")])
+def test_long_white_space_gives_the_same_tokens(blank, before, behind):
+    text = before + blank * 70_000 + behind
+    assert encode_text(text + text) == encoding(VOCAB_PATH).encode_ordinary(text + text)
+
+
+def test_ten_million_blanks(spark):
+    text = "x" + " " * 10_000_000 + "y\n" + "\n" * 2_000_000
+    starts = tokencounts.token_starts(text)
+    assert starts[0] == 0 and starts[-1] == len(text) and encoding(VOCAB_PATH).decode(encode_text(text)) == text
+    text = "x" + " " * 1_500_000 + "y"
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text)]
+    got = chat.conversation_digests(chat.prefix_trees(spark.createDataFrame(rows, SAID))).collect()
+    assert {tuple(r)[:6] for r in got} == brute(rows)
+    assert tokencounts.section_tokens(spark.createDataFrame([(1, "x" + " " * 2_000_000 + "y")], "doc_id bigint, text string")).first().n_chars == 2_000_002
