@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Shelf
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -23,17 +23,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """edges(a, b) of longs to (a, b): each linked node but a component's smallest, and that smallest.
 
-    Self-links and repeated links make no difference.  Every round is cut to the shared checkpoint
-    folder; rounds end when the links don't change, after a number logarithmic in the chain length.
+    Self-links and repeated links make no difference.  Every round is written to the shelf and the one
+    before it deleted; rounds end when the links don't change, after a number logarithmic in the chain length.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = shelf.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        now = cut(_small(_large(now)))
+        last, now = now, shelf.put(_small(_large(now)))
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        shelf.drop(last)
+        if mark == seen or not mark[0]:
             return now
         seen = mark

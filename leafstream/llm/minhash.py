@@ -2,7 +2,7 @@ r"""Near-duplicates by bottom-k sketches of one hash function.
 
 A document's set is that of its distinct 5-word shingles (words ``[^\x20\x09-\x0D]+``, A-Z in lower
 case; fewer words: the whole sequence as one), each hashed once to 64 bits; the k smallest hashes
-are its sketch.  Documents with equal sets form a class, represented by its smallest doc_id.
+are its sketch.  Documents with equal sets form a class; all that follows is between classes.
 
 * Two sets of Jaccard similarity t share, of the k smallest hashes of their union, a binomial (k, t)
   number.  ``sketch_floor`` is what a sketch must share at least: the exact bound for sets that a
@@ -14,20 +14,33 @@ are its sketch.  Documents with equal sets form a class, represented by its smal
   sets share is a list of both.
 * Overlaps.  Within a list every member is paired with the list's pivot, the member with the fewest
   values of its own (the likely original).  So a group of n copies costs n pairs, not n * n.
-* The estimate on the union's sketch drops pairs below floor; for all others the full sets are
-  compared exactly, which also gives each member's shingles that its pivot lacks.
-* What the pivot doesn't link.  If y isn't similar to pivot p but x and y are, then x and y share a
-  shingle that p lacks, or x is smaller than p and 7 * min(|x & p|, |y & p|) >= 3 * (|x| + |y|): new
-  lists under (pivot, shingle) and a join of those few pair them.  A member too far from its pivot
-  for a comparison (unseen) is paired with all members of the list: in lists of up to SMALL by a
-  join, in larger ones by counting shared values block against block, which gives a row only for a
-  pair that can be similar.  Lists of the same members are looked at once.  Pairs that are already
-  in one component are left out.
+* The estimate on the union's sketch drops the pairs too far apart (``too_far``: a similarity below 1/2);
+  all others are compared exactly, on the full sets, which also gives what a member has and its pivot lacks.
+
+What a pivot p leaves open, with x and y for two members that it doesn't link both:
+
+* Distances 1 - similarity obey the triangle inequality.  So a member that p links isn't similar to one
+  that was too far from p for a comparison.
+* If both were compared and are similar, they share a shingle that p lacks, or (of which x is linked)
+  x is smaller than p, and at least 3/4 of what each unlinked one has lies in p.
+
+So the open lists are: the members of a list that p doesn't link, where one is too far; the members of
+a pivot that share a shingle which it lacks, where one isn't linked; the unlinked members that lie in p
+for 3/4, with the smaller linked ones.  In each some members are due: to be paired with all others.
+
+* Lists whose members are all in one component, or the same as another list's, are left out.
+* In lists of up to SMALL members the due ones are joined with the others.
+* In larger ones PIVOTS due members, picked by hash, are compared with all members as above.  That joins
+  the groups in such a list, of any size; of what is left, a pair of members in two components whose
+  distances to one of these pivots differ by more than 1/4 can't be similar.  The others are looked
+  at block against block, by counting shared values, and make a row only if they can be similar.
+* These pairs are filtered by the union sketch's estimate and compared exactly.
 
 Defined results: null or blank text: n_shingles 0, linked with nothing, its own component; null
 doc_id: linked with nothing, component_id null, kept true; rows that share a doc_id are one node
-of the link graph (each row gets its result); ties of the pivot go to the smallest doc_id; texts
-are taken whole; an empty table gives an empty table; further columns aren't looked at.
+of the link graph, whatever their texts (each row gets its result); ties of the pivot go to the
+smallest class number; texts are taken whole; an empty table gives an empty table; further columns
+aren't looked at.
 """
 
 from __future__ import annotations
@@ -39,10 +52,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, cut
+from .common import Shelf, bind
 from .components import connected_components
 
-K, WIDE, WIDTH, PERCENT, SPREAD, SMALL, BLOCK = 64, 256, 5, 75, 5.0, 32, 1024
+K, WIDE, WIDTH, PERCENT, SPREAD, SMALL, BLOCK, PIVOTS = 64, 256, 5, 75, 5.0, 32, 1024, 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,6 +89,11 @@ def sketch_floor(n: int, k: int = K, percent: int = PERCENT) -> int:
     return max(1, int(k * t - SPREAD * (k * t * (1 - t)) ** 0.5))
 
 
+def too_far(percent: int) -> int:
+    """The similarity (percent) below which nothing is similar to both members of a pair."""
+    return 2 * percent - 100
+
+
 _SIGNED = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"
 
 
@@ -103,29 +121,29 @@ def _floor_column(n: Column, k: int, percent: int) -> Column:
 
 
 def _shared(sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """rep, n, vs (its (df, v) that other sketches have too, rarest first): classes with floor of them."""
-    entries = sketches.select("rep", "n", F.explode("sketch").alias("v"))
+    """cid, n, vs (its (df, v) that other sketches have too, rarest first): classes with floor of them."""
+    entries = sketches.select("cid", "n", F.explode("sketch").alias("v"))
     often = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = entries.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    shared = entries.join(often, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     return shared.where(F.size("vs") >= _floor_column(F.col("n"), k, percent))
 
 
 def inverted_lists(sketches: DataFrame, k: int = WIDE, percent: int = PERCENT) -> DataFrame:
-    """v, rep, n, own (how many of its values no other class has): the members of each list."""
+    """v, cid, n, own (how many of its values no other class has): the members of each list."""
     shared = _shared(sketches, k, percent)
     prefix = F.slice("vs", 1, F.size("vs") - _floor_column(F.col("n"), k, percent) + 1)
-    return shared.select("rep", "n", (F.least(F.col("n"), F.lit(k)) - F.size("vs")).cast("int").alias("own"), F.explode(prefix).alias("e")).select(F.col("e.v").alias("v"), "rep", "n", "own")
+    return shared.select("cid", "n", (F.least(F.col("n"), F.lit(k)) - F.size("vs")).cast("int").alias("own"), F.explode(prefix).alias("e")).select(F.col("e.v").alias("v"), "cid", "n", "own")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs(a, b) whose union sketch shares enough; of whole sets also those only worth a look at their differences."""
-    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    """pairs(a, b) whose union sketch shares enough for a similarity of percent; of whole sets those that have it."""
+    side = lambda x: sketches.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     joined = joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     floor = sketch_floor(k, k, percent)
     # bound once a pair: lambdas would compute the arrays for every element again
     hits = lambda s: bind(F.get(s["u"], F.least(F.size(s["u"]), F.lit(k)) - 1), lambda kth: F.size(F.filter(s["i"], lambda x: x <= kth)))
-    alike = lambda s: F.when(F.greatest("na", "nb") <= k, k * F.size(s["i"]) >= floor * F.size(s["u"])).otherwise(hits(s) >= floor)
+    alike = lambda s: F.when(F.greatest("na", "nb") <= k, 100 * F.size(s["i"]) >= percent * F.size(s["u"])).otherwise(hits(s) >= floor)
     both = F.struct(F.array_intersect("sa", "sb").alias("i"), F.sort_array(F.array_union("sa", "sb")).alias("u"))
     return joined.where(bind(both, alike)).select("a", "b")
 
@@ -136,15 +154,15 @@ _TESTED = "a bigint, b bigint, both bigint, na bigint, nb bigint, plus array<big
 def verified(pairs: DataFrame, near: DataFrame, width: int = WIDTH, crowd: int = 256) -> DataFrame:
     """pairs(a, b) with both (size of the intersection), na, nb and plus (what b has and a lacks), on the full sets.
 
-    near: rep, sketch, text (null if the sketch is the whole set).  The b of an a are dealt out in
+    near: cid, sketch, text (null if the sketch is the whole set).  The b of an a are dealt out in
     shares of about crowd, each with a copy of a's set.
     """
     crowds = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("m"))
-    members = pairs.join(crowds, "a").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("share"), F.lit(1).alias("kind"))
-    heads = crowds.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("share"), F.lit(0).alias("kind"))
-    dealt = near.select("rep", F.when(F.col("text").isNull(), F.col("sketch")).alias("whole"), "text").join(members.unionByName(heads), "rep").select("a", "share", "kind", "rep", "whole", "text")
+    members = pairs.join(crowds, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("share"), F.lit(1).alias("kind"))
+    heads = crowds.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("share"), F.lit(0).alias("kind"))
+    dealt = near.select("cid", F.when(F.col("text").isNull(), F.col("sketch")).alias("whole"), "text").join(members.unionByName(heads), "cid").select("a", "share", "kind", "cid", "whole", "text")
     parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "a", "share").sortWithinPartitions("a", "share", "kind", "rep")
+    dealt = dealt.repartition(parts, "a", "share").sortWithinPartitions("a", "share", "kind", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
@@ -168,7 +186,7 @@ def verified(pairs: DataFrame, near: DataFrame, width: int = WIDTH, crowd: int =
 
 
 def wide_sketches(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int = WIDTH, k: int = WIDE) -> DataFrame:
-    """rep, n, sketch of k values, text (null if the sketch is the whole set) of the classes(rep, h1, h2)."""
+    """cid, n, sketch of k values, text (null if the sketch is the whole set) of the classes(cid, rep, h1, h2)."""
     wanted = classes.select(F.col("rep").alias("doc_id"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
 
@@ -179,17 +197,18 @@ def wide_sketches(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, w
             rows = []
             for d, t in zip(*batch.columns, strict=True):
                 found = shingle_set(t.as_py(), width)
-                h1 = int.from_bytes(xxhash.xxh3_128_digest(found.tobytes())[:8], "little", signed=True)
-                rows.append((d.as_py(), h1, len(found), found[:k], t.as_py() if len(found) > k else None))
+                mark = xxhash.xxh3_128_digest(found.tobytes())
+                h1, h2 = (int.from_bytes(mark[i : i + 8], "little", signed=True) for i in (0, 8))
+                rows.append((d.as_py(), h1, h2, len(found), found[:k], t.as_py() if len(found) > k else None))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                ends = np.cumsum([0, *map(len, cols[3])], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[3])))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), lists, pa.array(cols[4], pa.string())], names=["doc_id", "h1", "n", "sketch", "text"])
+                ends = np.cumsum([0, *map(len, cols[4])], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[4])))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), lists, pa.array(cols[5], pa.string())], names=["rep", "h1", "h2", "n", "sketch", "text"])
 
-    made = texts.mapInArrow(run, "doc_id bigint, h1 bigint, n bigint, sketch array<bigint>, text string")
+    made = texts.mapInArrow(run, "rep bigint, h1 bigint, h2 bigint, n bigint, sketch array<bigint>, text string")
     # rows that share a doc_id can have other sets than the class's
-    return made.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch", "text")
+    return made.join(classes.select("cid", "rep", "h1", "h2"), ["rep", "h1", "h2"]).dropDuplicates(["cid"]).select("cid", "n", "sketch", "text")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -211,12 +230,33 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 40
     return out.astype(np.int64)
 
 
+def _apart(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of members the triangle inequality tells apart.
+
+    left, right: a row a member, a column a pivot: the exact similarity, or nan if they are too far apart.
+    """
+    out = np.zeros((len(left), len(right)), bool)
+    reach = 1 - percent / 100 + 1e-9
+    for x, y in zip(left.T, right.T, strict=True):
+        with np.errstate(invalid="ignore"):
+            out |= np.abs(np.subtract.outer(x, y)) > reach
+            out |= np.logical_and.outer(x >= percent / 100, np.isnan(y)) | np.logical_and.outer(np.isnan(x), y >= percent / 100)
+    return out
+
+
 def _block_pairs(left: list[tuple], right: list[tuple], k: int, percent: int) -> list[tuple[int, int]]:
-    """The pairs of members (rep, g, n, sketch) of two blocks that can be similar, or of whole sets a spanning forest of those that are."""
+    """The pairs of members (cid, g, n, sketch, similarities) of two blocks that can be similar, or of whole sets a spanning forest of those that are."""
     (ra, ga, na), (rb, gb, nb) = (tuple(np.array(c, np.int64) for c in list(zip(*x, strict=True))[:3]) for x in (left, right))
-    both = _overlaps([x[3] for x in left], [x[3] for x in right])
     small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
     fits = (100 * small >= percent * large) & np.not_equal.outer(ga, gb)
+    if fits.any():
+        fits &= ~_apart(np.array([x[4] for x in left]), np.array([x[4] for x in right]), percent)
+    rows, cols = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+    if not len(rows):
+        return []
+    fits, small, large = (m[np.ix_(rows, cols)] for m in (fits, small, large))
+    ra, ga, rb, gb = ra[rows], ga[rows], rb[cols], gb[cols]
+    both = _overlaps([left[i][3] for i in rows], [right[j][3] for j in cols])
     whole = fits & (large <= k) & (100 * both >= percent * (small + large - both))
     found = [(int(ra[i]), int(rb[j])) for i, j in np.argwhere(fits & (large > k) & (both >= sketch_floor(k, k, percent)))]
     for i in np.flatnonzero(whole.any(axis=1)):
@@ -229,19 +269,19 @@ def _block_pairs(left: list[tuple], right: list[tuple], k: int, percent: int) ->
     return found
 
 
-def crowded(members: DataFrame, near: DataFrame, k: int = WIDE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) of an unseen and any other member of a list that can be similar; members: v, rep, g, unseen.
+def crowded(members: DataFrame, near: DataFrame, pivots: int = PIVOTS, k: int = WIDE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of a due and any other member of a list that can be similar; members: v, cid, g, due, sims (slot, sim).
 
-    A list's unseen members and all its members are dealt into blocks; each block meets each in one
+    A list's due members and all its members are dealt into blocks; each block meets each in one
     group of rows, so no task holds more than two blocks.
     """
-    counted = members.groupBy("v").agg(F.ceil(F.count_if("unseen") / block).cast("int").alias("ml"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mr"))
+    counted = members.groupBy("v").agg(F.ceil(F.count_if("due") / block).cast("int").alias("ml"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mr"))
     joined = members.join(counted, "v")
-    place = lambda m: F.pmod(F.xxhash64("rep"), F.col(m)).cast("int")
+    place = lambda m: F.pmod(F.xxhash64("cid"), F.col(m)).cast("int")
     upto = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    lefts = joined.where("unseen").select("v", place("ml").alias("i"), upto("mr").alias("j"), F.lit(0).alias("side"), "rep", "g")
-    rights = joined.select("v", upto("ml").alias("i"), place("mr").alias("j"), F.lit(1).alias("side"), "rep", "g")
-    dealt = lefts.unionByName(rights).join(near.select("rep", "n", "sketch"), "rep").select("v", "i", "j", "side", "rep", "g", "n", "sketch")
+    lefts = joined.where("due").select("v", place("ml").alias("i"), upto("mr").alias("j"), F.lit(0).alias("side"), "cid", "g", "sims")
+    rights = joined.select("v", upto("ml").alias("i"), place("mr").alias("j"), F.lit(1).alias("side"), "cid", "g", "sims")
+    dealt = lefts.unionByName(rights).join(near.select("cid", "n", "sketch"), "cid").select("v", "i", "j", "side", "cid", "g", "n", "sims", "sketch")
     parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
 
@@ -253,71 +293,104 @@ def crowded(members: DataFrame, near: DataFrame, k: int = WIDE, percent: int = P
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            plain = [c.to_pylist() for c in batch.columns[:7]]
-            for *at, side, rep, g, n, sketch in zip(*plain, batch.column(7), strict=True):
+            plain = [c.to_pylist() for c in batch.columns[:8]]
+            for *at, side, cid, g, n, sims, sketch in zip(*plain, batch.column(8), strict=True):
                 if at != key:
                     yield from done()
                     key, sides = at, ([], [])
-                sides[side].append((rep, g, n, sketch.values.to_numpy()))
+                known = np.full(pivots, np.nan)
+                for s in sims or ():
+                    known[s["slot"]] = s["sim"]
+                sides[side].append((cid, g, n, sketch.values.to_numpy(), known))
         yield from done()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def links(classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The components' links (a, b) between class representatives; classes: rep, h1, n, sketch."""
-    chosen = cut(_shared(classes, k, percent).select("rep"))
-    near = cut(wide_sketches(classes.select("rep", "h1").join(chosen, "rep", "left_semi"), docs, doc_id, text, width, wide))
-    lists = cut(inverted_lists(near, wide, percent))
-    pivots = lists.groupBy("v").agg(F.min(F.struct("own", "rep")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    starred = lists.join(pivots.select("v", "size", F.col("p.rep").alias("a")), "v").where("a <> rep").select("v", "size", "a", F.col("rep").alias("b"))
+def _open_lists(starred: DataFrame, placed: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """v, cid, g, due, size: the lists that the pivots leave open, each set of members once.
+
+    starred: v, a (pivot), b (member); placed: the compared (a, b) with ok, both, nb and plus; groups: m, g.
+    """
+    seen = placed.select("a", "b", "ok")
+    far = starred.join(seen, ["a", "b"], "left").where("ok IS NULL OR NOT ok").select(F.xxhash64(F.lit(1), "a", "v").alias("v"), F.col("b").alias("cid"), F.col("ok").isNull().alias("due"))
+    added = placed.select("a", F.col("b").alias("cid"), (~F.col("ok")).alias("due"), F.explode("plus").alias("w")).select(F.xxhash64(F.lit(2), "a", "w").alias("v"), "cid", "due")
+    inside = placed.where(f"ok AND nb < na OR NOT ok AND 100 * both >= {percent} * nb").select(F.xxhash64(F.lit(3), "a").alias("v"), F.col("b").alias("cid"), (~F.col("ok")).alias("due"))
+    found = far.unionByName(added).unionByName(inside).join(groups, F.col("cid") == F.col("m"), "left").select("v", "cid", F.coalesce("g", "cid").alias("g"), "due")
+    marked = found.withColumn("h", F.xxhash64("cid", "due"))
+    lists = marked.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("g").alias("low"), F.max("g").alias("high"), F.max("due").alias("any_due"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+    lists = lists.where("any_due AND low <> high").groupBy("size", "x", "s").agg(F.min("v").alias("v")).select("v", "size")
+    return found.join(lists, "v")
+
+
+def _linked(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def _large_lists(large: DataFrame, near: DataFrame, links: DataFrame, shelf: Shelf, wide: int, width: int, percent: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(links that further pivots find, pairs that are left) of lists of any size; large: v, cid, due; links: those known, as a component table."""
+    slot = F.pmod(F.xxhash64(F.lit(5), "v", "cid"), F.lit(pivots)).cast("int")
+    picked = large.where("due").groupBy("v", slot.alias("slot")).agg(F.min_by("cid", F.xxhash64("cid", "v")).alias("a"))
+    met = shelf.put(large.select("v", F.col("cid").alias("b")).join(picked, "v").select("v", "slot", "a", "b"))
+    star = met.where("a <> b").select("a", "b").distinct()
+    tested = shelf.put(verified(_likely(star, near, wide, too_far(percent)), near, width).drop("plus"))
+    more = tested.where(_linked(percent)).select("a", "b")
+    groups = connected_components(links.unionByName(more), shelf).select(F.col("a").alias("m"), F.col("b").alias("g"))
+    sim = tested.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
+    known = met.join(sim, ["a", "b"], "left").withColumn("sim", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("sim"))).where("sim IS NOT NULL")
+    known = known.groupBy("v", F.col("b").alias("cid")).agg(F.collect_list(F.struct("slot", "sim")).alias("sims"))
+    members = large.select("v", "cid", "due").join(groups, F.col("cid") == F.col("m"), "left").select("v", "cid", "due", F.coalesce("g", "cid").alias("g"))
+    split = members.groupBy("v").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("v")
+    members = shelf.put(members.join(split, "v", "left_semi").join(known, ["v", "cid"], "left"))
+    return more, crowded(members, near, pivots, wide, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def links(classes: DataFrame, docs: DataFrame, shelf: Shelf, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between classes that connect what is similar; classes: cid, rep, h1, h2, n, sketch."""
+    chosen = shelf.put(_shared(classes, k, percent).select("cid"))
+    near = shelf.put(wide_sketches(classes.select("cid", "rep", "h1", "h2").join(chosen, "cid", "left_semi"), docs, doc_id, text, width, wide))
+    lists = shelf.put(inverted_lists(near, wide, percent).select("v", "cid", "own"))
+    pivots = lists.groupBy("v").agg(F.min(F.struct("own", "cid")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    starred = shelf.put(lists.join(pivots.select("v", F.col("p.cid").alias("a")), "v").where("a <> cid").select("v", "a", F.col("cid").alias("b")))
     stars = starred.select("a", "b").distinct()
-    tested = cut(verified(_likely(stars, near, wide, percent), near, width))
-    linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-    first = tested.where(linked).select("a", "b")
-    groups = connected_components(first).select(F.col("a").alias("m"), F.col("b").alias("g"))
-
-    def grouped(t: DataFrame) -> DataFrame:
-        return t.join(groups, F.col("b") == F.col("m"), "left").withColumn("g", F.coalesce("g", "b")).drop("m")
-
-    placed = cut(grouped(tested.withColumn("ok", linked)))
-    rest = placed.where("NOT ok")
-    renamed = lambda t: t.select(*[F.col(c).alias(c if c in ("a", "v") else f"y_{c}") for c in t.columns])
-    apart = (F.col("g") != F.col("y_g")) & (F.col("ok") | (F.col("b") < F.col("y_b")))
-    fits = 100 * F.least("nb", "y_nb") >= percent * F.greatest("nb", "y_nb")
-    # shingles that the pivot lacks and that two of its members share
-    added = placed.select("a", "b", "g", "ok", "nb", F.explode("plus").alias("v"))
-    twice = added.groupBy("a", "v").agg(F.count(F.lit(1)).alias("c"), F.min("ok").alias("all_ok")).where("c > 1 AND NOT all_ok").select("a", "v")
-    added = added.join(twice, ["a", "v"])
-    by_shingle = renamed(added.where("NOT ok")).join(added, ["a", "v"]).where(apart & fits)
-    # smaller members than the pivot, whose union with y can be smaller than the pivot's
-    by_size = renamed(rest.select("a", "b", "g", "nb", "both")).join(placed.where("nb < na").select("a", "b", "g", "ok", "nb", "both"), "a").where(apart & fits & (7 * F.least("both", "y_both") >= 3 * (F.col("nb") + F.col("y_nb"))))
-    # members that weren't compared with their pivot: a join within small lists, blocks within larger ones
-    unseen = cut(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    small = starred.where(F.col("size") <= SMALL)
-    by_list = small.join(unseen, ["a", "b"]).select("v", F.col("b").alias("y_b")).join(small.select("v", "b"), "v").where("b <> y_b").select(F.greatest("b", "y_b").alias("a"), F.least("b", "y_b").alias("b"))
-    large = starred.where(F.col("size") > SMALL)
-    open_ = large.join(unseen, ["a", "b"]).select("v").distinct()
-    large = large.join(open_, "v", "left_semi")
-    # lists of the same members have the same pivot and the same unseen members
-    alone = large.groupBy("v", "a", "size").agg(F.bit_xor(F.xxhash64("b")).alias("x"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("s")).groupBy("a", "size", "x", "s").agg(F.min("v").alias("v")).select("v")
-    members = large.join(alone, "v", "left_semi").join(unseen.withColumn("unseen", F.lit(True)), ["a", "b"], "left")
-    members = members.join(groups, F.col("b") == F.col("m"), "left").select("v", F.col("b").alias("rep"), F.coalesce("g", "b").alias("g"), F.coalesce("unseen", F.lit(False)).alias("unseen"))
-    by_block = crowded(cut(members), near, wide, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    again = by_shingle.select(F.col("y_b").alias("a"), "b").unionByName(by_size.select(F.col("y_b").alias("a"), "b")).unionByName(by_list).unionByName(by_block).distinct()
-    likely = cut(_likely(again, near, wide, percent))
+    placed = shelf.put(verified(_likely(stars, near, wide, too_far(percent)), near, width).withColumn("ok", _linked(percent)))
+    known = connected_components(placed.where("ok").select("a", "b"), shelf)
+    groups = known.select(F.col("a").alias("m"), F.col("b").alias("g"))
+    left = shelf.put(_open_lists(starred, placed, groups, percent))
+    shelf.drop(lists)
+
+    small = left.where(F.col("size") <= SMALL)
+    due = small.where("due").select("v", F.col("cid").alias("y"), F.col("g").alias("y_g"))
+    pairs = due.join(small.select("v", "cid", "g", "due"), "v").where("g <> y_g AND (NOT due OR cid < y)").select(F.greatest("cid", "y").alias("a"), F.least("cid", "y").alias("b"))
+    large = left.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        more, rest = _large_lists(large, near, known, shelf, wide, width, percent)
+        known, pairs = known.unionByName(more), pairs.unionByName(rest)
+    likely = shelf.put(_likely(pairs.distinct(), near, wide, percent))
     if likely.isEmpty():
-        return first
-    return first.unionByName(verified(likely, near, width).where(linked).select("a", "b"))
+        return known
+    return known.unionByName(verified(likely, near, width).where(_linked(percent)).select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    signed = cut(signatures(df, doc_id, text, k, width))
-    known = signed.where("doc_id IS NOT NULL AND n > 0")
-    classes = cut(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    found = connected_components(links(classes.select("rep", "h1", "n", "sketch"), df, doc_id, text, k, wide, width, percent))
-    placed = classes.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("a"), "left").select("h1", "h2", F.coalesce("b", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    if percent <= 50:
+        raise ValueError("percent is above 50")
+    with Shelf(df.sparkSession) as shelf:
+        signed = shelf.put(signatures(df, doc_id, text, k, width))
+        known = signed.where("doc_id IS NOT NULL AND n > 0")
+        classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        classes = shelf.put(classes.withColumn("cid", F.monotonically_increasing_id()))
+        marks = F.struct("h1", "h2")
+        several = known.groupBy("doc_id").agg(F.min(marks).alias("one"), F.max(marks).alias("other")).where("one <> other")
+        placed = known.select("doc_id", "h1", "h2").join(several.select("doc_id", "one"), "doc_id").distinct().join(classes.select("cid", "h1", "h2"), ["h1", "h2"])
+        same = placed.join(classes.select(F.col("cid").alias("b"), marks.alias("one")), "one").select(F.col("cid").alias("a"), "b")
+        found = connected_components(links(classes, df, shelf, doc_id, text, k, wide, width, percent).unionByName(same), shelf)
+        members = found.select(F.col("a").alias("cid"), "b").unionByName(found.select(F.col("b").alias("cid"), "b").distinct())
+        members = classes.select("cid", "rep", "h1", "h2").join(members, "cid")
+        least = members.groupBy("b").agg(F.min("rep").alias("component"))
+        result = members.join(least, "b").select("h1", "h2", "component")
+        alone = signed.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(result, ["h1", "h2"], "left")
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+        out = alone.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+        return shelf.keep(shelf.put(out))

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import Shelf, n_words
 
 N_BLOCKS, SEED, MAX_SENT = 4096, 17, 50_000
 
@@ -104,7 +104,7 @@ def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str
     key = F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text)))
     keyed = df.withColumns({"__tokens": n_words(F.col(text)) if tokens is None else tokens, "__h": key, "__b": F.pmod(key, F.lit(n_blocks)).cast("long")})
 
-    totals = cut(keyed.select(F.col(source).alias("__s"), "__b", "__tokens").groupBy("__s", "__b").agg(F.sum("__tokens").alias("__t")))
+    totals = Shelf(spark).put(keyed.select(F.col(source).alias("__s"), "__b", "__tokens").groupBy("__s", "__b").agg(F.sum("__tokens").alias("__t")))
     counts = {r[0]: int(r[1] or 0) for r in totals.groupBy("__s").agg(F.sum("__t")).toLocalIterator()}
     _, weights = solve(counts, max_repetition, target_entropy)
     taken = epochs(counts, weights, total)

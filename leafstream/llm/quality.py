@@ -3,10 +3,13 @@ r"""Quality rules: base counts of a text, and cross-document line frequency with
 Lines (split at \n) are normalised (lower case, digits to 0, white space to single spaces,
 trimmed) and hashed; for each host the distinct documents of a line are counted, exact copies of
 a text counting as one document.  A line is above its limit when it stands in more than
-``max_docs`` documents and in more than ``max_share`` of the host's distinct documents.  Such lines
-are removed from every document but the first that has them (smallest doc_id of the host), so no
-content is lost altogether.  A document left with less than ``min_left`` of its words is depleted
-and rejected, as is one that fails the base rules.
+``max_docs`` documents; with ``max_share`` it must also stand in more than that share of the host's
+distinct documents.  Such lines are removed from every document that has them.  A document left with
+less than ``min_left`` of its words is depleted and rejected, as is one that fails the base rules.
+
+With ``keep_first`` a line above its limit stays in the first document that has it (smallest doc_id of
+the host).  Where near copies are dropped only later, as in the pipeline, a text that has many near
+copies would otherwise be lost with all of them.
 
 DataFrame functions only; no Python runs on the executors.
 
@@ -21,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, cut
+from .common import WORD, Shelf, bind
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-MAX_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.001, 0.3
+MAX_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.0, 0.3
 _KEY = ("__id", "__host", "__content")
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -94,10 +97,10 @@ def _keyed(df: DataFrame, doc_id: str, host: str, text: str) -> list[Column]:
 
 
 def measured(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """__id, __host, __content, __m (base counts) and __l (hash and words of each line): all that is read of the texts, once."""
+    """__id, __host, __content, __m (base counts) and __l (hash and words of each line): all that is read of the texts."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(_lines(whole), lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    return cut(df.select(*_keyed(df, doc_id, host, text), metrics(F.col(text)).alias("__m"), lines.alias("__l")))
+    return df.select(*_keyed(df, doc_id, host, text), metrics(F.col(text)).alias("__m"), lines.alias("__l"))
 
 
 def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -106,16 +109,19 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     # exact copies are one document: they are merged before the lines are dealt out
     contents = rows.select(*_KEY, hashes.alias("__lines")).groupBy("__host", "__content").agg(F.min("__id").alias("__id"), F.first("__lines").alias("__lines"))
     lines = contents.select("__host", "__id", F.explode("__lines").alias("__line")).groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__docs"), F.min("__id").alias("__first"))
-    sizes = rows.select(F.col("__host").alias("__h"), "__content").distinct().groupBy("__h").agg(F.count(F.lit(1)).alias("__all"))
     often = lines.where(F.col("__docs") > max_docs)
+    if not max_share:
+        return often
+    sizes = rows.select(F.col("__host").alias("__h"), "__content").distinct().groupBy("__h").agg(F.count(F.lit(1)).alias("__all"))
     return often.join(sizes, F.col("__host").eqNullSafe(F.col("__h"))).where(F.col("__docs") > max_share * F.col("__all")).select("__host", "__line", "__first", "__docs")
 
 
-def removals(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def removals(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, keep_first: bool = False) -> DataFrame:
     """For each document with lines to remove: its key and the lines' hashes (repeated rows share one); rows: measured()."""
     spread = rows.select(*_KEY, F.explode(F.transform("__l", lambda x: x["h"])).alias("__h"))
     often = frequent_lines(rows, max_docs, max_share).withColumnRenamed("__host", "__in")
-    hit = spread.join(often, (F.col("__h") == F.col("__line")) & F.col("__host").eqNullSafe(F.col("__in"))).where(~F.col("__id").eqNullSafe(F.col("__first")))
+    hit = spread.join(often, (F.col("__h") == F.col("__line")) & F.col("__host").eqNullSafe(F.col("__in")))
+    hit = hit.where(~F.col("__id").eqNullSafe(F.col("__first"))) if keep_first else hit
     return hit.groupBy(*_KEY).agg(F.collect_set("__h").alias("__cut")).select(*[F.col(k).alias(f"{k}_r") for k in _KEY], "__cut")
 
 
@@ -124,33 +130,39 @@ def _matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in _KEY], how).drop(*[f"{k}_r" for k in _KEY])
 
 
-def judged(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judged(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, keep_first: bool = False) -> DataFrame:
     """rows (measured()) with __cut, __gone (the removed lines), __lost (their words), __failed and __kept."""
     gone = F.filter("__l", lambda x: F.array_contains(F.coalesce("__cut", F.array().cast("array<bigint>")), x["h"]))
     lost = F.aggregate("__gone", F.lit(0), lambda a, x: a + x["n"])
     n = F.col("__m.n_words")
-    out = _matched(rows, removals(rows, max_docs, max_share), "left")
+    out = _matched(rows, removals(rows, max_docs, max_share, keep_first), "left")
     out = out.withColumn("__gone", gone).withColumn("__lost", lost.cast("long")).withColumn("__failed", (n < MIN_WORDS) | (100 * F.col("__m.n_repeat_words") > REPEAT_PERCENT * n))
     return out.withColumn("__kept", ~F.col("__failed") & (n - F.col("__lost") >= min_left * n))
 
 
-def report(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def report(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, keep_first: bool = False) -> DataFrame:
     """A row per input row: doc_id, the base counts, base_failed, kept, n_cut_lines, n_cut_words."""
-    return judged(measured(df, doc_id, host, text), max_docs, max_share, min_left).select(
-        F.col("__id").alias(doc_id),
-        *[F.col(f"__m.{c}").alias(c) for c in METRICS],
-        F.col("__failed").alias("base_failed"),
-        F.col("__kept").alias("kept"),
-        F.size("__gone").cast("long").alias("n_cut_lines"),
-        F.col("__lost").alias("n_cut_words"),
-    )
-
-
-def clean(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", length: str | None = None, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    with Shelf(df.sparkSession) as shelf:
+        rows = shelf.put(measured(df, doc_id, host, text))
+        out = judged(rows, max_docs, max_share, min_left, keep_first).select(
+            F.col("__id").alias(doc_id),
+            *[F.col(f"__m.{c}").alias(c) for c in METRICS],
+            F.col("__failed").alias("base_failed"),
+            F.col("__kept").alias("kept"),
+            F.size("__gone").cast("long").alias("n_cut_lines"),
+            F.col("__lost").alias("n_cut_words"),
+        )
+        return shelf.keep(shelf.put(out))
+
+
+def clean(df: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", length: str | None = None, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, keep_first: bool = False) -> DataFrame:
     """The kept documents, their frequent lines removed; the schema stays (length: a column for the new length)."""
-    found = judged(measured(df, doc_id, host, text), max_docs, max_share, min_left).where("__kept")
-    # repeated rows share a key and a verdict
-    kept = found.groupBy(*_KEY).agg(F.first("__cut").alias("__cut")).select(*[F.col(k).alias(f"{k}_r") for k in _KEY], "__cut")
+    with Shelf(df.sparkSession) as shelf:
+        rows = shelf.put(measured(df, doc_id, host, text))
+        found = judged(rows, max_docs, max_share, min_left, keep_first).where("__kept")
+        # repeated rows share a key and a verdict
+        kept = found.groupBy(*_KEY).agg(F.first("__cut").alias("__cut")).select(*[F.col(k).alias(f"{k}_r") for k in _KEY], "__cut")
+        kept = shelf.keep(shelf.put(kept))
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~(_has_word(x) & F.array_contains(F.col("__cut"), line_hash(x)))), "\n")
     out = _matched(df.select("*", *_keyed(df, doc_id, host, text)), kept, "inner")
     out = out.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(left))

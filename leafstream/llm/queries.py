@@ -78,7 +78,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
 
 OP2_SQL = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, text FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
@@ -88,12 +88,8 @@ lines AS (SELECT doc_id, source, t, line FROM (SELECT doc_id, source, t, unnest(
           WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 norm AS (SELECT doc_id, source, t, {_NORM} AS h, len(regexp_extract_all(line, '{_WORD}')) AS n FROM lines),
-freq AS (SELECT source, h, count(DISTINCT t) AS docs, min(doc_id) AS first FROM norm GROUP BY source, h),
-hosts AS (SELECT source, count(DISTINCT coalesce(text, chr(0))) AS n FROM d GROUP BY source),
-often AS (SELECT f.source, f.h, f.first FROM freq f JOIN hosts s ON f.source IS NOT DISTINCT FROM s.source
-          WHERE f.docs > 20 AND f.docs > 0.001 * s.n),
-gone AS (SELECT n.doc_id, count(*) AS k, sum(n.n) AS n FROM norm n JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.h = o.h
-         WHERE n.doc_id <> o.first GROUP BY n.doc_id),
+often AS (SELECT source, h FROM norm GROUP BY source, h HAVING count(DISTINCT t) > 20),
+gone AS (SELECT n.doc_id, count(*) AS k, sum(n.n) AS n FROM norm n JOIN often o ON n.source IS NOT DISTINCT FROM o.source AND n.h = o.h GROUP BY n.doc_id),
 m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from leafstream.llm import components, minhash
+from leafstream.llm.common import Shelf
 
 
 def shingles(text, width=5):
@@ -81,10 +82,62 @@ def test_slots_filled_from_few_variants(spark, monkeypatch, frame, slot):
     parts, fill = [say(frame // 5) for _ in range(5)], [[say(slot) for _ in range(6)] for _ in range(5)]
     chosen = rng.sample(list(itertools.product(range(6), repeat=5)), 400)  # each variant is in about 67 texts
     rows = [(i, " ".join(w for p, f, c in zip(parts, fill, choice, strict=True) for w in p + f[c])) for i, choice in enumerate(chosen)]
-    monkeypatch.setattr(minhash.crowded, "__defaults__", (minhash.WIDE, minhash.PERCENT, 24))  # several blocks a list
+    monkeypatch.setattr(minhash.crowded, "__defaults__", (minhash.PIVOTS, minhash.WIDE, minhash.PERCENT, 24))  # several blocks a list
     check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
+@pytest.mark.parametrize(("n", "base", "own", "excerpts", "least", "most"), [(60, 160, 24, 80, 60, 60), (150, 160, 24, 150, 30, 130), (60, 800, 120, 60, 100, 600)])
+def test_texts_of_which_excerpts_are_pivots(spark, n, base, own, excerpts, least, most):
+    """Excerpts have no value of their own, so they are the pivots of all lists, and too far from the texts."""
+    rng = random.Random(n)
+    say = lambda k: ["w%d" % rng.randrange(1_000_000) for _ in range(k)]
+    common = say(base)
+    rows = [(1000 + i, " ".join(common + say(own))) for i in range(n)]
+    for i in range(excerpts):
+        long_ = rng.randint(least, most)
+        at = rng.randrange(base - long_ + 1)
+        rows.append((i, " ".join(common[at : at + long_])))
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
+def test_cut_copies_of_one_text(spark):
+    """Copies that lack one end or the other: similar to those cut alike, all inside the whole text."""
+    rng = random.Random(12)
+    words = ["w%d" % rng.randrange(1_000_000) for _ in range(260)]
+    rows = [(i, " ".join(words[a:b] + ["x%d" % i])) for i, (a, b) in enumerate((rng.randint(0, 100), rng.randint(160, 260)) for _ in range(120))]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
+def test_groups_in_one_large_list_make_few_pairs(spark):
+    """Groups of large near copies under one common list: the pivots join them, no group's pairs are all made."""
+    rng = random.Random(13)
+    say = lambda k: ["w%d" % rng.randrange(1_000_000) for _ in range(k)]
+    rows, due = [], []
+    for g in range(3):
+        base = say(600)
+        for i in range(60):
+            text = base.copy()
+            text[(at := rng.randrange(590)) : at + 5] = say(5)
+            rows.append((100 * g + i, " ".join(text)))
+            due.append((7, 100 * g + i, True))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    with Shelf(spark) as shelf:
+        signed = minhash.signatures(df, k=minhash.WIDE).join(df, "doc_id")
+        near = shelf.put(signed.selectExpr("doc_id AS cid", "n", "sketch", "text"))
+        none = spark.createDataFrame([], "a bigint, b bigint")
+        more, rest = minhash._large_lists(spark.createDataFrame(due, "v bigint, cid bigint, due boolean"), near, none, shelf, minhash.WIDE, 5, 75)
+        assert rest.count() <= 60 and more.count() <= 16 * 180
+    check(df, rows)
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(14)
+    one, two, three = (" ".join("w%d" % rng.randrange(1000) for _ in range(80)) for _ in range(3))
+    rows = [(5, one), (5, two), (7, one + " x"), (9, two + " y"), (4, three), (3, three + " z"), (11, "q " * 9)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 4: 3, 3: 3, 11: 11}
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n)) for n in (1, 5, 30, 50, 0, 20)]
@@ -111,5 +164,7 @@ def test_floor_is_below_the_mean(n):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5), (101, 100)]
-    got = {r.a: r.b for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    with Shelf(spark) as shelf:
+        got = {r.a: r.b for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), shelf).collect()}
+        assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint"), shelf).count() == 0
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
