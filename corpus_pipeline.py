@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafstream.llm import minhash, mixing, packing, quality, secrets
-from leafstream.llm.common import cut
+from leafstream.llm.common import Shelf
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines that a host repeats go from the others."""
-    return quality.clean(docs, length="n_chars")
+    return quality.clean(docs, length="n_chars", keep_first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; each one's documents are written to the shared folder for the next."""
+    """The stages one after another; each one's documents are written to the shared folder for the next and deleted behind it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Shelf(spark) as shelf:
+        for _, stage in STAGES:
+            docs, last = shelf.put(stage(spark, docs, sf_dir)), docs
+            shelf.drop(last)
+        return shelf.keep(docs)
