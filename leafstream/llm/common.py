@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +148,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def token_count(text: Column, vocab_path: str = VOCAB_PATH) -> Column:
+    """How many vocabulary tokens a text has; null counts as empty."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(encode_text(t, vocab_path)) if t else 0 for t in texts], dtype="int64")
+
+    return count(text)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once a row even where use has it inside lambdas."""
     return F.element_at(F.transform(F.array(value), use), 1)

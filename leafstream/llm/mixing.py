@@ -4,17 +4,22 @@ The token share p of each source is raised to an exponent and normalised; the ex
 bisected in [0, 1] (1: natural shares, 0: uniform) until either the weights' entropy meets a target
 or the most repeated source meets a repetition limit.  The weights become token budgets.  Each
 source is an endless sequence of block permutations: its documents are dealt to blocks by a hash,
-blocks and the documents in them are taken in hash order, epoch after epoch (each epoch has its own
-order), until the budget is met.
+blocks, their sub-blocks and the documents in those are taken in hash order, epoch after epoch (each
+epoch has its own order), until the budget is met.
 
 Budgets: with ``total`` given, weight * total.  Without, the total is the least one that takes every
 source whole at least once, so nothing is dropped and small sources are repeated.
 
-A source's running token counts are made in two steps, its blocks (n_blocks at most) and then the
-documents of the one block that the budget cuts, so no source is sorted in one task.  What comes to
-the driver is one line per source.
+Sources are mixed by ``position``: an epoch's blocks lie at places in [0, 1) that the permutation
+gives, alike for all sources, so any stretch of an epoch holds all of its sources in proportion.
 
-Defined results: null text counts 0 tokens, a document without tokens has nothing to repeat and is
+A source's running token counts are made in steps: its blocks (n_blocks at most), the sub-blocks
+of the one block that the budget cuts, then the documents of one sub-block (a source's rows over
+n_blocks squared), so no source is sorted in one task.  One row a source: up to MAX_SENT of them
+are sent to all tasks and to the driver's bisection; of more, the sums that a step of the bisection
+needs are aggregated, and the rows are joined by shuffle.
+
+Defined results: null text counts 0 tokens, a text without words has nothing to repeat and is
 taken once; a null source is a source of its own; a null doc_id is an id like others; repeated
 rows are separate documents that are taken alike; a table without tokens is taken once as it is; an
 empty table gives an empty table; further columns are kept.
@@ -61,6 +66,25 @@ def bisect_exponent(too_flat: Callable[[float], bool], steps: int = 60) -> float
     return high
 
 
+def exponent(moments: Callable[[float], tuple[float, float]], largest: float, smallest: float, max_repetition: float | None, target_entropy: float | None, steps: int = 60) -> float:
+    """The exponent that meets the limits.
+
+    moments: of an exponent, the sums of p ** a and of p ** a * log(p ** a) over all shares above 0;
+    largest, smallest: those shares.  A source's epochs are in proportion to p ** (a - 1), so the most
+    repeated one is the smallest.
+    """
+
+    def too_flat(alpha: float) -> bool:
+        if max_repetition is not None and (largest / smallest) ** (1 - alpha) > max_repetition:
+            return True
+        if target_entropy is None:
+            return False
+        whole, logs = moments(alpha)
+        return math.log(whole) - logs / whole > target_entropy
+
+    return bisect_exponent(too_flat, steps) if largest else 0.0
+
+
 def solve(tokens: dict, max_repetition: float | None = None, target_entropy: float | None = None) -> tuple[float, dict]:
     """(exponent, weight by source) for token counts by source.
 
@@ -70,21 +94,69 @@ def solve(tokens: dict, max_repetition: float | None = None, target_entropy: flo
     """
     whole = sum(tokens.values())
     shares = {s: t / whole if whole else 0.0 for s, t in tokens.items()}
+    some = [p for p in shares.values() if p > 0]
 
-    def too_flat(alpha: float) -> bool:
-        weights = powered(shares, alpha)
-        return (max_repetition is not None and repetition(shares, weights) > max_repetition) or (target_entropy is not None and entropy(weights) > target_entropy)
+    def moments(alpha: float) -> tuple[float, float]:
+        raised = [p**alpha for p in some]
+        return math.fsum(raised), math.fsum(r * math.log(r) for r in raised)
 
-    alpha = bisect_exponent(too_flat)
+    alpha = exponent(moments, max(some, default=0.0), min(some, default=0.0), max_repetition, target_entropy)
     return alpha, powered(shares, alpha)
 
 
-def epochs(counts: dict, weights: dict, total: float | None = None) -> dict:
-    """How often each source is taken: its budget over its tokens."""
-    if total is None:
-        total = max((counts[s] / w for s, w in weights.items() if w > 0), default=0.0)
-    taken = {s: weights[s] * total / counts[s] if counts[s] else 1.0 for s in counts}
-    return {s: float(round(e)) if abs(e - round(e)) < 1e-9 else e for s, e in taken.items()}
+def _moments_of(counts: DataFrame, whole: int) -> Callable[[float], tuple[float, float]]:
+    """moments() of more sources than the driver takes, a job each."""
+    share = F.col("__c") / F.lit(float(whole))
+
+    def moments(alpha: float) -> tuple[float, float]:
+        raised = F.pow(share, F.lit(alpha))
+        return tuple(counts.where("__c > 0").agg(F.sum(raised), F.sum(raised * F.log(raised))).first())
+
+    return moments
+
+
+def budgets(counts: DataFrame, max_repetition: float | None, target_entropy: float | None, total: float | None) -> tuple[DataFrame, int]:
+    """counts(__s, __c) with __whole epochs and the tokens (__part) of one more; and the number of sources."""
+    n, whole, largest, smallest = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("__c"), F.lit(0)), F.max("__c"), F.min(F.when(F.col("__c") > 0, F.col("__c")))).first()
+    if not whole:
+        return counts.select("__s", "__c", F.lit(1).alias("__whole"), F.lit(0).cast("long").alias("__part")), n
+    if n <= MAX_SENT:
+        some = [r[0] / whole for r in counts.where("__c > 0").select("__c").collect()]
+
+        def moments(alpha: float) -> tuple[float, float]:
+            raised = [p**alpha for p in some]
+            return math.fsum(raised), math.fsum(r * math.log(r) for r in raised)
+    else:
+        moments = _moments_of(counts, whole)
+    alpha = exponent(moments, largest / whole, smallest / whole, max_repetition, target_entropy)
+    norm, _ = moments(alpha)
+    # without a total, the source with most tokens for its weight, the largest, is taken once
+    total = (largest / whole) ** (1 - alpha) * norm * whole if total is None else total
+    taken = F.pow(F.col("__c") / F.lit(float(whole)), F.lit(alpha)) / norm * total / F.col("__c")
+    taken = F.when(F.col("__c") == 0, F.lit(1.0)).when(F.abs(taken - F.round(taken)) < 1e-9, F.round(taken)).otherwise(taken)
+    return counts.withColumn("__e", taken).select("__s", "__c", F.floor("__e").cast("int").alias("__whole"), F.round((F.col("__e") - F.floor("__e")) * F.col("__c")).cast("long").alias("__part")), n
+
+
+def key_of(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """The hash that deals a document to its blocks."""
+    return F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text))
+
+
+def blocks_of(key: Column, n_blocks: int = N_BLOCKS) -> tuple[Column, Column]:
+    """A document's block and sub-block."""
+    return F.pmod(key, F.lit(n_blocks)).cast("long"), F.pmod(F.shiftrightunsigned(key, 24), F.lit(n_blocks)).cast("long")
+
+
+def ordinals(epoch: Column, key: Column, n_blocks: int = N_BLOCKS, seed: int = SEED) -> tuple[Column, Column, Column]:
+    """Places of a document's block, sub-block and of itself in an epoch's order."""
+    return tuple(F.xxhash64(F.lit(seed), epoch, x) for x in (*blocks_of(key, n_blocks), key))
+
+
+def position(epoch: Column, key: Column, n_blocks: int = N_BLOCKS, seed: int = SEED) -> Column:
+    """Where an epoch takes a document, in [0, 1): blocks in order, sub-blocks within the block's stretch."""
+    block, sub, _ = ordinals(epoch, key, n_blocks, seed)
+    unit = lambda h: (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).cast("double")
+    return F.least(unit(block) + unit(sub) / F.lit(float(1 << 24)), F.lit(1 - 2.0**-53))
 
 
 def _order(seed: int, whole: Column, key: Column) -> Column:
@@ -92,43 +164,58 @@ def _order(seed: int, whole: Column, key: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(seed), whole, key).alias("o"), key.alias("k"))
 
 
+def _cut_at(rows: DataFrame, at: list[str], by: str, seed: int) -> DataFrame:
+    """Of each at, the by in which the room ends, with what room is left there: at, __whole, by, __room, and the order of by.
+
+    rows: at, by, __t (tokens), __whole, __room.
+    """
+    order = _order(seed, F.col("__whole"), F.col(by))
+    before = F.sum("__t").over(Window.partitionBy(*at).orderBy(order)) - F.col("__t")
+    ends = rows.withColumn("__before", before).where("__before < __room")
+    last = F.struct(by, (F.col("__room") - F.col("__before")).alias("__room"))
+    return ends.groupBy(*at, "__whole").agg(F.max_by(last, order).alias("__x")).select(*at, "__whole", f"__x.{by}", "__x.__room")
+
+
 def mix(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None, max_repetition: float | None = 2.0, target_entropy: float | None = None, total: float | None = None, n_blocks: int = N_BLOCKS, seed: int = SEED) -> DataFrame:
-    """The input's rows, each as often as its source's budget takes it, with __tokens, __epoch, __block, __slot.
+    """The input's rows, each as often as its source's budget takes it, with __epoch, __block, __sub, __slot.
 
-    __epoch counts from 0; (__epoch, __block, __slot) is the order within the source.  The last,
-    partial epoch takes the documents whose first token lies within the budget.  The rows aren't
-    shuffled: what decides is one line per source.
+    __epoch counts from 0; (__epoch, __block, __sub, __slot) is the order within the source, and
+    position() of an epoch and key_of() the row is the place among all sources.  The last, partial
+    epoch takes the documents whose first token lies within the budget.  The rows aren't shuffled:
+    what decides is one line a source.  tokens is computed once, for a table without the texts.
     """
     spark = df.sparkSession
-    kind = df.schema[source].dataType.simpleString()
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text)))
-    keyed = df.withColumns({"__tokens": n_words(F.col(text)) if tokens is None else tokens, "__h": key, "__b": F.pmod(key, F.lit(n_blocks)).cast("long")})
-
-    totals = Shelf(spark).put(keyed.select(F.col(source).alias("__s"), "__b", "__tokens").groupBy("__s", "__b").agg(F.sum("__tokens").alias("__t")))
-    counts = {r[0]: int(r[1] or 0) for r in totals.groupBy("__s").agg(F.sum("__t")).toLocalIterator()}
-    _, weights = solve(counts, max_repetition, target_entropy)
-    taken = epochs(counts, weights, total)
-    budgets = [(s, int(e), int(round((e - int(e)) * counts[s]))) for s, e in taken.items()]
-    # a line per source: sent to all tasks up to a number of sources, joined by shuffle beyond
-    small = F.broadcast if len(budgets) <= MAX_SENT else (lambda t: t)
-    plan = small(spark.createDataFrame(budgets, f"__p {kind}, __whole int, __part bigint"))
-
-    # the block of a source in which its budget ends, then the last document before that point
-    at_source = lambda t, column: t.join(plan, column.eqNullSafe(F.col("__p")))
-    by_block = _order(seed, F.col("__whole"), F.col("__b"))
-    before = F.sum("__t").over(Window.partitionBy("__s").orderBy(by_block)) - F.col("__t")
-    ends = at_source(totals, F.col("__s")).withColumn("__before", before).where("__before < __part")
-    ends = ends.groupBy("__s", "__whole", "__part").agg(F.max_by("__b", by_block).alias("__end"), F.max("__before").alias("__before"))
-    ends = small(spark.createDataFrame(ends.select("__s", "__whole", "__end", (F.col("__part") - F.col("__before")).alias("__room")).collect(), f"__e {kind}, __whole int, __end bigint, __room bigint"))
-    by_doc = _order(seed, F.col("__whole"), F.col("__h"))
-    edge = keyed.select(F.col(source).alias("__s"), "__b", "__h", "__tokens").join(ends, F.col("__s").eqNullSafe(F.col("__e")) & (F.col("__b") == F.col("__end")))
-    running = F.sum("__tokens").over(Window.partitionBy("__s", "__b").orderBy(by_doc)) - F.col("__tokens")
-    last = edge.withColumn("__run", running).where("__run < __room").groupBy("__s", "__end").agg(F.max(by_doc).alias("__last"))
-    last = small(spark.createDataFrame(last.select("__s", "__end", "__last.o", "__last.k").collect(), f"__l {kind}, __end bigint, __o bigint, __k bigint"))
-
-    placed = at_source(keyed, F.col(source)).join(last, F.col(source).eqNullSafe(F.col("__l")), "left")
-    end = _order(seed, F.col("__whole"), F.col("__end"))
-    within = F.col("__end").isNotNull() & ((by_block < end) | ((F.col("__b") == F.col("__end")) & (by_doc <= F.struct(F.col("__o").alias("o"), F.col("__k").alias("k")))))
-    times = F.when(F.col("__tokens") == 0, 1).otherwise(F.col("__whole") + F.coalesce(within, F.lit(False)).cast("int"))
+    key = key_of(F.col(doc_id), F.col(text), seed)
+    tokens = n_words(F.col(text)) if tokens is None else tokens
+    with Shelf(spark) as shelf:
+        keyed = df.select(F.col(source).alias("__s"), key.alias("__h"), F.coalesce(tokens, F.lit(0)).cast("long").alias("__t"))
+        block, sub = blocks_of(F.col("__h"), n_blocks)
+        keyed = shelf.put(keyed.select("__s", "__h", "__t", block.alias("__b"), sub.alias("__u")))
+        totals = shelf.put(keyed.groupBy("__s", "__b").agg(F.sum("__t").alias("__t")))
+        counts = shelf.put(totals.groupBy("__s").agg(F.sum("__t").cast("long").alias("__c")))
+        plan, n = budgets(counts, max_repetition, target_entropy, total)
+        plan = shelf.put(plan)
+        # a line per source: sent to all tasks up to a number of sources, joined by shuffle beyond
+        small = F.broadcast if n <= MAX_SENT else (lambda t: t)
+        same = lambda t, line, more="true": t.join(small(line), F.col("__s").eqNullSafe(F.col("__p")) & F.expr(more))
+        renamed = lambda t, **names: t.select(*[F.col(c).alias(names.get(c, c)) for c in t.columns])
+
+        line = renamed(plan.where("__part > 0").select("__s", "__whole", F.col("__part").alias("__room")), __s="__p")
+        ends = shelf.put(_cut_at(same(totals, line), ["__s"], "__b", seed))
+        line = renamed(ends, __s="__p", __b="__pb")
+        edge = same(keyed, line, "__b = __pb")
+        ends = shelf.put(_cut_at(edge.groupBy("__s", "__b", "__whole", "__room", "__u").agg(F.sum("__t").alias("__t")), ["__s", "__b"], "__u", seed))
+        line = renamed(ends, __s="__p", __b="__pb", __u="__pu")
+        edge = same(keyed, line, "__b = __pb AND __u = __pu")
+        ends = _cut_at(edge.groupBy("__s", "__b", "__u", "__whole", "__room", "__h").agg(F.sum("__t").alias("__t")), ["__s", "__b", "__u"], "__h", seed)
+        last = F.struct(*[_order(seed, F.col("__whole"), F.col(c)).alias(c) for c in ("__b", "__u", "__h")]).alias("__last")
+        done = plan.select(F.col("__s").alias("__p"), "__whole").join(small(ends.select(F.col("__s").alias("__q"), last)), F.col("__p").eqNullSafe(F.col("__q")), "left").drop("__q")
+        done = shelf.keep(shelf.put(done))
+
+    block, sub = blocks_of(F.col("__h"), n_blocks)
+    placed = df.withColumn("__h", key).withColumns({"__b": block, "__u": sub}).join(small(done), F.col(source).eqNullSafe(F.col("__p")))
+    here = F.struct(*[_order(seed, F.col("__whole"), F.col(c)).alias(c) for c in ("__b", "__u", "__h")])
+    within = F.coalesce(here <= F.col("__last"), F.lit(False))
+    times = F.when(n_words(F.col(text)) == 0, 1).otherwise(F.col("__whole") + within.cast("int"))
     out = placed.withColumn("__times", times).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    return out.select(*df.columns, "__tokens", "__epoch", F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__b")).alias("__block"), F.xxhash64(F.lit(seed), F.col("__epoch"), F.col("__h")).alias("__slot"))
+    return out.select(*df.columns, "__epoch", *[o.alias(c) for o, c in zip(ordinals(F.col("__epoch"), F.col("__h"), n_blocks, seed), ("__block", "__sub", "__slot"), strict=True)])

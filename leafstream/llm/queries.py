@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, licenses, media, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
+from .common import token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -14,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document and epoch in the mix."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
-    return mixed.selectExpr("doc_id", "source", "__tokens AS n_tokens", "__epoch AS epoch", "__block AS block", "__slot AS slot")
+    """A row per document and epoch in the mix; tokens are the vocabulary's."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "source", "text"), tokens=token_count(F.col("text")))
+    return mixed.selectExpr("doc_id", "source", "__epoch AS epoch", "__block AS block", "__sub AS sub", "__slot AS slot")
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), tokens=token_count(F.col("text")))
 
 
 def op5_patience(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafstream.llm import mixing, packing
 
@@ -18,6 +20,14 @@ def test_solve_meets_repetition_and_entropy():
     assert mixing.solve({"a": 0}, 2)[1] == {"a": 0.0} and mixing.solve({}, 2)[1] == {}
 
 
+def epochs(counts, weights, total=None):
+    """How often each source is taken: its budget over its tokens."""
+    if total is None:
+        total = max((counts[s] / w for s, w in weights.items() if w > 0), default=0.0)
+    taken = {s: weights[s] * total / counts[s] if counts[s] else 1.0 for s in counts}
+    return {s: float(round(e)) if abs(e - round(e)) < 1e-9 else e for s, e in taken.items()}
+
+
 def mixed(df, **how):
     return mixing.mix(df, **how).collect()
 
@@ -34,9 +44,9 @@ def test_every_document_at_least_once_and_budgets(spark, docs):
     for r in df.collect():
         own[r.source] += len((r.text or "").split())
     for r in out:
-        taken[r.source] += r["__tokens"]
+        taken[r.source] += len((r.text or "").split())
     _, weights = mixing.solve(dict(own), max_repetition=2.5)
-    wanted = mixing.epochs(dict(own), weights)
+    wanted = epochs(dict(own), weights)
     for s in own:
         if own[s]:
             longest = max(len((r.text or "").split()) for r in df.collect() if r.source == s)
@@ -48,7 +58,7 @@ def test_every_document_at_least_once_and_budgets(spark, docs):
 def test_block_permutation_takes_whole_blocks_in_order(spark):
     df = spark.createDataFrame([(i, "w " * 10, "en", "s", 1) for i in range(500)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = mixed(df, total=2500.0, n_blocks=16)
-    assert abs(sum(r["__tokens"] for r in out) - 2500) <= 10
+    assert abs(10 * len(out) - 2500) <= 10
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in mixed(df.repartition(7), total=2500.0, n_blocks=16))
     full = defaultdict(int)
     for r in mixed(df, n_blocks=16):
@@ -57,10 +67,105 @@ def test_block_permutation_takes_whole_blocks_in_order(spark):
     assert sum(part[b] < full[b] for b in part) <= 1
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_mix_equals_brute_force(spark, docs, monkeypatch, many):
+    """The sequence of each source, epoch after epoch in hash order, walked to its budget one document after another."""
+    if many:  # sources beyond what is sent to the driver
+        monkeypatch.setattr(mixing, "MAX_SENT", 0)
+    more = spark.createDataFrame([(5000 + i, "w " * (20 + i % 7), "en", "big", 1) for i in range(600)] + [(9000 + i, "v " * (1 + i % 40), "en", "tiny", 1) for i in range(30)], docs.schema)
+    df = docs.unionByName(more).where("doc_id <> 9 OR doc_id IS NULL").cache()
+    key = mixing.key_of(F.col("doc_id"), F.col("text"))
+    own = defaultdict(int)
+    for r in df.collect():
+        own[r.source] += len((r.text or "").split())
+    for limits in ({"max_repetition": 1.7}, {"target_entropy": 0.9, "max_repetition": None}, {"total": 4000.0, "max_repetition": 3.0}):
+        got = Counter((r.doc_id, r.text, r["__epoch"]) for r in mixing.mix(df, n_blocks=8, **limits).collect())
+        _, weights = mixing.solve(dict(own), limits.get("max_repetition"), limits.get("target_entropy"))
+        taken = epochs(dict(own), weights, limits.get("total"))
+        want = Counter()
+        for s, e in taken.items():
+            rows = df.where(F.col("source").eqNullSafe(F.lit(s)))
+            for epoch in range(int(e) + 1):
+                order = F.struct(*[F.struct(o, k) for o, k in zip(mixing.ordinals(F.lit(epoch), key, 8), (*mixing.blocks_of(key, 8), key), strict=True)])
+                room = own[s] if epoch < int(e) else round((e - int(e)) * own[s])
+                at, last = 0, None
+                for r in rows.select("doc_id", "text", order.alias("o")).orderBy("o").collect():
+                    n = len((r.text or "").split())
+                    if n == 0:
+                        want[r.doc_id, r.text, epoch] += epoch == 0
+                    elif at < room or r.o == last:  # equal rows are taken alike
+                        want[r.doc_id, r.text, epoch] += 1
+                        last = r.o
+                    at += n
+        assert +want == got, limits
+
+
+def test_positions_follow_the_order(spark, docs):
+    key = mixing.key_of(F.col("doc_id"), F.col("text"))
+    rows = docs.select(mixing.position(F.lit(1), key).alias("p"), *mixing.ordinals(F.lit(1), key)[:2]).collect()
+    unsigned = lambda h: h % 2**64
+    assert all(0 <= r.p < 1 for r in rows)
+    assert [r.p for r in sorted(rows, key=lambda r: unsigned(r[1]))] == sorted(r.p for r in rows)
+
+
 def test_edges(docs, clashing, empty):
     assert set(docs.columns) < set(mixing.mix(docs).columns)
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(clashing).count() == mixing.mix(docs).count()
+    assert mixing.mix(docs.where("text IS NULL")).count() == docs.where("text IS NULL").count()
+
+
+def exhaustive(lengths, capacities, overhead, span):
+    """The least cost of any way to put the lengths into bins."""
+    best = math.inf
+
+    def place(i, bins):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, sum(packing.cost(min(c for c in capacities if c >= u), overhead, span) for u in bins))
+            return
+        for b in {u: j for j, u in enumerate(bins) if u + lengths[i] <= capacities[-1]}.values():
+            bins[b] += lengths[i]
+            place(i + 1, bins)
+            bins[b] -= lengths[i]
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize(("overhead", "span"), [(2, 200), (0, 100), (8, 1000), (8, 10**9)])
+def test_cost_is_near_the_least_of_all_packings(overhead, span):
+    rng, capacities = random.Random(span), (16, 32, 64, 128)
+    ratios = []
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 100) if rng.random() < 0.4 else rng.randint(1, 20) for _ in range(rng.randint(1, 7))), reverse=True)
+        _, sizes = packing.best_fit(lengths, capacities, overhead, span)
+        ratios.append(sum(packing.cost(c, overhead, span) for c in sizes) / exhaustive(lengths, capacities, overhead, span))
+    assert min(ratios) > 1 - 1e-9 and sum(ratios) / len(ratios) < 1.03 and max(ratios) < 1.4
+
+
+def test_opened_sizes_follow_the_lengths():
+    rng = random.Random(3)
+    lengths = sorted((min(8192, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(4000)), reverse=True)
+    _, sizes = packing.best_fit(lengths)
+    assert sum(lengths) > 0.99 * sum(sizes) and len(set(sizes)) >= 4 and Counter(sizes)[1024] > Counter(sizes)[8192]
+    one = lambda lengths: Counter(packing.best_fit(lengths)[1]).most_common(1)[0][0]
+    assert one([500]) == 512 and one([1000] * 100) == 1024 and one([8000] * 100) == 8192
+    assert one([512] * 100) == 1024  # two a sequence share its overhead
+    assert packing.best_fit([600] * 100)[1] != packing.best_fit([600] * 100, (8192,))[1]
+
+
+def test_fill_takes_the_longest_that_fit():
+    rng = random.Random(9)
+    for _ in range(200):
+        lengths = sorted((rng.randint(1, 30) for _ in range(rng.randint(0, 12))), reverse=True)
+        start, room = rng.randint(0, len(lengths)), rng.randint(0, 80)
+        want = 0
+        for n in lengths[start:]:
+            if want + n <= room:
+                want += n
+        assert packing.Parts(lengths).fill(room, start) == want
 
 
 def test_best_fit_by_hand():
@@ -74,6 +179,18 @@ def test_best_fit_by_hand():
     assert packing.best_fit([10], (16, 64))[1] == [16]  # downsized
 
 
+def test_copies_lie_apart_and_shards_follow_the_place(spark):
+    rows = [(i, "w " * (5 + i % 9)) for i in range(200)] + [(7, "w " * 12)] * 30 + [(8, "v " * 3)] * 150
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = packing.pack(df, capacities=(64, 256), shard_docs=50).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((d, len(t.split())) for d, t in rows)
+    assert max(Counter((r.shard, r.bin, r.doc_id) for r in out if r.doc_id == 7 and r.n_tokens == 12).values()) == 1
+    assert sorted(r["copy"] for r in out if (r.doc_id, r.n_tokens) == (8, 3)) == list(range(150))
+    half = packing.pack(df, shard_docs=100, place=lambda copy, h: F.when(F.pmod(h, F.lit(2)) == 0, F.lit(0.2)).otherwise(F.lit(0.7)))
+    assert half.where("copy = 0").select("shard").distinct().count() == 2
+    assert Counter(packing.copies(df.selectExpr("doc_id", "length(text) AS n", "xxhash64(doc_id, text) AS h"), 16).collect()) == Counter(packing.copies(df.selectExpr("doc_id", "length(text) AS n", "xxhash64(doc_id, text) AS h")).collect())
+
+
 @pytest.mark.parametrize("capacities", [(128,), (64, 128, 512)])
 def test_pack_is_whole_and_fits(docs, rows, capacities):
     out = packing.pack(docs, capacities=capacities, shard_docs=16).collect()

@@ -1,7 +1,10 @@
 from collections import Counter
 
 import corpus_pipeline
-from leafstream.llm import queries
+from pyspark.sql import functions as F
+
+from leafstream.llm import mixing, queries
+from leafstream.llm.common import encode_text, token_count
 
 
 def test_names_and_whole_tables(spark, sf_dir):
@@ -36,7 +39,9 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, docs, rows):
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in one.collect()}
     packed = corpus_pipeline.best_fit_packing(spark, mixed, "").collect()
     assert sum(r.part_start == 0 for r in packed) == mixed.count()
-    assert Counter((r.doc_id, r.n_tokens) for r in packed) == Counter((r.doc_id, len(r.text.split())) for r in mixed.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in packed) == Counter((r.doc_id, len(encode_text(r.text))) for r in mixed.collect())
+    epochs = mixing.mix(masked, tokens=token_count(F.col("text"))).select("doc_id", "text", "__epoch").collect()
+    assert Counter((r.doc_id, r["copy"]) for r in packed if r.part == 0) == Counter((r.doc_id, r["__epoch"]) for r in epochs)
 
 
 def test_run(spark, sf_dir):
