@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafstream.llm import minhash, mixing, packing, quality, secrets
-from leafstream.llm.common import Shelf
+from leafstream.llm.common import Shelf, token_count
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the weight of its source asks for, at least once."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, tokens=token_count(F.col("text"))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every part of every document in the training sequences."""
-    return packing.pack(docs)
+    """The place of every part of every document in the training sequences.
+
+    A stage gets the columns of documents only, so the mix's order reaches the sequences by what it
+    follows from: copy n of a document belongs to epoch n, and mixing.position() tells its place there.
+    """
+    return packing.pack(docs, tokens=token_count(F.col("text")), key=mixing.key_of(F.col("doc_id"), F.col("text")), place=mixing.position)
 
 
 STAGES = [
