@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.type_dim import KNOWN
-from .resources import definitions, missing, references, unused
+from .resources import definitions, references
 
 COLUMNS = ["file_id", "seq", "severity", "category", "message", "offset"]
 
@@ -28,41 +26,50 @@ def summary(sf: DataFrame) -> DataFrame:
     )
 
 
-def _say(rows: DataFrame, seq: int, severity: str, category: str, message: Column, offset: Column | None = None) -> DataFrame:
-    return rows.select("file_id", F.lit(seq).alias("seq"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), message.alias("message"), (F.lit(None) if offset is None else offset).cast("long").alias("offset"))
+def resources_by_name(sf: DataFrame) -> DataFrame:
+    """file_id, d and r (distinct names defined and referenced), missing (name, last place) and unused (names): one pass."""
+    both = definitions(sf).select("file_id", "name", F.lit(None).cast("long").alias("at")).unionByName(references(sf).select("file_id", "name", F.col("offset").alias("at")))
+    names = both.groupBy("file_id", "name").agg(F.count_if(F.col("at").isNull()).alias("defs"), F.max("at").alias("at"))
+    lacking = F.array_sort(F.collect_list(F.when(F.col("defs") == 0, F.struct("name", "at"))))
+    idle = F.array_sort(F.collect_list(F.when(F.col("at").isNull(), F.col("name"))))
+    return names.groupBy("file_id").agg(F.count_if(F.col("defs") > 0).alias("d"), F.count("at").alias("r"), lacking.alias("missing"), idle.alias("unused"))
 
 
 def messages(sf: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
-    """file_id, seq, severity, category, message, offset; corrupt: corrupt_fields() of the same files."""
-    s = summary(sf)
-    n = lambda c: F.col(c).cast("string")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    defs, refs = definitions(sf), references(sf)
-    found = [
-        _say(s, 1, "info", "File", text("File size: ", n("size"), " bytes")),
-        _say(s, 2, "info", "Structure", text(n("fields"), " structured fields, ", n("types"), " types")),
-        _say(s.where("first_offset > 0"), 3, "error", "Structure", F.lit("File does not start with a structured field")),
-        _say(s.where("first_offset = 0"), 3, "success", "Structure", F.lit("File starts with a structured field")),
-        _say(s.where("bdt = 0"), 4, "warning", "Structure", F.lit("No begin-document field")),
-        _say(s.where("edt = 0"), 5, "warning", "Structure", F.lit("No end-document field")),
-        _say(s.where("greatest(bpg, brs) > 0"), 6, "info", "Pages", text(F.greatest("bpg", "brs").cast("string"), " pages")),
-        _say(s.where("bpg > 0 AND brs > bpg"), 7, "info", "Pages", text("Composite pages: ", F.floor(F.col("brs") / F.col("bpg") + 0.5).cast("string"), " resources a page")),
-        _say(s.where("tags > 0"), 8, "info", "Metadata", text(n("tags"), " tags")),
-        _say(_resource_counts(defs, refs), 9, "info", "Resources", text(n("d"), " defined, ", n("r"), " referenced")),
-        _say(missing(refs, defs, ["file_id"]), 10, "error", "Resources", text("Missing resource: ", F.col("name")), F.col("offset")),
-        _say(unused(refs, defs, ["file_id"]), 11, "warning", "Resources", text("Unused resource: ", F.col("name"))),
-        _say(s.where("unknown > 0"), 13, "warning", "Structure", text(n("unknown"), " fields of unknown type")),
-        _say(s.where("ptx > 0"), 14, "info", "Text", text(n("ptx"), " text fields")),
+    """file_id, seq, severity, category, message, offset; corrupt: corrupt_fields() of the same files.
+
+    One row of counts a file (and one of its resource names) says everything; it is exploded into messages.
+    """
+    s = summary(sf).join(resources_by_name(sf), "file_id", "left")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = F.col
+
+    def say(when: Column, seq: int, severity: str | Column, category: str, message: Column, offset: Column | None = None) -> Column:
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), level.alias("severity"), F.lit(category).alias("category"), message.alias("message"), (F.lit(None) if offset is None else offset).cast("long").alias("offset")))
+
+    always, good = F.lit(True), c("first_offset") == 0
+    one = [
+        say(always, 1, "info", "File", text("File size: ", c("size"), " bytes")),
+        say(always, 2, "info", "Structure", text(c("fields"), " structured fields, ", c("types"), " types")),
+        say(always, 3, F.when(good, "success").otherwise("error"), "Structure", F.when(good, "File starts with a structured field").otherwise("File does not start with a structured field")),
+        say(c("bdt") == 0, 4, "warning", "Structure", F.lit("No begin-document field")),
+        say(c("edt") == 0, 5, "warning", "Structure", F.lit("No end-document field")),
+        say(F.greatest("bpg", "brs") > 0, 6, "info", "Pages", text(F.greatest("bpg", "brs"), " pages")),
+        say((c("bpg") > 0) & (c("brs") > c("bpg")), 7, "info", "Pages", text("Composite pages: ", F.floor(F.try_divide(c("brs"), c("bpg")) + 0.5), " resources a page")),
+        say(c("tags") > 0, 8, "info", "Metadata", text(c("tags"), " tags")),
+        say(c("d").isNotNull(), 9, "info", "Resources", text(c("d"), " defined, ", c("r"), " referenced")),
+        say(c("unknown") > 0, 13, "warning", "Structure", text(c("unknown"), " fields of unknown type")),
+        say(c("ptx") > 0, 14, "info", "Text", text(c("ptx"), " text fields")),
     ]
     if corrupt is not None:
-        bad = s.select("file_id").join(corrupt.groupBy("file_id").agg(F.count(F.lit(1)).alias("c")), "file_id", "left").fillna(0, ["c"])
-        found += [_say(bad.where("c > 0"), 12, "error", "Structure", text(n("c"), " corrupt fields")), _say(bad.where("c = 0"), 12, "success", "Structure", F.lit("No corrupt fields"))]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _resource_counts(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    both = defs.select("file_id", "name", F.lit(1).alias("k")).unionByName(refs.select("file_id", "name", F.lit(2).alias("k")))
-    return both.groupBy("file_id").agg(F.count_distinct(F.when(F.col("k") == 1, F.col("name"))).alias("d"), F.count_distinct(F.when(F.col("k") == 2, F.col("name"))).alias("r"))
+        s = s.join(corrupt.groupBy("file_id").agg(F.count(F.lit(1)).alias("bad")), "file_id", "left")
+        bad = F.coalesce("bad", F.lit(0))
+        one.append(say(always, 12, F.when(bad > 0, "error").otherwise("success"), "Structure", F.when(bad > 0, text(bad, " corrupt fields")).otherwise("No corrupt fields")))
+    none = lambda a: F.coalesce(a, F.array())
+    lost = F.transform(none(c("missing")), lambda x: say(always, 10, "error", "Resources", text("Missing resource: ", x["name"]), x["at"]))
+    idle = F.transform(none(c("unused")), lambda x: say(always, 11, "warning", "Resources", text("Unused resource: ", x)))
+    return s.select("file_id", F.explode(F.array_compact(F.concat(F.array(*one), lost, idle))).alias("m")).select("file_id", "m.*")
 
 
 def severity_counts(found: DataFrame) -> DataFrame:

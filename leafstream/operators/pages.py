@@ -30,21 +30,43 @@ def pair_marks(log: DataFrame, keys: list[str], order: list[str], kind: str, beg
     return pages.withColumn("page_pos", F.row_number().over(by).cast("long"))
 
 
+_BUCKET = 65536
+
+
+def _numbered(sf: DataFrame) -> DataFrame:
+    """The marks of all strategies (a type belongs to one) with the next mark of theirs, in one pass over the fields.
+
+    Also a row without strategy for the first bucket of each file, and the file's size on every row.
+    Fields are merged by buckets of a file before any are dealt out, so only marks and a row a bucket move.
+    """
+    t = F.col("type_id")
+    prio = F.coalesce(*[F.when(t.isin(b, e), i) for i, (_, b, e) in enumerate(STRATEGIES)])
+    begins = t.isin(*[b for _, b, _ in STRATEGIES])
+    behind = F.col("offset") + 1 + F.col("length")
+    mark = F.when(prio.isNotNull(), F.struct(prio.alias("prio"), begins.alias("begins"), F.col("offset").alias("offset"), behind.alias("behind")))
+    merged = sf.groupBy("file_id", F.floor(F.col("offset") / F.lit(_BUCKET * 64)).alias("bucket")).agg(F.collect_list(mark).alias("marks"), F.max(behind).alias("size"))
+    rows = merged.select("file_id", "size", F.explode(F.concat("marks", F.array(F.struct(F.lit(None).cast("int").alias("prio"), F.lit(False).alias("begins"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("behind"))))).alias("m"))
+    rows = rows.select("file_id", "m.*", F.max("size").over(Window.partitionBy("file_id")).alias("size"))
+    by = Window.partitionBy("file_id", "prio").orderBy("offset")
+    return rows.select("*", F.lead("begins").over(by).alias("next"), F.lead("behind").over(by).alias("closed"), F.sum(F.col("begins").cast("long")).over(by).alias("page_number"))
+
+
+def _strategy() -> Column:
+    return F.coalesce(*[F.when(F.col("prio") == i, n) for i, (n, _, _) in enumerate(STRATEGIES)], F.lit("FILE"))
+
+
+def _as_pages(seen: DataFrame) -> DataFrame:
+    """The begins that a page belongs to: those without another begin behind them."""
+    pages = seen.where("begins AND NOT coalesce(next, false)").select("file_id", _strategy().alias("strategy"), "prio", "page_number", F.col("offset").alias("byte_offset"), (F.coalesce("closed", "size") - F.col("offset")).alias("byte_length"))
+    return pages.withColumn("page_pos", F.row_number().over(Window.partitionBy("file_id", "prio").orderBy("byte_offset")).cast("long"))
+
+
 def strategy_pages(sf: DataFrame) -> DataFrame:
     """file_id, strategy, prio, page_number, page_pos, byte_offset, byte_length for every strategy.
 
     An unclosed begin runs to the end of the file.
     """
-    marks = F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(i).alias("prio"), F.lit(b).alias("b"), F.lit(e).alias("e")) for i, (n, b, e) in enumerate(STRATEGIES)])
-    log = sf.select("file_id", "offset", "length", "type_id", F.explode(marks).alias("s"))
-    log = log.where(F.col("type_id").isin(*[x for s in STRATEGIES for x in s[1:]]) & ((F.col("type_id") == F.col("s.b")) | (F.col("type_id") == F.col("s.e"))))
-    log = log.select("file_id", "offset", (F.col("offset") + 1 + F.col("length")).alias("behind"), F.col("s.strategy").alias("strategy"), F.col("s.prio").alias("prio"), F.when(F.col("type_id") == F.col("s.b"), "B").otherwise("E").alias("kind"))
-    size = sf.groupBy("file_id").agg(F.max(F.col("offset") + 1 + F.col("length")).alias("size"))
-    by = Window.partitionBy("file_id", "strategy").orderBy("offset")
-    seen = log.select("*", F.lead("kind").over(by).alias("next"), F.lead("behind").over(by).alias("closed"), F.sum((F.col("kind") == "B").cast("long")).over(by).alias("page_number"))
-    open_ = seen.where("kind = 'B' AND (next = 'E' OR next IS NULL)").join(size, "file_id")
-    pages = open_.select("file_id", "strategy", "prio", "page_number", F.col("offset").alias("byte_offset"), (F.coalesce("closed", "size") - F.col("offset")).alias("byte_length"))
-    return pages.withColumn("page_pos", F.row_number().over(Window.partitionBy("file_id", "strategy").orderBy("byte_offset")).cast("long"))
+    return _as_pages(_numbered(sf))
 
 
 def best_strategy(pages: DataFrame, keys: list[str], strategy: str = "strategy", prio: str = "prio") -> DataFrame:
@@ -55,12 +77,25 @@ def best_strategy(pages: DataFrame, keys: list[str], strategy: str = "strategy",
 
 
 def page_index(sf: DataFrame) -> DataFrame:
-    """The pages of each file's best strategy; a file without any is one page."""
-    pages = strategy_pages(sf)
-    chosen = pages.join(best_strategy(pages, ["file_id"]).select("file_id", "strategy"), ["file_id", "strategy"])
-    size = sf.groupBy("file_id").agg(F.max(F.col("offset") + 1 + F.col("length")).alias("size"))
-    whole = size.join(chosen.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit("FILE").alias("strategy"), F.lit(1).cast("long").alias("page_number"), F.lit(1).cast("long").alias("page_pos"), F.lit(0).cast("long").alias("byte_offset"), F.col("size").alias("byte_length"))
-    return chosen.select(*whole.columns).unionByName(whole)
+    """The pages of each file's best strategy; a file without any is one page.
+
+    One pass over the fields: sizes, counts and the choice are windows over the marks.
+    """
+    seen = _numbered(sf)
+    is_page = F.col("begins") & ~F.coalesce("next", F.lit(False))
+    counted = seen.withColumn("n", F.count_if(is_page).over(Window.partitionBy("file_id", "prio")))
+    file = Window.partitionBy("file_id")
+    best = F.max(F.when(F.col("prio").isNotNull() & (F.col("n") > 0), F.struct("n", (-F.col("prio")).alias("p")))).over(file)
+    # a file without pages: one of its rows without strategy stands for it
+    alone = F.when(F.col("prio").isNull(), F.row_number().over(Window.partitionBy("file_id", "prio").orderBy("offset")))
+    chosen = counted.withColumns({"best": best, "alone": alone}).where((is_page & (F.col("best.p") == -F.col("prio"))) | (F.col("best").isNull() & (F.col("alone") == 1)))
+    whole = F.col("prio").isNull()
+    begin = F.coalesce("offset", F.lit(0).cast("long"))
+    return chosen.select(
+        "file_id", _strategy().alias("strategy"), F.when(whole, 1).otherwise(F.col("page_number")).cast("long").alias("page_number"),
+        F.row_number().over(Window.partitionBy("file_id").orderBy("offset")).cast("long").alias("page_pos"),
+        begin.alias("byte_offset"), (F.coalesce("closed", "size") - begin).alias("byte_length"),
+    )
 
 
 def attributed(log: DataFrame, keys: list[str], order: list[str], document: Column, group: Column, name: Column | None = None) -> DataFrame:

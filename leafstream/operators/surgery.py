@@ -108,18 +108,26 @@ def merge_documents(files: DataFrame, sf: DataFrame, pages: DataFrame, groups: l
     The first file's bytes before its pages, then the fields before the pages of the other files
     (their document marks left out), all pages of all files, and the first file's bytes behind its pages.
     """
-    first = files.groupBy(*groups).agg(F.min(position).alias("__min"))
-    spans = files.join(first, groups).join(_spans(pages), "file_id")
-    n_first = F.col(position) == F.col("__min")
-    heads = spans.select(*groups, F.when(n_first, 0).otherwise(1).alias("s"), F.col(position).alias("f"), "file_id", "__first", n_first.alias("__own"), "content", "__last")
-    own = heads.where("__own").select(*groups, F.lit(0).alias("s"), "f", F.lit(0).cast("long").alias("o"), _range(F.lit(0), F.col("__first")).alias("b"))
-    tail = heads.where("__own").select(*groups, F.lit(3).alias("s"), "f", F.lit(0).cast("long").alias("o"), _range(F.col("__last"), F.length("content")).alias("b"))
-    extra = heads.where("NOT __own").join(sf.where(~F.col("type_id").isin("D3A8A8", "D3A9A8")).select("file_id", "offset", "length"), "file_id").where("offset < __first")
-    extra = extra.select(*groups, F.lit(1).alias("s"), "f", F.col("offset").alias("o"), _range(F.col("offset"), F.col("length") + 1).alias("b"))
-    body = heads.join(pages.select("file_id", "byte_offset", "byte_length"), "file_id").select(*groups, F.lit(2).alias("s"), "f", F.col("byte_offset").alias("o"), _range(F.col("byte_offset"), F.col("byte_length")).alias("b"))
-    parts = own.unionByName(extra).unionByName(body).unionByName(tail)
-    made = joined(F.transform(F.array_sort(F.collect_list(F.struct("s", "f", "o", "b"))), lambda x: x["b"]))
-    return parts.groupBy(*groups).agg(made.alias("content"), F.count_if(F.col("s") == 2).alias("total_pages"), F.count_distinct("f").alias("total_files")).withColumn("total_bytes", F.length("content").cast("long"))
+    spans = _spans(pages)
+    early = sf.where(~F.col("type_id").isin("D3A8A8", "D3A9A8")).join(spans.select("file_id", "__first"), "file_id").where("offset < __first")
+    early = early.groupBy("file_id").agg(_listed("offset", F.col("length") + 1).alias("__early"))
+    inner = pages.groupBy("file_id").agg(_listed("byte_offset", F.col("byte_length")).alias("__pages"))
+    # a file's contents are cut once, into what its group can need of them
+    whole = files.join(spans, "file_id").join(inner, "file_id").join(early, "file_id", "left")
+    cuts = lambda ranges: joined(F.transform(F.coalesce(ranges, F.array()), lambda r: F.substring(F.col("content"), (r["at"] + 1).cast("int"), r["n"].cast("int"))))
+    cut = whole.select(
+        *groups, F.col(position).alias("f"), F.col("__n").alias("n"), cuts(F.col("__early")).alias("early"), cuts(F.col("__pages")).alias("body"),
+        _range(F.lit(0), F.col("__first")).alias("head"), _range(F.col("__last"), F.length("content")).alias("tail"),
+    )
+    made = cut.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("f", "head", "early", "body", "tail"))).alias("x"), F.sum("n").alias("total_pages"), F.count_distinct("f").alias("total_files"))
+    first = F.col("x")[0]
+    pieces = F.concat(F.array(first["head"]), F.transform(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), lambda x: x["early"]), F.transform("x", lambda x: x["body"]), F.array(first["tail"]))
+    return made.select(*groups, joined(pieces).alias("content"), "total_pages", "total_files").withColumn("total_bytes", F.length("content").cast("long"))
+
+
+def _listed(at: str, n: Column) -> Column:
+    """Ranges (at, n) in order."""
+    return F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), n.alias("n"))))
 
 
 def edit(files: DataFrame, edits: DataFrame, page: str = "cp037") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import pages, ptoca, tags
 from ..operators.asof import interval_join
 from ..sources import framing, wire
+from ..sources.tables import reused
 
 FILE_DOCS = 20_000
 
@@ -32,8 +33,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("page_pos", F.row_number().over(Window.partitionBy("file_id").orderBy("doc_id")).cast("long"))
 
 
-def print_files(spark: SparkSession, sf_dir: str, garbage: bool = False) -> DataFrame:
-    """D: file_id, content; garbage puts three bytes between records that belong to none."""
+def _encoded(spark: SparkSession, sf_dir: str, garbage: bool) -> DataFrame:
     docs = documents(spark, sf_dir)
     page = wire.page([("DOCID", F.col("doc_id").cast("string")), ("LANG", F.col("lang"))], F.coalesce("text", F.lit("")))
     made = docs.select("file_id", "doc_id", (F.concat(page, F.unhex(F.lit("000D25"))) if garbage else page).alias("page"))
@@ -41,14 +41,20 @@ def print_files(spark: SparkSession, sf_dir: str, garbage: bool = False) -> Data
     return wire.file_content(made, ["file_id"], ["doc_id"], "page", name)
 
 
+def print_files(spark: SparkSession, sf_dir: str, garbage: bool = False) -> DataFrame:
+    """D: file_id, content; garbage puts three bytes between records that belong to none.  Encoded once, then read."""
+    return reused(spark, "garbage" if garbage else "files", f"{sf_dir}/documents.parquet", lambda: _encoded(spark, sf_dir, garbage))
+
+
 def fields(spark: SparkSession, sf_dir: str, garbage: bool = False) -> DataFrame:
-    return framing.frames(print_files(spark, sf_dir, garbage))
+    """The files' fields, framed once, then read: a query that needs no payloads doesn't read them."""
+    return reused(spark, "garbage-fields" if garbage else "fields", f"{sf_dir}/documents.parquet", lambda: framing.frames(print_files(spark, sf_dir, garbage)))
 
 
 def print_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(fields, their page index)."""
     sf = fields(spark, sf_dir)
-    return sf, pages.page_index(sf)
+    return sf, reused(spark, "pages", f"{sf_dir}/documents.parquet", lambda: pages.page_index(sf))
 
 
 def page_texts(sf: DataFrame, index: DataFrame) -> DataFrame:
@@ -68,5 +74,3 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") + 9).cast("long").alias("length"))
     by = Window.partitionBy("file").orderBy("l_orderkey", "l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("offset", F.sum("length").over(by) - F.col("length"))
-
-

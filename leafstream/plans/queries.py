@@ -56,7 +56,7 @@ def frame_with_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_D} SELECT file_id, page_pos AS page_number, page_pos, CAST(byte_offset AS BIGINT) AS byte_offset, CAST(page_len AS BIGINT) AS byte_length FROM pg")
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, index = fx.print_pages(spark, sf_dir)
+    index = pages.page_index(fx.fields(spark, sf_dir))
     return index.select("file_id", "page_number", "page_pos", "byte_offset", "byte_length")
 
 
@@ -70,7 +70,7 @@ def scan_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_D} SELECT file_id, page_pos, CAST(page_len AS BIGINT) AS n_bytes, '5A0008D3A8AD000000' AS head FROM pg WHERE page_pos = 2")
 def page_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fx.print_files(spark, sf_dir)
-    read = pages.page_bytes(files, pages.page_index(framing.frames(files)), 2)
+    read = pages.page_bytes(files, fx.print_pages(spark, sf_dir)[1], 2)
     return read.select("file_id", "page_pos", F.length("content").cast("long").alias("n_bytes"), F.hex(F.substring("content", 1, 9)).alias("head"))
 
 
@@ -352,8 +352,7 @@ def _measured(parts: DataFrame) -> DataFrame:
 
 
 def _opened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = fx.print_files(spark, sf_dir)
-    return files, pages.page_index(framing.frames(files, with_data=False))
+    return fx.print_files(spark, sf_dir), fx.print_pages(spark, sf_dir)[1]
 
 
 @query(f"WITH {_D} " + _PARTS.format(part="CAST(CASE WHEN page_pos <= 3 THEN 1 ELSE 2 END AS BIGINT)").replace("FROM pg)", "FROM pg WHERE file_id IN (SELECT file_id FROM pg GROUP BY file_id HAVING count(*) > 3))"))
@@ -415,14 +414,13 @@ def concat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_D} SELECT substr(file_id, 4, 1) AS job, count(*) AS total_pages, count(DISTINCT file_id) AS total_files, CAST(26 + sum(page_len) AS BIGINT) AS total_bytes FROM pg GROUP BY 1")
 def merge_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, index = _opened(spark, sf_dir)
-    return surgery.merge_documents(_grouped(files), framing.frames(files, with_data=False), index, ["job"], "pos").drop("content")
+    return surgery.merge_documents(_grouped(files), fx.fields(spark, sf_dir), index, ["job"], "pos").drop("content")
 
 
 @query(f"WITH {_D} SELECT file_id, page_pos, CASE WHEN page_pos % 2 = 0 THEN trim(left('xyz  ', length(lang))) ELSE lang END AS value FROM pg")
 def edit_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fx.print_files(spark, sf_dir)
-    sf = framing.frames(files)
-    index = pages.page_index(sf)
+    sf, index = fx.print_pages(spark, sf_dir)
     langs = fx.page_tags(sf, index).where("key = 'LANG' AND page_pos % 2 = 0")
     # the value lies behind the header, the key triplet (4 bytes and the key) and 4 more bytes
     edits = langs.select("file_id", (F.col("seq") + 9 + 4 + F.length("key") + 4).alias("at"), F.length("value").alias("size"), F.lit("xyz").alias("text"))
@@ -438,7 +436,7 @@ SELECT file_id, unnest([1, 2, 3, 6, 8, 12, 14]) AS seq, unnest(['info', 'info',
 unnest(['File size: ' || CAST(CAST(size AS BIGINT) AS VARCHAR) || ' bytes', CAST(CAST(2 + 6 * n + x AS BIGINT) AS VARCHAR) || ' structured fields, 8 types', 'File starts with a structured field', CAST(n AS VARCHAR) || ' pages', CAST(2 * n AS VARCHAR) || ' tags', 'No corrupt fields', CAST(CAST(x AS BIGINT) AS VARCHAR) || ' text fields']) AS message FROM c""")
 def diagnostics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fx.print_files(spark, sf_dir)
-    return diagnostics.messages(framing.frames(files), framing.corrupt_fields(files)).select("file_id", "seq", "severity", "message")
+    return diagnostics.messages(fx.fields(spark, sf_dir), framing.corrupt_fields(files)).select("file_id", "seq", "severity", "message")
 
 
 # ---- scalars
@@ -558,7 +556,7 @@ def type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT severity, count(*) AS n FROM (SELECT unnest(['info', 'info', 'success', 'info', 'info', 'success', 'info']) AS severity FROM (SELECT DISTINCT source || '/' || CAST(doc_id // 20000 AS VARCHAR) AS f FROM documents)) GROUP BY severity""")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fx.print_files(spark, sf_dir)
-    return diagnostics.severity_counts(diagnostics.messages(framing.frames(files), framing.corrupt_fields(files)))
+    return diagnostics.severity_counts(diagnostics.messages(fx.fields(spark, sf_dir), framing.corrupt_fields(files)))
 
 
 @query(f"WITH {_D} SELECT file_id, any_value(lang) AS lang, page_pos FROM pg WHERE page_pos % 5 = 0 GROUP BY file_id, page_pos")
