@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import base64
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import Shelf
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,73 +55,6 @@ def encode_text(text: str, path: str = VOCAB_PATH) -> list[int]:
     return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, or the context's; a local one only in local mode without either (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        return os.path.join(tempfile.gettempdir(), "leafstream-tables")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
-
-
-#: Lets Spark delete a query's shuffle files when the query is done: what is written needs them no longer.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Shelf:
-    """Tables written to the shared folder: later reads don't compute them again and survive lost executors.
-
-    On leaving, the tables that weren't kept are deleted.  A kept one stays for the frame that reads it,
-    until the next shelf that takes it over with own() or until the folder is emptied.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.held = spark, []
-
-    def __enter__(self) -> Shelf:
-        return self
-
-    def __exit__(self, *_) -> None:
-        for _, path in self.held:
-            self._delete(path)
-
-    def put(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
-        made = self.spark.read.schema(df.schema).parquet(path)
-        made.shelf_path = path
-        self.held.append((made, path))
-        return made
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Leaves a table of this shelf to the caller."""
-        self.held = [h for h in self.held if h[0] is not df]
-        return df
-
-    def own(self, df: DataFrame) -> DataFrame:
-        """Takes over a table that another shelf kept."""
-        if path := getattr(df, "shelf_path", None):
-            self.held.append((df, path))
-        return df
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of this shelf at once."""
-        for made, path in self.held:
-            if made is df:
-                self._delete(path)
-        self.keep(df)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def map_rows(df: DataFrame, rows: Callable[[list[dict]], list[dict]], schema: str, slice_rows: int = 512) -> DataFrame:
     """mapInArrow over small slices, so that a worker holds few Python objects at a time.
 

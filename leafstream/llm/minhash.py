@@ -32,9 +32,10 @@ for 3/4, with the smaller linked ones.  In each some members are due: to be pair
 * In lists of up to SMALL members the due ones are joined with the others.
 * In larger ones PIVOTS due members, picked by hash, are compared with all members as above.  That joins
   the groups in such a list, of any size; of what is left, a pair of members in two components whose
-  distances to one of these pivots differ by more than 1/4 can't be similar.  The others are looked
-  at block against block, by counting shared values, and make a row only if they can be similar.
-* These pairs are filtered by the union sketch's estimate and compared exactly.
+  distances to one of these pivots differ by more than 1/4 can't be similar.  The others are compared
+  exactly, block against block, on the full sets; a pair of blocks gives a link for each two
+  components that it joins, so less rows than members, however many pairs are similar or nearly so.
+* The pairs of small lists are filtered by the union sketch's estimate and compared exactly.
 
 Defined results: null or blank text: n_shingles 0, linked with nothing, its own component; null
 doc_id: linked with nothing, component_id null, kept true; rows that share a doc_id are one node
@@ -55,7 +56,7 @@ from pyspark.sql import functions as F
 from .common import Shelf, bind
 from .components import connected_components
 
-K, WIDE, WIDTH, PERCENT, SPREAD, SMALL, BLOCK, PIVOTS = 64, 256, 5, 75, 5.0, 32, 1024, 16
+K, WIDE, WIDTH, PERCENT, SPREAD, SMALL, BLOCK, VALUES, PIVOTS = 64, 256, 5, 75, 5.0, 32, 1024, 2_000_000, 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,23 +245,22 @@ def _apart(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     return out
 
 
-def _block_pairs(left: list[tuple], right: list[tuple], k: int, percent: int) -> list[tuple[int, int]]:
-    """The pairs of members (cid, g, n, sketch, similarities) of two blocks that can be similar, or of whole sets a spanning forest of those that are."""
-    (ra, ga, na), (rb, gb, nb) = (tuple(np.array(c, np.int64) for c in list(zip(*x, strict=True))[:3]) for x in (left, right))
-    small, large = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
-    fits = (100 * small >= percent * large) & np.not_equal.outer(ga, gb)
+def _block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar among the members (cid, g, set, similarities) of two blocks: a spanning forest over the components g."""
+    (ra, ga), (rb, gb) = (tuple(np.array(c, np.int64) for c in list(zip(*x, strict=True))[:2]) for x in (left, right))
+    na, nb = (np.array([len(x[2]) for x in side], np.int64) for side in (left, right))
+    fits = (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb)) & np.not_equal.outer(ga, gb)
     if fits.any():
-        fits &= ~_apart(np.array([x[4] for x in left]), np.array([x[4] for x in right]), percent)
+        fits &= ~_apart(np.array([x[3] for x in left]), np.array([x[3] for x in right]), percent)
     rows, cols = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
     if not len(rows):
         return []
-    fits, small, large = (m[np.ix_(rows, cols)] for m in (fits, small, large))
-    ra, ga, rb, gb = ra[rows], ga[rows], rb[cols], gb[cols]
-    both = _overlaps([left[i][3] for i in rows], [right[j][3] for j in cols])
-    whole = fits & (large <= k) & (100 * both >= percent * (small + large - both))
-    found = [(int(ra[i]), int(rb[j])) for i, j in np.argwhere(fits & (large > k) & (both >= sketch_floor(k, k, percent)))]
-    for i in np.flatnonzero(whole.any(axis=1)):
-        near = np.flatnonzero(whole[i])
+    ra, ga, na, rb, gb, nb = ra[rows], ga[rows], na[rows], rb[cols], gb[cols], nb[cols]
+    both = _overlaps([left[i][2] for i in rows], [right[j][2] for j in cols])
+    linked = fits[np.ix_(rows, cols)] & (100 * both >= percent * (np.add.outer(na, nb) - both))
+    found = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        near = np.flatnonzero(linked[i])
         marks, first = np.unique(gb[near], return_index=True)
         for mark, j in zip(marks, near[first], strict=True):
             if mark != ga[i]:
@@ -269,19 +269,23 @@ def _block_pairs(left: list[tuple], right: list[tuple], k: int, percent: int) ->
     return found
 
 
-def crowded(members: DataFrame, near: DataFrame, pivots: int = PIVOTS, k: int = WIDE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) of a due and any other member of a list that can be similar; members: v, cid, g, due, sims (slot, sim).
+def crowded(members: DataFrame, near: DataFrame, width: int = WIDTH, pivots: int = PIVOTS, percent: int = PERCENT, block: int = BLOCK, values: int = VALUES) -> DataFrame:
+    """Links (a, b) that connect a due and any other member of a list where they are similar; members: v, cid, g, due, sims (slot, sim).
 
-    A list's due members and all its members are dealt into blocks; each block meets each in one
-    group of rows, so no task holds more than two blocks.
+    A list's due members and all its members are dealt into blocks of about block members or values
+    values; each block meets each in one group of rows, so no task holds more than two blocks.
+    A pair of blocks makes less links than it has members, whatever the number of similar pairs.
     """
-    counted = members.groupBy("v").agg(F.ceil(F.count_if("due") / block).cast("int").alias("ml"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mr"))
+    sized = members.join(near.select("cid", "n"), "cid")
+    n_blocks = lambda x: F.greatest(F.ceil(F.count_if(x) / block), F.ceil(F.sum(F.when(x, F.col("n"))) / values)).cast("int")
+    counted = sized.groupBy("v").agg(n_blocks(F.col("due")).alias("ml"), n_blocks(F.lit(True)).alias("mr"))
     joined = members.join(counted, "v")
     place = lambda m: F.pmod(F.xxhash64("cid"), F.col(m)).cast("int")
     upto = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     lefts = joined.where("due").select("v", place("ml").alias("i"), upto("mr").alias("j"), F.lit(0).alias("side"), "cid", "g", "sims")
     rights = joined.select("v", upto("ml").alias("i"), place("mr").alias("j"), F.lit(1).alias("side"), "cid", "g", "sims")
-    dealt = lefts.unionByName(rights).join(near.select("cid", "n", "sketch"), "cid").select("v", "i", "j", "side", "cid", "g", "n", "sims", "sketch")
+    sets = near.select("cid", F.when(F.col("text").isNull(), F.col("sketch")).alias("whole"), "text")
+    dealt = lefts.unionByName(rights).join(sets, "cid").select("v", "i", "j", "side", "cid", "g", "sims", "whole", "text")
     parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "v", "i", "j").sortWithinPartitions("v", "i", "j", "side")
 
@@ -289,19 +293,20 @@ def crowded(members: DataFrame, near: DataFrame, pivots: int = PIVOTS, k: int =
         key, sides = None, ([], [])
 
         def done() -> Iterator[pa.RecordBatch]:
-            if sides[0] and sides[1] and (found := _block_pairs(*sides, k, percent)):
+            if sides[0] and sides[1] and (found := _block_links(*sides, percent)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            plain = [c.to_pylist() for c in batch.columns[:8]]
-            for *at, side, cid, g, n, sims, sketch in zip(*plain, batch.column(8), strict=True):
+            plain = [c.to_pylist() for c in batch.columns[:7]]
+            for *at, side, cid, g, sims, whole, text in zip(*plain, *batch.columns[7:], strict=True):
                 if at != key:
                     yield from done()
                     key, sides = at, ([], [])
                 known = np.full(pivots, np.nan)
                 for s in sims or ():
                     known[s["slot"]] = s["sim"]
-                sides[side].append((cid, g, n, sketch.values.to_numpy(), known))
+                found = whole.values.to_numpy() if text.as_py() is None else shingle_set(text.as_py(), width)
+                sides[side].append((cid, g, found, known))
         yield from done()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
@@ -327,8 +332,8 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def _large_lists(large: DataFrame, near: DataFrame, links: DataFrame, shelf: Shelf, wide: int, width: int, percent: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """(links that further pivots find, pairs that are left) of lists of any size; large: v, cid, due; links: those known, as a component table."""
+def _large_lists(large: DataFrame, near: DataFrame, links: DataFrame, shelf: Shelf, wide: int, width: int, percent: int, pivots: int = PIVOTS) -> DataFrame:
+    """Links of lists of any size: those that further pivots find, then those of the blocks; large: v, cid, due; links: those known, as a component table."""
     slot = F.pmod(F.xxhash64(F.lit(5), "v", "cid"), F.lit(pivots)).cast("int")
     picked = large.where("due").groupBy("v", slot.alias("slot")).agg(F.min_by("cid", F.xxhash64("cid", "v")).alias("a"))
     met = shelf.put(large.select("v", F.col("cid").alias("b")).join(picked, "v").select("v", "slot", "a", "b"))
@@ -342,7 +347,7 @@ def _large_lists(large: DataFrame, near: DataFrame, links: DataFrame, shelf: She
     members = large.select("v", "cid", "due").join(groups, F.col("cid") == F.col("m"), "left").select("v", "cid", "due", F.coalesce("g", "cid").alias("g"))
     split = members.groupBy("v").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("v")
     members = shelf.put(members.join(split, "v", "left_semi").join(known, ["v", "cid"], "left"))
-    return more, crowded(members, near, pivots, wide, percent).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return more.unionByName(shelf.put(crowded(members, near, width, pivots, percent)))
 
 
 def links(classes: DataFrame, docs: DataFrame, shelf: Shelf, doc_id: str = "doc_id", text: str = "text", k: int = K, wide: int = WIDE, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -364,8 +369,7 @@ def links(classes: DataFrame, docs: DataFrame, shelf: Shelf, doc_id: str = "doc_
     pairs = due.join(small.select("v", "cid", "g", "due"), "v").where("g <> y_g AND (NOT due OR cid < y)").select(F.greatest("cid", "y").alias("a"), F.least("cid", "y").alias("b"))
     large = left.where(F.col("size") > SMALL)
     if not large.isEmpty():
-        more, rest = _large_lists(large, near, known, shelf, wide, width, percent)
-        known, pairs = known.unionByName(more), pairs.unionByName(rest)
+        known = known.unionByName(_large_lists(large, near, known, shelf, wide, width, percent))
     likely = shelf.put(_likely(pairs.distinct(), near, wide, percent))
     if likely.isEmpty():
         return known

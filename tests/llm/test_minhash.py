@@ -82,7 +82,7 @@ def test_slots_filled_from_few_variants(spark, monkeypatch, frame, slot):
     parts, fill = [say(frame // 5) for _ in range(5)], [[say(slot) for _ in range(6)] for _ in range(5)]
     chosen = rng.sample(list(itertools.product(range(6), repeat=5)), 400)  # each variant is in about 67 texts
     rows = [(i, " ".join(w for p, f, c in zip(parts, fill, choice, strict=True) for w in p + f[c])) for i, choice in enumerate(chosen)]
-    monkeypatch.setattr(minhash.crowded, "__defaults__", (minhash.PIVOTS, minhash.WIDE, minhash.PERCENT, 24))  # several blocks a list
+    monkeypatch.setattr(minhash.crowded, "__defaults__", (minhash.WIDTH, minhash.PIVOTS, minhash.PERCENT, 24, 5000))  # several blocks a list
     check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
@@ -125,8 +125,11 @@ def test_groups_in_one_large_list_make_few_pairs(spark):
         signed = minhash.signatures(df, k=minhash.WIDE).join(df, "doc_id")
         near = shelf.put(signed.selectExpr("doc_id AS cid", "n", "sketch", "text"))
         none = spark.createDataFrame([], "a bigint, b bigint")
-        more, rest = minhash._large_lists(spark.createDataFrame(due, "v bigint, cid bigint, due boolean"), near, none, shelf, minhash.WIDE, 5, 75)
-        assert rest.count() <= 60 and more.count() <= 16 * 180
+        made = minhash._large_lists(spark.createDataFrame(due, "v bigint, cid bigint, due boolean"), near, none, shelf, minhash.WIDE, 5, 75)
+        assert made.count() <= 17 * 180
+        # without pivots: the blocks alone make a forest, not all pairs
+        alone = spark.createDataFrame([(v, c, c, d, []) for v, c, d in due], "v bigint, cid bigint, g bigint, due boolean, sims array<struct<slot:int,sim:double>>")
+        assert minhash.crowded(alone, near).count() == 177
     check(df, rows)
 
 
