@@ -294,34 +294,32 @@ def fit(pixels: np.ndarray, most_width: int = 500, least_height: int = 40) -> np
     return pixels[np.arange(rows) * h // rows][:, np.arange(cols) * w // cols]
 
 
-_OUT = "width int, height int, png binary, error string"
-
-
-def rendered(objects: DataFrame, data: str = "data", described: str | None = None) -> DataFrame:
-    """objects with width, height and png; an image that can't be decoded has an error instead.
-
-    described: a column with the image descriptor; without it data is a raster image.
-    """
-    others = [c for c in objects.columns if c not in (data, described)]
-    kinds = {f.name: f.dataType.simpleString() for f in objects.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), _OUT])
+def _picture(r: dict, data: str, described: str | None) -> np.ndarray:
+    """An object's pixels: by its descriptor, or those of a raster image."""
+    if described:
+        return rgba(descriptor(r[described] or b""), r[data] or b"")
+    image = raster([r[data] or b""])
+    if image is None:
+        raise ValueError("no raster image")
+    return shown(image)
+
+
+def _each(objects: DataFrame, data: str, described: str | None, name: str, make) -> DataFrame:
+    """objects with width, height and make(pixels) as name; an image that can't be decoded has an error instead."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    others = [c for c in objects.columns if c not in (data, described)]
+    kinds = {f.name: f.dataType.simpleString() for f in objects.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), f"width int, height int, {name} binary, error string"])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def one(r: dict) -> dict:
         try:
-            if described:
-                picture = rgba(descriptor(r[described] or b""), r[data] or b"")
-            else:
-                image = raster([r[data] or b""])
-                if image is None:
-                    raise ValueError("no raster image")
-                picture = shown(image)
-            return {"width": picture.shape[1], "height": picture.shape[0], "png": png(fit(picture)), "error": None}
+            picture = _picture(r, data, described)
+            return {"width": picture.shape[1], "height": picture.shape[0], name: make(picture), "error": None}
         except (ValueError, IndexError) as e:
-            return {"width": None, "height": None, "png": None, "error": str(e)}
+            return {"width": None, "height": None, name: None, "error": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,3 +328,16 @@ def rendered(objects: DataFrame, data: str = "data", described: str | None = Non
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return objects.select(*dict.fromkeys((*others, data, *([described] if described else [])))).mapInArrow(run, schema)
+
+
+def decoded(objects: DataFrame, data: str = "data", described: str | None = None) -> DataFrame:
+    """objects with width, height and pixels: RGBA by a descriptor, gray bytes of a raster image.
+
+    described: a column with the image descriptor; without it data is a raster image.
+    """
+    return _each(objects, data, described, "pixels", lambda p: p.tobytes())
+
+
+def rendered(objects: DataFrame, data: str = "data", described: str | None = None) -> DataFrame:
+    """objects with width, height and png, as decoded()."""
+    return _each(objects, data, described, "png", lambda p: png(fit(p)))

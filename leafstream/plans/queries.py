@@ -9,32 +9,12 @@ from ..functions import ebcdic, scalars
 from ..operators import asof, barcodes, diagnostics, graphics, islands, nesting, pages, ptoca, resources, search, sinks, surgery, tags
 from ..sources import framing, wire
 from ..sources.type_dim import with_type_names
+from . import decoding, exports  # noqa: F401  (list their queries)
 from . import fixtures as fx
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-# Common tables of the oracles.
-_E = """e AS (SELECT user_id, ts, event_id, event_type, value, CASE event_type WHEN 'view' THEN 'B' WHEN 'purchase' THEN 'E' WHEN 'signup' THEN 'D' WHEN 'click' THEN 'T' ELSE 'X' END AS kind FROM events)"""
-_D = """d AS (SELECT *, source || '/' || CAST(doc_id // 20000 AS VARCHAR) AS file_id FROM documents),
-p AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY doc_id) AS page_pos, length(text) AS n FROM d),
-len AS (SELECT *, (SELECT coalesce(sum(9 + least(25000, n - i) + 2 * ((least(25000, n - i) + 249) // 250)), 0) FROM range(0, n, 25000) AS r(i)) + (CASE WHEN n > 0 THEN 2 ELSE 0 END) AS text_bytes FROM p),
-pl AS (SELECT *, 9 + (9 + 4 + 5 + 4 + length(CAST(doc_id AS VARCHAR))) + (9 + 4 + 4 + 4 + length(lang)) + 9 + text_bytes + 9 + 9 AS page_len FROM len),
-pg AS (SELECT *, 17 + coalesce(sum(page_len) OVER (PARTITION BY file_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset FROM pl)"""
-_TEXT = r"""array_to_string([y FOR y IN [regexp_replace(substr(text, i, 250), '[\x00-\x1F\x7F-\x9F]', '', 'g') FOR i IN range(1, length(text) + 1, 250)] IF trim(y) <> ''], ' ')"""
-_PT = f"""{_D}, t AS (SELECT file_id, page_pos, doc_id, lang, {_TEXT} AS text FROM pg)"""
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .registry import DOCUMENTS as _D
+from .registry import EVENTS as _E
+from .registry import PAGE_TEXTS as _PT
 
 # ---- framing and indexes
 
@@ -480,13 +460,6 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "pages").select("page_id", F.length(safe).cast("long").alias("n"), F.md5(safe.cast("binary")).alias("escaped"))
 
 
-@query("SELECT l_suppkey AS file, min(l_linenumber * 10) AS x, CAST(min(floor(l_quantity)) AS BIGINT) AS y, CAST(max(l_linenumber * 10 + 240) AS BIGINT) AS x2, arg_min(l_orderkey * 10 + l_linenumber, (abs(l_linenumber * 10 - 40) + abs(floor(l_quantity) - 25)) * 1000000000 + l_orderkey * 10 + l_linenumber) AS hit FROM lineitem GROUP BY l_suppkey")
-def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_linenumber") * 10).alias("x"), F.floor("l_quantity").alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    far = F.abs(F.col("x") - 40) + F.abs(F.col("y") - 25)
-    return boxes.groupBy("file").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + 240).cast("long").alias("x2"), F.min_by("id", F.struct(far, F.col("id"))).alias("hit"))
-
-
 # ---- objects and exports
 
 
@@ -516,20 +489,6 @@ def drawing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphics.drawings(drawn).drop("ops")
 
 
-@query(f"WITH {_PT} SELECT file_id, count(*) AS pages, min(CAST(doc_id AS VARCHAR)) FILTER (page_pos = 1) AS first_tag, md5(max(text) FILTER (page_pos = 1)) AS first_text FROM t GROUP BY file_id")
-def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sf, index = fx.print_pages(spark, sf_dir)
-    made = sinks.json_documents(tags.file_metadata(sf), fx.page_texts(sf, index), tags.tags(sf).withColumnRenamed("offset", "seq"))
-    got = lambda p: F.get_json_object("json", p)
-    return made.select("file_id", got("$.document.total_pages").cast("long").alias("pages"), got("$.metadata.tags[0].value").alias("first_tag"), F.md5(got("$.pages[0].text").cast("binary")).alias("first_text"))
-
-
-@query(f"WITH {_PT} SELECT file_id, count(*) AS sections FROM t GROUP BY file_id")
-def html_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sinks.html_documents(fx.page_texts(*fx.print_pages(spark, sf_dir)))
-    return made.select("file_id", F.regexp_count("html", F.lit('<section id="page-')).cast("long").alias("sections"))
-
-
 @query(f"WITH {_D}, c AS (SELECT file_id, count(*) AS n FROM p GROUP BY file_id) SELECT file_id, CAST((n + 6) // 7 + 1 AS BIGINT) AS entries, 'PK' AS magic FROM c")
 def zip_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = surgery.batch_split(*_opened(spark, sf_dir), 7)
@@ -559,8 +518,8 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.severity_counts(diagnostics.messages(fx.fields(spark, sf_dir), framing.corrupt_fields(files)))
 
 
-@query(f"WITH {_D} SELECT file_id, any_value(lang) AS lang, page_pos FROM pg WHERE page_pos % 5 = 0 GROUP BY file_id, page_pos")
+@query(f"WITH {_D} SELECT file_id, lang, page_pos FROM pg")
 def tag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sf, index = fx.print_pages(spark, sf_dir)
     placed = asof.tag_pages(tags.tags(sf).where("key = 'LANG'"), index, ["file_id"])
-    return placed.where("page_pos % 5 = 0").select("file_id", F.col("value").alias("lang"), "page_pos")
+    return placed.select("file_id", F.col("value").alias("lang"), "page_pos")
