@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import positions, snippet, trigrams
+from ..sources.tables import Shelf
 
 MOST, EDGE = 500, 30
 
@@ -44,10 +45,15 @@ def _narrowed(rows: DataFrame, posted: DataFrame | None, keys: list[str], query:
     return rows.join(candidates(posted, keys, query, scope), [*keys, "page_pos"], "left_semi")
 
 
+def _has(column: str, needle: str) -> Column:
+    """A blank query is in nothing."""
+    return F.contains(column, F.lit(needle)) if needle else F.lit(False)
+
+
 def text_hits(pages: DataFrame, keys: list[str], query: str, posted: DataFrame | None = None) -> DataFrame:
     """A row per occurrence: keys, page_pos, kind, tag_key, match_index, excerpt, seq."""
     needle = query.strip().lower()
-    rows = _narrowed(pages, posted, keys, query, "text").where(F.contains("text_lower", F.lit(needle)))
+    rows = _narrowed(pages, posted, keys, query, "text").where(_has("text_lower", needle))
     found = rows.select(*keys, "page_pos", "text", F.explode(positions(F.col("text_lower"), needle)).alias("at"))
     return found.select(*keys, "page_pos", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("tag_key"), F.col("at").cast("long").alias("match_index"), snippet(F.col("text"), F.col("at"), len(query), EDGE).alias("excerpt"), F.col("at").cast("long").alias("seq"))
 
@@ -55,7 +61,7 @@ def text_hits(pages: DataFrame, keys: list[str], query: str, posted: DataFrame |
 def tag_hits(tags: DataFrame, keys: list[str], query: str, posted: DataFrame | None = None) -> DataFrame:
     """A row per tag whose 'key = value' has the query."""
     needle = query.strip().lower()
-    rows = _narrowed(tags, posted, keys, query, "tag").where(F.contains("combined_lower", F.lit(needle)))
+    rows = _narrowed(tags, posted, keys, query, "tag").where(_has("combined_lower", needle))
     at = (F.locate(needle, F.col("combined_lower")) - 1).cast("long")
     return rows.select(*keys, "page_pos", F.lit("tag").alias("kind"), F.col("key").alias("tag_key"), at.alias("match_index"), F.col("combined").alias("excerpt"), F.col("seq").cast("long").alias("seq"))
 
@@ -74,7 +80,7 @@ def search(pages: DataFrame, tags: DataFrame, keys: list[str], query: str, kind:
 
 def element_search(nodes: DataFrame, query: str, order: list[str], most: int = 1000) -> DataFrame:
     """Elements whose search text (abbreviation, name, type, preview) has the query, in tree order."""
-    return nodes.where(F.contains("search_text", F.lit(query.strip().lower()))).orderBy(*order).limit(most)
+    return nodes.where(_has("search_text", query.strip().lower())).orderBy(*order).limit(most)
 
 
 def search_text(abbrev: Column, full_name: Column, type_id: Column, preview: Column) -> Column:
@@ -86,12 +92,23 @@ def hit_counts(hits: DataFrame) -> DataFrame:
 
 
 def neighbours(hits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """number, next_number and previous_number of each hit, going round."""
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return hits.withColumns({"number": i.cast("long"), "next_number": (F.pmod(i, n) + 1).cast("long"), "previous_number": (F.pmod(i - 2, n) + 1).cast("long")})
+    """number, next_number and previous_number of each hit, going round.
+
+    The hits are dealt by ranges of keys and order into a table; each range numbers its own, and how many
+    lie before it (a row a range and key) is added, so no key is numbered in one task.
+    """
+    spark = hits.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Shelf(spark) as shelf:
+        dealt = shelf.keep(shelf.put(hits.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id())))
+    key, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__of"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("__low"), F.sum("c").over(key).alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__part") == F.col("__of")]
+    i = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) + F.col("__low")
+    numbered = dealt.join(counts, same).withColumn("number", i.cast("long"))
+    n = F.col("__n")
+    return numbered.select(*hits.columns, "number", (F.col("number") % n + 1).cast("long").alias("next_number"), (F.pmod(F.col("number") - 2, n) + 1).cast("long").alias("previous_number"))
 
 
 def highlights(runs: DataFrame, query: str) -> DataFrame:

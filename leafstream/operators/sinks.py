@@ -76,43 +76,72 @@ def pdf_pages(pages: DataFrame) -> DataFrame:
     return pages.select("file_id", F.col("page_pos").cast("long").alias("page_pos"), F.col("width_pt").cast("double").alias("width_pt"), F.col("height_pt").cast("double").alias("height_pt"), "rgb", "px", "py").mapInArrow(run, "file_id string, page_pos bigint, pdf binary")
 
 
-def zip_bytes(parts: list[tuple[str, bytes]]) -> bytes:
-    """A ZIP (stored) of the parts and a manifest of their names and sizes."""
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
-        for name, content in parts:
-            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
-        listing = "".join(f"{name}\t{len(content)}\n" for name, content in parts)
-        archive.writestr(zipfile.ZipInfo("_manifest.txt", (1980, 1, 1, 0, 0, 0)), listing)
-    return buffer.getvalue()
+class _Archive:
+    """A ZIP (stored) that grows part by part and ends with a manifest of names and sizes."""
+
+    def __init__(self):
+        self.buffer = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_STORED)
+        self.listing: list[str] = []
+
+    def add(self, name: str, content: bytes) -> None:
+        self.zip.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+        self.listing.append(f"{name}\t{len(content)}\n")
+
+    def close(self) -> bytes:
+        self.zip.writestr(zipfile.ZipInfo("_manifest.txt", (1980, 1, 1, 0, 0, 0)), "".join(self.listing))
+        self.zip.close()
+        return self.buffer.getvalue()
 
 
 def zip_parts(parts: DataFrame) -> DataFrame:
-    """file_id and zip of parts(file_id, part, name, content), in order of part."""
+    """file_id and zip of parts(file_id, part, name, content), in order of part.
 
-    def run(frame):
-        import pandas as pd
+    A file's parts come sorted and go into its archive one by one: a task holds an archive and a batch.
+    """
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = parts.select("file_id", "part", "name", "content").repartition(n, "file_id").sortWithinPartitions("file_id", "part")
 
-        ordered = frame.sort_values("part")
-        return pd.DataFrame({"file_id": [frame["file_id"].iloc[0]], "zip": [zip_bytes(list(zip(ordered["name"], map(bytes, ordered["content"]), strict=True)))]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, archive = None, None
 
-    return parts.select("file_id", "part", "name", "content").groupBy("file_id").applyInPandas(run, "file_id string, zip binary")
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([archive.close()], pa.binary())], names=["file_id", "zip"])
+
+        for batch in batches:
+            for file, name, content in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if archive is None or file != now:
+                    if archive is not None:
+                        yield done()
+                    now, archive = file, _Archive()
+                archive.add(name, content.as_py())
+        if archive is not None:
+            yield done()
+
+    return ordered.mapInArrow(run, "file_id string, zip binary")
 
 
 def write_files(parts: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
-    """Writes every part as a file of the folder (a local or mounted path) from the executors; name, n_bytes."""
-    import os
+    """Writes every part as a file of the folder (a path or a store's address) from the executors; name, n_bytes.
+
+    Separators in a name are written as %2F, so names stay apart.
+    """
+    import re
+    import uuid
+
+    import pyarrow.fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
+        system, root = pyarrow.fs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9]+:/", folder) else (pyarrow.fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             done = []
             for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                safe = n.replace("/", "_").replace("\\", "_").replace("\0", "_")
-                passing = os.path.join(folder, f".{safe}.{os.getpid()}")
-                with open(passing, "wb") as f:
+                safe = re.sub(r"[/\\\0%]", lambda m: f"%{ord(m[0]):02X}", n)
+                passing = f"{root}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(passing) as f:
                     f.write(c)
-                os.replace(passing, os.path.join(folder, safe))  # a task that runs twice leaves one whole file
+                system.move(passing, f"{root}/{safe}")  # a task that runs twice leaves one whole file
                 done.append((safe, len(c)))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["name", "n_bytes"])

@@ -50,9 +50,18 @@ def _u16(value: Column | int) -> Column:
     return number(F.lit(value) if isinstance(value, int) else value, 2)
 
 
-_SIZE = F.col("p_size")
-_RGB = F.concat(*[number(F.col("p_size") + i, 1) for i in range(3)])
-_KEYED = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+def _size() -> Column:
+    return F.col("p_size")
+
+
+def _rgb() -> Column:
+    return F.concat(*[number(_size() + i, 1) for i in range(3)])
+
+
+def _keyed() -> Column:
+    return F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+
+
 _RUN = ["p_partkey", "run_no", "x", "y", "text", "font_id", "font_size", "bold", "orientation", "r", "g", "b"]
 
 
@@ -63,8 +72,8 @@ UNION ALL SELECT p_partkey, 2, p_size * 20 + CAST(floor(length(t2) * (10.0::DOUB
 def text_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chained controls: places, steps, fonts (bold by the page's fonts), colors, a rotated run that goes on."""
     data = F.concat(
-        hexed("2BD3"), _control("C7", _u16(_SIZE * 10)), _control("D2", _u16(_SIZE + 200)), _control("F1", number(_SIZE % 7, 1)), _control("80", _RGB), _control("DB", ebcdic.encode(F.col("p_brand"))),
-        _control("D3", _u16(_SIZE)), _control("D8"), _control("C0", _u16(_SIZE * 20)), _control("DB", ebcdic.encode(_KEYED)), _control("F6", hexed("2D00")),
+        hexed("2BD3"), _control("C7", _u16(_size() * 10)), _control("D2", _u16(_size() + 200)), _control("F1", number(_size() % 7, 1)), _control("80", _rgb()), _control("DB", ebcdic.encode(F.col("p_brand"))),
+        _control("D3", _u16(_size())), _control("D8"), _control("C0", _u16(_size() * 20)), _control("DB", ebcdic.encode(_keyed())), _control("F6", hexed("2D00")),
         _control("DB", ebcdic.encode(F.col("p_name"))), _control("C5", hexed("00")), _control("DB", ebcdic.encode(F.col("p_brand"))),
     )
     blocks = _part(spark, sf_dir).select("p_partkey", data.alias("data"), F.array(F.lit(0), F.lit(3)).alias("bold_ids"))
@@ -78,9 +87,9 @@ def text_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The UTF-16 dialect, told by its first text; styles set size, weight and color."""
     wide = lambda t: F.encode(t, "UTF-16BE")
     data = F.concat(
-        hexed("2BD3"), _control("C7", _u16(_SIZE * 10)), _control("D3", _u16(_SIZE + 200)), _control("F1", hexed("02")), _control("DB", wide(F.concat("p_brand", F.lit(" unicode")))),
-        _control("E5", hexed("0101")), _control("80", _RGB), _control("DB", wide(F.concat(F.lit("\u0007é"), F.col("p_partkey").cast("string")))),
-        _control("C7", _u16(_SIZE)), _control("D3", _u16(9)), _control("F1", hexed("01")), _control("DB", wide(F.lit("end"))),
+        hexed("2BD3"), _control("C7", _u16(_size() * 10)), _control("D3", _u16(_size() + 200)), _control("F1", hexed("02")), _control("DB", wide(F.concat("p_brand", F.lit(" unicode")))),
+        _control("E5", hexed("0101")), _control("80", _rgb()), _control("DB", wide(F.concat(F.lit("\u0007é"), F.col("p_partkey").cast("string")))),
+        _control("C7", _u16(_size())), _control("D3", _u16(9)), _control("F1", hexed("01")), _control("DB", wide(F.lit("end"))),
     )
     return _long(ptoca.text_runs(_part(spark, sf_dir).select("p_partkey", data.alias("data"))).select(*_RUN))
 
@@ -97,7 +106,7 @@ def text_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The escape dialect: absolute and relative moves, line steps, colors, rules, repeats, both forms of framing."""
     text = lambda t: ebcdic.encode(F.lit(t) if isinstance(t, str) else t)
     data = F.concat(
-        text("AB"), _escape("C0", _u16(_SIZE * 10)), _escape("D2", _u16(300)), _escape("C8", hexed("FFFB")), _escape("D4", hexed("0007")), _escape("80", F.concat(hexed("0001"), _RGB)), _escape("10", number(_SIZE % 7, 1)),
+        text("AB"), _escape("C0", _u16(_size() * 10)), _escape("D2", _u16(300)), _escape("C8", hexed("FFFB")), _escape("D4", hexed("0007")), _escape("80", F.concat(hexed("0001"), _rgb())), _escape("10", number(_size() % 7, 1)),
         _escape("DA", text(F.col("p_brand"))), _escape("D0", _u16(50)), _escape("D8"), _escape("E4", hexed("00C80003")), _escape("E6", hexed("005A0002")), _escape("EE", F.concat(_u16(3), text("*"))), _escape("F8", hexed("0000")),
         _escape("80", hexed("02")), _escape("F6", hexed("00B40000")), hexed("2BD3"), _u16(4), hexed("DA"), text("Z"), _escape("80", hexed("0004090000")), text("END"),
     )
@@ -119,10 +128,10 @@ ELSE {_hex_of("CASE WHEN (i // w * 3 + i % w + p_size) % 3 = 0 THEN '000000FF' E
 SELECT p_partkey, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, md5(s) AS pixels FROM x""")
 def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gray, RGB, one-bit and fax images by their descriptors: decoded to RGBA."""
-    kind = _SIZE % 4
+    kind = _size() % 4
     depth = F.when(kind < 2, hexed("039608")).otherwise(hexed("039601"))
     model = F.when(kind == 1, hexed("04970001")).when(kind == 0, hexed("04970003")).otherwise(hexed("04970000"))
-    described = F.concat(hexed("000000F000F0"), hexed("0694"), _u16(_SIZE % 5 + 3), _u16(4), F.when(kind == 3, hexed("039502")).otherwise(hexed("039500")), depth, model)
+    described = F.concat(hexed("000000F000F0"), hexed("0694"), _u16(_size() % 5 + 3), _u16(4), F.when(kind == 3, hexed("039502")).otherwise(hexed("039500")), depth, model)
     made = _part(spark, sf_dir).select("p_partkey", "p_size", described.alias("described"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +152,9 @@ def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, md5({_hex_of("printf('%02X', ((i + w) * 5 + p_size) % 100)", "w * h")}) AS pixels FROM p""")
 def raster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster images of 8 bits a pixel in bands: a cell header with size fields and a band that goes with it, then marked rows."""
-    width = _SIZE % 6 + 4
+    width = _size() % 6 + 4
     head = F.concat(hexed("70000000009408000BB80BB8"), _u16(width), hexed("00960108"))
-    row = lambda y: F.concat(hexed("FE920000"), wire.joined(F.transform(F.sequence(F.lit(0), width - 1), lambda x: number(F.pmod((x + y * width) * 5 + _SIZE, F.lit(100)), 1))))
+    row = lambda y: F.concat(hexed("FE920000"), wire.joined(F.transform(F.sequence(F.lit(0), width - 1), lambda x: number(F.pmod((x + y * width) * 5 + _size(), F.lit(100)), 1))))
     made = _part(spark, sf_dir).select("p_partkey", F.concat(head, *[row(y) for y in range(3)]).alias("data"))
     return _long(images.decoded(made).select("p_partkey", "width", "height", F.md5(F.hex("pixels").cast("binary")).alias("pixels")))
 
@@ -184,7 +193,7 @@ SELECT p_partkey, '101' || array_to_string([CASE WHEN substr(sets[n[1] + 1], i,
 '1010' || array_to_string([array_to_string([(CASE WHEN substr(w[CAST(substr(e, 2 * j + 1, 1) AS INTEGER) + 1], k, 1) = 'w' THEN '111' ELSE '1' END) || (CASE WHEN substr(w[CAST(substr(e, 2 * j + 2, 1) AS INTEGER) + 1], k, 1) = 'w' THEN '000' ELSE '0' END) FOR k IN range(1, 6)], '') FOR j IN range(0, 7)], '') || '11101' AS i25 FROM d""")
 def barcode_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All modules of EAN-13 and interleaved 2 of 5 (an odd number of digits)."""
-    text = F.lpad((F.lit(10**12) * (_SIZE % 10) + F.col("p_partkey") * 7919).cast("string"), 13, "0")
+    text = F.lpad((F.lit(10**12) * (_size() % 10) + F.col("p_partkey") * 7919).cast("string"), 13, "0")
     return _part(spark, sf_dir).select("p_partkey", barcodes.ean13(text).alias("ean13"), barcodes.interleaved(text).alias("i25"))
 
 
@@ -197,16 +206,16 @@ SELECT p_partkey, md5(array_to_string([c39[substr(t, i, 1)] || '0' FOR i IN rang
 md5(c128[105] || array_to_string([c128[k + 1] FOR k IN n], '') || c128[CAST((104 + list_sum([n[i] * i FOR i IN range(1, len(n) + 1)])) % 103 + 1 AS BIGINT)] || '1100011101011') AS code128 FROM x""")
 def barcode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All modules of Code 39 and Code 128."""
-    text = F.concat(_KEYED, F.col("p_type"))
+    text = F.concat(_keyed(), F.col("p_type"))
     return _part(spark, sf_dir).select("p_partkey", F.md5(barcodes.code39(text).cast("binary")).alias("code39"), F.md5(barcodes.code128(text).cast("binary")).alias("code128"))
 
 
 @query(longs("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ean13' WHEN 1 THEN 'code39' WHEN 2 THEN 'qr' ELSE 'code128' END AS kind, CASE WHEN p_size % 5 = 0 THEN 10 ELSE p_size % 5 END AS module_width,
 CAST(p_size * 10 AS BIGINT) AS bar_height, p_size % 2 = 1 AS human_readable, CASE p_size % 3 WHEN 0 THEN 90 WHEN 1 THEN 180 ELSE 0 END AS orientation, p_size % 16 AS color FROM part""", "module_width orientation color"))
 def barcode_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*[hexed(h) for h in ("08", "01", "20", "FF")]), (_SIZE % 4 + 1).cast("int"))
-    turn = F.element_at(F.array(*[hexed(h) for h in ("5A", "B4", "00")]), (_SIZE % 3 + 1).cast("int"))
-    data = F.concat(kind, number(_SIZE % 5, 1), _u16(_SIZE * 10), hexed("03"), number(_SIZE, 1), turn, number(_SIZE % 16, 1))
+    kind = F.element_at(F.array(*[hexed(h) for h in ("08", "01", "20", "FF")]), (_size() % 4 + 1).cast("int"))
+    turn = F.element_at(F.array(*[hexed(h) for h in ("5A", "B4", "00")]), (_size() % 3 + 1).cast("int"))
+    data = F.concat(kind, number(_size() % 5, 1), _u16(_size() * 10), hexed("03"), number(_size(), 1), turn, number(_size() % 16, 1))
     return _names(_part(spark, sf_dir).select("p_partkey", data.alias("d")), barcodes.descriptor(F.col("d")), "p_partkey")
 
 
@@ -217,8 +226,8 @@ def barcode_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object positions in both layouts: from the first byte, or one further on."""
     key = F.col("p_partkey")
-    plain = F.concat(number(key, 3), number(_SIZE, 3), number(F.lit(100), 3), number(F.lit(50), 3), hexed("00"))
-    late = F.concat(hexed("FF"), number(key + 5, 3), number(_SIZE + 1, 3), number(F.lit(200), 3), number(F.lit(60), 3))
+    plain = F.concat(number(key, 3), number(_size(), 3), number(F.lit(100), 3), number(F.lit(50), 3), hexed("00"))
+    late = F.concat(hexed("FF"), number(key + 5, 3), number(_size() + 1, 3), number(F.lit(200), 3), number(F.lit(60), 3))
     return _names(_part(spark, sf_dir).select("p_partkey", F.when(key % 2 == 0, plain).otherwise(late).alias("d")), resources.object_position(F.col("d")), "p_partkey")
 
 
@@ -232,13 +241,13 @@ greatest(1, least(16384, CAST(floor(p_size * 1000 / 1440.0::DOUBLE * 96 + 0.5) A
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, angles, colors, names, image kinds and scales."""
     kinds = ("FFD8FF", "89504E47", "474946", "424D", "49492A00", "25504446", "000000")
-    head = F.element_at(F.array(*[hexed(k) for k in kinds]), (_SIZE % 7 + 1).cast("int"))
-    box = compose.image_box(_SIZE, _SIZE, F.lit(300), F.lit(2.0))
+    head = F.element_at(F.array(*[hexed(k) for k in kinds]), (_size() % 7 + 1).cast("int"))
+    box = compose.image_box(_size(), _size(), F.lit(300), F.lit(2.0))
     return _names(_part(spark, sf_dir), {
-        "pages": scalars.estimated_pages(_SIZE * 1500), "zoom": scalars.clamp_zoom(_SIZE * 20), "points": scalars.to_points(_SIZE * 240, 300), "turned": scalars.orientation_from_degrees(_SIZE * 37 % 400),
-        "css": scalars.css_color(_SIZE, _SIZE + 1, F.lit(0)), "sniffed": scalars.image_kind(head), "b64": F.base64(F.col("p_brand").cast("binary")), "safe": scalars.safe_name(F.concat("p_name", F.lit("/"), "p_brand", F.lit(":1.afp"))),
-        "stem": scalars.file_stem(F.concat("p_name", F.lit(".AFP2"))), "part_name": scalars.part_name(F.col("p_name"), _SIZE, F.lit(7)), "px": ptoca.pixel_font(_SIZE), "thumb": compose.thumbnail_scale(_SIZE * 10, F.lit(100)),
-        "image_w": box["w"], "canvas_w": compose.canvas(_SIZE * 1000, _SIZE, F.lit(1440))["canvas_width"], "cut": F.length(F.substring("p_name", 1, 10)) > 9,
+        "pages": scalars.estimated_pages(_size() * 1500), "zoom": scalars.clamp_zoom(_size() * 20), "points": scalars.to_points(_size() * 240, 300), "turned": scalars.orientation_from_degrees(_size() * 37 % 400),
+        "css": scalars.css_color(_size(), _size() + 1, F.lit(0)), "sniffed": scalars.image_kind(head), "b64": F.base64(F.col("p_brand").cast("binary")), "safe": scalars.safe_name(F.concat("p_name", F.lit("/"), "p_brand", F.lit(":1.afp"))),
+        "stem": scalars.file_stem(F.concat("p_name", F.lit(".AFP2"))), "part_name": scalars.part_name(F.col("p_name"), _size(), F.lit(7)), "px": ptoca.pixel_font(_size()), "thumb": compose.thumbnail_scale(_size() * 10, F.lit(100)),
+        "image_w": box["w"], "canvas_w": compose.canvas(_size() * 1000, _size(), F.lit(1440))["canvas_width"], "cut": F.length(F.substring("p_name", 1, 10)) > 9,
     }, "p_partkey")
 
 
@@ -250,14 +259,18 @@ def _files(spark: SparkSession, sf_dir: str, content: Column) -> DataFrame:
 
 
 def _case(*variants: Column) -> Column:
-    made = F.when(_SIZE % len(variants) == 0, variants[0])
+    made = F.when(_size() % len(variants) == 0, variants[0])
     for i, v in enumerate(variants[1:], 1):
-        made = made.when(_SIZE % len(variants) == i, v)
+        made = made.when(_size() % len(variants) == i, v)
     return made
 
 
-_PAGE = F.concat(field("D3A8AD"), field("D3A9AD"))
-_DOC = lambda *parts: F.concat(field("D3A8A8"), *parts, field("D3A9A8"))
+def _page() -> Column:
+    return F.concat(field("D3A8AD"), field("D3A9AD"))
+
+
+def _document(*parts: Column) -> Column:
+    return F.concat(field("D3A8A8"), *parts, field("D3A9A8"))
 
 
 @query("""WITH f AS (SELECT 'p' || p_partkey AS file_id, p_size % 6 AS k FROM part), m AS (
@@ -272,8 +285,8 @@ def diagnostics_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of files with bytes before the first field, without a document, with composite pages, unknown types, lacking and idle resources, corrupt fields."""
     brs = F.concat(field("D3A8AF"), field("D3A9AF"))
     files = _files(spark, sf_dir, _case(
-        F.concat(hexed("00"), _DOC(_PAGE)), _PAGE, _DOC(field("D3A8AD"), brs, brs, field("D3A9AD")), _DOC(field("D3FFFF"), _PAGE),
-        _DOC(field("D3A8CE", name8(F.lit("UNUSED01"))), field("D3A8AD"), field("D3AF5F", name8(F.lit("MISSING1"))), field("D3A9AD")), _DOC(_PAGE, hexed("5A000100")),
+        F.concat(hexed("00"), _document(_page())), _page(), _document(field("D3A8AD"), brs, brs, field("D3A9AD")), _document(field("D3FFFF"), _page()),
+        _document(field("D3A8CE", name8(F.lit("UNUSED01"))), field("D3A8AD"), field("D3AF5F", name8(F.lit("MISSING1"))), field("D3A9AD")), _document(_page(), hexed("5A000100")),
     ))
     said = diagnostics.messages(framing.frames(files), framing.corrupt_fields(files))
     return said.select("file_id", "seq", "severity", "message", "offset")
@@ -303,7 +316,7 @@ def page_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(_u16(18), inner)
 
     light, bold, heavy = field("D3AB8A", F.concat(group(5, "C0FL0001"), group(6, "C0FX0001"))), field("D3AB8A", F.concat(group(5, "C0FB0001"), group(6, "C0FL0001"))), field("D3AB8A", group(6, "C0FH0001"))
-    files = _files(spark, sf_dir, _case(_DOC(light, _PAGE, bold, _PAGE), _DOC(light, bold, _PAGE, _PAGE), _DOC(bold, _PAGE, heavy, _PAGE)))
+    files = _files(spark, sf_dir, _case(_document(light, _page(), bold, _page()), _document(light, bold, _page(), _page()), _document(bold, _page(), heavy, _page())))
     sf = framing.frames(files)
     found = resources.page_fonts(pages.page_index(sf), tags.coded_fonts(sf))
     return found.select("file_id", "page_pos", F.array_join(F.array_sort("bold_ids"), ",").alias("bold"))
@@ -323,7 +336,7 @@ def held_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("D3A8CE", n("BOX00002")), field("D3A8DF", n("OVL00001")), field("D3EEBB", raw("two")), field("D3A9DF"), field("D3A9CE"),
     )
     late = F.concat(field("D3A8DF", n("LATE")), field("D3EEBB", raw("late")), field("D3A9DF"))
-    sf = framing.frames(_files_with(spark, sf_dir, F.concat(front, _DOC(_PAGE, late)), "p_brand"))
+    sf = framing.frames(_files_with(spark, sf_dir, F.concat(front, _document(_page(), late)), "p_brand"))
     kinds = {"inline": resources.inline_images(sf), "raster": resources.raster_images(sf), "segment": resources.segments(sf), "overlay": resources.overlays(sf)}
     parts = [t.select("file_id", F.lit(k).alias("kind"), "name", F.md5("data").alias("data")) for k, t in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -339,9 +352,9 @@ def included_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Included images at the place that their parameters tell (6 to 9 inches from the left), or at the usual one."""
     n = name8(F.lit("IMG00001"))
     inline = F.concat(field("D3A892", n), field("D3EE92", F.concat(F.lit("img").cast("binary"), F.col("p_brand").cast("binary"))), field("D3A992"))
-    told, untold = field("D3AFC3", F.concat(n, number(_SIZE + 8650, 3))), field("D3AFC3", F.concat(n, hexed("000001")))
+    told, untold = field("D3AFC3", F.concat(n, number(_size() + 8650, 3))), field("D3AFC3", F.concat(n, hexed("000001")))
     other = field("D3AFC3", name8(F.lit("NOTHING")))
-    sf = framing.frames(_files_with(spark, sf_dir, F.concat(inline, _DOC(field("D3A8AD"), told, untold, other, field("D3A9AD"))), "p_brand"))
+    sf = framing.frames(_files_with(spark, sf_dir, F.concat(inline, _document(field("D3A8AD"), told, untold, other, field("D3A9AD"))), "p_brand"))
     found = resources.included_objects(sf, resources.inline_images(sf))
     return found.select("file_id", F.col("x").cast("long").alias("x"), F.md5("data").alias("data"))
 
@@ -353,7 +366,7 @@ _NEST = "5A0008D3A8AD000000" "5A0008D3A89B000000" "5A0008D3A99B000000" "5A0008D3
 SELECT file_id, unnest([0, 9, 18]) AS "offset", unnest([54, 36, 18]) AS n_bytes, unnest([md5('5A0008D3A8A8000000{_NEST}5A0008D3A9A8000000'), md5('{_NEST}'), md5('{_NEST[18:54]}')]) AS content, unnest([0, 1, 2]) AS depth FROM f""", '"offset" n_bytes depth'))
 def subtree_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each element with all inside it, cut from the file."""
-    files = _files(spark, sf_dir, _DOC(field("D3A8AD"), field("D3A89B"), field("D3A99B"), field("D3A9AD")))
+    files = _files(spark, sf_dir, _document(field("D3A8AD"), field("D3A89B"), field("D3A99B"), field("D3A9AD")))
     sf = framing.frames(files)
     t = F.col("type_id")
     tree = nesting.subtrees(sf, ["file_id"], ["offset"], is_begin(t), is_end(t), "offset", F.col("offset") + 1 + F.col("length"))
@@ -365,8 +378,8 @@ def subtree_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_id, 'CP000001' AS name, CAST(8364 AS BIGINT) AS at_f0, CAST(1000 + p_size AS BIGINT) AS at_b1, CAST(65 AS BIGINT) AS at_c1, CAST(65533 AS BIGINT) AS at_00 FROM f""")
 def embedded_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code pages in a file's resources: index entries, then the usual letters where they say nothing."""
-    entries = F.concat(hexed("06" + "00" + "20AC" + "F0" + "00"), hexed("0600"), _u16(_SIZE + 1000), hexed("B100"))
-    files = _files(spark, sf_dir, F.concat(field("D3A889", name8(F.lit("CP000001"))), field("D3AC89", entries), field("D3A989"), _DOC(_PAGE)))
+    entries = F.concat(hexed("06" + "00" + "20AC" + "F0" + "00"), hexed("0600"), _u16(_size() + 1000), hexed("B100"))
+    files = _files(spark, sf_dir, F.concat(field("D3A889", name8(F.lit("CP000001"))), field("D3AC89", entries), field("D3A989"), _document(_page())))
     found = codepages.embedded(framing.frames(files))
     at = lambda i: F.get("mapping", F.lit(i)).cast("long")
     return found.select("file_id", "name", at(0xF0).alias("at_f0"), at(0xB1).alias("at_b1"), at(0xC1).alias("at_c1"), at(0).alias("at_00"))
@@ -376,9 +389,9 @@ def embedded_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_id, ['C0FL0070', 'C0FM00I0', 'T1000500'][k + 1] AS name, ['Latin', 'Math/Symbol', 'Code Page'][k + 1] AS type, ['Medium', 'Std Italic', '—'][k + 1] AS weight, CASE WHEN k < 2 THEN 'FAMILY' ELSE '' END AS family, ['', '', 'CP500 (Intl)'][k + 1] AS code_page FROM f""")
 def font_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fonts' inventory by container; a container that comes again counts once."""
-    name = F.element_at(F.array(*[F.lit(n) for n in ("C0FL0070", "C0FM00I0", "T1000500")]), (_SIZE % 3 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(n) for n in ("C0FL0070", "C0FM00I0", "T1000500")]), (_size() % 3 + 1).cast("int"))
     one = F.concat(field("D3A8CE", name8(name)), field("D3A689", ebcdic.encode(F.rpad(F.lit("FAMILY"), 32, " "))), field("D3A9CE"))
-    return codepages.font_containers(framing.frames(_files(spark, sf_dir, F.concat(one, one, _DOC(_PAGE)))))
+    return codepages.font_containers(framing.frames(_files(spark, sf_dir, F.concat(one, one, _document(_page())))))
 
 
 @query("""WITH f AS (SELECT 'p' || p_partkey AS file_id, p_size FROM part)
@@ -398,10 +411,10 @@ def context_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_id, 'NAME' || p_size AS first_name, CAST(1000 + p_size AS BIGINT) AS page_no, 'NAME' || p_size AS preview, '...' || p_size AS raw FROM f""")
 def triplet_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in fully-qualified-name triplets, sequence numbers, previews as text or as ASCII with dots."""
-    name = F.concat(F.lit("NAME"), _SIZE.cast("string"))
+    name = F.concat(F.lit("NAME"), _size().cast("string"))
     named = F.concat(number(F.length(name) + 4, 1), hexed("02FF00"), ebcdic.encode(name))
-    paged = F.concat(hexed("0662"), number(_SIZE + 1000, 4))
-    raw = F.concat(hexed("000102"), _SIZE.cast("string").cast("binary"))
+    paged = F.concat(hexed("0662"), number(_size() + 1000, 4))
+    raw = F.concat(hexed("000102"), _size().cast("string").cast("binary"))
     made = _part(spark, sf_dir).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.concat(named, paged).alias("d"), ebcdic.encode(name).alias("t"), raw.alias("r"))
     return made.select("file_id", F.get(tags.resource_names(F.col("d")), F.lit(0)).alias("first_name"), tags.page_sequence(F.col("d")).alias("page_no"), tags.data_preview(F.col("t")).alias("preview"), tags.data_preview(F.col("r")).alias("raw"))
 
@@ -411,7 +424,7 @@ SELECT file_id, unnest(['range', 'range', 'toggled', 'toggled', 'inverted', 'all
 def page_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges, toggles, inversion and all of a file's pages; pages with a second text block."""
     block = F.concat(field("D3A89B"), field("D3A99B"))
-    sf = framing.frames(_files(spark, sf_dir, _DOC(F.concat(field("D3A8AD"), block, block, field("D3A9AD")), _PAGE, F.concat(field("D3A8AD"), block, field("D3A9AD")))))
+    sf = framing.frames(_files(spark, sf_dir, _document(F.concat(field("D3A8AD"), block, block, field("D3A9AD")), _page(), F.concat(field("D3A8AD"), block, field("D3A9AD")))))
     index = pages.page_index(sf)
     some = selection.between(index, 3, 2)
     toggled = selection.toggled(some, selection.everything(index).where("page_pos IN (1, 3)"))

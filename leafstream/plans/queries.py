@@ -9,7 +9,7 @@ from ..functions import ebcdic, scalars
 from ..operators import asof, barcodes, diagnostics, graphics, islands, nesting, pages, ptoca, resources, search, sinks, surgery, tags
 from ..sources import framing, wire
 from ..sources.type_dim import with_type_names
-from . import decoding, exports  # noqa: F401  (list their queries)
+from . import decoding, exports, stores  # noqa: F401  (list their queries)
 from . import fixtures as fx
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .registry import DOCUMENTS as _D

@@ -1,80 +1,117 @@
 """A data source ``printstream``: structured fields of files, framed in byte-range splits.
 
-A split starts at the first place that looks like a field and is followed by two more; the chain from
-there is walked to the split's end.  Where chains of neighbouring splits don't meet, the later split
-is walked again from where the earlier ended, so the rows are those of a sequential walk.
+What follows a byte depends on later bytes only, and no field is longer than LONGEST.  So of the places
+that the walk from the file's beginning attends to, one lies in any stretch of that length (or is the
+first 5A behind it).  A split walks from every 5A of such a stretch before its start; chains meet soon, and
+where all have met is where the sequential walk goes on.  If they haven't, it begins further back, at
+the file's beginning at last.  So every split finds its own start, in its task, exactly; the driver lists
+names and sizes only.  Files are read through pyarrow's file systems (local paths and the stores it knows).
 
     spark.dataSource.register(PrintStream)
     spark.read.format("printstream").option("splitBytes", 64 << 20).load("/folder/*.bin")
+
+The rows have no sf_no: a number in file order would need the splits before; offset orders the fields.
 """
 
 from __future__ import annotations
 
-import glob
-import mmap
+import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .framing import HEADER, LONGEST, SCHEMA, SHORTEST, _batch, columns, walk
+from .framing import HEADER, LONGEST, MAGIC, SCHEMA, SHORTEST, _batch, columns, walk
 
 SPLIT = 64 << 20
+COLUMNS = ", ".join(c for c in SCHEMA.split(", ") if not c.startswith("sf_no"))
+
+
+class Window:
+    """A stretch of a file that grows at its front; places are those of the file."""
+
+    def __init__(self, read, size: int, start: int, end: int):
+        self.read, self.size, self.low, self.high = read, size, start, min(end, size)
+        self.data = read(start, self.high - start)
+
+    def back_to(self, low: int) -> None:
+        self.data, self.low = self.read(low, self.low - low) + self.data, low
 
+    def find(self, start: int) -> int:
+        """The first 5A at or behind start, or -1."""
+        at = self.data.find(b"\x5a", start - self.low)
+        return at + self.low if at >= 0 else -1
 
-def plausible(content, at: int, depth: int = 2) -> bool:
-    """Whether a field with a usual type starts here and so do depth more behind it."""
-    size = len(content)
-    for _ in range(depth + 1):
-        if at == size:
-            return True
-        if at + HEADER > size or content[at] != 0x5A or content[at + 3] != 0xD3:
-            return False
-        length = content[at + 1] << 8 | content[at + 2]
+    def following(self, at: int) -> int:
+        """The 5A that the walk attends to behind the one at at, or -1."""
+        i = at - self.low
+        if at + HEADER > self.size or i + HEADER > len(self.data):
+            return -1
+        length = self.data[i + 1] << 8 | self.data[i + 2]
         if not SHORTEST <= length <= LONGEST:
-            return False
-        at += 1 + length
-    return True
-
-
-def entry(content, start: int, end: int) -> int:
-    """The first plausible field in a split, or its end."""
-    if start == 0:
-        return 0
-    at = content.find(b"\x5a", start, end)
-    while at >= 0:
-        if plausible(content, at):
-            return at
-        at = content.find(b"\x5a", at + 1, end)
-    return end
-
-
-def exit_of(content, start: int, end: int) -> int:
-    """Where the chain from start first passes end."""
-    last = start
-    for at, length, _ in walk(content, start, end):
-        last = at + 1 + length
-    return max(last, end) if last > start else end
-
-
-def stitched(content, split: int) -> list[tuple[int, int]]:
-    """(entry, end) of each split such that walking them gives the sequential walk."""
-    size = len(content)
-    bounds = [(a, min(a + split, size)) for a in range(0, size, split)]
-    out, due = [], 0
-    for a, b in bounds:
-        first = entry(content, a, b) if out else 0
-        if out and first != due:
-            first = max(due, a)  # a false start, or none: go on from where the split before ended
-        out.append((first, b))
-        due = max(exit_of(content, first, b), b) if first < b else max(due, first)
-    return out
+            return self.find(at + 1)
+        behind = at + 1 + length
+        if behind - self.low < len(self.data) and self.data[behind - self.low] == MAGIC:
+            return behind
+        return self.find(behind)
+
+
+def first_due(window: Window, start: int) -> int:
+    """The place at or behind start that the walk from the file's beginning attends to first, or -1."""
+    back = 4 * LONGEST
+    while True:
+        low = max(0, start - back)
+        if low < window.low:
+            window.back_to(low)
+        if low == 0:
+            todo = [window.find(0)]
+        else:
+            todo, at = [], window.find(low)
+            while at >= 0:
+                todo.append(at)
+                if at > low + LONGEST:
+                    break
+                at = window.find(at + 1)
+        seen, ends = set(), set()
+        for at in todo:
+            while 0 <= at < start and at not in seen:
+                seen.add(at)
+                at = window.following(at)
+            if at not in seen:
+                ends.add(at)
+        if len(ends) == 1:
+            return ends.pop()
+        if not ends or low == 0:
+            return -1
+        back *= 4
 
 
 class Split(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, size: int, start: int, end: int):
+        self.path, self.size, self.start, self.end = path, size, start, end
+
+
+def _system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    if re.match(r"[a-z0-9]+:/", path):
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def _listed(pattern: str) -> list[tuple[str, int]]:
+    """(path, size) of the files that a path with wildcards in its last part, or a folder, names."""
+    system, path = _system(pattern)
+    prefix = pattern[: len(pattern) - len(path)] if pattern.endswith(path) else ""
+    if any(c in os.path.basename(path) for c in "*?["):
+        found = system.get_file_info(pyarrow.fs.FileSelector(os.path.dirname(path)))
+        found = [f for f in found if fnmatch.fnmatch(f.base_name, os.path.basename(path))]
+    else:
+        found = [system.get_file_info(path)]
+        if found[0].type == pyarrow.fs.FileType.Directory:
+            found = system.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
+    return [(prefix + f.path, f.size) for f in sorted(found, key=lambda f: f.path) if f.type == pyarrow.fs.FileType.File]
 
 
 class PrintStreamReader(DataSourceReader):
@@ -84,44 +121,40 @@ class PrintStreamReader(DataSourceReader):
         self.types: set[str] | None = None
 
     def pushFilters(self, filters):
-        """Types are filtered while framing; everything else is left to Spark."""
+        """Types are filtered while framing; everything is also left to Spark."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("type_id",):
-                self.types = {f.value} & (self.types or {f.value})
-            elif isinstance(f, In) and f.attribute == ("type_id",):
-                self.types = set(f.value) & (self.types or set(f.value))
+            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("type_id",) else set(f.value) if isinstance(f, In) and f.attribute == ("type_id",) else None
+            if wanted is not None:
+                self.types = wanted if self.types is None else self.types & wanted
             yield f
 
     def partitions(self) -> list[Split]:
-        out = []
-        for path in sorted(p for pattern in self.paths.split(",") for p in glob.glob(pattern.removeprefix("file://"))):
-            size = os.path.getsize(path)
-            if size <= self.split:
-                out.append(Split(path, 0, size))
-            elif size:
-                with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as content:
-                    out += [Split(path, a, b) for a, b in stitched(content, self.split) if a < b]
-        return out
+        return [Split(path, size, at, min(at + self.split, size)) for pattern in self.paths.split(",") for path, size in _listed(pattern) for at in range(0, size, self.split)]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        if partition.start >= partition.end:
+        system, path = _system(partition.path)
+        with system.open_input_file(path) as f:
+            window = Window(lambda at, n: f.read_at(n, at), partition.size, partition.start, partition.end + LONGEST + HEADER + 1)
+            due = first_due(window, partition.start) if partition.start else 0
+        if due < 0 or due >= partition.end:
             return
-        with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as content:
-            name, spans = os.path.basename(partition.path), []
-            wanted = None if self.types is None else {bytes.fromhex(t) for t in self.types}
-            for span in walk(content, partition.start, partition.end):
-                if wanted is None or content[span[0] + 3 : span[0] + 6] in wanted:
-                    spans.append(span)
-                if len(spans) == 4096:
-                    yield self._rows(name, content, spans)
-                    spans = []
-            if spans:
-                yield self._rows(name, content, spans)
-
-    def _rows(self, name: str, content, spans: list) -> pa.RecordBatch:
-        """sf_no is the field's offset here: numbers in file order would need the splits before."""
+        # a type that isn't six hex digits is no field's
+        wanted = None if self.types is None else {bytes.fromhex(t) for t in self.types if isinstance(t, str) and re.fullmatch("[0-9A-F]{6}", t)}
+        spans, low, content = [], window.low, window.data
+        for at, length, short in walk(content, due - low, partition.end - low):
+            if wanted is None or content[at + 3 : at + 6] in wanted:
+                spans.append((at, length, short))
+            if len(spans) == 4096:
+                yield self._rows(partition.path, low, content, spans)
+                spans = []
+        if spans:
+            yield self._rows(partition.path, low, content, spans)
+
+    def _rows(self, name: str, low: int, content: bytes, spans: list) -> pa.RecordBatch:
         batch = _batch(name, 0, columns(content, spans, self.payload))
-        return batch.set_column(1, "sf_no", batch.column(2))
+        places = pa.array([at + low for at, _, _ in spans], pa.int64())
+        names = [n.split()[0] for n in COLUMNS.split(", ")]
+        return pa.RecordBatch.from_arrays([places if n == "offset" else batch.column(n) for n in names], names=names)
 
 
 class PrintStream(DataSource):
@@ -130,7 +163,7 @@ class PrintStream(DataSource):
         return "printstream"
 
     def schema(self) -> str:
-        return SCHEMA
+        return COLUMNS
 
     def reader(self, schema) -> PrintStreamReader:
         return PrintStreamReader(self.options)

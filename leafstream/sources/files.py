@@ -15,14 +15,14 @@ _NAME = re.compile(r"[\w.\-]+")
 
 
 def print_files(spark: SparkSession, path: str, pattern: str = EXTENSIONS) -> DataFrame:
-    """file_id, path, size, content of the files of a folder, up to 2 GB each."""
+    """file_id (the path: names can repeat in subfolders), name, size, content of the files of a folder, up to 2 GB each."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return raw.where(F.col("length") < LARGEST).select(F.element_at(F.split("path", "/"), -1).alias("file_id"), "path", F.col("length").alias("size"), "content")
+    return raw.where(F.col("length") < LARGEST).select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "content")
 
 
 def listing(spark: SparkSession, path: str, pattern: str = EXTENSIONS) -> DataFrame:
     """name and size; contents aren't read."""
-    return print_files(spark, path, pattern).where(~F.col("file_id").startswith(".")).select(F.col("file_id").alias("name"), "size")
+    return print_files(spark, path, pattern).where(~F.col("name").startswith(".")).select("name", "size")
 
 
 def named(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -35,10 +35,10 @@ def named(spark: SparkSession, path: str, name: str) -> DataFrame:
 def accepted(files: DataFrame) -> DataFrame:
     """What an upload keeps: files that aren't empty nor too large and start with a field; with upload_id, safe names and estimated pages."""
     good = files.where((F.length("content") > 0) & (F.length("content") < LARGEST) & (F.substring("content", 1, 1) == F.lit(b"\x5a")))
-    return good.withColumns({"upload_id": F.expr("uuid()"), "safe_name": safe_name(F.col("file_id")), "estimated_pages": estimated_pages(F.length("content"), 2048)})
+    return good.withColumns({"upload_id": F.expr("uuid()"), "safe_name": safe_name(F.col("name")), "estimated_pages": estimated_pages(F.length("content"), 2048)})
 
 
 def rejected(files: DataFrame) -> DataFrame:
-    """file_id and reason of the files that accepted() leaves out."""
+    """name and reason of the files that accepted() leaves out."""
     reason = F.when(F.length("content") == 0, "empty").when(F.length("content") >= LARGEST, "too large").when(F.substring("content", 1, 1) != F.lit(b"\x5a"), "not a print file")
-    return files.select("file_id", reason.alias("reason")).where("reason IS NOT NULL")
+    return files.select("name", reason.alias("reason")).where("reason IS NOT NULL")

@@ -67,9 +67,9 @@ def page_stream(chunks: DataFrame) -> DataFrame:
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """New print files of a folder, as file_id and content."""
+    """New print files of a folder, as file_id (the path) and content."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file_id"), "content")
+    return raw.select(F.col("path").alias("file_id"), "content")
 
 
 def index_events(index: DataFrame, every: int = 10_000) -> DataFrame:

@@ -121,9 +121,25 @@ def test_walk_equals_slow_walk_and_splits():
         content = noisy(rng)
         want = slow_walk(content)
         assert list(framing.walk(content)) == want
-        for split in (7, 50, 200):
-            got = [s for a, b in datasource.stitched(content, split) if a < b for s in framing.walk(content, a, b)]
-            assert got == want
+
+
+def test_splits_find_their_own_start(monkeypatch):
+    """With short fields, so that a split begins its search behind the file's beginning."""
+    monkeypatch.setattr(framing, "LONGEST", 60)
+    monkeypatch.setattr(datasource, "LONGEST", 60)
+    rng = random.Random(5)
+    for _ in range(200):
+        content = b"".join(noisy(rng) for _ in range(rng.randint(1, 4)))
+        want = list(framing.walk(content))
+        for split in (7, 50, 400):
+            got = []
+            for a in range(0, len(content), split):
+                b = min(a + split, len(content))
+                window = datasource.Window(lambda at, n, c=content: c[at : at + n], len(content), a, b + 60 + 10)
+                due = datasource.first_due(window, a) if a else 0
+                if 0 <= due < b:
+                    got += [(at + window.low, n, cut) for at, n, cut in framing.walk(window.data, due - window.low, b - window.low)]
+            assert got == want, (split, content)
 
 
 def test_chunked_scan_equals_whole():
@@ -165,6 +181,10 @@ def test_data_source(spark, tmp_path):
     assert read(splitBytes=500).count() == 650 == read().count()
     assert read(splitBytes=500).where("type_id = 'D3EE9B'").count() == 50
     assert read(payload="false").where("data IS NOT NULL").count() == 0
+    assert read().where("type_id = 'xyz'").count() == 0 and "sf_no" not in read().columns
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.bin").write_bytes(content)
+    assert spark.read.format("printstream").load(str(tmp_path)).select("file_id").distinct().count() == 2
 
 
 def test_wire_round_trip(spark):

@@ -173,7 +173,7 @@ def test_pdf(spark, tmp_path):
         for i, place in enumerate(re.findall(rb"(\d{10}) 00000 n", data[at:]), 1):
             assert data[int(place) :].startswith(b"%d 0 obj" % i)
     written = sinks.write_files(spark.createDataFrame([("a/b.bin", bytearray(b"xyz"))], "name string, content binary"), str(tmp_path / "out")).collect()
-    assert [tuple(r) for r in written] == [("a_b.bin", 3)] and (tmp_path / "out" / "a_b.bin").read_bytes() == b"xyz"
+    assert [tuple(r) for r in written] == [("a%2Fb.bin", 3)] and (tmp_path / "out" / "a%2Fb.bin").read_bytes() == b"xyz"
 
 
 # ---- composition, files, scalars
@@ -194,7 +194,11 @@ def test_file_source(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"x")
     got = file_source.print_files(spark, str(tmp_path))
     assert sorted(r.name for r in file_source.listing(spark, str(tmp_path)).collect()) == ["a.afp", "b.afp"]
-    assert [r.file_id for r in file_source.accepted(got).collect()] == ["a.afp"]
+    assert [r.name for r in file_source.accepted(got).collect()] == ["a.afp"]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.afp").write_bytes(stream(F1))
+    assert file_source.print_files(spark, str(tmp_path)).select("file_id").distinct().count() == 3
+    (tmp_path / "sub" / "a.afp").unlink()
     assert [tuple(r) for r in file_source.rejected(got).collect()] == [("b.afp", "not a print file")]
     assert file_source.named(spark, str(tmp_path), "a.afp").count() == 1
     with pytest.raises(ValueError):
@@ -338,3 +342,73 @@ def test_search_with_and_without_postings(spark, query):
     assert plain == search.search(pages, tags, ["file_id"], query, "all", 1000, posted).collect()
     want = sum(t.lower()[i : i + len(query)] == query.lower() for _, _, t in rows for i in range(len(t))) + sum(query.lower() in ("k = v" + t[:9]).lower() for _, _, t in rows)
     assert len(plain) == want
+
+
+@pytest.mark.parametrize("blank", ["", "  "])
+def test_blank_search_finds_nothing(spark, blank):
+    from leafstream.operators import search
+
+    pages = search.search_pages(spark.createDataFrame([("f", 1, "a b")], "f string, p bigint, t string"), ["f"], "p", "t")
+    tags = search.search_tags(spark.createDataFrame([("f", 1, 0, "k", "v")], "f string, p bigint, seq int, key string, value string"), ["f"], "p")
+    assert search.search(pages, tags, ["f"], blank).count() == 0
+
+
+def test_parameter_checks():
+    from leafstream.functions import checks
+
+    key = "123E4567-e89b-12d3-a456-426614174000"
+    assert checks.search_request(key, " x ", "tag", "1000") == {"file_id": key.lower(), "query": "x", "kind": "tag", "most": 1000}
+    assert checks.render_request(key, "7", 36, "pdf")["dpi"] == 36
+    for bad in (lambda: checks.search_request("x", "q"), lambda: checks.search_request(key, " "), lambda: checks.search_request(key, "q", "any"), lambda: checks.search_request(key, "q", most=0), lambda: checks.search_request(key, "q", most=1001), lambda: checks.render_request(key, 0), lambda: checks.render_request(key, 1, 601), lambda: checks.render_request(key, 1, 96, "gif"), lambda: checks.page_number("1.5")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_barcode_text_and_editable(spark):
+    from leafstream.operators import assembly
+
+    assert one(spark, assembly.barcode_text(F.col("b")), b=bytearray(bytes.fromhex("F1F2F3"))) == "123"
+    assert one(spark, assembly.barcode_text(F.col("b")), b=bytearray(b"\x01AB")[:1]) == ""
+    assert [one(spark, assembly.editable(F.col("t")), t=t) for t in ("D3A090", "D3A8AD")] == [True, False]
+
+
+def test_archive(spark, tmp_path):
+    from leafstream.streaming.store import Archive
+
+    archive = Archive(spark, str(tmp_path / "archive"))
+    files, _ = opened(spark, stream(F1), stream(F1))
+    assert archive.state() == {"batches": 0, "files": 0, "pages": 0}
+    assert archive.build(files.where("file_id = 'f0'")) == 1 and archive.build(files) == 1 and archive.build(files) == 0
+    assert archive.state() == {"batches": 2, "files": 2, "pages": 2}
+    assert [(h.file_id, h.kind) for h in archive.search("hello").collect()] == [("f0", "text"), ("f1", "text")]
+    assert archive.search("ACCT", "tag", file_id="f1").count() == 1 and archive.page_index("f0").count() == 1
+    changed = spark.createDataFrame([("f0", bytearray(stream("BDT BPG EPG BPG EPG EDT".split())))], "file_id string, content binary")
+    assert archive.build(changed) == 1 and archive.state()["pages"] == 3 and archive.search("hello").count() == 1
+    archive.reset()
+    assert archive.state()["batches"] == 0
+
+
+def test_stream_into_an_archive(spark, tmp_path):
+    from leafstream.streaming.store import Archive
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    archive = Archive(spark, str(tmp_path / "archive"))
+    for i in range(2):
+        (folder / f"{i}.afp").write_bytes(stream(F1))
+        archive.build_stream(streaming.file_stream(spark, str(folder)), str(tmp_path / "checkpoint")).awaitTermination()
+        assert archive.search("world").count() == i + 1  # found as soon as its batch is in
+
+
+def test_plans_frame_once(spark, sf_dir):
+    """What a query over print files leaves to Python in its final plan."""
+    import re
+
+    from leafstream.plans.queries import QUERIES
+
+    for name in ("page_index", "page_text", "search_all", "batch_split", "diagnostics_summary", "merge_single", "scan_index", "tle_extract"):
+        df = QUERIES[name](spark, sf_dir)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+        assert len(re.findall(r"MapInArrow|ArrowEvalPython", final)) <= 2, (name, final)
