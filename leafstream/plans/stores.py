@@ -83,10 +83,10 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _archive(spark, sf_dir).page_index().select("file_id", "page_pos", "byte_offset", "byte_length")
 
 
-@query(f"""WITH {_PT} SELECT file_id, page_pos, 'text' AS kind, CAST(i - 1 AS BIGINT) AS match_index FROM (SELECT *, unnest(range(1, length(text) - 4)) AS i FROM t) WHERE substr(lower(text), i, 6) = 'secret' ORDER BY file_id, page_pos, match_index LIMIT 1000""")
+@query(f"""WITH {_PT} SELECT file_id, page_pos, 'text' AS kind, CAST(i - 1 AS BIGINT) AS match_index FROM (SELECT *, unnest(range(1, length(text) - 2)) AS i FROM t) WHERE substr(lower(text), i, 4) = 'tion' ORDER BY file_id, page_pos, match_index LIMIT 1000""")
 def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search over the stored postings."""
-    return _archive(spark, sf_dir).search("Secret", "text", 1000).select("file_id", "page_pos", "kind", "match_index")
+    return _archive(spark, sf_dir).search("Tion", "text", 1000).select("file_id", "page_pos", "kind", "match_index")
 
 
 @query(f"WITH {_D} SELECT CAST(2 AS BIGINT) AS batches, count(DISTINCT file_id) AS files, count(*) AS pages FROM pg")

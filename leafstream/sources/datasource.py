@@ -120,14 +120,6 @@ class PrintStreamReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() != "false"
         self.types: set[str] | None = None
 
-    def pushFilters(self, filters):
-        """Types are filtered while framing; everything is also left to Spark."""
-        for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("type_id",) else set(f.value) if isinstance(f, In) and f.attribute == ("type_id",) else None
-            if wanted is not None:
-                self.types = wanted if self.types is None else self.types & wanted
-            yield f
-
     def partitions(self) -> list[Split]:
         return [Split(path, size, at, min(at + self.split, size)) for pattern in self.paths.split(",") for path, size in _listed(pattern) for at in range(0, size, self.split)]
 
@@ -157,6 +149,18 @@ class PrintStreamReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([places if n == "offset" else batch.column(n) for n in names], names=names)
 
 
+class FilteringReader(PrintStreamReader):
+    """Filters types while framing; for sessions that let Python sources take filters."""
+
+    def pushFilters(self, filters):
+        """Types are filtered while framing; everything is also left to Spark."""
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("type_id",) else set(f.value) if isinstance(f, In) and f.attribute == ("type_id",) else None
+            if wanted is not None:
+                self.types = wanted if self.types is None else self.types & wanted
+            yield f
+
+
 class PrintStream(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -166,4 +170,6 @@ class PrintStream(DataSource):
         return COLUMNS
 
     def reader(self, schema) -> PrintStreamReader:
-        return PrintStreamReader(self.options)
+        """Option pushdown: needs spark.sql.python.filterPushdown.enabled."""
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return (FilteringReader if pushing else PrintStreamReader)(self.options)

@@ -179,9 +179,9 @@ def test_data_source(spark, tmp_path):
     spark.dataSource.register(datasource.PrintStream)
     read = lambda **o: spark.read.format("printstream").options(**o).load(str(tmp_path / "*.bin"))
     assert read(splitBytes=500).count() == 650 == read().count()
-    assert read(splitBytes=500).where("type_id = 'D3EE9B'").count() == 50
+    assert read(splitBytes=500).where("type_id = 'D3EE9B'").count() == read(splitBytes=500, pushdown="true").where("type_id = 'D3EE9B'").count() == 50
     assert read(payload="false").where("data IS NOT NULL").count() == 0
-    assert read().where("type_id = 'xyz'").count() == 0 and "sf_no" not in read().columns
+    assert read(pushdown="true").where("type_id = 'xyz'").count() == 0 and "sf_no" not in read().columns
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "a.bin").write_bytes(content)
     assert spark.read.format("printstream").load(str(tmp_path)).select("file_id").distinct().count() == 2
