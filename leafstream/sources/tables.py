@@ -28,12 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """df as read back from path."""
+    """df as read back from path.
+
+    Tables of numbers are written plainly: compressed, they would seem small enough to broadcast when they aren't.
+    """
     spark = df.sparkSession
+    kinds = " ".join(f.dataType.simpleString() for f in df.schema.fields)
+    how = {} if "string" in kinds or "binary" in kinds else {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.mode(mode).parquet(path)
+        df.write.mode(mode).options(**how).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
