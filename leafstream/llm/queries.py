@@ -129,4 +129,12 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op6_prefix_tree": OP6_SQL, "op7_bottom_k": OP7_SQL}
+# The generated pages hold their article in one element; its blocks end at these tags.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '<(br|/?p|/?h1|/?li|/?ul)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;?', '&', 'g'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""
+
+ORACLES: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op6_prefix_tree": OP6_SQL, "op7_bottom_k": OP7_SQL, "op9_minimum_cut": OP9_SQL}

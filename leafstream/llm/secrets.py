@@ -16,10 +16,10 @@ an empty table gives an empty table; other columns of the input aren't looked at
 
 from __future__ import annotations
 
-import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import VOCAB_PATH, encoding, map_rows
 
@@ -141,19 +141,13 @@ def redact(df: DataFrame, text: str = "text", length: str | None = None, ratio:
     return map_rows(df, rows, schema)
 
 
-def digest(spans: list[dict], kinds: tuple[str, ...]) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] in kinds)
+def _said(kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of the spans of some kinds, comma-joined."""
+    some = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def digest_columns(df: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of scan()'s rows."""
-
-    def rows(batch: list[dict]) -> list[dict]:
-        out = []
-        for r in batch:
-            spans = r["spans"]
-            n = {f"n_{k}": sum(s["kind"] == k for s in spans) for k in KINDS[:3]}
-            out.append({"doc_id": r["doc_id"], **n, "base_sha256": hashlib.sha256(digest(spans, KINDS[:3]).encode()).hexdigest(), "spans": digest(spans, KINDS)})
-        return out
-
-    return map_rows(df, rows, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", 4096)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    return df.select("doc_id", *counts, F.sha2(_said(KINDS[:3]).cast("binary"), 256).alias("base_sha256"), _said(KINDS).alias("spans"))
