@@ -149,5 +149,6 @@ def _said(kinds: tuple[str, ...]) -> Column:
 
 def digest_columns(df: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of scan()'s rows."""
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    counted = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [counted(k).alias(f"n_{k}") for k in KINDS[:3]]
     return df.select("doc_id", *counts, F.sha2(_said(KINDS[:3]).cast("binary"), 256).alias("base_sha256"), _said(KINDS).alias("spans"))
