@@ -40,6 +40,8 @@ def trigrams(text: Column) -> Column:
 def positions(text: Column, query: str) -> Column:
     """0-based places of all, also overlapping, occurrences; by an array of characters, in time that grows with the text."""
     m = len(query)
+    if not m:
+        return F.array().cast("array<int>")
     width = lambda c: F.greatest(F.size(c) - m + 1, F.lit(0))
     first = query[0]
     starts = lambda c: F.filter(F.transform(F.slice(c, 1, width(c)), lambda x, i: F.when((x == first) & (F.array_join(F.slice(c, i + 1, m), "") == query), i)), lambda i: i.isNotNull())

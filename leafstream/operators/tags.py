@@ -49,12 +49,27 @@ def last_body(found: Column, id_: int, skip: int = 0) -> Column:
     return F.substring(body, skip + 1, 1 << 30)
 
 
+def _tag_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file_id, offset and the bodies of the last key (02) and value (36) triplet, less their first two bytes."""
+    for batch in batches:
+        keys, values = [], []
+        for data in batch.column(2).to_pylist():
+            key = value = None
+            for kind, body in split_triplets(data or b""):
+                if kind == 0x02:
+                    key = body[2:]
+                elif kind == 0x36:
+                    value = body[2:]
+            keys.append(key)
+            values.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["file_id", "offset", "k", "v"])
+
+
 def tags(sf: DataFrame, require_key: bool = True, policy: str = "tag") -> DataFrame:
     """file_id, offset, key and value of tag fields; require_key=False also keeps tags without a key."""
-    rows = sf.where(F.col("type_id") == "D3A090").select("file_id", "offset", triplets(F.col("data")).alias("t"))
-    key = F.coalesce(ebcdic.decode_name(last_body(F.col("t"), 0x02, 2), policy), F.lit(""))
-    value = F.coalesce(ebcdic.decode_name(last_body(F.col("t"), 0x36, 2), policy), F.lit(""))
-    out = rows.select("file_id", "offset", key.alias("key"), value.alias("value"))
+    rows = sf.where(F.col("type_id") == "D3A090").select("file_id", "offset", "data").mapInArrow(_tag_bodies, "file_id string, offset bigint, k binary, v binary")
+    name = lambda c: F.coalesce(ebcdic.decode_name(F.col(c), policy), F.lit(""))
+    out = rows.select("file_id", "offset", name("k").alias("key"), name("v").alias("value"))
     return out.where("key <> ''" if require_key else "key <> '' OR value <> ''")
 
 
