@@ -45,8 +45,9 @@ def subtrees(log: DataFrame, keys: list[str], order: list[str], begin: Column, e
     return spans.select(*keys, node_id, F.col("__before").alias("depth"), (F.coalesce("__end", "__n") - F.col("__rn") + 1).cast("long").alias("nodes"), F.coalesce("__to", "__all").alias("end_offset"))
 
 
-def with_paths(tree: DataFrame, keys: list[str], node_id: str, levels: int) -> DataFrame:
-    """path: the ancestors from the root down, by one join a level (levels: the tree's height)."""
+def with_paths(tree: DataFrame, keys: list[str], node_id: str, levels: int | None = None) -> DataFrame:
+    """path: the ancestors from the root down, by one join a level (levels: the tree's height, counted if not given)."""
+    levels = (tree.agg(F.max("depth")).first()[0] or 0) if levels is None else levels
     up = tree.select(*keys, F.col(node_id).alias("__n"), F.col("parent").alias("__p"))
     out = tree.withColumns({"path": F.array().cast(f"array<{tree.schema[node_id].dataType.simpleString()}>"), "__at": F.col("parent")})
     for _ in range(levels):
