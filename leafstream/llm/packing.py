@@ -103,10 +103,9 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overh
 _OUT = "shard bigint, bin bigint, capacity bigint, start bigint, doc_id bigint, copy bigint, part bigint, part_start bigint, n_tokens bigint"
 
 
-def copies(sized: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n, h of equal rows counted, and a row per copy (from 0); of many copies, chunks are dealt out first."""
-    counted = sized.groupBy("doc_id", "n", "h").agg(F.count(F.lit(1)).alias("c"))
-    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def copies(counted: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A row per copy (from 0) of counted rows (doc_id, n, h, c); of many copies, chunks are dealt out first."""
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = counted.where(F.col("c") <= chunk).withColumn("low", F.lit(0).cast("long"))
     many = counted.where(F.col("c") > chunk).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(chunk).cast("long")))).repartition(parts, "h", "low")
     high = F.least(F.col("low") + chunk, F.col("c")) - 1
@@ -127,7 +126,8 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: Colu
     unit = lambda h: F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
     at = unit(F.xxhash64("copy", "h")) if place is None else place(F.col("copy").cast("int"), F.col("h"))
     with Shelf(df.sparkSession) as shelf:
-        placed = shelf.keep(shelf.put(copies(sized).select("doc_id", "n", "copy", F.pmod("copy", F.lit(EPOCHS)).alias("e"), at.cast("double").alias("at"))))
+        counted = shelf.put(sized.groupBy("doc_id", "n", "h").agg(F.count(F.lit(1)).alias("c")))  # tokens are counted once
+        placed = shelf.keep(shelf.put(copies(counted).select("doc_id", "n", "copy", F.pmod("copy", F.lit(EPOCHS)).alias("e"), at.cast("double").alias("at"))))
     held = {r.e: r.c for r in placed.groupBy("e").agg(F.count(F.lit(1)).alias("c")).collect()}  # EPOCHS rows at most
     first, shards = [], 0
     for e in range(EPOCHS):
