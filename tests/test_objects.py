@@ -148,6 +148,22 @@ def test_surgery(spark):
     assert surgery.concat_files(both, ["g"], "pos").first().total_bytes == len(body) + len(stream("BDT TLE BPG EPG EDT".split()))
 
 
+def test_object_positions_of_both_layouts(spark):
+    from leafstream.operators import resources
+
+    def read(data: bytes):
+        return tuple(spark.createDataFrame([(bytearray(data),)], "d binary").select(*[c.alias(n) for n, c in resources.object_position(F.col("d")).items()]).first())
+
+    wide = lambda *numbers: b"".join(n.to_bytes(3, "big") for n in numbers)
+    for x in (7, 99_999, 100_002, 131_072, 131_074, 1_048_600, 8_400_000):  # far to the right, from the first byte
+        assert read(wide(x, 12, 100, 50) + b"\0") == (x, 12, 100, 50)
+        assert read(b"\xff" + wide(x, 13, 200, 60)) == (x, 13, 200, 60)
+    assert read(b"\x02" + wide(1000, 2000, 300, 40)) == (1000, 2000, 300, 40)
+    assert read(b"\x02" + wide(1024, 2000)) == (1024, 2000, 0, 0)  # without a size
+    assert read(wide(200_000, 2))[:2] == (200_000, 2)  # too short for a flag byte
+    assert read(wide(200_000, 0x02FFFF, 0x020000)) == (200_000, 0x02FFFF, 0x020000, 0)  # with a flag byte y would be out of bounds
+
+
 # ---- exports
 
 
