@@ -164,6 +164,24 @@ def test_object_positions_of_both_layouts(spark):
     assert read(wide(200_000, 0x02FFFF, 0x020000)) == (200_000, 0x02FFFF, 0x020000, 0)  # with a flag byte y would be out of bounds
 
 
+def test_drawings_are_handed_on_in_bounded_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    line = lambda n: b"".join(bytes.fromhex("C108") + struct.pack(">4h", i, 1, 2, 3) for i in range(n))
+    sizes = [3, 0, 40, 7, 200, 1, 1, 30]
+    rows = [{"id": i, "more": {"k": i}, "data": line(n)} for i, n in enumerate(sizes)] + [{"id": 99, "more": None, "data": None}]
+    got = graphics.drawings(spark.createDataFrame([tuple(r.values()) for r in rows], "id int, more map<string,int>, data binary").coalesce(1))
+    seen = {r.id: r for r in got.collect()}
+    assert {i: (r.n_orders, len(r.ops)) for i, r in seen.items()} == {**{i: (n, n) for i, n in enumerate(sizes)}, 99: (0, 0)}
+    assert seen[4].more == {"k": 4} and seen[4].ops[3].asDict() == {"op": "line", "coords": [3.0, 1.0, 2.0, 3.0], "stroke": "rgb(0,0,0)", "fill": None, "width": 1.0, "dash": 0}
+    assert (seen[0].x, seen[0].y, seen[0].width, seen[0].height) == (0, 1, 2, 2) and seen[99].x is None
+    batch = pa.RecordBatch.from_pylist([{"id": r["id"], "more": [], "data": r["data"]} for r in rows], schema=pa.schema([("id", pa.int32()), ("more", pa.map_(pa.string(), pa.int32())), ("data", pa.binary())]))
+    made = list(graphics.drawn(iter([batch, batch.slice(0, 0)]), to_arrow_schema(got.schema), 1.0, held_ops=20))
+    assert [[len(o) for o in b.column("ops").to_pylist()] for b in made] == [[3, 0, 40], [7, 200], [1, 1, 30], [0]]
+    assert [i for b in made for i in b.column("id").to_pylist()] == [r["id"] for r in rows]
+
+
 # ---- exports
 
 
