@@ -182,6 +182,39 @@ def test_drawings_are_handed_on_in_bounded_batches(spark):
     assert [i for b in made for i in b.column("id").to_pylist()] == [r["id"] for r in rows]
 
 
+def test_made_files_in_pieces_are_the_whole_ones(spark):
+    """No row is larger than a file, and in order the pieces are the made file."""
+    from leafstream.operators import pages
+
+    bodies = {"b": "BDT TLE BPG EPG EDT", "a": "BDT TLE TLE BPG PGD EPG BPG EPG EDT", "c": "BDT BPG EPG EDT"}
+    bodies = {k: stream(v.split()) for k, v in bodies.items()}
+    rows = [(k, bytearray(v), g, 1 if k in "ab" else 2) for g in ("g", "h") for k, v in bodies.items()]
+    files = spark.createDataFrame([(f"{g}{k}", v, g, p) for k, v, g, p in rows if g == "g" or k != "a"], "file_id string, content binary, g string, pos int")
+    sf = framing.frames(files)
+    index = pages.page_index(sf)
+    for pieces, whole in (
+        (surgery.concat_pieces(files, ["g"], "pos"), surgery.concat_files(files, ["g"], "pos")),
+        (surgery.merge_pieces(files, sf, index, ["g"], "pos"), surgery.merge_documents(files, sf, index, ["g"], "pos")),
+    ):
+        found = pieces.collect()
+        assert max(len(r.content) for r in found) <= max(map(len, bodies.values()))
+        for r in whole.collect():
+            assert bytes(r.content) == b"".join(bytes(x.content) for x in sorted((x for x in found if x.g == r.g), key=lambda x: (x.section, x.f, x.file_id)))
+        counted = surgery.piece_totals(pieces, ["g"]).select([c for c in whole.columns if c != "content"]).orderBy("g").collect()
+        assert counted == whole.drop("content").orderBy("g").collect()
+    assert [(r.total_files, r.total_bytes) for r in surgery.concat_files(files, ["g"], "pos").orderBy("g").collect()] == [(3, sum(map(len, bodies.values()))), (2, sum(len(v) for k, v in bodies.items() if k != "a"))]
+    merged = surgery.merge_documents(files, sf, index, ["g"], "pos").orderBy("g").first()
+    assert (merged.total_pages, merged.total_files) == (4, 3) and bytes(merged.content).startswith(bodies["a"][: bodies["a"].index(stream(["BPG"]))])
+
+
+def test_merges_hold_no_group_in_a_row(spark, sf_dir):
+    from leafstream.plans.queries import QUERIES
+
+    for name in ("concat_files", "merge_single"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"collect_list\([^)]*(content|body)", plan), plan
+
+
 # ---- exports
 
 
