@@ -332,13 +332,21 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
+def _picked(large: DataFrame, pivots: int) -> DataFrame:
+    """v, slot, a: up to pivots due members of each list; lists that share members share pivots, so their pairs are the same."""
+    slot = F.pmod(F.xxhash64(F.lit(5), "cid"), F.lit(pivots)).cast("int")
+    return large.where("due").groupBy("v", slot.alias("slot")).agg(F.min_by("cid", F.xxhash64("cid")).alias("a"))
+
+
 def _large_lists(large: DataFrame, near: DataFrame, links: DataFrame, shelf: Shelf, wide: int, width: int, percent: int, pivots: int = PIVOTS) -> DataFrame:
     """Links of lists of any size: those that further pivots find, then those of the blocks; large: v, cid, due; links: those known, as a component table."""
-    slot = F.pmod(F.xxhash64(F.lit(5), "v", "cid"), F.lit(pivots)).cast("int")
-    picked = large.where("due").groupBy("v", slot.alias("slot")).agg(F.min_by("cid", F.xxhash64("cid", "v")).alias("a"))
+    picked = _picked(large, pivots)
     met = shelf.put(large.select("v", F.col("cid").alias("b")).join(picked, "v").select("v", "slot", "a", "b"))
     star = met.where("a <> b").select("a", "b").distinct()
-    tested = shelf.put(verified(_likely(star, near, wide, too_far(percent)), near, width).drop("plus"))
+    # verified() reads its pairs three times
+    likely = shelf.put(_likely(star, near, wide, too_far(percent)))
+    tested = shelf.put(verified(likely, near, width).drop("plus"))
+    shelf.drop(likely)
     more = tested.where(_linked(percent)).select("a", "b")
     groups = connected_components(links.unionByName(more), shelf).select(F.col("a").alias("m"), F.col("b").alias("g"))
     sim = tested.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("sim"))
@@ -358,7 +366,9 @@ def links(classes: DataFrame, docs: DataFrame, shelf: Shelf, doc_id: str = "doc_
     pivots = lists.groupBy("v").agg(F.min(F.struct("own", "cid")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
     starred = shelf.put(lists.join(pivots.select("v", F.col("p.cid").alias("a")), "v").where("a <> cid").select("v", "a", F.col("cid").alias("b")))
     stars = starred.select("a", "b").distinct()
-    placed = shelf.put(verified(_likely(stars, near, wide, too_far(percent)), near, width).withColumn("ok", _linked(percent)))
+    close = shelf.put(_likely(stars, near, wide, too_far(percent)))
+    placed = shelf.put(verified(close, near, width).withColumn("ok", _linked(percent)))
+    shelf.drop(close)
     known = connected_components(placed.where("ok").select("a", "b"), shelf)
     groups = known.select(F.col("a").alias("m"), F.col("b").alias("g"))
     left = shelf.put(_open_lists(starred, placed, groups, percent))

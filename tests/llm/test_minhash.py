@@ -171,3 +171,19 @@ def test_components(spark):
         got = {r.a: r.b for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), shelf).collect()}
         assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint"), shelf).count() == 0
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
+
+
+def test_large_lists_of_the_same_members_share_pivots(spark):
+    """40 lists of 60 members are compared with at most 16 pivots in all, not with 16 a list."""
+    large = spark.range(40 * 60).selectExpr("id div 60 AS v", "id % 60 AS cid", "id % 60 < 50 AS due")
+    picked = minhash._picked(large, 16).collect()
+    assert len({r.a for r in picked}) <= 16 and len({(r.v, r.slot) for r in picked}) == len(picked)
+    assert {r.v for r in picked} == set(range(40)) and all(r.a < 50 for r in picked)
+
+
+def test_pairs_are_written_before_they_are_compared(spark, docs, monkeypatch):
+    """verified() reads its pairs three times: they are a table, not the join of their sketches."""
+    plans, verified = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or verified(pairs, *a))
+    minhash.near_duplicates(docs)
+    assert plans and not any("Join" in p for p in plans)
