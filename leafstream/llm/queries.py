@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, media, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
+from . import bpe, chat, licenses, media, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
 from .common import token_count
 
 
@@ -63,6 +63,10 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op13_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_temperature_mixing": op1_temperature_mixing,
     "op2_line_frequency": op2_line_frequency,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_attribution": op8_token_attribution,
     "op9_minimum_cut": op9_minimum_cut,
     "op10_token_efficiency": op10_token_efficiency,
+    "op13_rank_array": op13_rank_array,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
