@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
+from . import bpe, chat, collocations, lexical, licenses, media, minhash, mixing, packing, pagetext, quality, secrets, tokencounts
 from .common import token_count
 
 
@@ -63,6 +63,14 @@ def op10_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_sparse_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents", "text", "lang"))
+
+
 def op13_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_attribution": op8_token_attribution,
     "op9_minimum_cut": op9_minimum_cut,
     "op10_token_efficiency": op10_token_efficiency,
+    "op11_sparse_product": op11_sparse_product,
+    "op12_suffix_array": op12_suffix_array,
     "op13_rank_array": op13_rank_array,
 }
 
@@ -142,4 +152,40 @@ c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(re
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
 """
 
-ORACLES: dict[str, str] = {"op2_line_frequency": OP2_SQL, "op6_prefix_tree": OP6_SQL, "op7_bottom_k": OP7_SQL, "op9_minimum_cut": OP9_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * c.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, c GROUP BY t, c.n),
+m AS (SELECT r, doc_id, 10 + (90 * len(ts) * c.n) // c.l AS m FROM d, c WHERE len(ts) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+OP12_SQL = rf"""
+WITH p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS v(size) WHERE len(ws) >= size)),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 30),
+k AS MATERIALIZED (SELECT lang, phrase, a, k, lang || chr(0) || array_to_string(w[1 : k], ' ') AS x, lang || chr(0) || array_to_string(w[k + 1 : size], ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+h AS MATERIALIZED (SELECT lang || chr(0) || phrase AS x, n FROM f WHERE n >= 30),
+s AS (SELECT k.lang, k.phrase, k.a, one.n AS l, two.n AS r, k.k, CAST((CAST(k.a AS HUGEINT) * 2000000) // (CAST(one.n AS HUGEINT) + two.n) AS BIGINT) AS score
+      FROM k JOIN h one ON one.x = k.x JOIN h two ON two.x = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[j : j + z - 1], ' ') AS phrase, max(a) AS most
+      FROM (SELECT lang, a, w, z, unnest(range(1, size - z + 2)) AS j FROM c, (VALUES (2), (3)) AS v(z) WHERE size > z) GROUP BY ALL),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, t.n, score
+      FROM b JOIN t USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_line_frequency": OP2_SQL, "op6_prefix_tree": OP6_SQL, "op7_bottom_k": OP7_SQL, "op9_minimum_cut": OP9_SQL, "op11_sparse_product": OP11_SQL, "op12_suffix_array": OP12_SQL,
+}

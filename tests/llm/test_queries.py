@@ -1,6 +1,10 @@
 from collections import Counter
 
+import os
+
 import corpus_pipeline
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from leafstream.llm import mixing, queries
@@ -9,13 +13,27 @@ from leafstream.llm.common import encode_text, token_count
 
 def test_names_and_whole_tables(spark, sf_dir):
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op2_line_frequency", "op3_progressive_jpeg", "op7_bottom_k", "op10_token_efficiency"):
         assert queries.QUERIES[name](spark, sf_dir).count() == n
     assert queries.QUERIES["op6_prefix_tree"](spark, sf_dir).where("conv_id = -7").first().n_turns == 2
 
 
+@pytest.mark.parametrize("name", ["op11_sparse_product", "op12_suffix_array"])
+def test_query_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(folder, t)}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, folder)
+    assert got.columns == names
+    got, want = sorted(map(tuple, got.collect())), sorted(want.fetchall())
+    assert len(want) > 100 and got == want
+
+
 def test_pipeline_stages(spark, docs, clashing, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         for given in (docs, clashing, empty):
