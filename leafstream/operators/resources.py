@@ -114,21 +114,21 @@ def page_geometry(data: Column) -> dict[str, Column]:
     }
 
 
-#: No object lies further from the page's edge, unless its numbers fit no other layout.
+#: Beyond this x, numbers are looked for behind a flag byte; they are taken if both lie within it.
 POSITION_BOUND = 100_000
 
 
 def object_position(data: Column) -> dict[str, Column]:
     """x, y, w and h of an object position: 24-bit numbers from the first byte, or behind a flag byte.
 
-    A flag byte is there if x is out of bounds without it, and with it x is smaller and y in bounds.
-    But numbers that are all multiples of 256 behind it are those from the first byte, moved: x is large.
+    A flag byte is there if x is out of bounds without it, and x and y are in bounds with it.  A size needs 12 bytes, behind a
+    flag byte 13 (with 12, it is that from the first byte); without it w and h are 0.
     """
-    first, behind, below = be_uint(data, 0, 3), be_uint(data, 1, 3), be_uint(data, 4, 3)
-    moved = (F.length(data) >= 13) & (be_uint(data, 3, 1) + be_uint(data, 6, 1) + be_uint(data, 9, 1) + be_uint(data, 12, 1) == 0)
-    flagged = (F.length(data) >= 7) & (first > POSITION_BOUND) & (behind < first) & (below < POSITION_BOUND) & ~moved
-    at = lambda i: F.when(flagged, be_uint(data, i + 1, 3)).otherwise(be_uint(data, i, 3))
-    return {"x": at(0), "y": at(3), "w": at(6), "h": at(9)}
+    n, u24 = F.length(data), lambda i: be_uint(data, i, 3)
+    flagged = (n >= 7) & (u24(0) > POSITION_BOUND) & (u24(1) < POSITION_BOUND) & (u24(4) < POSITION_BOUND)
+    place = lambda i: F.when(flagged, u24(i + 1)).otherwise(u24(i))
+    size = lambda i: F.when(flagged & (n >= 13), u24(i + 1)).when(n >= 12, u24(i)).otherwise(0)
+    return {"x": place(0), "y": place(3), "w": size(6), "h": size(9)}
 
 
 def page_fonts(pages: DataFrame, fonts: DataFrame) -> DataFrame:

@@ -222,7 +222,16 @@ def barcode_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scalars
 
 
-@query(longs("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE p_partkey + 5 END AS x, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS y, CASE WHEN p_partkey % 2 = 0 THEN 100 ELSE 200 END AS w, CASE WHEN p_partkey % 2 = 0 THEN 50 ELSE 60 END AS h FROM part""", "x y w h"))
+# A large x is read behind a flag byte if the numbers found there are in bounds, whether or not one was written.
+_OBJECT_POSITIONS = """WITH p AS (SELECT p_partkey, p_partkey % 2 = 0 AS plain, CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE p_partkey + 5 END AS x, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS y FROM part),
+f AS (SELECT *, CASE WHEN plain THEN x > 100000 AND x % 65536 * 256 + y // 65536 < 100000 AND y % 65536 * 256 < 100000 ELSE x < 100000 AND y < 100000 END AS flagged FROM p)
+SELECT p_partkey, CASE WHEN plain AND flagged THEN x % 65536 * 256 + y // 65536 WHEN plain OR flagged THEN x ELSE 16711680 + x // 256 END AS x,
+CASE WHEN plain AND flagged THEN y % 65536 * 256 WHEN plain OR flagged THEN y ELSE x % 256 * 65536 + y // 256 END AS y,
+CASE WHEN plain AND flagged THEN 25600 WHEN plain THEN 100 WHEN flagged THEN 200 ELSE y % 256 * 65536 END AS w,
+CASE WHEN plain AND flagged THEN 12800 WHEN plain THEN 50 WHEN flagged THEN 60 ELSE 13107200 END AS h FROM f"""
+
+
+@query(longs(_OBJECT_POSITIONS, "x y w h"))
 def object_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object positions in both layouts: from the first byte, or one further on."""
     key = F.col("p_partkey")

@@ -155,13 +155,32 @@ def test_object_positions_of_both_layouts(spark):
         return tuple(spark.createDataFrame([(bytearray(data),)], "d binary").select(*[c.alias(n) for n, c in resources.object_position(F.col("d")).items()]).first())
 
     wide = lambda *numbers: b"".join(n.to_bytes(3, "big") for n in numbers)
-    for x in (7, 99_999, 100_002, 131_072, 131_074, 1_048_600, 8_400_000):  # far to the right, from the first byte
+    for x in (7, 1024, 65_536, 99_999):
         assert read(wide(x, 12, 100, 50) + b"\0") == (x, 12, 100, 50)
         assert read(b"\xff" + wide(x, 13, 200, 60)) == (x, 13, 200, 60)
+    assert read(b"\xff" + wide(1024, 512, 0, 256)) == (1024, 512, 0, 256)  # multiples of 256 behind a flag byte
     assert read(b"\x02" + wide(1000, 2000, 300, 40)) == (1000, 2000, 300, 40)
     assert read(b"\x02" + wide(1024, 2000)) == (1024, 2000, 0, 0)  # without a size
+    assert read(b"\x02" + wide(1024, 2000, 300) + b"\0\0")[:2] == (1024, 2000)
+    assert read(b"\x02" + wide(1024, 2000, 300) + b"\0\0")[2:] == (0xD0 << 16 | 300 >> 8, (300 & 255) << 16)  # one byte short of a size behind the flag
     assert read(wide(200_000, 2))[:2] == (200_000, 2)  # too short for a flag byte
-    assert read(wide(200_000, 0x02FFFF, 0x020000)) == (200_000, 0x02FFFF, 0x020000, 0)  # with a flag byte y would be out of bounds
+    assert read(wide(200_000, 0x02FFFF, 0x020000)) == (200_000, 0x02FFFF, 0, 0)  # with a flag byte y would be out of bounds
+    assert read(b"\x02" + wide(150_000, 10) + bytes(6)) == (131_072 + (150_000 >> 8), (150_000 & 255) << 16, 10 << 16, 0)  # x within 100000 on neither reading: the first holds
+    assert read(wide(131_072, 12, 100, 50) + b"\0") == (0, 3072, 25_600, 12_800)  # reads as a flag byte and small numbers
+
+
+def test_object_positions_equal_sql_at_large_keys(spark, tmp_path):
+    import duckdb
+
+    from leafstream.plans.queries import ORACLES, QUERIES
+
+    keys = [*range(1, 40), *range(65_530, 65_545), *range(99_990, 100_010), *range(131_060, 131_090), *range(196_600, 196_620), 262_144, 1_048_576, 1_048_577, 4_000_000, 4_000_001]
+    part = spark.createDataFrame([(k, 1 + k % 50) for k in keys], "p_partkey bigint, p_size int")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["object_positions"]).fetchall())
+    assert sorted(map(tuple, QUERIES["object_positions"](spark, str(tmp_path)).collect())) == want
 
 
 def test_drawings_are_handed_on_in_bounded_batches(spark):
