@@ -172,6 +172,8 @@ def context(log: DataFrame, keys: list[str], order: list[str], is_page: Column)
 
 def page_bytes(files: DataFrame, pages: DataFrame, page_number: int | None = None) -> DataFrame:
     """pages with their bytes (content); page_number picks one of each file."""
+    from .surgery import cut
+
     wanted = pages if page_number is None else pages.where(F.col("page_number") == page_number)
-    cut = F.expr("substring(content, cast(byte_offset + 1 as int), cast(byte_length as int))")
-    return wanted.join(files.select("file_id", "content"), "file_id").select(*[wanted[c] for c in wanted.columns], cut.alias("content"))
+    cuts = F.array(F.struct(F.col("byte_offset").cast("long").alias("start"), F.col("byte_length").cast("long").alias("n")))
+    return cut(files, wanted.withColumn("cuts", cuts)).select(*wanted.columns, "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 import zlib
@@ -121,6 +122,23 @@ def zip_parts(parts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "file_id string, zip binary")
 
 
+def zip_entries(zips: DataFrame) -> DataFrame:
+    """file_id, entry (from 0), name, n_bytes and sha256 of what is in each archive of zip_parts()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(raw.as_buffer())) as held:
+                    rows = []
+                    for i, name in enumerate(held.namelist()):
+                        data = held.read(name)
+                        rows.append((file, i, name, len(data), hashlib.sha256(data).hexdigest()))
+                columns = zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["file_id", "entry", "name", "n_bytes", "sha256"])
+
+    return zips.select("file_id", "zip").mapInArrow(run, "file_id string, entry bigint, name string, n_bytes bigint, sha256 string")
+
+
 def write_files(parts: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
     """Writes every part as a file of the folder (a path or a store's address) from the executors; name, n_bytes.
 

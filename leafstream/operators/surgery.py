@@ -5,16 +5,54 @@ files: file_id, content; pages: file_id, page_pos, byte_offset, byte_length (pag
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ebcdic
-from ..functions.scalars import once
-from ..sources.wire import joined
+from ..sources import parts
+
+#: Bytes that a batch of cut rows holds, a row more.
+BATCH = 16 << 20
+
+
+def cut(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(file_id, cuts, further columns) with content, what the cuts (array of start and n) take of the file one behind the other.
+
+    A file meets its list of cuts once, and its rows are handed on in batches of bounded size: no row carries the whole file.
+    """
+    others = [c for c in wanted.columns if c not in ("file_id", "cuts")]
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
+    schema = ", ".join([f"file_id {kinds['file_id']}", *[f"`{c}` {kinds[c]}" for c in others], "content binary"])
+    listed = wanted.groupBy("file_id").agg(F.collect_list(F.struct("cuts", *others)).alias("__wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = batch.column(1)[i]
+                content, rows = memoryview(held.as_buffer()) if held.is_valid else memoryview(b""), batch.column(2)[i].values
+                cuts = rows.field(0)
+                ends, start, n = cuts.offsets.to_numpy(), *(cuts.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                made, size, first = [], 0, 0
+                for j in range(len(rows)):
+                    made.append(b"".join(content[a : a + m] for a, m in zip(start[ends[j] : ends[j + 1]].tolist(), n[ends[j] : ends[j + 1]].tolist(), strict=True)))
+                    size += len(made[-1])
+                    if size > BATCH or j == len(rows) - 1:
+                        columns = [pa.repeat(batch.column(0)[i], len(made)), *[rows.field(k + 1).slice(first, len(made)) for k in range(len(others))], pa.array(made, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["file_id", *others, "content"])
+                        made, size, first = [], 0, j + 1
 
+    return files.select("file_id", "content").join(listed, "file_id").mapInArrow(run, schema)
 
-def _range(start: Column, length: Column, content: str = "content") -> Column:
-    return F.substring(F.col(content), (start + 1).cast("int"), length.cast("int"))
+
+def _cut(start: Column, n: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), n.cast("long").alias("n"))
+
+
+def _sizes(files: DataFrame) -> DataFrame:
+    return files.select("file_id", F.length("content").cast("long").alias("__size"))
 
 
 def _spans(pages: DataFrame) -> DataFrame:
@@ -33,11 +71,10 @@ def part_ranges(pages: DataFrame, part: Column) -> DataFrame:
 
 def part_files(files: DataFrame, pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges with content: the file's bytes before its first page, the range, the bytes behind its last."""
-    whole = files.join(_spans(pages), "file_id")
-    before = _range(F.lit(0), F.col("__first"))
-    behind = _range(F.col("__last"), F.length("content"))
-    made = F.concat(before, _range(F.col("range_start"), F.col("range_end") - F.col("range_start")), behind)
-    return ranges.join(whole, "file_id").select(*[ranges[c] for c in ranges.columns], made.alias("content"))
+    told = ranges.join(_spans(pages), "file_id").join(_sizes(files), "file_id")
+    cuts = F.array(_cut(F.lit(0), F.col("__first")), _cut(F.col("range_start"), F.col("range_end") - F.col("range_start")), _cut(F.col("__last"), F.col("__size") - F.col("__last")))
+    made = cut(files, told.select(*ranges.columns, cuts.alias("cuts")))
+    return made.select(*ranges.columns, "content")
 
 
 def split_after(files: DataFrame, pages: DataFrame, page: int) -> DataFrame:
@@ -62,11 +99,10 @@ def reassemble(files: DataFrame, pages: DataFrame, order: DataFrame) -> DataFram
     Places that a file doesn't have are left out; a file of which nothing is left gives no row.
     """
     chosen = order.join(pages, ["file_id", "page_pos"])
-    cut = chosen.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("position", "byte_offset", "byte_length"))).alias("__cut"))
-    whole = files.join(_spans(pages), "file_id").join(cut, "file_id")
-    pieces = joined(F.transform("__cut", lambda c: F.substring(F.col("content"), (c["byte_offset"] + 1).cast("int"), c["byte_length"].cast("int"))))
-    made = F.concat(_range(F.lit(0), F.col("__first")), pieces, _range(F.col("__last"), F.length("content")))
-    return whole.select("file_id", F.size("__cut").cast("long").alias("page_count"), made.alias("content"))
+    inner = chosen.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("position", "byte_offset", "byte_length"))).alias("__cut"))
+    told = inner.join(_spans(pages), "file_id").join(_sizes(files), "file_id")
+    cuts = F.concat(F.array(_cut(F.lit(0), F.col("__first"))), F.transform("__cut", lambda c: _cut(c["byte_offset"], c["byte_length"])), F.array(_cut(F.col("__last"), F.col("__size") - F.col("__last"))))
+    return cut(files, told.select("file_id", F.size("__cut").cast("long").alias("page_count"), cuts.alias("cuts")))
 
 
 def deleted(pages: DataFrame, selected: DataFrame) -> DataFrame:
@@ -109,26 +145,25 @@ def merge_pieces(files: DataFrame, sf: DataFrame, pages: DataFrame, groups: list
 
     The first file's bytes before its pages, then the fields before the pages of the other files
     (their document marks left out), all pages of all files, and the first file's bytes behind its pages.
+    A file that is alone in its group stays as it is.
     """
     spans = _spans(pages)
     early = sf.where(~F.col("type_id").isin("D3A8A8", "D3A9A8")).join(spans.select("file_id", "__first"), "file_id").where("offset < __first")
     early = early.groupBy("file_id").agg(_listed("offset", F.col("length") + 1).alias("__early"))
     inner = pages.groupBy("file_id").agg(_listed("byte_offset", F.col("byte_length")).alias("__pages"))
-    leads = files.select(*groups, F.col(position).alias("f"), "file_id").join(spans.select("file_id"), "file_id").groupBy(*groups).agg(F.min(F.struct("f", "file_id")).alias("x"))
-    leads = leads.select(F.col("x.file_id").alias("file_id"), F.lit(True).alias("__leads"))
-    # a file's contents are cut once, into what its group needs of them
-    whole = files.join(spans, "file_id").join(inner, "file_id").join(early, "file_id", "left").join(leads, "file_id", "left")
-    # content is bound once a file: a row's binary column is copied whole wherever it is read, here for every range
-    cuts = lambda ranges: once(F.col("content"), lambda c: joined(F.transform(F.coalesce(ranges, F.array()), lambda r: F.substring(c, (r["at"] + 1).cast("int"), r["n"].cast("int")))))
-    piece = lambda section, content, n: F.struct(F.lit(section).alias("section"), n.cast("long").alias("pages"), content.alias("content"))
-    none = F.lit(0)
-    leading = F.col("__leads").isNotNull()
-    parts = F.array(
-        piece(0, F.when(leading, _range(F.lit(0), F.col("__first"))), none), piece(1, F.when(~leading, cuts(F.col("__early"))), none),
-        piece(2, cuts(F.col("__pages")), F.col("__n")), piece(3, F.when(leading, _range(F.col("__last"), F.length("content"))), none),
+    placed = files.select(*groups, F.col(position).alias("f"), "file_id").join(spans.select("file_id"), "file_id")
+    leads = placed.groupBy(*groups).agg(F.min(F.struct("f", "file_id")).alias("x"), (F.count(F.lit(1)) == 1).alias("__alone"))
+    leads = leads.select(F.col("x.file_id").alias("file_id"), F.lit(True).alias("__leads"), "__alone")
+    told = placed.join(spans, "file_id").join(_sizes(files), "file_id").join(inner, "file_id").join(early, "file_id", "left").join(leads, "file_id", "left")
+    ranges = lambda r: F.transform(F.coalesce(r, F.array()), lambda x: _cut(x["at"], x["n"]))
+    piece = lambda section, when, n, cuts: F.when(when, F.struct(F.lit(section).alias("section"), n.cast("long").alias("pages"), cuts.alias("cuts")))
+    none, whole, leading = F.lit(0), F.coalesce("__alone", F.lit(False)), F.col("__leads").isNotNull()
+    pieces = F.array(
+        piece(0, whole, F.col("__n"), F.array(_cut(none, F.col("__size")))), piece(0, leading & ~whole, none, F.array(_cut(none, F.col("__first")))), piece(1, ~leading, none, ranges(F.col("__early"))),
+        piece(2, ~whole, F.col("__n"), ranges(F.col("__pages"))), piece(3, leading & ~whole, none, F.array(_cut(F.col("__last"), F.col("__size") - F.col("__last")))),
     )
-    made = whole.select(*groups, F.col(position).alias("f"), "file_id", F.explode(parts).alias("x"))
-    return made.where("x.content IS NOT NULL").select(*groups, "x.section", "f", "file_id", "x.pages", "x.content")
+    wanted = told.select("file_id", *groups, "f", F.explode(F.array_compact(pieces)).alias("x")).select("file_id", *groups, "f", "x.*")
+    return cut(files, wanted).select(*groups, "section", "f", "file_id", "pages", "content")
 
 
 def piece_totals(pieces: DataFrame, groups: list[str]) -> DataFrame:
@@ -136,20 +171,25 @@ def piece_totals(pieces: DataFrame, groups: list[str]) -> DataFrame:
     return pieces.groupBy(*groups).agg(F.sum("pages").alias("total_pages"), F.count_distinct("file_id").alias("total_files"), F.coalesce(F.sum(F.length("content").cast("long")), F.lit(0)).alias("total_bytes"))
 
 
-def _whole(pieces: DataFrame, groups: list[str]) -> DataFrame:
-    """Pieces as one value a made file, which a row can hold (2 GB) and a task's memory several times."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("section", "f", "file_id", "content"))), lambda x: x["content"])
-    return pieces.groupBy(*groups).agg(joined(ordered).alias("content"), F.sum("pages").alias("total_pages"), F.count_distinct("file_id").alias("total_files")).withColumn("total_bytes", F.length("content").cast("long"))
+#: The order of a made file's pieces.
+ORDER = ["section", "f", "file_id"]
+
 
+def named(groups: list[str]) -> Column:
+    """A made file's name: its group's values, joined by slashes."""
+    return F.concat_ws("/", *groups)
 
-def concat_files(files: DataFrame, groups: list[str], position: str) -> DataFrame:
-    """Files of a group one behind the other: groups, content, total_files, total_bytes; for large groups take concat_pieces()."""
-    return _whole(concat_pieces(files, groups, position), groups).drop("total_pages")
 
+def concat_files(files: DataFrame, groups: list[str], position: str, folder: str) -> DataFrame:
+    """Publishes in folder a file a group, its files one behind the other; name, size and stretches of the made files."""
+    parts.write(concat_pieces(files, groups, position), folder, named(groups), ORDER)
+    return parts.made_files(files.sparkSession, folder)
 
-def merge_documents(files: DataFrame, sf: DataFrame, pages: DataFrame, groups: list[str], position: str) -> DataFrame:
-    """The document of merge_pieces() as one value: groups, content, total_pages, total_files, total_bytes; for large groups take the pieces."""
-    return _whole(merge_pieces(files, sf, pages, groups, position), groups)
+
+def merge_documents(files: DataFrame, sf: DataFrame, pages: DataFrame, groups: list[str], position: str, folder: str) -> DataFrame:
+    """Publishes in folder the document of merge_pieces() of each group; name, size and stretches of the made files."""
+    parts.write(merge_pieces(files, sf, pages, groups, position), folder, named(groups), ORDER)
+    return parts.made_files(files.sparkSession, folder)
 
 
 def _listed(at: str, n: Column) -> Column:
@@ -160,12 +200,28 @@ def _listed(at: str, n: Column) -> Column:
 def edit(files: DataFrame, edits: DataFrame, page: str = "cp037") -> DataFrame:
     """files with edits(file_id, at, size, text) written in place: encoded, padded with blanks or cut to size."""
     value = ebcdic.encode(F.expr("rpad(text, cast(size as int), ' ')"), page)
-    listed = edits.select("file_id", F.struct(F.col("at").cast("int").alias("at"), F.col("size").cast("int").alias("size"), value.alias("v")).alias("e")).groupBy("file_id").agg(F.array_sort(F.collect_list("e")).alias("__e"))
-    done = F.aggregate("__e", F.col("content"), lambda c, e: F.overlay(c, e["v"], e["at"] + 1, e["size"]))
+    listed = edits.select("file_id", F.struct(F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"), value.alias("v")).alias("e")).groupBy("file_id").agg(F.array_sort(F.collect_list("e")).alias("__e"))
     out = files.join(listed, "file_id", "left")
-    return out.withColumn("content", F.when(F.col("__e").isNull(), F.col("content")).otherwise(done)).drop("__e")
+    names, places = [*files.columns, "__e"], (files.columns.index("content"), len(files.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                content, done = row.column(places[0])[0], row.column(places[1])[0]
+                if content.is_valid and done.is_valid:
+                    data = bytearray(content.as_buffer())
+                    for e in done.as_py():
+                        data[e["at"] : e["at"] + e["size"]] = e["v"]
+                    content = pa.array([bytes(data)], pa.binary())
+                else:
+                    content = row.column(places[0])
+                yield pa.RecordBatch.from_arrays([content if k == places[0] else row.column(k) for k in range(len(names) - 1)], names=names[:-1])
+
+    return out.select(*names).mapInArrow(run, files.schema)
 
 
 def subtree_bytes(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes(file_id, offset, end_offset) with the bytes of each element and all inside it."""
-    return nodes.join(files.select("file_id", "content"), "file_id").select(*[nodes[c] for c in nodes.columns], _range(F.col("offset"), F.col("end_offset") - F.col("offset")).alias("content"))
+    wanted = nodes.withColumn("cuts", F.array(_cut(F.col("offset"), F.col("end_offset") - F.col("offset"))))
+    return cut(files, wanted).select(*nodes.columns, "content")

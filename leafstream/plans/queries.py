@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import ebcdic, scalars
 from ..operators import asof, barcodes, diagnostics, graphics, islands, nesting, pages, ptoca, resources, search, sinks, surgery, tags
-from ..sources import framing, wire
+from ..sources import framing, parts, wire
+from ..sources.tables import VERSION, shared_folder, signature
 from ..sources.type_dim import with_type_names
 from . import decoding, exports, stores  # noqa: F401  (list their queries)
 from . import fixtures as fx
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .registry import DOCUMENTS as _D
 from .registry import EVENTS as _E
+from .registry import PAGE_BYTES as _PB
 from .registry import PAGE_TEXTS as _PT
 
 # ---- framing and indexes
@@ -47,11 +49,11 @@ def scan_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("file_id", "page_pos", "byte_offset", "byte_length", F.col("document_index").cast("int").alias("document_index"), "object_count", "has_text", "has_text_any", "has_images")
 
 
-@query(f"WITH {_D} SELECT file_id, page_pos, CAST(page_len AS BIGINT) AS n_bytes, '5A0008D3A8AD000000' AS head FROM pg WHERE page_pos = 2")
+@query(f"WITH {_PB} SELECT file_id, page_pos, CAST(page_len AS BIGINT) AS n_bytes, sha256(unhex(hex)) AS sha256 FROM h WHERE page_pos = 2")
 def page_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fx.print_files(spark, sf_dir)
     read = pages.page_bytes(files, fx.print_pages(spark, sf_dir)[1], 2)
-    return read.select("file_id", "page_pos", F.length("content").cast("long").alias("n_bytes"), F.hex(F.substring("content", 1, 9)).alias("head"))
+    return read.select("file_id", "page_pos", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 @query(f"WITH {_D} SELECT file_id, count(*) AS pages, CAST(17 AS BIGINT) AS preamble_end, CAST(17 + sum(page_len) AS BIGINT) AS postamble_start, CAST(26 + sum(page_len) AS BIGINT) AS size FROM pg GROUP BY file_id")
@@ -324,23 +326,28 @@ def element_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- surgery
 
 
-_PARTS = "SELECT file_id, part, count(*) AS page_count, min(page_pos) AS start_page, max(page_pos) AS end_page, CAST(26 + sum(page_len) AS BIGINT) AS n_bytes FROM (SELECT *, {part} AS part FROM pg) GROUP BY file_id, part"
+_PARTS = """WITH {bytes}, k AS (SELECT *, {part} AS part FROM h), s AS (SELECT file_id, part, count(*) AS page_count, min(page_pos) AS start_page, max(page_pos) AS end_page, string_agg(hex, '' ORDER BY page_pos) AS x FROM k GROUP BY file_id, part),
+m AS (SELECT file_id, part, page_count, start_page, end_page, pages, head || x || foot AS x FROM s JOIN fh USING (file_id))
+SELECT file_id, part, page_count, start_page, end_page, CAST(length(x) // 2 AS BIGINT) AS n_bytes, sha256(unhex(x)) AS sha256 FROM m"""
 
 
 def _measured(parts: DataFrame) -> DataFrame:
-    return parts.select("file_id", "part", "page_count", "start_page", "end_page", F.length("content").cast("long").alias("n_bytes"))
+    return parts.select("file_id", "part", "page_count", "start_page", "end_page", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def _opened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fx.print_files(spark, sf_dir), fx.print_pages(spark, sf_dir)[1]
 
 
-@query(f"WITH {_D} " + _PARTS.format(part="CAST(CASE WHEN page_pos <= 3 THEN 1 ELSE 2 END AS BIGINT)").replace("FROM pg)", "FROM pg WHERE file_id IN (SELECT file_id FROM pg GROUP BY file_id HAVING count(*) > 3))"))
+@query(_PARTS.format(bytes=_PB, part="CAST(CASE WHEN page_pos <= 3 THEN 1 ELSE 2 END AS BIGINT)") + " WHERE pages > 3")
 def split_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(surgery.split_after(*_opened(spark, sf_dir), 3))
 
 
-@query(f"WITH {_D} " + _PARTS.format(part="CAST((page_pos + 6) // 7 AS BIGINT)"))
+_SEVENS = _PARTS.format(bytes=_PB, part="CAST((page_pos + 6) // 7 AS BIGINT)")
+
+
+@query(_SEVENS)
 def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(surgery.batch_split(*_opened(spark, sf_dir), 7))
 
@@ -386,15 +393,37 @@ def _grouped(files: DataFrame) -> DataFrame:
     return files.withColumns({"job": F.substring("file_id", 4, 1), "pos": F.col("file_id")})
 
 
-@query(f"WITH {_D}, f AS (SELECT file_id, 26 + sum(page_len) AS b FROM pg GROUP BY file_id) SELECT substr(file_id, 4, 1) AS job, count(*) AS total_files, CAST(sum(b) AS BIGINT) AS total_bytes FROM f GROUP BY 1")
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where the made files of a query are published; a run replaces those before."""
+    return f"{shared_folder(spark)}/stores/v{VERSION}/{name}-{signature(spark, f'{sf_dir}/documents.parquet')}"
+
+
+def _made(files: DataFrame, index: DataFrame, folder: str) -> DataFrame:
+    """The published files of jobs, read back: size and hash, beside what they are made of."""
+    told = files.select("job", "file_id").join(index.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages")), "file_id")
+    totals = told.groupBy("job").agg(F.sum("pages").alias("total_pages"), F.count(F.lit(1)).alias("total_files"))
+    read = parts.digests(files.sparkSession, folder).withColumnsRenamed({"name": "job", "size": "total_bytes"})
+    return totals.join(read, "job").select("job", "total_pages", "total_files", "total_bytes", "sha256")
+
+
+@query(f"""WITH {_PB}, m AS (SELECT substr(file_id, 4, 1) AS job, CAST(sum(pages) AS BIGINT) AS total_pages, count(*) AS total_files, string_agg(head || mid || foot, '' ORDER BY file_id) AS x FROM fh GROUP BY 1)
+SELECT job, total_pages, total_files, CAST(length(x) // 2 AS BIGINT) AS total_bytes, sha256(unhex(x)) AS sha256 FROM m""")
 def concat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surgery.piece_totals(surgery.concat_pieces(_grouped(fx.print_files(spark, sf_dir)), ["job"], "pos"), ["job"]).drop("total_pages")
+    """Files of a job one behind the other, published, then read back."""
+    folder = _folder(spark, sf_dir, "concat")
+    files, index = _opened(spark, sf_dir)
+    surgery.concat_files(_grouped(files), ["job"], "pos", folder)
+    return _made(_grouped(files), index, folder)
 
 
-@query(f"WITH {_D} SELECT substr(file_id, 4, 1) AS job, count(*) AS total_pages, count(DISTINCT file_id) AS total_files, CAST(26 + sum(page_len) AS BIGINT) AS total_bytes FROM pg GROUP BY 1")
+@query(f"""WITH {_PB}, m AS (SELECT substr(file_id, 4, 1) AS job, CAST(sum(pages) AS BIGINT) AS total_pages, count(*) AS total_files, arg_min(head, file_id) || string_agg(mid, '' ORDER BY file_id) || arg_min(foot, file_id) AS x FROM fh GROUP BY 1)
+SELECT job, total_pages, total_files, CAST(length(x) // 2 AS BIGINT) AS total_bytes, sha256(unhex(x)) AS sha256 FROM m""")
 def merge_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a job as one document, published, then read back."""
+    folder = _folder(spark, sf_dir, "merged")
     files, index = _opened(spark, sf_dir)
-    return surgery.piece_totals(surgery.merge_pieces(_grouped(files), fx.fields(spark, sf_dir), index, ["job"], "pos"), ["job"])
+    surgery.merge_documents(_grouped(files), fx.fields(spark, sf_dir), index, ["job"], "pos", folder)
+    return _made(_grouped(files), index, folder)
 
 
 @query(f"WITH {_D} SELECT file_id, page_pos, CASE WHEN page_pos % 2 = 0 THEN trim(left('xyz  ', length(lang))) ELSE lang END AS value FROM pg")
@@ -489,15 +518,16 @@ def drawing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphics.drawings(drawn).drop("ops")
 
 
-@query(f"WITH {_D}, c AS (SELECT file_id, count(*) AS n FROM p GROUP BY file_id) SELECT file_id, CAST((n + 6) // 7 + 1 AS BIGINT) AS entries, 'PK' AS magic FROM c")
+@query(f"WITH z AS ({_SEVENS}) SELECT file_id, count(*) + 1 AS entries, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, md5(string_agg(sha256, ',' ORDER BY part)) AS contents FROM z GROUP BY file_id")
 def zip_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = surgery.batch_split(*_opened(spark, sf_dir), 7)
+    """Archives of parts, opened again: all entries, their sizes and contents (the list at the end is an entry, too)."""
+    batches = surgery.batch_split(*_opened(spark, sf_dir), 7)
     stem = scalars.file_stem(scalars.safe_name(F.col("file_id")))
-    named = parts.withColumn("name", F.concat(scalars.part_name(stem, F.col("part"), F.col("part")), F.lit(".bin")))
-    zipped = sinks.zip_parts(named)
-    # the number of central directory entries stands 12 bytes before the end
-    count = F.conv(F.concat(F.hex(F.substring("zip", -11, 1)), F.hex(F.substring("zip", -12, 1))), 16, 10).cast("long")
-    return zipped.select("file_id", count.alias("entries"), F.substring("zip", 1, 2).cast("string").alias("magic"))
+    named = batches.withColumn("name", F.concat(scalars.part_name(stem, F.col("part"), F.col("part")), F.lit(".bin")))
+    entries = sinks.zip_entries(sinks.zip_parts(named))
+    part = F.col("name") != "_manifest.txt"
+    inside = F.transform(F.array_sort(F.collect_list(F.when(part, F.struct("entry", "sha256")))), lambda x: x["sha256"])
+    return entries.groupBy("file_id").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.when(part, F.col("n_bytes"))).alias("n_bytes"), F.md5(F.array_join(inside, ",").cast("binary")).alias("contents"))
 
 
 @query("WITH h AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i, count(*) OVER () AS n FROM benchmark) SELECT item_id, i AS number, i % n + 1 AS next_number, (i - 2 + n) % n + 1 AS previous_number FROM h")

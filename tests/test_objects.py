@@ -1,5 +1,7 @@
+import hashlib
 import io
 import json
+import os
 import random
 import re
 import struct
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from leafstream.functions import scalars
 from leafstream.operators import barcodes, compose, graphics, images, sinks, surgery
 from leafstream.sources import files as file_source
-from leafstream.sources import framing
+from leafstream.sources import framing, parts
 from leafstream.streaming import index as streaming
 
 from .test_framing import F1, PARTS, opened, stream
@@ -118,7 +120,7 @@ def test_raster_images():
 # ---- surgery
 
 
-def test_surgery(spark):
+def test_surgery(spark, tmp_path):
     page = lambda n: [n[0]] if isinstance(n, tuple) else ["BPG", "PGD", "EPG"]
     names = ["BDT", *page(1), "NOPE", *page(2), *page(3), "EDT"]
     nop = "5A000CD3EEEE000000D5D6E3C5"
@@ -143,9 +145,10 @@ def test_surgery(spark):
         surgery.batch_split(files, index, 0)
     both = files.unionByName(spark.createDataFrame([("f1", bytearray(stream("BDT NOPX BPG EPG EDT".replace("NOPX", "TLE").split())))], "file_id string, content binary")).withColumns({"g": F.lit(1), "pos": F.col("file_id")})
     sf2 = framing.frames(both)
-    merged = surgery.merge_documents(both, sf2, pages.page_index(sf2), ["g"], "pos").first()
-    assert bytes(merged.content) == pre + stream(["TLE"]) + one_page * 3 + stream(["BPG", "EPG"]) + post and merged.total_pages == 4
-    assert surgery.concat_files(both, ["g"], "pos").first().total_bytes == len(body) + len(stream("BDT TLE BPG EPG EDT".split()))
+    surgery.merge_documents(both, sf2, pages.page_index(sf2), ["g"], "pos", str(tmp_path / "merged"))
+    merged = b"".join(bytes(r.content) for r in _grouped_rows(spark, str(tmp_path / "merged"))["1"])
+    assert merged == pre + stream(["TLE"]) + one_page * 3 + stream(["BPG", "EPG"]) + post
+    assert surgery.concat_files(both, ["g"], "pos", str(tmp_path / "concat")).first()["size"] == len(body) + len(stream("BDT TLE BPG EPG EDT".split()))
 
 
 def test_object_positions_of_both_layouts(spark):
@@ -201,7 +204,7 @@ def test_drawings_are_handed_on_in_bounded_batches(spark):
     assert [i for b in made for i in b.column("id").to_pylist()] == [r["id"] for r in rows]
 
 
-def test_made_files_in_pieces_are_the_whole_ones(spark):
+def test_made_files_in_pieces_are_the_whole_ones(spark, tmp_path):
     """No row is larger than a file, and in order the pieces are the made file."""
     from leafstream.operators import pages
 
@@ -211,19 +214,78 @@ def test_made_files_in_pieces_are_the_whole_ones(spark):
     files = spark.createDataFrame([(f"{g}{k}", v, g, p) for k, v, g, p in rows if g == "g" or k != "a"], "file_id string, content binary, g string, pos int")
     sf = framing.frames(files)
     index = pages.page_index(sf)
-    for pieces, whole in (
-        (surgery.concat_pieces(files, ["g"], "pos"), surgery.concat_files(files, ["g"], "pos")),
-        (surgery.merge_pieces(files, sf, index, ["g"], "pos"), surgery.merge_documents(files, sf, index, ["g"], "pos")),
-    ):
+    read = lambda folder: {n: b"".join(bytes(r.content) for r in rows) for n, rows in _grouped_rows(spark, folder).items()}
+    folders = str(tmp_path / "concat"), str(tmp_path / "merged")
+    made = surgery.concat_files(files, ["g"], "pos", folders[0]), surgery.merge_documents(files, sf, index, ["g"], "pos", folders[1])
+    for pieces, folder, told in zip((surgery.concat_pieces(files, ["g"], "pos"), surgery.merge_pieces(files, sf, index, ["g"], "pos")), folders, made, strict=True):
         found = pieces.collect()
         assert max(len(r.content) for r in found) <= max(map(len, bodies.values()))
-        for r in whole.collect():
-            assert bytes(r.content) == b"".join(bytes(x.content) for x in sorted((x for x in found if x.g == r.g), key=lambda x: (x.section, x.f, x.file_id)))
-        counted = surgery.piece_totals(pieces, ["g"]).select([c for c in whole.columns if c != "content"]).orderBy("g").collect()
-        assert counted == whole.drop("content").orderBy("g").collect()
-    assert [(r.total_files, r.total_bytes) for r in surgery.concat_files(files, ["g"], "pos").orderBy("g").collect()] == [(3, sum(map(len, bodies.values()))), (2, sum(len(v) for k, v in bodies.items() if k != "a"))]
-    merged = surgery.merge_documents(files, sf, index, ["g"], "pos").orderBy("g").first()
-    assert (merged.total_pages, merged.total_files) == (4, 3) and bytes(merged.content).startswith(bodies["a"][: bodies["a"].index(stream(["BPG"]))])
+        whole = {g: b"".join(bytes(x.content) for x in sorted((x for x in found if x.g == g), key=lambda x: (x.section, x.f, x.file_id))) for g in "gh"}
+        assert read(folder) == whole and {r.name: r["size"] for r in told.collect()} == {g: len(v) for g, v in whole.items()}
+        assert {r.name: r.sha256 for r in parts.digests(spark, folder).collect()} == {g: hashlib.sha256(v).hexdigest() for g, v in whole.items()}
+    assert read(folders[0]) == {"g": bodies["a"] + bodies["b"] + bodies["c"], "h": bodies["b"] + bodies["c"]}
+    assert read(folders[1])["g"].startswith(bodies["a"][: bodies["a"].index(stream(["BPG"]))])
+    assert [(r.g, r.total_pages, r.total_files) for r in surgery.piece_totals(surgery.merge_pieces(files, sf, index, ["g"], "pos"), ["g"]).orderBy("g").collect()] == [("g", 4, 3), ("h", 2, 2)]
+    one = surgery.merge_pieces(files.where("file_id = 'ga'"), sf, index.where("file_id = 'ga'"), ["g"], "pos").collect()
+    assert [(r.section, r.pages, bytes(r.content)) for r in one] == [(0, 2, bodies["a"])]  # alone in its group: as it is
+
+
+def _grouped_rows(spark, folder):
+    out = {}
+    for r in sorted(spark.read.format("binaryparts").option("splitBytes", 5).load(folder).collect(), key=lambda r: (r.name, r.task, r.seq, r.at)):
+        out.setdefault(r.name, []).append(r)
+    return out
+
+
+def test_parts_are_published_whole_or_not_at_all(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    folder = str(tmp_path / "made")
+    pieces = spark.range(200).selectExpr("'n' || id % 3 AS g", "id", "cast(repeat(cast(id as string), 50) as binary) AS content")
+    parts.write(pieces, folder, F.col("g"), ["id"])
+    want = {f"n{k}": b"".join(str(i).encode() * 50 for i in range(k, 200, 3)) for k in range(3)}
+    read = lambda: {n: b"".join(bytes(r.content) for r in rows) for n, rows in _grouped_rows(spark, folder).items()}
+    assert read() == want
+    stretches = parts.made_files(spark, folder).where("name = 'n1'").first().stretches
+    assert [s["at"] for s in stretches] == [sum(s["n"] for s in stretches[:i]) for i in range(len(stretches))] and len(stretches) > 1
+
+    broken = pieces.withColumn("content", F.when(F.col("id") == 150, F.expr("cast(raise_error('lost') as binary)")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        broken.select(F.col("g").alias("name"), "content").write.format("binaryparts").mode("overwrite").save(folder)
+    assert read() == want and len([f for f in os.listdir(folder) if f.startswith("run-")]) == 1  # the files before stand, nothing of the lost run does
+
+    # a task that died behind its last byte has sent no message: its part is cleared at the commit
+    writer = parts.PartsWriter({"path": folder}, StructType.fromDDL("name string, content binary"), True)
+    os.makedirs(f"{folder}/{writer.run}")
+    for kind in ("bin", "parquet"):
+        open(f"{folder}/{writer.run}/000000-dead.{kind}", "wb").close()
+    writer.commit([None])
+    assert os.listdir(f"{folder}/{writer.run}") == [] and read() == {} and parts.made_files(spark, folder).count() == 0
+    assert [f for f in os.listdir(folder) if f.startswith("run-")] == [writer.run]
+    with pytest.raises(Exception, match="overwrite"):
+        pieces.select(F.col("g").alias("name"), "content").write.format("binaryparts").mode("append").save(folder)
+
+
+def test_cut_and_edit_without_copies(spark):
+    """All ranges of a file in one pass, in bounded batches."""
+    import time
+
+    body = bytes(range(256)) * 40_000  # 10 MB
+    files = spark.createDataFrame([("f", bytearray(body)), ("e", bytearray(b"")), ("n", None)], "file_id string, content binary")
+    pages = spark.createDataFrame([("f", i + 1, i + 1, i * 5000, 5000) for i in range(2000)], "file_id string, page_number bigint, page_pos bigint, byte_offset bigint, byte_length bigint")
+    edits = pages.select("file_id", F.col("byte_offset").alias("at"), F.lit(3).alias("size"), F.lit("ab").alias("text"))
+    began = time.time()
+    done = {r.file_id: r.content for r in surgery.edit(files, edits).collect()}
+    want = bytearray(body)
+    for i in range(2000):
+        want[i * 5000 : i * 5000 + 3] = "ab ".encode("cp037")
+    assert bytes(done["f"]) == bytes(want) and done["n"] is None and bytes(done["e"]) == b""
+    order = pages.select("file_id", (2001 - F.col("page_pos")).alias("position"), "page_pos")
+    back = surgery.reassemble(files, pages, order).first()
+    assert bytes(back.content) == b"".join(body[i * 5000 : (i + 1) * 5000] for i in reversed(range(2000))) + body[10_000_000:]
+    nodes = pages.select("file_id", F.col("byte_offset").alias("offset"), (F.col("byte_offset") + 10).alias("end_offset"))
+    assert all(bytes(r.content) == body[r.offset : r.end_offset] for r in surgery.subtree_bytes(files, nodes).collect())
+    assert time.time() - began < 60
 
 
 def test_merges_hold_no_group_in_a_row(spark, sf_dir):
