@@ -16,6 +16,8 @@ an empty table gives an empty table; other columns of the input aren't looked at
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -66,31 +68,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, ratio: float, vocab_path: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The runs and parts of low ratio, less what the base spans cover."""
+    """The runs and parts of low ratio, less what the base spans cover.
+
+    reach: how far the base spans up to one go, so that what covers a part is found by bisection, however many there are.
+    """
     out, encode = [], None
-    taken, at = sorted((a, b) for a, b, _ in base), 0
+    taken = sorted((a, b) for a, b, _ in base)
+    starts, reach = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    behind = lambda at: reach[i - 1] if (i := bisect.bisect_right(starts, at)) else 0
     for m in RUN.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
-            at += 1
-        over, upto = [], at
-        while upto < len(taken) and taken[upto][0] < m.end():
-            over += [taken[upto]] if m.start() < taken[upto][1] else []
-            upto += 1
         # a run that a fixed span covers in part is judged by parts: the fixed span alone can make its ratio low
-        todo = [(*m.span(), 0)] if not over else [(m.start() + p.start(), m.start() + p.end(), 1) for p in CUTS[0].finditer(m[0])]
+        free = behind(m.start()) <= m.start() and bisect.bisect_right(starts, m.start()) == bisect.bisect_left(starts, m.end())
+        todo = [(*m.span(), 0)] if free else [(m.start() + p.start(), m.start() + p.end(), 1) for p in CUTS[0].finditer(m[0])]
         while todo:
             start, end, level = todo.pop()
-            if end - start < LEAST or any(a <= start and end <= b for a, b in over):
+            if end - start < LEAST or behind(start) >= end:
                 continue
             run = text[start:end]
             encode = encode or encoding(vocab_path).encode_ordinary
             if not is_known(run) and end - start < ratio * len(encode(run)):
-                for a, b in over:
-                    if start < a and start < end:
-                        out.append((start, min(a, end), "random"))
-                    start = max(start, b)
-                if start < end:
-                    out.append((start, end, "random"))
+                at = max(start, behind(start))
+                for a, b in taken[bisect.bisect_right(starts, start) : bisect.bisect_left(starts, end)]:
+                    if at < a:
+                        out.append((at, a, "random"))
+                    at = max(at, b)
+                if at < end:
+                    out.append((at, end, "random"))
             elif level < len(CUTS):
                 todo += [(start + p.start(), start + p.end(), level + 1) for p in CUTS[level].finditer(run)]
     return out
