@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Shelf
 
 #: Words that a shard holds, and bytes of text that are split in one go.
-SHARD_WORDS, STRETCH = 1 << 21, 1 << 20
+SHARD_WORDS, STRETCH = 1 << 20, 1 << 20
 #: Bits of the map of phrases that may be frequent; its size doesn't depend on the data.
 MAP_BITS = 1 << 26
 
