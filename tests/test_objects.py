@@ -353,6 +353,21 @@ def test_file_source(spark, tmp_path):
         file_source.named(spark, str(tmp_path), "../a.afp")
 
 
+def test_oversized_files_are_told_not_dropped(spark, tmp_path, monkeypatch):
+    (tmp_path / "small.afp").write_bytes(stream(["BDT"]))
+    (tmp_path / "large.afp").write_bytes(stream(["BDT"]) * 100)
+    monkeypatch.setattr(file_source, "LARGEST", 1000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 999)  # stands for the 2 GB that no row can pass
+    try:
+        assert {r.name for r in file_source.listing(spark, str(tmp_path)).collect()} == {"small.afp", "large.afp"}
+        assert [tuple(r) for r in file_source.oversized(spark, str(tmp_path)).collect()] == [("large.afp", "too large")]
+        with pytest.raises(Exception, match="large.afp"):
+            file_source.print_files(spark, str(tmp_path)).agg(F.sum(F.length("content"))).collect()
+        assert [r.name for r in file_source.print_files(spark, str(tmp_path), skip_oversized=True).select("name", "content").collect()] == ["small.afp"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 @pytest.mark.parametrize("text,query", [("aaaa", "aa"), ("abcabcab", "abc"), ("a.b*a.b*", "a.b*"), ("", "x"), ("x", "xy"), ("\\E\\E", "\\E"), ("ababab", "abab")])
 def test_positions(spark, text, query):
     want = [i for i in range(len(text) - len(query) + 1) if text[i : i + len(query)] == query]
