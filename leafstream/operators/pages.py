@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ebcdic
+from . import scans
 
 #: Page strategies: name, begin, end, priority among equals.
 STRATEGIES = (("BPG", "D3A8AD", "D3A9AD"), ("BRS", "D3A8AF", "D3A9AF"), ("BDT", "D3A8A8", "D3A9A8"), ("BPF", "D3A8A5", "D3A9A5"))
@@ -98,11 +99,17 @@ def page_index(sf: DataFrame) -> DataFrame:
     )
 
 
-def attributed(log: DataFrame, keys: list[str], order: list[str], document: Column, group: Column, name: Column | None = None) -> DataFrame:
+def attributed(log: DataFrame, keys: list[str], order: list[str], document: Column, group: Column, name: Column | None = None, split: Column | None = None) -> DataFrame:
     """document_index (groups so far in the document, from 0) and document_name (last group's name).
 
-    document and group say which rows begin one; a document begins the count again.
+    document and group say which rows begin one; a document begins the count again.  With split the key's rows are
+    taken in parallel (scans.py).
     """
+    if split is not None:
+        named = {"document_name": F.when(group, name)} if name is not None else {}
+        counted = scans.running(log.withColumn("__group", group.cast("long")), keys, split, order, {"__groups": F.col("__group")})
+        out = scans.last_values(counted, keys, split, order, {"__from": F.when(document, F.col("__groups") - F.col("__group")), **named})
+        return out.withColumn("document_index", F.greatest(F.col("__groups") - F.coalesce("__from", F.lit(0)) - 1, F.lit(0))).drop("__group", "__groups", "__from")
     by = Window.partitionBy(*keys).orderBy(*order)
     epoch = log.withColumn("__epoch", F.sum(document.cast("long")).over(by))
     inner = Window.partitionBy(*keys, "__epoch").orderBy(*order)
@@ -113,17 +120,18 @@ def attributed(log: DataFrame, keys: list[str], order: list[str], document: Colu
     return out.drop("__epoch")
 
 
-def scan_index(sf: DataFrame) -> DataFrame:
+def scan_index(sf: DataFrame, split: Column | None = None) -> DataFrame:
     """The full index scan: BPG/EPG pages with what they hold and where they belong.
 
     An unclosed page ends before the field that closes it (a document's or group's end), or at the
-    end of the file.  has_text goes by the one begin-text type, has_text_any by both.
+    end of the file.  has_text goes by the one begin-text type, has_text_any by both.  With split a file's fields are taken in parallel.
     """
     by = Window.partitionBy("file_id").orderBy("offset")
     kind = F.when(F.col("type_id") == "D3A8AD", "B").when(F.col("type_id") == "D3A9AD", "E").when(F.col("type_id").isin("D3A9A8", "D3A9CA"), "C")
     group = ebcdic.decode_name(F.substring("data", 1, 8), "group")
-    log = attributed(sf.withColumn("kind", kind), ["file_id"], ["offset"], F.col("type_id") == "D3A8A8", F.col("type_id") == "D3ABCA", F.nullif(group, F.lit("")))
-    log = log.withColumns({"page_number": F.sum((F.coalesce("kind", F.lit("")) == "B").cast("long")).over(by), "__closed": F.sum(F.coalesce(F.col("kind").isin("E", "C"), F.lit(False)).cast("long")).over(by)})
+    log = attributed(sf.withColumn("kind", kind), ["file_id"], ["offset"], F.col("type_id") == "D3A8A8", F.col("type_id") == "D3ABCA", F.nullif(group, F.lit("")), split)
+    counts = {"page_number": (F.coalesce("kind", F.lit("")) == "B").cast("long"), "__closed": F.coalesce(F.col("kind").isin("E", "C"), F.lit(False)).cast("long")}
+    log = log.withColumns({n: F.sum(c).over(by) for n, c in counts.items()}) if split is None else scans.running(log, ["file_id"], split, ["offset"], counts)
     inner = log.where("page_number > 0").withColumn("__first", F.max(F.when(F.col("kind") == "B", F.col("__closed"))).over(Window.partitionBy("file_id", "page_number")))
     inside = inner.where((F.col("__closed") == F.col("__first")) | ((F.col("__closed") == F.col("__first") + 1) & F.col("kind").isin("E", "C")))
     size = sf.groupBy("file_id").agg(F.max(F.col("offset") + 1 + F.col("length")).alias("size"))
@@ -164,10 +172,11 @@ def batches(pages: DataFrame, keys: list[str], size: int, page_pos: str = "page_
     return parts.join(totals, keys)
 
 
-def context(log: DataFrame, keys: list[str], order: list[str], is_page: Column) -> DataFrame:
+def context(log: DataFrame, keys: list[str], order: list[str], is_page: Column, split: Column | None = None) -> DataFrame:
     """page_no (pages begun so far) and context ('document-level' before the first, else 'page-n')."""
-    n = F.sum(is_page.cast("long")).over(Window.partitionBy(*keys).orderBy(*order))
-    return log.withColumn("page_no", n).withColumn("context", F.when(F.col("page_no") == 0, "document-level").otherwise(F.concat(F.lit("page-"), F.col("page_no").cast("string"))))
+    n = is_page.cast("long")
+    log = log.withColumn("page_no", F.sum(n).over(Window.partitionBy(*keys).orderBy(*order))) if split is None else scans.running(log, keys, split, order, {"page_no": n})
+    return log.withColumn("context", F.when(F.col("page_no") == 0, "document-level").otherwise(F.concat(F.lit("page-"), F.col("page_no").cast("string"))))
 
 
 def page_bytes(files: DataFrame, pages: DataFrame, page_number: int | None = None) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sql as sql_functions
-from ..operators import assembly, diagnostics, pages, sinks
+from ..operators import assembly, diagnostics, pages, scans, sinks
 from ..operators.search import search_tags
 from ..sources import datasource, framing, wire
 from ..sources import files as file_source
 from ..sources.tables import VERSION, exists, reused, shared_folder, signature
+from ..sources.type_dim import is_begin, is_end
 from ..sources.wire import field, number
 from ..streaming.store import Archive
 from . import fixtures as fx
@@ -51,6 +52,34 @@ def files_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_name(spark.read.format("printstream").option("splitBytes", 100_000).option("payload", "false").load(f"{_folder(spark, sf_dir)}/*.afp"))
 
 
+_PLACES = f"""WITH {_D}, k AS (SELECT *, 6 + (n + 24999) // 25000 AS f, 9 + (9 + 4 + 5 + 4 + length(CAST(doc_id AS VARCHAR))) + (9 + 4 + 4 + 4 + length(lang)) AS before_text FROM pg),
+o AS (SELECT *, 1 + coalesce(sum(f) OVER (PARTITION BY file_id ORDER BY page_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM k)"""
+
+
+def _split_fields(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFrame:
+    """The folder's fields through the data source, in splits of 100,000 bytes, with their file's name."""
+    spark.dataSource.register(datasource.PrintStream)
+    sf = spark.read.format("printstream").option("splitBytes", 100_000).option("payload", str(payload).lower()).load(f"{_folder(spark, sf_dir)}/*.afp")
+    return sf.withColumn("file_id", F.element_at(F.split("file_id", "/"), -1))
+
+
+@query(f"""{_PLACES} SELECT {_NAMED} AS name, CAST(byte_offset AS BIGINT) AS "offset", 'D3A8AD' AS type_id, CAST(no AS BIGINT) AS sf_no, CAST(page_pos AS BIGINT) AS page_number, CAST(1 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS parent FROM o
+UNION ALL SELECT {_NAMED}, CAST(byte_offset + before_text AS BIGINT), 'D3A89B', CAST(no + 3 AS BIGINT), CAST(page_pos AS BIGINT), 2, CAST(byte_offset AS BIGINT) FROM o""")
+def fields_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, pages, depths and parents of all pages' and texts' begins, over files in splits."""
+    sf = _split_fields(spark, sf_dir)
+    split = scans.by_offset(100_000)
+    tree = scans.nested(scans.numbered(sf, split), ["file_id"], split, ["offset"], is_begin(F.col("type_id")), is_end(F.col("type_id")), "offset")
+    return tree.where("type_id IN ('D3A8AD', 'D3A89B')").select(F.col("file_id").alias("name"), "offset", "type_id", "sf_no", "page_number", F.col("depth").cast("long").alias("depth"), "parent")
+
+
+@query(f"""WITH {_D} SELECT {_NAMED} AS name, CAST(page_pos AS BIGINT) AS page_pos, CAST(byte_offset AS BIGINT) AS byte_offset, CAST(page_len AS BIGINT) AS byte_length, CAST(1 AS BIGINT) AS object_count, TRUE AS has_text_any FROM pg""")
+def scan_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full index scan over files in splits."""
+    index = pages.scan_index(_split_fields(spark, sf_dir, payload=True), scans.by_offset(100_000))
+    return index.select(F.col("file_id").alias("name"), "page_pos", "byte_offset", "byte_length", "object_count", "has_text_any")
+
+
 @query(f"WITH {_D} SELECT {_NAMED} AS name, CAST(26 + sum(page_len) AS BIGINT) AS size FROM pg GROUP BY 1")
 def files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and sizes, contents unread."""
