@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Shelf
 
 #: Words that a shard holds, and bytes of text that are split in one go.
-SHARD_WORDS, STRETCH = 1 << 20, 1 << 20
+SHARD_WORDS, STRETCH = 1 << 21, 1 << 20
 #: Bits of the map of phrases that may be frequent; its size doesn't depend on the data.
 MAP_BITS = 1 << 26
 
@@ -272,7 +272,9 @@ def counted(held: DataFrame, size: int, known) -> DataFrame:
                     said = pc.binary_join_element_wise(*[words.take(pa.array(ids[some + d] - 1)) for d in range(size)], " ")
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(some)), said, pa.array(n[at : at + len(some)], pa.int64())], names=["lang", "phrase", "n"])
 
-    return held.select("lang", "sign", "words", "hashes", "ids").mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # a shard has a phrase once, so there is next to nothing to combine before the rows are dealt: that would only hold them in memory
+    dealt = held.select("lang", "sign", "words", "hashes", "ids").mapInArrow(run, COUNTS).repartition("lang", "phrase")
+    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(df: DataFrame, shelf: Shelf, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, shard_words: int = SHARD_WORDS, bits: int = MAP_BITS) -> tuple[DataFrame, list[DataFrame]]:
