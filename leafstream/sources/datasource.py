@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .framing import HEADER, LONGEST, MAGIC, SCHEMA, SHORTEST, _batch, columns, walk
+from .framing import HEADER, LONGEST, MAGIC, SCHEMA, SHORTEST, batch, chain
 
 SPLIT = 64 << 20
 COLUMNS = ", ".join(c for c in SCHEMA.split(", ") if not c.startswith("sf_no"))
@@ -132,21 +132,13 @@ class PrintStreamReader(DataSourceReader):
             return
         # a type that isn't six hex digits is no field's
         wanted = None if self.types is None else {bytes.fromhex(t) for t in self.types if isinstance(t, str) and re.fullmatch("[0-9A-F]{6}", t)}
-        spans, low, content = [], window.low, window.data
-        for at, length, short in walk(content, due - low, partition.end - low):
-            if wanted is None or content[at + 3 : at + 6] in wanted:
-                spans.append((at, length, short))
-            if len(spans) == 4096:
-                yield self._rows(partition.path, low, content, spans)
-                spans = []
-        if spans:
-            yield self._rows(partition.path, low, content, spans)
-
-    def _rows(self, name: str, low: int, content: bytes, spans: list) -> pa.RecordBatch:
-        batch = _batch(name, 0, columns(content, spans, self.payload))
-        places = pa.array([at + low for at, _, _ in spans], pa.int64())
-        names = [n.split()[0] for n in COLUMNS.split(", ")]
-        return pa.RecordBatch.from_arrays([places if n == "offset" else batch.column(n) for n in names], names=names)
+        low, content = window.low, window.data
+        for places in chain(content, due - low, partition.end - low, 4096):
+            if wanted is not None:
+                places = [at for at in places if content[at + 3 : at + 6] in wanted]
+            if places:
+                rows = batch(partition.path, 0, content, places, self.payload, low)
+                yield rows.select([n.split()[0] for n in COLUMNS.split(", ")])
 
 
 class FilteringReader(PrintStreamReader):

@@ -8,33 +8,48 @@ depends on later bytes only, so a file can be framed in splits (see datasource.p
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAGIC, SHORTEST, LONGEST, HEADER = 0x5A, 6, 32766, 9
-_HEAD = struct.Struct(">BH3sBH")
 
 SCHEMA = "file_id string, sf_no bigint, offset bigint, length int, type_id string, flags int, seq int, data binary, truncated boolean"
 CORRUPT = "file_id string, offset bigint"
 
 
-def walk(content: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bool]]:
-    """(offset, length, truncated) of the fields that start at or behind start and before end."""
+def chain(content: bytes, start: int = 0, end: int | None = None, most: int = 1 << 16) -> Iterator[list[int]]:
+    """The places of the fields that start at or behind start and before end, in lists of at most so many.
+
+    Only this chain is a loop: each length tells where the next field is.  What is in the headers is gathered from the places.
+    """
     size = len(content)
-    at = content.find(b"\x5a", start)
-    while 0 <= at < size and (end is None or at < end):
-        if at + HEADER > size:
-            return
+    find, last = content.find, min(size if end is None else end, size - HEADER + 1)
+    at, places = find(b"\x5a", start), []
+    while 0 <= at < last:
         length = content[at + 1] << 8 | content[at + 2]
         if SHORTEST <= length <= LONGEST:
-            behind = at + 1 + length
-            yield at, length, behind > size
-            at = behind if behind < size and content[behind] == MAGIC else content.find(b"\x5a", behind)
+            places.append(at)
+            if len(places) == most:
+                yield places
+                places = []
+            at += 1 + length
+            if at >= size or content[at] != MAGIC:
+                at = find(b"\x5a", at)
         else:
-            at = content.find(b"\x5a", at + 1)
+            at = find(b"\x5a", at + 1)
+    if places:
+        yield places
+
+
+def walk(content: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bool]]:
+    """(offset, length, truncated) of the fields that start at or behind start and before end."""
+    for places in chain(content, start, end):
+        for at in places:
+            length = content[at + 1] << 8 | content[at + 2]
+            yield at, length, at + 1 + length > len(content)
 
 
 def corrupt_offsets(content: bytes) -> Iterator[int]:
@@ -49,24 +64,30 @@ def corrupt_offsets(content: bytes) -> Iterator[int]:
             at = content.find(b"\x5a", at + 1)
 
 
-def columns(content: bytes, spans: list[tuple[int, int, bool]], with_data: bool = True) -> list[list]:
-    """offset, length, type_id, flags, seq, data and truncated as lists."""
-    heads = [_HEAD.unpack_from(content, at) for at, _, _ in spans]
-    return [
-        [s[0] for s in spans],
-        [s[1] for s in spans],
-        [h[2].hex().upper() for h in heads],
-        [h[3] for h in heads],
-        [h[4] for h in heads],
-        [content[at + HEADER : at + 1 + n] if with_data else None for at, n, _ in spans],
-        [s[2] for s in spans],
-    ]
-
-
-def _batch(file_id: str, first_no: int, cols: list[list]) -> pa.RecordBatch:
-    n = len(cols[0])
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-    arrays = [pa.array([file_id] * n, pa.string()), pa.array(range(first_no, first_no + n), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+#: The two hex digits of every byte.
+_HEX = np.frombuffer(bytes(range(256)).hex().upper().encode(), np.uint8).reshape(256, 2)
+
+
+def batch(file_id: str, first_no: int, content: bytes, places: list[int], with_data: bool = True, base: int = 0) -> pa.RecordBatch:
+    """The fields at these places of content, which begins at base of the file, as rows."""
+    raw, at = np.frombuffer(content, np.uint8), np.array(places, np.int64)
+    n = len(at)
+    length = raw[at + 1].astype(np.int32) << 8 | raw[at + 2]
+    kinds = _HEX[raw[at[:, None] + np.arange(3, 6)]].tobytes()
+    type_id = pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, 6 * n + 1, 6, dtype=np.int32)), pa.py_buffer(kinds))
+    behind = at + 1 + length
+    if with_data:
+        ends = np.minimum(behind, len(content))
+        offsets = np.zeros(n + 1, np.int32)
+        np.cumsum(np.maximum(ends - at - HEADER, 0), out=offsets[1:])
+        view = memoryview(content)
+        data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join([view[a + HEADER : e] for a, e in zip(places, ends.tolist(), strict=True)]))])
+    else:
+        data = pa.nulls(n, pa.binary())
+    arrays = [
+        pa.repeat(pa.scalar(file_id, pa.string()), n), pa.array(np.arange(first_no, first_no + n)), pa.array(at + base), pa.array(length), type_id,
+        pa.array(raw[at + 6].astype(np.int32)), pa.array(raw[at + 7].astype(np.int32) << 8 | raw[at + 8]), data, pa.array(behind > len(content)),
+    ]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
@@ -74,16 +95,12 @@ def frames(files: DataFrame, file_id: str = "file_id", content: str = "content",
     """A row per structured field of each file; with_data=False leaves the payloads out (index scans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, spans, done = raw.as_py() or b"", [], 0
-                for span in walk(data):
-                    spans.append(span)
-                    if len(spans) == batch_rows:
-                        yield _batch(name, done, columns(data, spans, with_data))
-                        done, spans = done + len(spans), []
-                if spans:
-                    yield _batch(name, done, columns(data, spans, with_data))
+        for given in batches:
+            for name, raw in zip(given.column(0).to_pylist(), given.column(1), strict=True):
+                data, done = raw.as_py() or b"", 0
+                for places in chain(data, most=batch_rows):
+                    yield batch(name, done, data, places, with_data)
+                    done += len(places)
 
     return files.select(file_id, content).mapInArrow(run, SCHEMA)
 
