@@ -33,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, batches_of
 
 #: Words that a shard holds, and bytes of text that are split in one go.
-SHARD_WORDS, STRETCH = 1 << 21, 1 << 20
+SHARD_WORDS, STRETCH = 1 << 19, 1 << 20
 #: Bits of the map of phrases that may be frequent; its size doesn't depend on the data.
 MAP_BITS = 1 << 26
 
@@ -280,13 +280,15 @@ def counted(held: DataFrame, size: int, known) -> DataFrame:
 def frequent_phrases(df: DataFrame, shelf: Shelf, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, shard_words: int = SHARD_WORDS, bits: int = MAP_BITS) -> tuple[DataFrame, list[DataFrame]]:
     """(lang and n, its words in all; a table of lang, phrase and n for each size of phrases with least occurrences or more)."""
     spark = df.sparkSession
-    held = shelf.put(shards(df, text, lang, longest, shard_words))
+    with batches_of(spark, 1000):
+        held = shelf.put(shards(df, text, lang, longest, shard_words))
     single = held.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("n"))
     totals = held.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     totals, found = shelf.put(totals), [shelf.put(single.where(F.col("n") >= least))]
     for size in range(2, longest + 1):
         known = spark.sparkContext.broadcast(possible(found[-1], size - 1, bits))
-        found.append(shelf.put(counted(held, size, known).where(F.col("n") >= least)))
+        with batches_of(spark, 1):  # a shard is a row
+            found.append(shelf.put(counted(held, size, known).where(F.col("n") >= least)))
         known.destroy()
     shelf.drop(held)
     return totals, found
