@@ -7,25 +7,31 @@ capacities to the source and the sink.  Blocks that follow each other, and block
 ancestor, are tied by smoothness edges.  The minimum cut (max-flow) labels all blocks of the page at
 once; the content blocks' text is the result.  The classifier's weights are fitted (``pagemodel.fit``).
 
+What is never of an article, wherever it stands, has a certain terminal: elements of OUTSIDE, forms, adverts, readers'
+comments, hidden parts.  Links don't count against a block that more of the article follows: a list of links between its
+paragraphs is its own, one behind them all is a menu.
+
 Inline elements never decide for their block: text in an inline element that is an advert, a share
 button or hidden is a node of its own in the graph, tied to its block.
 
 A class or id name speaks for boilerplate only if all of its words do or are words of layout:
-``cookie-notice`` and ``share-box`` do, ``copyright-law`` doesn't.  Within an article an id, which can
+``cookie-notice``, ``share-box`` and ``commentlist`` do, ``copyright-law`` doesn't.  Words of adverts and comments speak whatever is
+beside them (``google-ad``, ``blog-comments``), but for names about them (``has-comments``).  Within an article an id, which can
 be a heading's anchor, must be one of the plain ones (FIRM).
 
 White space inside a block becomes one space; blocks are trimmed and joined in page order by one
 space; character references are decoded; ``<br>`` is white space.
 
 Defined results: null or blank html gives an empty text; text outside any element is a block of its
-own; unclosed or stray tags end where HTML's implied end tags would end them; a page with no content
-block gives an empty text; ties of the cut go to boilerplate; pages are read whole, in time that grows
+own; unclosed or stray tags end where HTML's implied end tags would end them; on a page where no block is labelled content
+the text is that of all blocks that nothing speaks against (a bare paragraph is an article); ties of the cut go to boilerplate; pages are read whole, in time that grows
 with their length; repeated rows get equal results; an empty table gives an empty table; further
 columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import math
 import re
@@ -46,39 +52,56 @@ IMPLIED = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt
 #: Elements whose text is not of the article.
 OUTSIDE = frozenset("nav footer aside noscript template dialog iframe svg head select button object canvas audio video datalist map".split())
 #: Words of class and id names (split at case changes and at all but letters) that speak for boilerplate.
-NEGATIVE = frozenset("ad ads adv advert adverts advertisement advertisements advertising advertorial adbox adsense adsbygoogle adslot sponsor sponsors sponsored sponsorship promo promos promoted promotion promotions banner banners cookie cookies consent gdpr ccpa notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup social share shares sharing sidebar sidebars side widget widgets menu menus submenu nav navbar navigation navigator breadcrumb breadcrumbs toolbar footer header masthead topbar login search pagination pager skip hidden legal disclaimer copyright teaser teasers outbrain taboola comment comments reply replies respond disqus responses discussion reactions related recommended recommendation recommendations".split())
+NEGATIVE = frozenset("ad ads adv advert adverts advertisement advertisements advertising advertorial adbox adsense adsbygoogle adslot sponsor sponsors sponsored sponsorship promo promos promoted promotion promotions banner banners cookie cookies consent gdpr ccpa notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup social share shares sharing sidebar sidebars side widget widgets menu menus submenu nav navbar navigation navigator breadcrumb breadcrumbs toolbar footer header masthead topbar login search pagination pager skip hidden legal disclaimer copyright teaser teasers outbrain taboola comment comments reply replies respond disqus responses discussion reactions feedback related recommended recommendation recommendations".split())
 #: Those of sections that hold other articles or readers' texts.
-FOREIGN = frozenset("comment comments reply replies respond disqus responses discussion reactions related recommended recommendation recommendations".split())
+FOREIGN = frozenset("comment comments reply replies respond disqus responses discussion reactions feedback related recommended recommendation recommendations".split())
 #: Words that name a place or a container and say nothing by themselves.
 LAYOUT = frozenset("all and also area bar bars block blocks body bottom box boxes button buttons buttons by card cards center code col column container content count entry form global group head holder icon icons id img image in info inner item items js label language layer left like link links list lists main me media message meta middle more most mobile module new news of on our outer page pages panel policy popular post posts primary read region right row section secondary settings single site slot slots small stories story sticky strip tab tabs text the this thread title to toggle tools top unit up us user users view warning web website wide wrap wrapper you your zone".split())
+#: A name with one of these words tells adverts or readers' comments whatever its other words are, but for those that only speak about them.
+FIRST = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox adsense adsbygoogle adslot comment comments commenter commenters disqus".split())
+ABOUT = frozenset("no non not has have with without count counter number open closed enabled disabled allowed allow off hide free blocker".split())
 #: Of the NEGATIVE words those that also count as an id within an article.
 FIRM = frozenset("ad ads adv advert advertisement adsense adbox adslot sponsored promo cookie cookies consent newsletter subscribe signup social share sharing sidebar footer widget widgets nav navbar breadcrumbs login comment comments reply replies respond disqus related recommended outbrain taboola".split())
 #: What inline elements can be besides text of their block.
 INLINE_BAD = frozenset("ad ads adv advert advertisement adbox adslot sponsored promo promoted share shares sharing social hidden skip popup".split())
 POSITIVE = frozenset("article content main post entry story text body prose".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: The classifier's weights, over features() in this order; found by pagemodel.fit().
-WEIGHTS = {"bias": -1.2, "article": 4.08, "outside": -7.21, "negative": -6.74, "positive": 5.32, "header": -2.94, "form": -3.26, "h1": 1.07, "heading": 1.01, "p": -0.78, "item": -0.12, "links": -4.28, "length": 1.43, "sentence": 0.23}
+WEIGHTS = {"bias": -0.82, "article": 3.74, "outside": -6.64, "negative": -6.21, "positive": 5.55, "header": -2.81, "form": -3.26, "h1": 1.09, "heading": 0.99, "p": -0.57, "item": 0.16, "links": -4.98, "length": 1.16, "sentence": -0.21}
 ADJACENT, SIBLING, COUSIN = 0.5, 0.4, 0.15
+#: Capacity that no ties outweigh.
+CERTAIN = 1e6
 
 
 class Block:
     """Text of a block and where it stands: flags of its enclosing block-level elements, parent and grandparent.
 
-    parts: (raw text, is it in an inline element that is no text of the block).
+    parts: (raw text, is it in an inline element that is no text of the block); leads: whether plain text of the same article follows.
     """
 
-    __slots__ = ("grand", "linked", "parent", "parts", "state", "tag", "text")
+    __slots__ = ("grand", "leads", "linked", "parent", "parts", "state", "tag", "text")
 
     def __init__(self, tag: str, state: tuple, parent: int, grand: int):
-        self.tag, self.state, self.parent, self.grand, self.parts, self.linked, self.text = tag, state, parent, grand, [], 0, ""
+        self.tag, self.state, self.parent, self.grand, self.parts, self.linked, self.text, self.leads = tag, state, parent, grand, [], 0, "", False
+
+
+@functools.lru_cache(1 << 16)
+def _parts(word: str) -> tuple[str, ...]:
+    """A word, or the two that it is run together from, one of NEGATIVE and one of LAYOUT (``commentlist``)."""
+    if word not in NEGATIVE and word not in LAYOUT:
+        for i in range(2, len(word) - 1):
+            a, b = word[:i], word[i:]
+            if a in NEGATIVE and b in LAYOUT or a in LAYOUT and b in NEGATIVE:
+                return a, b
+    return (word,)
 
 
 def _names(value: str) -> list[frozenset[str]]:
     """The words of each name of a class or id attribute; digits and single letters aren't words."""
-    return [frozenset(w.lower() for w in _WORDS.findall(name) if len(w) > 1) for name in value.split()]
+    return [frozenset(p for w in _WORDS.findall(name) if len(w) > 1 for p in _parts(w.lower())) for name in value.split()]
 
 
 def _speaks(names: list[frozenset[str]], words: frozenset[str]) -> bool:
@@ -86,6 +109,11 @@ def _speaks(names: list[frozenset[str]], words: frozenset[str]) -> bool:
     return any(not n.isdisjoint(words) and all(w in NEGATIVE or w in LAYOUT for w in n) for n in names)
 
 
+def _tells(names: list[frozenset[str]]) -> bool:
+    """Whether a class name has a word of FIRST and none of ABOUT."""
+    return any(not n.isdisjoint(FIRST) and n.isdisjoint(ABOUT) for n in names)
+
+
 def _attributes(attrs: str) -> dict[str, str]:
     low = attrs.lower()
     if not any(k in low for k in ("class", "id", "role", "hid", "none")):
@@ -102,8 +130,10 @@ def _state(before: tuple, tag: str, attrs: str) -> tuple:
     article, outside, negative, positive, header, form = before
     found = _attributes(attrs) if attrs else {}
     classes, ids, role = _names(found.get("class", "")), _names(found.get("id", "")), found.get("role", "").lower()
+    if article and tag in _HEADINGS:
+        ids = []  # anchors
     whole = tag in ("html", "body")
-    if found and _unseen(found) or not whole and (_speaks(classes, FOREIGN) or _speaks(ids, FOREIGN & FIRM if article else FOREIGN)):
+    if found and _unseen(found) or not whole and (_tells(classes) or _speaks(classes, FOREIGN) or _speaks(ids, FOREIGN & FIRM if article else FOREIGN)):
         outside = True
     bad = _speaks(classes, NEGATIVE) or _speaks(ids, FIRM if article else NEGATIVE) or role in _ROLES
     if tag in ("article", "main") and not bad:
@@ -203,7 +233,13 @@ def blocks(page: str) -> list[Block]:
             flow.append(len(stack))
             within = (*state[:2], True, *state[3:]) if aside else state
             stack.append((name, ids, _state(within, name, attrs), False))
-    return [b for b in found if any(t.strip() for t, _ in b.parts)]
+    found = [b for b in found if any(t.strip() for t, _ in b.parts)]
+    running = False
+    for b in reversed(found):
+        b.leads = running and b.state[0]
+        plain = not any(b.state[1:]) and 2 * b.linked < sum(len(t) for t, _ in b.parts)
+        running = b.state[0] and (running or plain)
+    return found
 
 
 def nodes(found: list[Block]) -> list[tuple[int, bool, str]]:
@@ -232,14 +268,16 @@ def features(b: Block, aside: bool, text: str) -> dict[str, float]:
         "heading": b.tag in ("h2", "h3", "h4", "h5", "h6"),
         "p": b.tag in ("p", "blockquote", "pre"),
         "item": b.tag in ("li", "td", "th", "dt"),
-        "links": min(1.0, b.linked / n),
+        "links": 0 if b.leads and not (outside or aside or negative or form) else min(1.0, b.linked / n),
         "length": min(3.0, math.log1p(n / 40)),
         "sentence": text[-1] in ".!?:;\"'”»…" or n > 120,
     }
 
 
 def score(b: Block, aside: bool, text: str) -> float:
-    """Log-odds that a node is content."""
+    """Log-odds that a node is content; what the contract leaves out wherever it stands (OUTSIDE, forms, adverts, comments) is certain."""
+    if aside or b.state[1] or b.state[5]:
+        return -CERTAIN
     return sum(WEIGHTS[k] * v for k, v in features(b, aside, text).items())
 
 
@@ -299,9 +337,6 @@ def min_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[boo
     return side
 
 
-CERTAIN = 1e6
-
-
 def _max_flow(left: list[int], supply: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
     """Dinic's algorithm over the nodes of left: levels from all nodes with excess, then blocking flows."""
     number, excess, tiny = {v: i for i, v in enumerate(left)}, [supply[v] for v in left], 1e-9
@@ -358,6 +393,8 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     made = nodes(found)
     kept = {(i, aside) for (i, aside, _), k in zip(made, min_cut([score(found[i], aside, text) for i, aside, text in made], edges(found, made)), strict=True) if k}
+    if not kept:  # no block stands out: the article is what nothing speaks against
+        kept = {(i, aside) for i, aside, text in made if not (aside or any(found[i].state[1:3]) or found[i].state[5]) and (not found[i].state[4] or found[i].tag == "h1") and 2 * found[i].linked <= len(text)}
     texts = (" ".join("".join(t for t, a in b.parts if (i, a) in kept).split()) for i, b in enumerate(found))
     return " ".join(t for t in texts if t)
 

@@ -232,3 +232,52 @@ def test_cut_of_many_undecided_nodes_is_minimal():
     for s, (_, _, w) in zip(scores[1:], ties, strict=True):
         best = [soft(s) + min(best[0], best[1] + w), soft(-s) + min(best[1], best[0] + w)]
     assert math.isclose(cost, min(best), rel_tol=1e-9)
+
+
+ARTICLE = "<article><h1>Title of it</h1><p>The first paragraph says enough about the matter, with a second sentence.</p>{}<p>The last paragraph ends it here.</p></article>"
+WHOLE = "Title of it The first paragraph says enough about the matter, with a second sentence.{} The last paragraph ends it here."
+OTHER = [
+    '<form action="/x"><p>Your mail address here please and press the button.</p><button>Go</button> behind the button, a long enough text of a form.</form>', "<form>plain words in a form</form>",
+    *[f'<div class="{c}"><p>A reader says that this was a very good article, and more than once.</p></div>' for c in ("blog-comments", "commentlist", "feedback-list", "comment-thread", "article-comments", "wpComments", "commentForm", "disqus_thread")],
+    *[f'<div class="{c}"><p>Buy the very best shoes of the whole year here, now at half of the price.</p></div>' for c in ("google-ad", "ad-leaderboard", "adslot", "dfp-ads", "advert-300x250", "adbox", "topAd")],
+    "<fieldset><p>Choose one of the following answers, then go on.</p></fieldset>", '<p style="display: none">A hidden paragraph that nobody reads, of some length.</p>',
+]
+OWN = [
+    ("<ul><li><a href='a'>A linked source</a></li><li><a href='b'>Another linked source of it</a></li></ul>", " A linked source Another linked source of it"),
+    ('<div class="has-comments">Words in between.</div>', " Words in between."), ('<h2 id="comments-on-the-text">Comments on the text</h2>', " Comments on the text"), ('<p class="commentary">A commentary on it.</p>', " A commentary on it."),
+    ('<p class="address">At the address of the house.</p>', " At the address of the house."), ('<div class="ad-free">A part without any.</div>', " A part without any."), ("<p>Short.</p>", " Short."),
+]
+
+
+def test_forms_comments_and_adverts_of_any_name_go_from_articles():
+    for part in OTHER:
+        assert pagetext.main_text(ARTICLE.format(part)) == WHOLE.format(""), part
+        assert pagetext.main_text(f"<body><nav><a>Home</a></nav>{part}{ARTICLE.format('')}{part}</body>") == WHOLE.format(""), part
+    for part, said in OWN:
+        assert pagetext.main_text(ARTICLE.format(part)) == WHOLE.format(said), part
+
+
+def test_pages_without_any_mark_keep_their_text():
+    assert pagetext.main_text("only a line of text") == "only a line of text"
+    assert pagetext.main_text("<p>x</p>") == "x"
+    assert pagetext.main_text("<div><h1>Title</h1><p>One sentence. Two sentences.</p><p>one</p></div>") == "Title One sentence. Two sentences. one"
+    assert pagetext.main_text("<div class='cookie-notice'><p>We use cookies.</p></div>") == ""
+    assert pagetext.main_text("<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul>") == ""
+    assert pagetext.main_text("<form><p>Name</p><input></form>") == ""
+
+
+def test_held_out_pages_with_other_names_and_bodies():
+    """Names and bodies that no training page has; the article must come out whole and alone."""
+    rng = __import__("random").Random(4)
+    say = lambda n: " ".join(rng.choice("the of a river mountain state house year people work first time water city north old new play".split()) for _ in range(n)).capitalize() + "."
+    wrong = 0
+    for _ in range(200):
+        paragraphs = [say(rng.randint(8, 60)) for _ in range(rng.randint(1, 6))]
+        body = [f"<p>{p}</p>" for p in paragraphs]
+        own = "".join(rng.choice([b, f"<div>{b}</div>", f"<section>{b}</section>"]) for b in body)
+        inner = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div class="post-body">{}</div>', '<div class="story-text">{}</div>', '<div role="main">{}</div>']).format(own)
+        around = [f'<div class="{rng.choice(["site-nav", "topbar", "menu-main", "breadcrumbs"])}"><a href="/">Start</a> <a href="/x">More</a></div>', f'<div id="{rng.choice(["sidebar", "related", "newsletter"])}"><p>{say(9)}</p></div>', f'<div class="{rng.choice(["user-comments", "blog-comments", "commentlist", "sticky-ad", "ad-top"])}"><p>{say(20)}</p></div>', f"<form><label>{say(5)}</label></form>", f"<footer><p>{say(12)}</p></footer>"]
+        rng.shuffle(around)
+        cut = rng.randint(0, len(around))
+        wrong += pagetext.main_text(f"<html><body>{''.join(around[:cut])}{inner}{''.join(around[cut:])}</body></html>") != " ".join(paragraphs)
+    assert wrong <= 4, wrong
