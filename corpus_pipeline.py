@@ -15,9 +15,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays; of rows repeated with an id and its text, one."""
     gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # ids that several rows have are few as a rule: only their rows are grouped by text
+    several = docs.groupBy(F.col("doc_id").alias("__several")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 AND __several IS NOT NULL").select("__several")
+    once = kept.join(several, F.col("doc_id") == F.col("__several"), "left_anti")
+    again = kept.join(several, F.col("doc_id") == F.col("__several"), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = again.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__others")).select("doc_id", "text", "__others.*") if others else again.distinct()
+    return once.unionByName(one)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
