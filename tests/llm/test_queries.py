@@ -75,3 +75,8 @@ def test_run(spark, sf_dir):
 def test_one_of_repeated_copies_stays(spark, docs):
     one = corpus_pipeline.near_duplicates(spark, docs.where("doc_id IN (7, 8)"), "")
     assert one.count() == 1
+    eight = docs.where("doc_id = 8")
+    assert eight.count() == 2 and corpus_pipeline.near_duplicates(spark, eight, "").collect() == eight.distinct().collect()
+    other = eight.unionByName(spark.createDataFrame([(8, "quite another text of the same id", "en", "a", 33), (None, "x", "en", "a", 1), (None, "x", "en", "a", 1)], eight.schema))
+    got = corpus_pipeline.near_duplicates(spark, other, "")
+    assert got.columns == docs.columns and sorted(r.text for r in got.where("doc_id = 8").collect()) == ["one two three", "quite another text of the same id"]
