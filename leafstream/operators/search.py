@@ -39,10 +39,32 @@ def candidates(posted: DataFrame, keys: list[str], query: str, scope: str | None
     return some.groupBy(*keys, "scope", "page_pos").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams)).select(*keys, "page_pos").distinct()
 
 
+#: Pages of a key that a block of postings covers.
+BLOCK_PAGES = 4096
+
+
+def posting_blocks(posted: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings as lists: scope, trigram, keys, block (a range of BLOCK_PAGES pages) and pages, ascending, as distances from the block's first page."""
+    block = F.floor(F.col("page_pos") / BLOCK_PAGES)
+    short = posted.withColumn("block", block).withColumn("__p", (F.col("page_pos") - F.col("block") * BLOCK_PAGES).cast("smallint"))
+    return short.groupBy("scope", "trigram", *keys, "block").agg(F.sort_array(F.collect_set("__p")).alias("pages"))
+
+
+def block_candidates(blocks: DataFrame, keys: list[str], query: str, scope: str | None = None) -> DataFrame:
+    """candidates() over posting_blocks(): only the trigrams' lists are read, and met block by block."""
+    grams = query_trigrams(query)
+    some = blocks.where(F.col("trigram").isin(grams))
+    some = some if scope is None else some.where(F.col("scope") == scope)
+    lists = some.groupBy(*keys, "scope", "block").agg(F.collect_list("pages").alias("lists")).where(F.size("lists") == len(grams))
+    common = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.element_at("lists", 1), lambda a, x: F.array_intersect(a, x))
+    return lists.select(*keys, "block", F.explode(common).alias("__p")).select(*keys, (F.col("block") * BLOCK_PAGES + F.col("__p")).alias("page_pos")).distinct()
+
+
 def _narrowed(rows: DataFrame, posted: DataFrame | None, keys: list[str], query: str, scope: str) -> DataFrame:
     if posted is None or len(query.strip()) < 3:
         return rows
-    return rows.join(candidates(posted, keys, query, scope), [*keys, "page_pos"], "left_semi")
+    found = block_candidates if "block" in posted.columns else candidates
+    return rows.join(found(posted, keys, query, scope), [*keys, "page_pos"], "left_semi")
 
 
 def _has(column: str, needle: str) -> Column:
@@ -67,7 +89,7 @@ def tag_hits(tags: DataFrame, keys: list[str], query: str, posted: DataFrame | N
 
 
 def search(pages: DataFrame, tags: DataFrame, keys: list[str], query: str, kind: str = "all", most: int = MOST, posted: DataFrame | None = None) -> DataFrame:
-    """The first hits by page, tags before text, then place."""
+    """The first hits by page, tags before text, then place; posted: postings() or posting_blocks() of both, if there are any."""
     if kind not in ("all", "text", "tag"):
         raise ValueError("kind is all, text or tag")
     if not 1 <= most <= 1000:

@@ -10,7 +10,7 @@ from ..operators import assembly, diagnostics, pages, scans, sinks
 from ..operators.search import search_tags
 from ..sources import datasource, framing, wire
 from ..sources import files as file_source
-from ..sources.tables import VERSION, exists, reused, shared_folder, signature
+from ..sources.tables import VERSION, reused, shared_folder, signature
 from ..sources.type_dim import is_begin, is_end
 from ..sources.wire import field, number
 from ..streaming.store import Archive
@@ -97,7 +97,7 @@ def file_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _archive(spark: SparkSession, sf_dir: str) -> Archive:
     archive = Archive(spark, f"{shared_folder(spark)}/stores/v{VERSION}/archive-{signature(spark, f'{sf_dir}/documents.parquet')}")
-    if not exists(spark, f"{archive.folder}/files/batch=1"):
+    if archive.state()["batches"] < 2:
         archive.reset()
         files = fx.print_files(spark, sf_dir)
         some = F.pmod(F.xxhash64("file_id"), F.lit(2)) == 0

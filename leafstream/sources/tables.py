@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Lets Spark delete a query's shuffle files when the query is done: what is written needs them no longer.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Part of every store's name: a store that older code made isn't read.
-VERSION = 2
+VERSION = 3
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,6 +61,19 @@ def deleted(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    system, place = _at(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+
+def moved(spark: SparkSession, path: str, target: str) -> None:
+    """Renames a folder, so that it appears at once."""
+    system, place = _at(spark, path)
+    if not system.rename(place, _at(spark, target)[1]):
+        raise OSError(f"{path} can't become {target}")
+
+
 class Shelf:
     """Tables written to the shared folder: later reads don't compute them again and survive lost executors.
 

@@ -1,8 +1,8 @@
 """Streaming: page indexes of growing files and postings of new pages.
 
-A file arrives in numbered chunks of bytes.  The state of a file is what the chain still needs: the
-bytes of an unfinished field (at most a field's length), the place of the next byte, the open page
-and the page count.  Files are independent; chunks of a file must arrive in order.
+A file arrives in numbered chunks of bytes, in any order.  The state of a file is what the chain still needs (the bytes of an
+unfinished field, at most a field's length; the place of the next byte; the open page; the page count) and the chunks that came
+before their turn, an entry each.  A chunk that is marked as the last ends the file: its cut last field and its unclosed last page come then.
 """
 
 from __future__ import annotations
@@ -12,18 +12,18 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.framing import HEADER, LONGEST, SHORTEST
 
 BEGIN, END = b"\xd3\xa8\xad", b"\xd3\xa9\xad"
 PAGE = "file_id string, page_number bigint, byte_offset bigint, byte_length bigint"
-STATE = "carry binary, base bigint, opened bigint, pages bigint, next_chunk bigint"
+STATE = "carry binary, base bigint, opened bigint, pages bigint, due bigint, final bigint, size bigint"
 
 
-def scan_chunk(content: bytes, base: int, opened: int, pages: int, last: bool) -> tuple[list[tuple[int, int, int]], bytes, int, int, int]:
-    """(pages found, rest, its place, place of the open page or -1, pages begun) after the bytes from base on."""
-    found, at = [], content.find(b"\x5a")
+def scan_chunk(content: bytes, base: int, opened: int, pages: int, last: bool) -> tuple[list[tuple[int, int, int]], bytes, int, int, int, int]:
+    """(pages found, rest, its place, place of the open page or -1, pages begun, end of the last field or 0) after the bytes from base on."""
+    found, size, at = [], 0, content.find(b"\x5a")
     at = len(content) if at < 0 else at
     while at + HEADER <= len(content):
         length = content[at + 1] << 8 | content[at + 2]
@@ -34,6 +34,7 @@ def scan_chunk(content: bytes, base: int, opened: int, pages: int, last: bool) -
         behind = at + 1 + length
         if behind > len(content) and not last:
             break
+        size = base + behind
         kind = content[at + 3 : at + 6]
         if kind == BEGIN:
             opened, pages = base + at, pages + 1
@@ -42,28 +43,49 @@ def scan_chunk(content: bytes, base: int, opened: int, pages: int, last: bool) -
             opened = -1
         at = behind if behind >= len(content) or content[behind] == 0x5A else content.find(b"\x5a", behind)
         at = len(content) if at < 0 else at
-    return found, content[at:], base + at, opened, pages
+    return found, content[at:], base + at, opened, pages, size
 
 
-def page_stream(chunks: DataFrame) -> DataFrame:
-    """Closed pages of chunks(file_id, chunk_no, content), as they appear."""
+class PageScan(StatefulProcessor):
+    """The scan of one file at a time, chunk by chunk; early chunks wait in a map."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scan = handle.getValueState("scan", STATE)
+        self.early = handle.getMapState("early", "chunk_no bigint", "content binary")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carry, base, opened, pages, due = state.get if state.exists else (b"", 0, -1, 0, 0)
-        held = pd.concat(list(batches)).sort_values("chunk_no")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        carry, base, opened, pages, due, final, size = self.scan.get() if self.scan.exists() else (b"", 0, -1, 0, 0, -1, 0)
+        for frame in rows:
+            for number, content, last in zip(frame["chunk_no"], frame["content"], frame["last"], strict=True):
+                if number >= due:  # others came again
+                    self.early.updateValue((int(number),), (bytes(content),))
+                final = int(number) if last else final
         out = []
-        for number, content in zip(held["chunk_no"], held["content"], strict=True):
-            if number < due:
-                continue  # a chunk that came again
-            if number > due:
-                raise ValueError(f"chunk {due} of {key[0]} is missing")
-            found, carry, base, opened, pages = scan_chunk(bytes(carry) + bytes(content), base, opened, pages, False)
+        while self.early.containsKey((due,)):
+            content = self.early.getValue((due,))[0]
+            self.early.removeKey((due,))
+            found, carry, base, opened, pages, end = scan_chunk(bytes(carry) + bytes(content), base, opened, pages, due == final)
             out += found
-            due = int(number) + 1
-        state.update((bytes(carry), int(base), int(opened), int(pages), due))
-        yield pd.DataFrame({"file_id": [key[0]] * len(out), "page_number": [p[0] for p in out], "byte_offset": [p[1] for p in out], "byte_length": [p[2] for p in out]})
+            size, due = max(size, end), due + 1
+            if due - 1 == final:
+                out += [(pages, opened, size - opened)] if opened >= 0 else []
+                carry, opened = b"", -1
+        self.scan.update((bytes(carry), int(base), int(opened), int(pages), int(due), int(final), int(size)))
+        yield pd.DataFrame({"file_id": pd.Series([key[0]] * len(out), dtype=object), "page_number": [p[0] for p in out], "byte_offset": [p[1] for p in out], "byte_length": [p[2] for p in out]}, columns=[c.split()[0] for c in PAGE.split(", ")])
+
+    def close(self) -> None:
+        pass
 
-    return chunks.groupBy("file_id").applyInPandasWithState(step, PAGE, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def page_stream(chunks: DataFrame) -> DataFrame:
+    """Closed pages of chunks(file_id, chunk_no, content, and last if the end of files is told), as they appear.
+
+    Chunks come in any order and may come again; a gap is waited for.  Needs the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass), which keeps each waiting chunk as an entry of its own.
+    """
+    last = F.coalesce(F.col("last"), F.lit(False)) if "last" in chunks.columns else F.lit(False)
+    rows = chunks.select("file_id", F.col("chunk_no").cast("long").alias("chunk_no"), "content", last.alias("last"))
+    return rows.groupBy("file_id").transformWithStateInPandas(PageScan(), PAGE, "append", "none")
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:

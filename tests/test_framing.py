@@ -160,7 +160,7 @@ def test_chunked_scan_equals_whole():
         at = 0
         while at < len(content):
             step = rng.randint(1, 60)
-            found, carry, base, open_, count = streaming.scan_chunk(carry + content[at : at + step], base, open_, count, False)
+            found, carry, base, open_, count, _ = streaming.scan_chunk(carry + content[at : at + step], base, open_, count, False)
             got += found
             at += step
         assert got == want

@@ -393,24 +393,35 @@ def test_scalars(spark):
 
 
 def test_page_stream_equals_batch(spark, tmp_path):
-    content = stream("BDT BPG PGD EPG BPG EPG EDT".split())
-    rng = random.Random(3)
-    chunks, at = [], 0
-    while at < len(content):
-        n = rng.randint(1, 30)
-        chunks.append(("f", len(chunks), bytearray(content[at : at + n])))
-        at += n
-    source = tmp_path / "chunks"
-    half = len(chunks) // 2
-    schema = "file_id string, chunk_no bigint, content binary"
-    for i, part in enumerate((chunks[:half], chunks[half - 1 :])):  # a chunk comes again
+    """Chunks out of order and again, over several batches; a file that ends within its last page, one within its last field."""
+    from leafstream.operators import pages
+
+    whole = stream("BDT BPG PGD EPG BPG EPG BPG EPG EDT".split())
+    bodies = {"whole": whole, "open": stream("BDT BPG EPG BPG PGD TLE".split()), "cut": stream("BDT BPG EPG BPG PGD".split())[:-5], "garbage": stream("BDT BPG EPG BPG".split(), b"\r\n") + b"\0\0"}
+    rng, chunks = random.Random(3), []
+    for f, content in bodies.items():
+        at, n = 0, 0
+        while at < len(content):
+            size = rng.randint(1, 30)
+            chunks.append((f, n, bytearray(content[at : at + size]), at + size >= len(content)))
+            at, n = at + size, n + 1
+    again = rng.sample(chunks, 5)
+    rng.shuffle(chunks)
+    source, schema, third = tmp_path / "chunks", "file_id string, chunk_no bigint, content binary, last boolean", len(chunks) // 3 + 1
+    for i, part in enumerate((chunks[:third], chunks[third : 2 * third] + again, chunks[2 * third :])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{source}/{i}")
-    found = streaming.page_stream(spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(source)))
-    query = found.writeStream.format("memory").queryName("stream_pages").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = sorted((r.page_number, r.byte_offset, r.byte_length) for r in spark.table("stream_pages").collect())
-    assert got == [(1, 17, 39), (2, 56, 18)]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        given = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = streaming.page_stream(given).writeStream.format("memory").queryName("stream_pages").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        spark.conf.unset(provider)
+    files = spark.createDataFrame([(f, bytearray(c)) for f, c in bodies.items()], "file_id string, content binary")
+    want = pages.page_index(framing.frames(files)).select("file_id", "page_number", "byte_offset", "byte_length")
+    assert sorted(map(tuple, spark.table("stream_pages").collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_incremental_index_and_events(spark, tmp_path):
@@ -551,6 +562,103 @@ def test_archive(spark, tmp_path):
     assert archive.state()["batches"] == 0
 
 
+def _said(n, word):
+    """A print file of n pages with a word of its own each."""
+    from leafstream.functions import ebcdic
+
+    text = lambda i: f"{word} page{i:05d} {random.Random(f'{word}{i}').getrandbits(200):x}"
+    field = lambda t, d: b"\x5a" + (len(d) + 8).to_bytes(2, "big") + bytes.fromhex(t) + bytes(3) + d
+    coded = lambda t: bytes(ebcdic.CP037.index(c) for c in t)
+    page = lambda i: field("D3A8AD", b"") + field("D3A89B", b"") + field("D3EE9B", bytes.fromhex("2BD3") + bytes([len(text(i)) + 2, 0xDB]) + coded(text(i))) + field("D3A99B", b"") + field("D3A9AD", b"")
+    return field("D3A8A8", b"") + b"".join(page(i) for i in range(n)) + field("D3A9A8", b"")
+
+
+def _rows_scanned(df):
+    """What the scan of a plan without exchanges gave, row groups left out by their statistics not counted."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_archive_reads_its_trigrams_row_groups_only(spark, tmp_path):
+    from leafstream.operators import search
+    from leafstream.streaming.store import Archive
+
+    archive = Archive(spark, str(tmp_path / "archive"), row_group=1 << 14)
+    words = ["amber", "birch", "cedar", "delta"]
+    files = spark.createDataFrame([(w, bytearray(_said(1500, w))) for w in words], "file_id string, content binary")
+    assert archive.build(files) == 4
+    posted = archive.table("postings")
+    lists = archive._read("postings", archive._batches())
+    assert _rows_scanned(lists.where(F.col("trigram").isin(search.query_trigrams("cedar")))) < lists.count() / 3
+    found = search.block_candidates(posted, ["file_id"], "cedar", "text").collect()
+    assert len(found) == 1500 and {r.file_id for r in found} == {"cedar"} and {r.page_pos for r in found} == set(range(1, 1501))
+    plain = search.candidates(search.postings(archive.table("texts"), ["file_id"], "text_lower", "text"), ["file_id"], "page00123")
+    assert sorted(map(tuple, search.block_candidates(posted, ["file_id"], "page00123").collect())) == sorted(map(tuple, plain.collect()))
+    hits = archive.search("birch page00007").collect()
+    assert [(h.file_id, h.page_pos) for h in hits] == [("birch", 8)]
+    assert archive.search("no such words at all").count() == 0 and archive.search("  ").count() == 0 and archive.search("ce", "text").count() == 500
+
+
+def test_archive_of_many_batches_is_one_scan_and_compacts(spark, tmp_path):
+    from leafstream.streaming.store import Archive
+
+    archive = Archive(spark, str(tmp_path / "archive"))
+    for i in range(4):
+        archive.build(spark.createDataFrame([(f"f{i}", bytearray(_said(2, f"word{i}"))), ("same", bytearray(_said(i + 1, "again")))], "file_id string, content binary"))
+    plan = lambda: archive.table("texts")._jdf.queryExecution().optimizedPlan().toString()
+    wide = len(plan().splitlines())
+    assert plan().count("Relation [") == 2  # the table and the list of files
+    state = archive.state()
+    assert state == {"batches": 4, "files": 5, "pages": 4 * 2 + 4}
+    said = sorted(map(str, archive.table("texts").collect()))
+    assert archive.compact() == 4
+    assert archive.state() == state | {"batches": 1} and sorted(map(str, archive.table("texts").collect())) == said
+    assert len(plan().splitlines()) == wide and archive.search("again page00003").count() == 1
+    assert archive.build(spark.createDataFrame([("f0", bytearray(_said(2, "word0")))], "file_id string, content binary")) == 0  # still known
+    assert archive.build(spark.createDataFrame([("f0", bytearray(_said(1, "other")))], "file_id string, content binary")) == 1
+    assert archive.search("word0").count() == 0 and archive.search("other").count() == 1
+
+
+def test_builders_at_once_both_count_and_an_aborted_one_leaves_nothing(spark, tmp_path):
+    import threading
+    import time
+
+    from leafstream.streaming.store import Archive
+
+    folder, failed = str(tmp_path / "archive"), []
+    frames = [spark.createDataFrame([(f"f{i}", bytearray(_said(3, f"word{i}")))], "file_id string, content binary") for i in range(2)]
+    threads = [threading.Thread(target=lambda df=df: Archive(spark, folder).build(df)) for df in frames]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    archive = Archive(spark, folder)
+    assert archive.state() == {"batches": 2, "files": 2, "pages": 6}
+
+    @F.udf("binary")
+    def slow(i):
+        time.sleep(1)
+        return _said(1, f"slow{i}")
+
+    late = spark.range(0, 80, 1, 4).select(F.concat(F.lit("s"), "id").alias("file_id"), slow("id").alias("content"))
+
+    def build():
+        try:
+            archive.build(late)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    running = threading.Thread(target=build)
+    running.start()
+    time.sleep(5)
+    archive.abort()
+    running.join(60)
+    assert failed and archive.state() == {"batches": 2, "files": 2, "pages": 6}
+    assert not [n for n in os.listdir(f"{folder}/files") if n.startswith(".passing")] and len(os.listdir(f"{folder}/texts")) == 2
+    assert archive.build(frames[0]) == 0 and archive.search("word1").count() == 3
+
+
 def test_stream_into_an_archive(spark, tmp_path):
     from leafstream.streaming.store import Archive
 
