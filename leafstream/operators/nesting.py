@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import Shelf
+
 
 def nested(log: DataFrame, keys: list[str], order: list[str], begin: Column, end: Column, node_id: str) -> DataFrame:
     """depth (height before the row) and parent (node_id of the innermost open element, or null)."""
@@ -46,14 +48,24 @@ def subtrees(log: DataFrame, keys: list[str], order: list[str], begin: Column, e
 
 
 def with_paths(tree: DataFrame, keys: list[str], node_id: str, levels: int | None = None) -> DataFrame:
-    """path: the ancestors from the root down, by one join a level (levels: the tree's height, counted if not given)."""
+    """path: the ancestors from the root down (levels: the tree's height, counted if not given).
+
+    By doubling: a row knows the ancestors up to 1, 2, 4, ... levels above; each round puts those of its furthest one before
+    them, so a tree of height 10,000 takes 14 joins.  A round's pieces of paths are a table in the shared folder.
+    """
     levels = (tree.agg(F.max("depth")).first()[0] or 0) if levels is None else levels
-    up = tree.select(*keys, F.col(node_id).alias("__n"), F.col("parent").alias("__p"))
-    out = tree.withColumns({"path": F.array().cast(f"array<{tree.schema[node_id].dataType.simpleString()}>"), "__at": F.col("parent")})
-    for _ in range(levels):
-        step = F.when(F.col("__at").isNotNull(), F.concat(F.array("__at"), F.col("path"))).otherwise(F.col("path"))
-        out = out.withColumn("path", step).join(up.withColumnRenamed("__n", "__at"), [*keys, "__at"], "left").withColumn("__at", F.col("__p")).drop("__p")
-    return out.drop("__at")
+    kind = tree.schema[node_id].dataType.simpleString()
+    start = F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast(f"array<{kind}>"))
+    now = tree.select(*keys, F.col(node_id).alias("__n"), F.col("parent").alias("__far"), start.alias("path"))
+    with Shelf(tree.sparkSession) as shelf:
+        for _ in range(max(levels - 1, 0).bit_length()):
+            now, last = shelf.put(now), now
+            up = now.where("__n IS NOT NULL").select(*keys, F.col("__n").alias("__far"), F.col("__far").alias("__further"), F.col("path").alias("__above"))
+            longer = F.when(F.col("__above").isNotNull(), F.concat("__above", "path")).otherwise(F.col("path"))
+            now = now.join(up, [*keys, "__far"], "left").select(*keys, "__n", F.col("__further").alias("__far"), longer.alias("path"))
+            shelf.drop(last)
+        paths = shelf.keep(shelf.put(now.select(*keys, F.col("__n").alias(node_id), "path")))
+    return tree.join(paths, [*keys, node_id]).select(*tree.columns, "path")
 
 
 def visible(tree: DataFrame, expanded: list, type_id: str | None = None, hide_ends: bool = False) -> DataFrame:

@@ -200,6 +200,17 @@ def nest_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("event_id", "parent")
 
 
+@query(f"""WITH RECURSIVE {_N}, g AS (SELECT user_id, event_id, rn, h AS level FROM n WHERE step = 1),
+t AS (SELECT a.user_id, a.event_id, b.event_id AS parent FROM n a ASOF LEFT JOIN g b ON a.user_id = b.user_id AND a.depth = b.level AND a.rn > b.rn),
+r AS (SELECT event_id, 0 AS levels, '' AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.event_id, r.levels + 1, r.path || '/' || CAST(t.parent AS VARCHAR) FROM t JOIN r ON t.parent = r.event_id)
+SELECT event_id, CAST(levels AS BIGINT) AS levels, md5(path) AS path FROM r""")
+def nest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestors of every row, from the root down."""
+    tree = nesting.nested(fx.marks(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("kind") == "B", F.col("kind") == "E", "event_id")
+    said = F.array_join(F.transform("path", lambda x: F.concat(F.lit("/"), x.cast("string"))), "")
+    return nesting.with_paths(tree, ["user_id"], "event_id").select("event_id", F.size("path").cast("long").alias("levels"), F.md5(said.cast("binary")).alias("path"))
+
+
 @query(f"""WITH {_N} SELECT a.event_id, CAST(coalesce((SELECT min(b.rn) FROM n b WHERE b.user_id = a.user_id AND b.rn > a.rn AND b.step = -1 AND b.h = a.depth AND b.depth > b.h), a.cnt) - a.rn + 1 AS BIGINT) AS nodes
 FROM n a WHERE a.step = 1""")
 def subtree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,11 +462,15 @@ def diagnostics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scalars
 
 
-@query("""WITH q(s) AS (VALUES ('1-3, 7'), ('5'), ('9-7'), ('x'), ('2,2,1-2'), ('0-4'), ('1-20002'), ('3 - 5')),
-r AS (SELECT s, CASE s WHEN '1-3, 7' THEN '1,2,3,7' WHEN '5' THEN '5' WHEN '2,2,1-2' THEN '1,2' WHEN '3 - 5' THEN '3,4,5' END AS page_list FROM q) SELECT s AS input, page_list FROM r""")
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 8 AS k, p_size AS a FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN a || '-' || (a + 2) || ', ' || (a + 4) WHEN 1 THEN '' || a WHEN 2 THEN (a + 1) || '-' || a WHEN 3 THEN 'x' || a WHEN 4 THEN (a + 1) || ',' || a || ' - ' || (a + 2) WHEN 5 THEN '0-' || a WHEN 6 THEN a || ',' || a || ',' || a || '-' || (a + 1) ELSE a || '-20100' END AS input,
+CASE k WHEN 0 THEN a || ',' || (a + 1) || ',' || (a + 2) || ',' || (a + 4) WHEN 1 THEN '' || a WHEN 4 THEN a || ',' || (a + 1) || ',' || (a + 2) WHEN 6 THEN a || ',' || (a + 1) END AS page_list FROM p""")
 def page_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.createDataFrame([(s,) for s in ("1-3, 7", "5", "9-7", "x", "2,2,1-2", "0-4", "1-20002", "3 - 5")], "input string")
-    return given.select("input", F.array_join(F.transform(scalars.page_ranges(F.col("input")), lambda x: x.cast("string")), ",").alias("page_list"))
+    """Ranges and single pages, in order and without doubles; what isn't one, is empty or too long gives none."""
+    a = lambda n=0: (F.col("p_size") + n).cast("string")
+    said = [F.concat(a(), F.lit("-"), a(2), F.lit(", "), a(4)), a(), F.concat(a(1), F.lit("-"), a()), F.concat(F.lit("x"), a()), F.concat(a(1), F.lit(","), a(), F.lit(" - "), a(2)), F.concat(F.lit("0-"), a()), F.concat(a(), F.lit(","), a(), F.lit(","), a(), F.lit("-"), a(1)), F.concat(a(), F.lit("-20100"))]
+    given = fx.table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*said), (F.col("p_partkey") % 8 + 1).cast("int")).alias("input"))
+    return given.select("p_partkey", "input", F.array_join(F.transform(scalars.page_ranges(F.col("input")), lambda x: x.cast("string")), ",").alias("page_list"))
 
 
 @query("""WITH g AS (SELECT p_partkey, p_size * 240 AS width, p_size * 300 AS height, CASE WHEN p_size % 3 = 0 THEN 14400 WHEN p_size % 3 = 1 THEN 600 ELSE 0 END AS res FROM part)

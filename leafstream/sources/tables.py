@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -74,11 +76,49 @@ def moved(spark: SparkSession, path: str, target: str) -> None:
         raise OSError(f"{path} can't become {target}")
 
 
+#: Lists of kept tables by the owned() that is open.
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession):
+    """Results that operators keep as tables inside are deleted on leaving: use what they return within.
+
+    with owned(spark):
+        near_duplicates(docs).write.parquet(...)
+    """
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(paths)
+        for path in paths:
+            deleted(spark, path)
+
+
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Deletes the kept tables and the states of stores in the shared folder that were written so long ago; how many.
+
+    For results that no owned() ends: run it when no query reads them any more.
+    """
+    folder, gone = shared_folder(spark), 0
+    before = (time.time() - 3600 * hours) * 1000
+    for under, known in ((folder, r"[0-9a-f]{32}"), (f"{folder}/stores", r"v\d+"), (f"{folder}/stores/v{VERSION}", r".*-[0-9]+-[0-9a-f]{16}-[0-9a-f]{16}")):
+        for name in listed(spark, under):
+            path = f"{under}/{name}"
+            system, place = _at(spark, path)
+            if re.fullmatch(known, name) and name != f"v{VERSION}" and system.getFileStatus(place).getModificationTime() < before:
+                deleted(spark, path)
+                gone += 1
+    return gone
+
+
 class Shelf:
     """Tables written to the shared folder: later reads don't compute them again and survive lost executors.
 
-    On leaving, the tables that weren't kept are deleted.  A kept one stays for the frame that reads it
-    until the folder is emptied.
+    On leaving, the tables that weren't kept are deleted.  A kept one stays for the frame that reads it, until the
+    owned() around ends or sweep() finds it old.
     """
 
     def __init__(self, spark: SparkSession):
@@ -98,7 +138,9 @@ class Shelf:
         return made
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Leaves a table of this shelf to the caller."""
+        """Leaves a table of this shelf to the caller, or to the owned() around."""
+        if _OWNERS:
+            _OWNERS[-1].extend(path for made, path in self.held if made is df)
         self.held = [h for h in self.held if h[0] is not df]
         return df
 
@@ -107,7 +149,7 @@ class Shelf:
         for made, path in self.held:
             if made is df:
                 deleted(self.spark, path)
-        self.keep(df)
+        self.held = [h for h in self.held if h[0] is not df]
 
 
 def signature(spark: SparkSession, path: str) -> str:

@@ -72,3 +72,48 @@ def test_split_framing_has_all_columns(spark, tmp_path):
     _, whole = opened(spark, body)
     same(scans.numbered(got, scans.by_offset(333)).drop("page_number"), whole)
     assert framing.SCHEMA.startswith("file_id")
+
+
+def test_paths_by_doubling(spark, monkeypatch):
+    """A chain of 300 elements and a bush: as many joins as the height has binary digits."""
+    rng = random.Random(8)
+    rows = [("chain", i, "B") for i in range(300)] + [("bush", i, rng.choice("BBEX")) for i in range(200)] + [("flat", 0, "X")]
+    log = spark.createDataFrame(rows, "k string, at int, kind string")
+    tree = nesting.nested(log, ["k"], ["at"], F.col("kind") == "B", F.col("kind") == "E", "at").cache()
+    put, rounds = nesting.Shelf.put, []
+    monkeypatch.setattr(nesting.Shelf, "put", lambda self, df: (rounds.append(1), put(self, df))[1])
+    got = {(r.k, r["at"]): list(r.path) for r in nesting.with_paths(tree, ["k"], "at").collect()}
+    assert len(rounds) == 9 + 1
+    stack: dict[str, list[int]] = {}
+    for k, at, kind in rows:
+        open_ = stack.setdefault(k, [])
+        assert got[k, at] == open_
+        if kind == "B":
+            open_.append(at)
+        elif kind == "E" and open_:
+            open_.pop()
+    assert all(r.path == [] for r in nesting.with_paths(tree.where("depth = 0"), ["k"], "at").collect())
+
+
+def test_kept_tables_have_an_end(spark, tmp_path, monkeypatch):
+    import time
+
+    from leafstream.sources import tables
+
+    monkeypatch.setattr(tables, "shared_folder", lambda _: str(tmp_path))
+
+    def keep():
+        with tables.Shelf(spark) as shelf:
+            shelf.put(spark.range(3))
+            return shelf.keep(shelf.put(spark.range(5)))
+
+    folder = tables.shared_folder(spark)
+    known = lambda: {n for n in tables.listed(spark, folder) if len(n) == 32}
+    before = known()
+    with tables.owned(spark):
+        assert keep().count() == 5 and len(known() - before) == 1
+    assert known() == before
+    kept = keep()
+    assert kept.count() == 5 and tables.sweep(spark, 1.0) == 0
+    time.sleep(1.1)
+    assert tables.sweep(spark, 0.0001) >= 1 and not known() - before
