@@ -424,6 +424,46 @@ def test_page_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("stream_pages").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_events_of_a_running_scan(spark, tmp_path):
+    """Pages as they are found, progress between them, the end of each file; the listener's totals, and an error."""
+    import time
+
+    body, told = stream(["BDT", *["BPG", "EPG"] * 7, "EDT"]), []
+    chunks = [("f", i, bytearray(body[i * 40 : i * 40 + 40]), i == (len(body) - 1) // 40) for i in range((len(body) + 39) // 40)]
+    source, schema = tmp_path / "chunks", "file_id string, chunk_no bigint, content binary, last boolean"
+    for i, part in enumerate((chunks[:2], chunks[2:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{source}/{i}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    watch = streaming.Watch(told.append)
+    spark.streams.addListener(watch)
+    try:
+        read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = streaming.event_stream(read(), 3).writeStream.format("memory").queryName("stream_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()
+        query.stop()
+        events = [json.loads(r.event) for r in spark.table("stream_events").collect()]
+        assert [e["type"] for e in events] == ["page"] * 3 + ["progress"] + ["page"] * 3 + ["progress", "page", "complete"]
+        assert [e["page_number"] for e in events if e["type"] == "page"] == list(range(1, 8)) and events[-1] == {"type": "complete", "pages": 7, "file_size": len(body)}
+        assert [(e["pages"], e["bytes_scanned"]) for e in events if e["type"] == "progress"] == [(3, 17 + 3 * 18), (6, 17 + 6 * 18)]
+        until = time.time() + 30
+        while time.time() < until and not any(t["type"] == "complete" for t in told):
+            time.sleep(0.2)
+        assert told[-1] == {"type": "complete", "pages": 7, "files": 1} and [t["type"] for t in told[:-1]] == ["progress"] * (len(told) - 1) and told[-2]["pages"] == 7
+        broken = read().withColumn("chunk_no", F.expr("if(chunk_no = 3, cast(raise_error('bad chunk') as bigint), chunk_no)"))
+        query = streaming.event_stream(broken, 3).writeStream.format("memory").queryName("broken_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).start()
+        with pytest.raises(Exception, match="bad chunk"):
+            query.processAllAvailable()
+        while time.time() < until + 30 and told[-1]["type"] != "error":
+            time.sleep(0.2)
+        assert told[-1]["type"] == "error" and "bad chunk" in told[-1]["message"]
+    finally:
+        spark.streams.removeListener(watch)
+        spark.conf.unset(provider)
+    with pytest.raises(ValueError):
+        streaming.event_stream(spark.createDataFrame([], schema), 0)
+
+
 def test_incremental_index_and_events(spark, tmp_path):
     from leafstream.operators import pages
 
