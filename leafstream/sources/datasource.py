@@ -10,7 +10,9 @@ names and sizes only.  Files are read through pyarrow's file systems (local path
     spark.dataSource.register(PrintStream)
     spark.read.format("printstream").option("splitBytes", 64 << 20).load("/folder/*.bin")
 
-The rows have no sf_no: a number in file order would need the splits before; offset orders the fields.
+    spark.readStream.format("printstream").load("/folder/*.bin")      # new fields of files that grow
+
+The rows have no sf_no: a number in file order would need the splits before (operators/scans.py gives it); offset orders the fields.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from .framing import HEADER, LONGEST, MAGIC, SCHEMA, SHORTEST, batch, chain
 
@@ -153,6 +155,42 @@ class FilteringReader(PrintStreamReader):
             yield f
 
 
+class PrintStreamTail(DataSourceStreamReader):
+    """New fields of growing files: a field belongs to the batch in which its last byte is there.
+
+    An offset is the size of every file.  A task reads its range and, for the chain, what a field can reach back; where the chain
+    stands it finds as splits do.  A field that a file's end cuts waits for the rest of it.
+    """
+
+    def __init__(self, options: dict):
+        self.paths, self.split = options.get("path", ""), int(options.get("splitBytes", SPLIT))
+        self.payload = options.get("payload", "true").lower() != "false"
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {path: size for pattern in self.paths.split(",") for path, size in _listed(pattern)}
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        return [Split(path, size, at, min(at + self.split, size)) for path, size in sorted(end.items()) for at in range(start.get(path, 0), size, self.split)]
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        system, path = _system(partition.path)
+        low = max(0, partition.start - LONGEST - HEADER)
+        with system.open_input_file(path) as f:
+            window = Window(lambda at, n: f.read_at(n, at), partition.end, low, partition.end)
+            due = first_due(window, low) if low else 0
+        if due < 0:
+            return
+        content, base = window.data, window.low
+        for places in chain(content, due - base, most=4096):
+            ends = [base + at + 1 + (content[at + 1] << 8 | content[at + 2]) for at in places]
+            whole = [at for at, behind in zip(places, ends, strict=True) if partition.start < behind <= partition.end]
+            if whole:
+                yield batch(partition.path, 0, content, whole, self.payload, base).select([n.split()[0] for n in COLUMNS.split(", ")])
+
+
 class PrintStream(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -165,3 +203,6 @@ class PrintStream(DataSource):
         """Option pushdown: needs spark.sql.python.filterPushdown.enabled."""
         pushing = self.options.get("pushdown", "false").lower() == "true"
         return (FilteringReader if pushing else PrintStreamReader)(self.options)
+
+    def streamReader(self, schema) -> PrintStreamTail:
+        return PrintStreamTail(self.options)

@@ -117,3 +117,26 @@ def test_kept_tables_have_an_end(spark, tmp_path, monkeypatch):
     assert kept.count() == 5 and tables.sweep(spark, 1.0) == 0
     time.sleep(1.1)
     assert tables.sweep(spark, 0.0001) >= 1 and not known() - before
+
+
+def test_growing_files_as_a_stream(spark, tmp_path):
+    """Appended bytes give their new fields only, whole ones; a restart repeats none."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    bodies = {"a.bin": stream(F1 * 40, b"\r\n"), "b.bin": stream(F1 * 3)}
+    spark.dataSource.register(datasource.PrintStream)
+    rng, at, counts = random.Random(2), dict.fromkeys(bodies, 0), []
+    for step in range(4):
+        for name, body in bodies.items():
+            end = len(body) if step == 3 else rng.randint(at[name], len(body))
+            with open(folder / name, "ab") as f:
+                f.write(body[at[name] : end])
+            at[name] = end
+        given = spark.readStream.format("printstream").option("splitBytes", 500).load(str(folder))
+        out = given.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        assert out.awaitTermination(60)
+        counts.append(spark.read.parquet(str(tmp_path / "out")).count())
+    got = spark.read.parquet(str(tmp_path / "out")).withColumn("file_id", F.element_at(F.split("file_id", "/"), -1))
+    files = spark.createDataFrame([(n, bytearray(b)) for n, b in bodies.items()], "file_id string, content binary")
+    same(got, framing.frames(files).drop("sf_no"))
+    assert counts == sorted(counts) and counts[-1] > counts[0]
