@@ -140,7 +140,7 @@ def assembled_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("D3A8AD"), field("D3AC6B", place), field("D3A89B"), field("D3EE9B", raw("one")), field("D3A8BB"), field("D3EEBB", raw("two")),
         field("D3A8EB"), field("D3EEEB", F.col("p_brand").cast("binary")), field("D3A9EB"), field("D3EE9B", raw("stray")), field("D3A9AD"),
     )
-    made = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.concat(field("D3A8A8"), page, field("D3A9A8")).alias("content"))
+    made = fx.dealt(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.concat(field("D3A8A8"), page, field("D3A9A8")).alias("content"))
     sf = framing.frames(made)
     found = assembly.page_objects(sf, pages.page_index(sf))
     return _long(found.select("file_id", "page_pos", "object_no", "kind", "offset", "x", "y", "w", "h", F.col("data").cast("string").alias("data")))
@@ -152,7 +152,7 @@ def sql_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields, triplets and text runs by the functions registered for SQL."""
     sql_functions.register(spark)
     page = wire.page([("BRAND", F.col("p_brand"))], F.col("p_brand"))
-    made = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.concat(field("D3A8A8"), page, field("D3A9A8")).alias("content"))
+    made = fx.dealt(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.concat(field("D3A8A8"), page, field("D3A9A8")).alias("content"))
     made.createOrReplaceTempView("leafstream_sql_files")
     return spark.sql("""
         WITH fields AS (SELECT f.file_id, t.* FROM leafstream_sql_files f, LATERAL afp_fields(f.content) t),
@@ -164,5 +164,5 @@ def sql_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT 'p' || p_partkey AS file_id, p_brand AS b FROM part) SELECT file_id, CAST(1 AS BIGINT) AS page_pos, 'brand = ' || lower(b) AS combined_lower FROM f""")
 def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search over tags reads."""
-    made = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.lit(1).cast("long").alias("page"), F.lit("BRAND").alias("key"), F.col("p_brand").alias("value"), F.lit(0).alias("seq"))
+    made = fx.dealt(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file_id"), F.lit(1).cast("long").alias("page"), F.lit("BRAND").alias("key"), F.col("p_brand").alias("value"), F.lit(0).alias("seq"))
     return search_tags(made, ["file_id"], "page").select("file_id", "page_pos", "combined_lower")
