@@ -10,7 +10,7 @@ from ..operators import assembly, diagnostics, pages, scans, sinks
 from ..operators.search import search_tags
 from ..sources import datasource, framing, wire
 from ..sources import files as file_source
-from ..sources.tables import VERSION, reused, shared_folder, signature
+from ..sources.tables import VERSION, Shelf, reused, shared_folder, signature
 from ..sources.type_dim import is_begin, is_end
 from ..sources.wire import field, number
 from ..streaming.store import Archive
@@ -67,8 +67,9 @@ def _split_fields(spark: SparkSession, sf_dir: str, payload: bool = False) -> Da
 UNION ALL SELECT {_NAMED}, CAST(byte_offset + before_text AS BIGINT), 'D3A89B', CAST(no + 3 AS BIGINT), CAST(page_pos AS BIGINT), 2, CAST(byte_offset AS BIGINT) FROM o""")
 def fields_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, pages, depths and parents of all pages' and texts' begins, over files in splits."""
-    sf = _split_fields(spark, sf_dir)
     split = scans.by_offset(100_000)
+    with Shelf(spark) as shelf:  # framed once: windows and summaries read the fields many times
+        sf = shelf.keep(shelf.put(_split_fields(spark, sf_dir)))
     tree = scans.nested(scans.numbered(sf, split), ["file_id"], split, ["offset"], is_begin(F.col("type_id")), is_end(F.col("type_id")), "offset")
     return tree.where("type_id IN ('D3A8AD', 'D3A89B')").select(F.col("file_id").alias("name"), "offset", "type_id", "sf_no", "page_number", F.col("depth").cast("long").alias("depth"), "parent")
 
@@ -76,7 +77,10 @@ def fields_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_D} SELECT {_NAMED} AS name, CAST(page_pos AS BIGINT) AS page_pos, CAST(byte_offset AS BIGINT) AS byte_offset, CAST(page_len AS BIGINT) AS byte_length, CAST(1 AS BIGINT) AS object_count, TRUE AS has_text_any FROM pg""")
 def scan_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full index scan over files in splits."""
-    index = pages.scan_index(_split_fields(spark, sf_dir, payload=True), scans.by_offset(100_000))
+    with Shelf(spark) as shelf:
+        named = _split_fields(spark, sf_dir, payload=True).withColumn("data", F.substring("data", 1, 8))  # of payloads the scan reads names
+        sf = shelf.keep(shelf.put(named))
+    index = pages.scan_index(sf, scans.by_offset(100_000))
     return index.select(F.col("file_id").alias("name"), "page_pos", "byte_offset", "byte_length", "object_count", "has_text_any")
 
 

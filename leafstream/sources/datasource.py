@@ -29,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from .framing import HEADER, LONGEST, MAGIC, SCHEMA, SHORTEST, batch, chain
 
 SPLIT = 64 << 20
+#: More splits than this lie behind each other in a task, up to SPLIT bytes: a task costs more than a short split.
+TASKS = 256
 COLUMNS = ", ".join(c for c in SCHEMA.split(", ") if not c.startswith("sf_no"))
 
 
@@ -123,7 +125,10 @@ class PrintStreamReader(DataSourceReader):
         self.types: set[str] | None = None
 
     def partitions(self) -> list[Split]:
-        return [Split(path, size, at, min(at + self.split, size)) for pattern in self.paths.split(",") for path, size in _listed(pattern) for at in range(0, size, self.split)]
+        found = [f for pattern in self.paths.split(",") for f in _listed(pattern)]
+        splits = sum(-(-size // self.split) for _, size in found)
+        taken = self.split * max(1, min(-(-splits // TASKS), SPLIT // self.split))
+        return [Split(path, size, at, min(at + taken, size)) for path, size in found for at in range(0, size, taken)]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         system, path = _system(partition.path)
