@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +47,76 @@ def candidates(posted: DataFrame, keys: list[str], query: str, scope: str | None
 BLOCK_PAGES = 4096
 
 
-def posting_blocks(posted: DataFrame, keys: list[str]) -> DataFrame:
-    """Postings as lists: scope, trigram, keys, block (a range of BLOCK_PAGES pages) and pages, ascending, as distances from the block's first page."""
-    block = F.floor(F.col("page_pos") / BLOCK_PAGES)
-    short = posted.withColumn("block", block).withColumn("__p", (F.col("page_pos") - F.col("block") * BLOCK_PAGES).cast("smallint"))
-    return short.groupBy("scope", "trigram", *keys, "block").agg(F.sort_array(F.collect_set("__p")).alias("pages"))
+#: Characters of text whose lists are made at once.
+LISTED = 4 << 20
+_BITS = 21
+
+
+def _grams(text: str) -> np.ndarray:
+    """The distinct trigrams (as trigrams() has them) as numbers, 21 bits a character, 0 for none."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    if len(c) < 3:
+        c = np.concatenate([c, np.zeros(3 - len(c), np.int64)])
+    return np.unique(c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:]) if text else c[:0]
+
+
+def _spelled(grams: np.ndarray) -> pa.Array:
+    """The trigrams' texts."""
+    known, at = np.unique(grams, return_inverse=True)
+    codes = np.stack([known >> 2 * _BITS, known >> _BITS & (1 << _BITS) - 1, known & (1 << _BITS) - 1], 1)
+    text = (codes[codes > 0] - 1).astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.cumsum((codes > 0).sum(1)).tolist()
+    return pa.array([text[i:j] for i, j in zip([0, *ends], ends)], pa.string()).take(pa.array(at))
+
+
+def _listed(scope: str, keys: list[str], rows: pa.RecordBatch, grams: list[np.ndarray]) -> pa.RecordBatch:
+    """rows (keys and page_pos) and the trigrams of each as lists of pages."""
+    page = rows.column(len(keys)).to_numpy(zero_copy_only=False).astype(np.int64)
+    block, known = page // BLOCK_PAGES, {}
+    group = np.array([known.setdefault(k, i) for i, k in enumerate(zip(*[rows.column(i).to_pylist() for i in range(len(keys))], block.tolist()))])
+    row, gram = np.repeat(np.arange(len(page)), [len(g) for g in grams]), np.concatenate(grams)
+    order = np.lexsort((page[row], gram, group[row]))
+    row, gram = row[order], gram[order]
+    of, at = group[row], (page - block * BLOCK_PAGES)[row]
+    new = np.ones(len(row), bool)
+    new[1:] = (of[1:] != of[:-1]) | (gram[1:] != gram[:-1])
+    once = new.copy()
+    once[1:] |= at[1:] != at[:-1]  # rows of a page that have the same trigram
+    first = np.flatnonzero(new)
+    ends = np.append(np.cumsum(once)[first] - 1, once.sum()).astype(np.int32)
+    held = pa.array(of[first])
+    columns = [pa.repeat(pa.scalar(scope), len(first)), _spelled(gram[first]), *[rows.column(i).take(held) for i in range(len(keys))], pa.array(block[of[first]])]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(at[once].astype(np.int16)))], names=["scope", "trigram", *keys, "block", "pages"])
+
+
+def posting_blocks(pages: DataFrame, keys: list[str], lower: str, scope: str) -> DataFrame:
+    """Postings as lists: scope, trigram, keys, block (a range of BLOCK_PAGES pages) and pages, ascending, as distances from the block's first page.
+
+    A task lists what pages it has: no row stands for a page and trigram.  A block whose pages several batches hold has several
+    lists, which merged_blocks() makes one.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    schema = f"scope string, trigram string, {''.join(f'`{k}` {kinds[k]}, ' for k in keys)}block bigint, pages array<smallint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, size, first = [], 0, 0
+            for i, text in enumerate(batch.column(len(keys) + 1)):
+                said = text.as_py() or ""
+                grams.append(_grams(said))
+                size += len(said)
+                if size >= LISTED or i == batch.num_rows - 1:
+                    if size:
+                        yield _listed(scope, keys, batch.slice(first, len(grams)), grams)
+                    grams, size, first = [], 0, i + 1
+
+    return pages.select(*keys, "page_pos", lower).mapInArrow(run, schema)
+
+
+def merged_blocks(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """One list of a trigram, scope, keys and block."""
+    both = F.flatten(F.collect_list("pages"))
+    return lists.groupBy("scope", "trigram", *keys, "block").agg(F.sort_array(F.array_distinct(both)).alias("pages"))
 
 
 def block_candidates(blocks: DataFrame, keys: list[str], query: str, scope: str | None = None) -> DataFrame:

@@ -92,12 +92,12 @@ class Archive:
         number = int(last[0][1:].partition("-")[0]) + 1 if last else 0
         return number, f"b{number:09d}-{uuid.uuid4().hex}"
 
-    def _put(self, name: str, batch: str, df: DataFrame, order: list[str]) -> DataFrame:
-        """Writes a batch of a table; with an order, range-partitioned and sorted in small row groups."""
+    def _put(self, name: str, batch: str, df: DataFrame, order: list[str], merge: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """Writes a batch of a table; with an order, range-partitioned, merged (rows equal in the order are together) and sorted in small row groups."""
         path = f"{self.folder}/{name}/batch={batch}"
         if order:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+            df = merge(df.repartitionByRange(n, *order)).sortWithinPartitions(*order)
         how = {"parquet.block.size": str(self.row_group)} if order else {}
         df.write.mode("overwrite").options(**how).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -154,8 +154,8 @@ class Archive:
                 text = ptoca.page_text(ptoca.text_runs(ptoca.text_blocks(sf, index)), ["file_id", "page_pos"])
                 text = index.select("file_id", "page_pos").join(text, ["file_id", "page_pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
                 texts = put("texts", search.search_pages(text, ["file_id"], "page_pos", "text"), "file_id", "page_pos")
-                posted = search.postings(texts, ["file_id"], "text_lower", "text").unionByName(search.postings(said, ["file_id"], "combined_lower", "tag"))
-                put("postings", search.posting_blocks(posted, ["file_id"]), "trigram", "scope", "file_id", "block")
+                posted = search.posting_blocks(texts, ["file_id"], "text_lower", "text").unionByName(search.posting_blocks(said, ["file_id"], "combined_lower", "tag"))
+                self._put("postings", batch, posted, ["trigram", "scope", "file_id", "block"], lambda lists: search.merged_blocks(lists, ["file_id"]))
                 check()
                 return new.withColumn("version", F.lit(number).cast("long"))
 

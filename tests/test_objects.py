@@ -723,3 +723,19 @@ def test_plans_frame_once(spark, sf_dir):
         plan = df._jdf.queryExecution().executedPlan().toString()
         final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
         assert len(re.findall(r"MapInArrow|ArrowEvalPython", final)) <= 2, (name, final)
+
+
+def test_posting_lists_equal_rows_without_a_row_a_page_and_trigram(spark, monkeypatch):
+    """Lists of batches, cut anywhere and merged, hold what postings() has: short, empty and null texts, characters of any plane, several rows a page."""
+    from leafstream.operators import search
+
+    rng = random.Random(5)
+    rows = [(f"f{i % 3}", rng.choice([1, 7, 4095, 4096, 4097, 9000]) + i % 4, rng.choice([None, "", "a", "ab", "\U0001f600b", "a\0b\0c", "abcabc", "\ud7ff\uffff\U0010ffffx", "".join(rng.choice("abc \u00e4") for _ in range(60))])) for i in range(300)]
+    pages = spark.createDataFrame(rows, "file_id string, page_pos bigint, t string").repartition(5)
+    want = {tuple(r) for r in search.postings(pages, ["file_id"], "t", "text").select("file_id", "scope", "trigram", "page_pos").collect()}
+    for most in (1, 200, search.LISTED):
+        monkeypatch.setattr(search, "LISTED", most)
+        lists = search.merged_blocks(search.posting_blocks(pages, ["file_id"], "t", "text"), ["file_id"]).collect()
+        assert {(r.file_id, r.scope, r.trigram, r.block * search.BLOCK_PAGES + p) for r in lists for p in r.pages} == want
+        assert len(lists) == len({(r.scope, r.trigram, r.file_id, r.block) for r in lists}) and all(r.pages == sorted(set(r.pages)) for r in lists)
+    assert "explode" not in search.posting_blocks(pages, ["file_id"], "t", "text")._jdf.queryExecution().optimizedPlan().toString().lower()
