@@ -28,8 +28,9 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: list[str], strict: bool = True) -> DataFrame:
     """left with the values of the first right row after it (not strict: at or after it)."""
     merged = _merged(left, right, keys, left_at, right_at, value, right_first=strict)
-    by = Window.partitionBy(*keys).orderBy("__o", "__s").rowsBetween(0, Window.unboundedFollowing)
-    return merged.withColumn("__r", F.first("__r", ignorenulls=True).over(by)).where("__l IS NOT NULL").select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in value], F.col("__r.__at").alias("matched_at"))
+    # in the other order: a frame that runs to the key's end would be computed again for each row
+    by = Window.partitionBy(*keys).orderBy(F.desc("__o"), F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    return merged.withColumn("__r", F.last("__r", ignorenulls=True).over(by)).where("__l IS NOT NULL").select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in value], F.col("__r.__at").alias("matched_at"))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, length: str, value: list[str]) -> DataFrame:
@@ -44,7 +45,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
 
 def tag_pages(tags: DataFrame, pages: DataFrame, keys: list[str], at: str = "offset", start: str = "byte_offset", length: str = "byte_length", page: str = "page_pos") -> DataFrame:
     """Tags with their page: the page around them, else the next page, else the last."""
-    inside = interval_join(tags, pages, keys, at, start, length, [page]).withColumnRenamed(page, "__in")
-    ahead = asof_forward(inside, pages, keys, at, start, [page]).withColumnRenamed(page, "__next").drop("matched_at")
-    last = pages.groupBy(*keys).agg(F.max_by(page, start).alias("__last"))
-    return ahead.join(last, keys, "left").select(*tags.columns, F.coalesce("__in", "__next", "__last").alias(page))
+    merged = _merged(tags, pages.select(*keys, start, length, page).withColumn("__len", F.col(length)), keys, at, start, [page, "__len"], right_first=True)
+    # tags and pages are dealt out once: both neighbours and the last page are windows over them
+    last = lambda *order: F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    seen = merged.withColumns({"__before": last("__o", "__s"), "__last": F.max(F.struct("__r.__at", f"__r.{page}")).over(Window.partitionBy(*keys)), "__next": last(F.desc("__o"), F.desc("__s"))})
+    held = F.when(F.col("__o") < F.col("__before.__at") + F.col("__before.__len"), F.col(f"__before.{page}"))
+    return seen.where("__l IS NOT NULL").select("__l.*", F.coalesce(held, F.col(f"__next.{page}"), F.col(f"__last.{page}")).alias(page))

@@ -297,3 +297,15 @@ def test_small_tables_are_dealt_out(spark, sf_dir):
     from leafstream.plans import decoding
 
     assert decoding._part(spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def test_tag_pages_deal_tags_once(spark):
+    """Inside, before, between and behind pages, in files without pages; tags and pages are dealt out in one exchange each."""
+    found = spark.createDataFrame([("a", at, f"v{at}") for at in (0, 10, 19, 20, 25, 30, 39, 40, 99)] + [("b", 5, "v")], "file_id string, offset bigint, value string")
+    index = spark.createDataFrame([("a", 1, 10, 10), ("a", 2, 30, 10), ("c", 1, 0, 5)], "file_id string, page_pos bigint, byte_offset bigint, byte_length bigint")
+    placed = tag_pages(found, index, ["file_id"])
+    assert placed.columns == ["file_id", "offset", "value", "page_pos"]
+    got = sorted((r.file_id, r["offset"], r.page_pos) for r in placed.collect())
+    assert got == [("a", 0, 1), ("a", 10, 1), ("a", 19, 1), ("a", 20, 2), ("a", 25, 2), ("a", 30, 2), ("a", 39, 2), ("a", 40, 2), ("a", 99, 2), ("b", 5, None)]
+    plan = placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
