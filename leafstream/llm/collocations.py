@@ -7,8 +7,10 @@ its count.  Counts of all shards are merged by language and phrase.
 
 Phrases are counted size by size.  A phrase that is frequent has frequent parts only, so from two words on a shard's
 positions are first narrowed to those whose parts may be frequent.  That is told by a bitmap of fixed size that
-is made of the frequent phrases one word shorter: it errs on one side only, so it saves rows but loses none, and
-whatever passes is counted exactly.
+is made of the frequent phrases one word shorter: it errs on one side only, so it saves rows but loses none.  What is left is
+counted by 40 bits of its hash, packed four bytes a phrase and part of a task's shards, and a second map tells which hashes
+have enough occurrences: a sum over all phrases of a hash is never less than one's own.  Whatever passes is counted exactly, from
+the suffix arrays; only such phrases are dealt out as text.
 
 Score: a frequent phrase of a occurrences is cut in two; with l and r occurrences of the parts its score is
 2000000 * a div (l + r), by the cut with the lowest score, the first of these.  Phrases that lie in a longer frequent one
@@ -39,6 +41,10 @@ from .common import Shelf, batches_of
 SHARD_WORDS, STRETCH = 1 << 19, 1 << 20
 #: Bits of the map of phrases that may be frequent; its size doesn't depend on the data.
 MAP_BITS = 1 << 26
+#: Bits of a phrase's hash that are counted; the first ones tell the part that counts it, so a part's share falls with their number.
+KEY_BITS, PART_BITS = 40, 11
+#: Phrases whose hashes a task holds before it hands them on.
+HELD_KEYS = 1 << 21
 
 SHARDS = "lang string, sign int, words array<string>, counts array<bigint>, hashes binary, ids binary"
 COUNTS = "lang string, phrase string, n bigint"
@@ -204,9 +210,23 @@ def _chained(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+def _mixed(hashes: np.ndarray) -> np.ndarray:
     mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(bits)).astype(np.int64)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(hashes) % np.uint64(bits)).astype(np.int64)
+
+
+def _in(place: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return ((known[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _set(seen: np.ndarray, place: np.ndarray) -> None:
+    np.bitwise_or.at(seen, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+
+
 
 
 def possible(frequent: DataFrame, size: int, bits: int = MAP_BITS) -> np.ndarray:
@@ -223,8 +243,7 @@ def possible(frequent: DataFrame, size: int, bits: int = MAP_BITS) -> np.ndarray
             pairs = pc.binary_join_element_wise(langs, words, "\0").dictionary_encode()
             hashed = np.array([xxhash.xxh64_intdigest(p.encode()) for p in pairs.dictionary.to_pylist()], np.uint64)
             each = hashed[pairs.indices.to_numpy(zero_copy_only=False)].reshape(-1, size)
-            place = _bit(_chained([each[:, d] for d in range(size)]), bits)
-            np.bitwise_or.at(seen, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+            _set(seen, _bit(_chained([each[:, d] for d in range(size)]), bits))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at].view(np.int64))], names=["at", "bits"])
 
@@ -234,15 +253,101 @@ def possible(frequent: DataFrame, size: int, bits: int = MAP_BITS) -> np.ndarray
     return out
 
 
-def narrowed(ids: np.ndarray, hashes: np.ndarray, size: int, known: np.ndarray) -> np.ndarray:
-    """ids without the places that no run of size words covers whose parts, one word shorter, are all in the map."""
-    n = len(ids)
+def _runs(ids: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the size ids from each place on; it means something where no piece ends within."""
     of_word = np.concatenate([np.zeros(1, np.uint64), hashes])
     padded = np.concatenate([ids, np.zeros(size, ids.dtype)])
+    return _chained([of_word[padded[d : d + len(ids)]] for d in range(size)])
+
+
+def likely(ids: np.ndarray, hashes: np.ndarray, size: int, known: np.ndarray) -> np.ndarray:
+    """Whether a run of size words begins at each place whose parts, one word shorter, are all in the map."""
     whole = lengths(ids, size)
-    place = _bit(_chained([of_word[padded[d : d + n]] for d in range(size - 1)]), len(known) * 64)
-    part = (whole >= size - 1) & ((known[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-    begins = (whole >= size) & part & np.concatenate([part[1:], [False]])
+    part = (whole >= size - 1) & _in(_bit(_runs(ids, hashes, size - 1), len(known) * 64), known)
+    return (whole >= size) & part & np.concatenate([part[1:], [False]])
+
+
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    return _mixed(hashes) >> np.uint64(64 - KEY_BITS)
+
+
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a key; it rises with the key, so that each part has a stretch of the map."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Keys, ascending, with their counts by parts: how many occur once, these, the others and their counts."""
+    rest = (keys & np.uint64((1 << KEY_BITS - PART_BITS) - 1)).astype("<u4")
+    ends = np.searchsorted(keys >> np.uint64(KEY_BITS - PART_BITS), np.arange((1 << PART_BITS) + 1, dtype=np.uint64))
+    for part in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        some, times = rest[ends[part] : ends[part + 1]], n[ends[part] : ends[part + 1]]
+        once = times == 1
+        yield part, b"".join([np.array([once.sum()], "<u4").tobytes(), some[once].tobytes(), some[~once].tobytes(), times[~once].astype("<i8").tobytes()])
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    once = int(np.frombuffer(blob, "<u4", 1)[0])
+    more = (len(blob) - 4 - 4 * once) // 12
+    return np.frombuffer(blob, "<u4", once + more, 4), np.concatenate([np.ones(once, np.int64), np.frombuffer(blob, "<i8", more, 4 + 4 * (once + more))])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def enough(held: DataFrame, size: int, known, least: int, bits: int = MAP_BITS) -> np.ndarray:
+    """A map of the keys of size words that occur least times or more in all shards; known: the broadcast map of their parts.
+
+    A part's stretch of the map comes to the driver: bits / 8 bytes and a few a part, whatever the input.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed() -> pa.RecordBatch:
+            rows = list(packed(*summed(np.concatenate(keys), np.concatenate(counts))))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "keys"])
+
+        keys, counts, n = [], [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, hashes = np.frombuffer(batch.column(2)[i].as_buffer(), "<i4"), np.frombuffer(batch.column(1)[i].as_buffer(), "<u8")
+                some, times = np.unique(_keys(_runs(ids, hashes, size)[likely(ids, hashes, size, known.value)]), return_counts=True)
+                keys.append(some)
+                counts.append(times * batch.column(0)[i].as_py())
+                n += len(some)
+                if n >= HELD_KEYS:
+                    yield handed()
+                    keys, counts, n = [], [], 0
+        if n:
+            yield handed()
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, blobs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [unpacked(b.as_buffer()) for b in blobs.values]
+                rest, n = summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+                place = _place(np.uint64(part << KEY_BITS - PART_BITS) | rest[n >= least].astype(np.uint64), bits)
+                if len(place):
+                    first = int(place[0]) >> 6
+                    seen = np.zeros((int(place[-1]) >> 6) - first + 1, np.uint64)
+                    _set(seen, place - (first << 6))
+                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([seen.astype("<u8").tobytes()], pa.binary())], names=["at", "bits"])
+
+    parts = held.select("sign", "hashes", "ids").mapInArrow(keyed, "part int, keys binary").groupBy("part").agg(F.collect_list("keys").alias("keys"))
+    out = np.zeros(bits // 64, np.uint64)
+    for first, stretch in zip(*parts.mapInArrow(marked, "at bigint, bits binary").toArrow().to_pydict().values(), strict=True):
+        words = np.frombuffer(stretch, "<u8")
+        out[first : first + len(words)] |= words
+    return out
+
+
+def narrowed(ids: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+    """ids without the places that none of the runs of size words that begin there covers."""
+    n = len(ids)
     covered = np.zeros(n + size, bool)
     for d in range(size):
         covered[d : d + n] |= begins
@@ -254,27 +359,31 @@ def narrowed(ids: np.ndarray, hashes: np.ndarray, size: int, known: np.ndarray)
 
 
 def counted(held: DataFrame, size: int, known) -> DataFrame:
-    """lang, phrase and n of the phrases of size words in all shards whose parts may be frequent; known: the broadcast map."""
+    """lang, phrase and n of the phrases of size words in all shards whose keys occur often enough; known: the broadcast map of enough().
+
+    The others' occurrences may lack here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(4)[i].as_buffer(), "<i4")
-                ids = narrowed(ids, np.frombuffer(batch.column(3)[i].as_buffer(), "<u8"), size, known.value)
+                ids, hashes = np.frombuffer(batch.column(4)[i].as_buffer(), "<i4"), np.frombuffer(batch.column(3)[i].as_buffer(), "<u8")
+                often = lambda ids, hashes=hashes: _in(_place(_keys(_runs(ids, hashes, size)), len(known.value) * 64), known.value)
+                ids = narrowed(ids, (lengths(ids, size) >= size) & often(ids), size)
                 if not len(ids):
                     continue
                 order = suffix_array(ids, size)
                 place, n = intervals(ids, order, common_prefixes(ids, order, size), size)
-                n *= batch.column(1)[i].as_py()
+                kept = often(ids)[place]
+                place, n = place[kept], n[kept] * batch.column(1)[i].as_py()
                 words = batch.column(2)[i].values
                 for at in range(0, len(place), 1 << 17):
                     some = place[at : at + (1 << 17)]
                     said = pc.binary_join_element_wise(*[words.take(pa.array(ids[some + d] - 1)) for d in range(size)], " ")
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(some)), said, pa.array(n[at : at + len(some)], pa.int64())], names=["lang", "phrase", "n"])
 
-    # a shard has a phrase once, so there is next to nothing to combine before the rows are dealt: that would only hold them in memory
-    dealt = held.select("lang", "sign", "words", "hashes", "ids").mapInArrow(run, COUNTS).repartition("lang", "phrase")
-    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # frequent phrases come again from shard to shard: a task's are combined before they are dealt
+    return held.select("lang", "sign", "words", "hashes", "ids").mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(df: DataFrame, shelf: Shelf, text: str = "text", lang: str = "lang", longest: int = 4, least: int = 30, shard_words: int = SHARD_WORDS, bits: int = MAP_BITS) -> tuple[DataFrame, list[DataFrame]]:
@@ -288,8 +397,10 @@ def frequent_phrases(df: DataFrame, shelf: Shelf, text: str = "text", lang: str
     for size in range(2, longest + 1):
         known = spark.sparkContext.broadcast(possible(found[-1], size - 1, bits))
         with batches_of(spark, 1):  # a shard is a row
-            found.append(shelf.put(counted(held, size, known).where(F.col("n") >= least)))
-        known.destroy()
+            often = spark.sparkContext.broadcast(enough(held, size, known, least, bits))
+            known.destroy()
+            found.append(shelf.put(counted(held, size, often).where(F.col("n") >= least)))
+        often.destroy()
     shelf.drop(held)
     return totals, found
 

@@ -128,3 +128,25 @@ def test_tables_on_the_way_are_deleted(spark, some):
     with Shelf(spark) as shelf:
         co.frequent_phrases(some, shelf, least=3, bits=1 << 12)
         assert len(shelf.held) == 5
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(4)
+    keys, n = co.summed(rng.integers(0, 1 << co.KEY_BITS, 5000).astype(np.uint64), rng.integers(-1, 4, 5000))
+    back = [(part << co.KEY_BITS - co.PART_BITS | int(k), int(x)) for part, blob in co.packed(keys, n) for k, x in zip(*co.unpacked(blob), strict=True)]
+    assert sorted(back) == list(zip(keys.tolist(), n.tolist(), strict=True))
+
+
+def test_only_frequent_phrases_are_dealt_as_text(spark):
+    """Every word is frequent, next to no pair is: what is dealt as text doesn't grow with the text."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(" ".join(rng.choice(words) for _ in range(400)) + " w0 w1", "a") for _ in range(40)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    with Shelf(spark) as shelf:
+        held = shelf.put(co.shards(df, "text", "lang", 4))
+        single = df.select(F.explode(F.split("text", " ")).alias("phrase")).distinct().select(F.lit("a").alias("lang"), "phrase")
+        known = spark.sparkContext.broadcast(co.possible(single, 1))
+        often = spark.sparkContext.broadcast(co.enough(held, 2, known, 30))
+        assert [tuple(r) for r in co.counted(held, 2, often).collect() if r.n >= 30] == [("a", "w0 w1", sum(" ".join(["", t, ""]).count(" w0 w1 ") for t, _ in rows))]
+        assert co.counted(held, 2, often).count() == 1
