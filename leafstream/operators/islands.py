@@ -22,11 +22,13 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, n
 def begin_end_islands(sf: DataFrame, begin: str, end: str, payload: list[str], name: Column) -> DataFrame:
     """file_id, begin_offset, name and data (payloads in order) of every begin-to-end run of fields."""
     rows = sf.where(F.col("type_id").isin(begin, end, *payload))
-    rows = islands(rows.withColumn("__name", F.when(F.col("type_id") == begin, name)), ["file_id"], ["offset"], F.col("type_id") == begin).where("island > 0")
-    closed = F.max((F.col("type_id") == end).cast("int")).over(Window.partitionBy("file_id", "island").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1))
-    inside = rows.withColumn("__closed", F.coalesce(closed, F.lit(0))).where("__closed = 0")
+    # windows over one order: a run's place is its begin, and it is closed by an end behind that and before the row
+    at = Window.partitionBy("file_id").orderBy("offset")
+    last = lambda kind, upto: F.last(F.when(F.col("type_id") == kind, F.col("offset")), ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, upto))
+    rows = rows.withColumns({"begin_offset": last(begin, 0), "__end": last(end, -1)}).where("begin_offset IS NOT NULL AND (__end IS NULL OR __end < begin_offset)")
+    inside = rows.withColumn("__name", F.when(F.col("type_id") == begin, name))
     chunks = F.transform(F.array_sort(F.collect_list(F.when(F.col("type_id").isin(*payload), F.struct("offset", "data")))), lambda x: x["data"])
-    return inside.groupBy("file_id", "island").agg(F.min("offset").alias("begin_offset"), F.max("__name").alias("name"), joined(chunks).alias("data")).drop("island")
+    return inside.groupBy("file_id", "begin_offset").agg(F.max("__name").alias("name"), joined(chunks).alias("data"))
 
 
 def document_groups(pages: DataFrame, keys: list[str], page_pos: str, label: str) -> DataFrame:

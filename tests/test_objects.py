@@ -739,3 +739,27 @@ def test_posting_lists_equal_rows_without_a_row_a_page_and_trigram(spark, monkey
         assert {(r.file_id, r.scope, r.trigram, r.block * search.BLOCK_PAGES + p) for r in lists for p in r.pages} == want
         assert len(lists) == len({(r.scope, r.trigram, r.file_id, r.block) for r in lists}) and all(r.pages == sorted(set(r.pages)) for r in lists)
     assert "explode" not in search.posting_blocks(pages, ["file_id"], "t", "text")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_tasks_share_does_not_grow_with_the_table(spark, sf_dir, monkeypatch):
+    """Parts of held_resources: the tables are dealt into more partitions as they grow, and nothing puts them together again."""
+    from leafstream.plans import decoding, fixtures
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fixtures.shares(spark, sf_dir, "part", fixtures.TASK_FILES) == n
+    monkeypatch.setattr(fixtures, "TASK_FILES", 20)
+    for made, table, rows, by in ((decoding.held_resources, "part", 20, "file_id"),):
+        parts = -(-fixtures.table(spark, sf_dir, table).count() // rows)
+        plan = made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert parts > n and f", {parts}), REPARTITION_BY_NUM" in plan
+        assert "SortMergeJoin" not in plan and "ENSURE_REQUIREMENTS" not in plan, by
+
+
+def test_islands_close_at_their_first_end(spark):
+    """Payloads behind an end, before a begin, and of a begin within an open run."""
+    kinds = ["P", "B", "P", "B", "P", "P", "E", "P", "E", "B", "E", "E", "P"]
+    sf = spark.createDataFrame([("f", i * 10, k, bytes([i])) for i, k in enumerate(kinds)], "file_id string, offset bigint, type_id string, data binary")
+    from leafstream.operators.islands import begin_end_islands
+
+    got = {r.begin_offset: bytes(r.data) for r in begin_end_islands(sf, "B", "E", ["P"], F.lit("n")).collect()}
+    assert got == {10: b"\x02", 30: b"\x04\x05", 90: b""}
