@@ -742,13 +742,14 @@ def test_posting_lists_equal_rows_without_a_row_a_page_and_trigram(spark, monkey
 
 
 def test_a_tasks_share_does_not_grow_with_the_table(spark, sf_dir, monkeypatch):
-    """Parts of held_resources: the tables are dealt into more partitions as they grow, and nothing puts them together again."""
-    from leafstream.plans import decoding, fixtures
+    """Parts of held_resources and lines of interval_join: the tables are dealt into more partitions as they grow, and nothing puts them together again."""
+    from leafstream.plans import decoding, fixtures, queries
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert fixtures.shares(spark, sf_dir, "part", fixtures.TASK_FILES) == n
     monkeypatch.setattr(fixtures, "TASK_FILES", 20)
-    for made, table, rows, by in ((decoding.held_resources, "part", 20, "file_id"),):
+    monkeypatch.setattr(fixtures, "TASK_RECORDS", 500)
+    for made, table, rows, by in ((decoding.held_resources, "part", 20, "file_id"), (queries.interval_join, "lineitem", 500, "file")):
         parts = -(-fixtures.table(spark, sf_dir, table).count() // rows)
         plan = made(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert parts > n and f", {parts}), REPARTITION_BY_NUM" in plan
