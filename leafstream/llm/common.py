@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import base64
-import contextlib
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Shelf
+from ..sources.tables import Shelf, batches_of  # noqa: F401  (the operators take both from here)
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,18 +75,6 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], list[dict]], schema: st
     return df.mapInArrow(run, schema)
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows in what is run inside: for rows of megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def n_words(text: Column) -> Column:
     """How many words a text has; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -764,3 +764,16 @@ def test_islands_close_at_their_first_end(spark):
 
     got = {r.begin_offset: bytes(r.data) for r in begin_end_islands(sf, "B", "E", ["P"], F.lit("n")).collect()}
     assert got == {10: b"\x02", 30: b"\x04\x05", 90: b""}
+
+
+def test_reordered_files_come_one_a_batch(spark, sf_dir, monkeypatch):
+    """What Python holds of extract_pages, delete_pages and move_pages is a file a task, not all files of a task."""
+    from leafstream.plans import queries
+    from leafstream.sources import tables
+
+    seen, put = [], tables.Shelf.put
+    monkeypatch.setattr(tables.Shelf, "put", lambda self, df: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), put(self, df))[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for made in (queries.extract_pages, queries.delete_pages, queries.move_pages):
+        assert made(spark, sf_dir).count() > 0
+    assert seen == ["1"] * 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
