@@ -141,11 +141,18 @@ def _has(column: str, needle: str) -> Column:
     return F.contains(column, F.lit(needle)) if needle else F.lit(False)
 
 
-def text_hits(pages: DataFrame, keys: list[str], query: str, posted: DataFrame | None = None) -> DataFrame:
-    """A row per occurrence: keys, page_pos, kind, tag_key, match_index, excerpt, seq."""
+def text_hits(pages: DataFrame, keys: list[str], query: str, posted: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """A row per occurrence: keys, page_pos, kind, tag_key, match_index, excerpt, seq.
+
+    most: only the first hits by keys, page_pos and place are wanted.  A page that has the query has a hit, so they lie in the first
+    pages, by their first hits, and only those are searched on and cut into excerpts.
+    """
     needle = query.strip().lower()
     rows = _narrowed(pages, posted, keys, query, "text").where(_has("text_lower", needle))
+    if most is not None:
+        rows = rows.withColumn("__first", F.locate(needle, F.col("text_lower"))).orderBy(*keys, "page_pos", "__first").limit(most)
     found = rows.select(*keys, "page_pos", "text", F.explode(positions(F.col("text_lower"), needle)).alias("at"))
+    found = found if most is None else found.orderBy(*keys, "page_pos", "at").limit(most)
     return found.select(*keys, "page_pos", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("tag_key"), F.col("at").cast("long").alias("match_index"), snippet(F.col("text"), F.col("at"), len(query), EDGE).alias("excerpt"), F.col("at").cast("long").alias("seq"))
 
 
@@ -164,7 +171,7 @@ def search(pages: DataFrame, tags: DataFrame, keys: list[str], query: str, kind:
     if not 1 <= most <= 1000:
         raise ValueError("most is 1 to 1000")
     parts = [] if kind == "text" else [tag_hits(tags, keys, query, posted).withColumn("rank", F.lit(0))]
-    parts += [] if kind == "tag" else [text_hits(pages, keys, query, posted).withColumn("rank", F.lit(1))]
+    parts += [] if kind == "tag" else [text_hits(pages, keys, query, posted, most).withColumn("rank", F.lit(1))]
     hits = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return hits.orderBy(*keys, "page_pos", "rank", "seq").limit(most).drop("rank", "seq")
 

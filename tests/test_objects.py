@@ -777,3 +777,17 @@ def test_reordered_files_come_one_a_batch(spark, sf_dir, monkeypatch):
     for made in (queries.extract_pages, queries.delete_pages, queries.move_pages):
         assert made(spark, sf_dir).count() > 0
     assert seen == ["1"] * 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_first_hits_are_cut_before_their_excerpts(spark):
+    """Only the first pages are searched on and only the first hits cut: the same hits, also of repeated pages."""
+    from leafstream.operators import search
+
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.randint(1, 9), "".join(rng.choice("ex ") for _ in range(rng.randint(0, 60)))) for _ in range(80)]
+    pages = search.search_pages(spark.createDataFrame(rows, "file_id string, page_pos bigint, text string"), ["file_id"], "page_pos", "text")
+    found = search.text_hits(pages, ["file_id"], "ee").collect()
+    for most in (1, 7, 40, 1000):
+        some = search.text_hits(pages, ["file_id"], "ee", most=most).collect()
+        place = lambda r: (r.file_id, r.page_pos, r.seq)
+        assert sorted(map(place, some)) == sorted(map(place, found))[:most] and not set(some) - set(found)
