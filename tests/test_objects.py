@@ -791,3 +791,19 @@ def test_first_hits_are_cut_before_their_excerpts(spark):
         some = search.text_hits(pages, ["file_id"], "ee", most=most).collect()
         place = lambda r: (r.file_id, r.page_pos, r.seq)
         assert sorted(map(place, some)) == sorted(map(place, found))[:most] and not set(some) - set(found)
+
+
+def test_places_of_an_order_are_read_once(monkeypatch):
+    """Bounds and display lists are made of the same places."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    seen, points = [], graphics.points
+    monkeypatch.setattr(graphics, "points", lambda code, p: (seen.append(code), points(code, p))[1])
+    data = bytes.fromhex("C108000100020003FFFC" "C00A0000FFFF000200050006" "C6080001000200030005")
+    arrow = to_arrow_schema(_parse_datatype_string(f"k bigint, {graphics._OUT}"))
+    (made,) = graphics.drawn(iter([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([data])], names=["k", "data"])]), arrow, 2.0)
+    (row,) = made.to_pylist()
+    assert len(seen) == 3 and (row["x"], row["y"], row["width"], row["height"], row["n_orders"]) == (-2, -4, 7, 10, 3)
+    assert row["ops"] == graphics.display(graphics.parse(data), 2.0) and [o["coords"] for o in row["ops"]] == [[2.0, 4.0, 6.0, -8.0], [-2.0, 4.0, 12.0, 8.0], [2.0, 4.0, 6.0, 0.0, 0.0, 5.0]]
