@@ -7,6 +7,9 @@ bytes).  One text block (the concatenated payloads between begin and end text) i
 
 from __future__ import annotations
 
+import codecs
+import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -28,6 +31,12 @@ COLORS = {0: (0, 0, 0), 1: (0, 0, 255), 2: (255, 0, 0), 3: (255, 0, 255), 4: (0,
 ROTATED_X, ROTATED_SIZE, STEP_LIMIT, MAX_REPEAT = 60, 6, 100, 10_000
 
 
+@functools.cache
+def _controls(table: str) -> bytes:
+    """The bytes of a code page that stand for control characters."""
+    return bytes(i for i, c in enumerate(table) if _CONTROLS.match(c))
+
+
 def _half_up(x: float) -> int:
     return math.floor(x + 0.5)
 
@@ -41,13 +50,15 @@ class _State:
     """Where and how the next text is set, and the runs so far."""
 
     def __init__(self, table: str, bold_fonts: frozenset[int]):
-        self.table, self.bold_fonts = table, bold_fonts
+        self.table, self.controls, self.bold_fonts = table, _controls(table), bold_fonts
         self.x = self.y = self.step = self.font = self.turn = 0
         self.size, self.bold, self.underline, self.color = 10.0, False, False, _PLAIN
         self.runs: list[dict] = []
 
     def text_of(self, raw: bytes) -> str:
-        return _CONTROLS.sub("", raw.decode("latin-1").translate(self.table))
+        raw = raw.translate(None, self.controls)
+        # a charmap takes U+FFFE as undefined
+        return raw.decode("latin-1").translate(self.table) if "\ufffe" in self.table else codecs.charmap_decode(raw, "strict", self.table)[0]
 
     def put(self, text: str, **other) -> dict:
         r, g, b = self.color
@@ -210,7 +221,7 @@ def _control(kind: int, p: bytes, s: _State, say) -> None:
 
 def interpret(data: bytes, page: str = "cp037", bold_fonts: frozenset[int] = frozenset()) -> list[dict]:
     """The text runs of a block."""
-    state = _State(dict(enumerate(ebcdic.code_page(page))), bold_fonts)
+    state = _State(ebcdic.code_page(page), bold_fonts)
     if is_utf16(data):
         _utf16(data, state)
     elif len(data) > 4 and data[:2] == b"\x2b\xd3":
@@ -221,12 +232,8 @@ def interpret(data: bytes, page: str = "cp037", bold_fonts: frozenset[int] = fro
     return state.runs
 
 
-def text_blocks(sf: DataFrame, pages: DataFrame, stray: bool = False) -> DataFrame:
-    """file_id, page_pos, obj_no and data: the text payloads of each block of a page, in order.
-
-    A block begins at a begin-text field and ends at an end-text field or with the page.  stray:
-    text outside a block opens one.
-    """
+def _payloads(sf: DataFrame, pages: DataFrame, stray: bool = False) -> DataFrame:
+    """file_id, page_pos, obj_no, offset and data of the text fields in blocks of a page, a row a field."""
     from .asof import interval_join
 
     kinds = {"D3A87B": "B", "D3A89B": "B", "D3A97B": "E", "D3A99B": "E", "D3EE9B": "T", "D3EE6B": "T"}
@@ -236,8 +243,17 @@ def text_blocks(sf: DataFrame, pages: DataFrame, stray: bool = False) -> DataFra
     by = Window.partitionBy("file_id", "page_pos").orderBy("offset")
     rows = rows.withColumns({"obj_no": F.sum((F.col("k") == "B").cast("long")).over(by), "__open": F.last(F.when(F.col("k") != "T", F.col("k")), ignorenulls=True).over(by)})
     inside = rows.where("k = 'T'" if stray else "k = 'T' AND __open = 'B'")
+    return inside.select("file_id", "page_pos", "obj_no", "offset", "data")
+
+
+def text_blocks(sf: DataFrame, pages: DataFrame, stray: bool = False) -> DataFrame:
+    """file_id, page_pos, obj_no and data: the text payloads of each block of a page, in order.
+
+    A block begins at a begin-text field and ends at an end-text field or with the page.  stray:
+    text outside a block opens one.
+    """
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("offset", "data"))), lambda x: x["data"])
-    return inside.groupBy("file_id", "page_pos", "obj_no").agg(F.min("offset").alias("offset"), joined(chunks).alias("data"))
+    return _payloads(sf, pages, stray).groupBy("file_id", "page_pos", "obj_no").agg(F.min("offset").alias("offset"), joined(chunks).alias("data"))
 
 
 def text_runs(blocks: DataFrame, page: str = "cp037", bold_fonts: str | None = None) -> DataFrame:
@@ -262,6 +278,29 @@ def text_runs(blocks: DataFrame, page: str = "cp037", bold_fonts: str | None = N
     return out.select(*others, F.posexplode("runs").alias("run_no", "r")).select(*others, "run_no", "r.*")
 
 
+def page_texts(sf: DataFrame, pages: DataFrame, page: str = "cp037") -> DataFrame:
+    """file_id, page_pos and text of all pages, as page_text() gives it; empty where a page has no runs.
+
+    A page's payloads are gathered, joined to the pages and then interpreted: only texts leave the tasks, not a row a run,
+    and no text is dealt out by page again.
+    """
+    held = _payloads(sf, pages).groupBy("file_id", "page_pos").agg(F.array_sort(F.collect_list(F.struct("obj_no", "offset", "data"))).alias("payloads"))
+    gathered = pages.select("file_id", "page_pos").join(held, ["file_id", "page_pos"], "left").select("file_id", F.col("page_pos").cast("long").alias("page_pos"), "payloads")
+
+    def said(payloads: list[dict]) -> str:
+        blocks = (b"".join([p["data"] or b"" for p in block]) for _, block in itertools.groupby(payloads, key=lambda p: p["obj_no"]))
+        return " ".join([r["text"] for data in blocks for r in interpret(data, page) if r["text"].strip(ebcdic.SPACES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = pa.array([said(payloads or []) for payloads in part.column(2).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), texts], names=["file_id", "page_pos", "text"])
+
+    return gathered.mapInArrow(run, "file_id string, page_pos bigint, text string")
+
+
 def page_text(runs: DataFrame, keys: list[str]) -> DataFrame:
     """The page's runs that aren't blank, in order, joined by a blank."""
     said = F.array_sort(F.collect_list(F.when(ebcdic.js_trim(F.col("text")) != "", F.struct("obj_no", "run_no", "text"))))

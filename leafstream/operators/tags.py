@@ -95,8 +95,10 @@ def document_level(sf: DataFrame, entries: DataFrame) -> DataFrame:
 def file_metadata(sf: DataFrame) -> DataFrame:
     """document_name (first document's), total_pages, file_size, n_tags and n_comments of each file."""
     kind = lambda *t: F.col("type_id").isin(*t)
-    name = F.min_by(F.when(kind("D3A8A8"), ebcdic.decode_name(F.substring("data", 1, 8), "tag")), F.when(kind("D3A8A8"), F.col("offset")))
-    return sf.groupBy("file_id").agg(name.alias("document_name"), F.count_if(kind("D3A8AD")).alias("total_pages"), F.max(F.col("offset") + 1 + F.col("length")).alias("file_size"), F.count_if(kind("D3A090")).alias("n_tags"), F.count_if(kind("D3EEEE", "D3AFEE", "D3A8EE")).alias("n_comments"))
+    # fields are sorted for min_by(): without their payloads
+    fields = sf.select("file_id", "offset", "length", "type_id", F.when(kind("D3A8A8"), F.substring("data", 1, 8)).alias("__name"))
+    name = F.min_by(F.when(kind("D3A8A8"), ebcdic.decode_name(F.col("__name"), "tag")), F.when(kind("D3A8A8"), F.col("offset")))
+    return fields.groupBy("file_id").agg(name.alias("document_name"), F.count_if(kind("D3A8AD")).alias("total_pages"), F.max(F.col("offset") + 1 + F.col("length")).alias("file_size"), F.count_if(kind("D3A090")).alias("n_tags"), F.count_if(kind("D3EEEE", "D3AFEE", "D3A8EE")).alias("n_comments"))
 
 
 def grouping_keys(sf: DataFrame, pages: int = 3) -> DataFrame:

@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
 from ..operators import compose, sinks, tags
 from . import fixtures as fx
 from .registry import PAGE_TEXTS as _PT
 from .registry import query
 
 
+def _by_file(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
+    """Texts dealt out by file into shares that don't grow with the table: a task holds its files' texts, before they move none."""
+    return texts.repartition(fx.shares(spark, sf_dir, "documents", fx.FILE_DOCS), "file_id")
+
+
 @query(f"""WITH {_PT} SELECT file_id, count(*) AS pages, md5(string_agg(CAST(doc_id AS VARCHAR) || ',' || lang, ';' ORDER BY page_pos)) AS tags, md5(string_agg(text, chr(10) ORDER BY page_pos)) AS texts FROM t GROUP BY file_id""")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the JSON: all tags and all texts."""
     sf, index = fx.print_pages(spark, sf_dir)
-    made = sinks.json_documents(tags.file_metadata(sf), fx.page_texts(sf, index), tags.tags(sf).withColumnRenamed("offset", "seq"))
+    made = sinks.json_documents(tags.file_metadata(sf), _by_file(spark, sf_dir, fx.page_texts(sf, index)), tags.tags(sf).withColumnRenamed("offset", "seq"))
     read = made.select("file_id", F.from_json("json", "document struct<total_pages:bigint>, metadata struct<tags:array<struct<key:string,value:string>>>, pages array<struct<text:string>>").alias("j"))
-    values = F.transform("j.metadata.tags", lambda t: t["value"])
-    pairs = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(2)), lambda i: F.concat(F.get(values, i), F.lit(","), F.get(values, i + 1)))
+    # the values are taken once a file: inside the second lambda they would be taken again for each pair
+    pairs = once(F.transform("j.metadata.tags", lambda t: t["value"]), lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(2)), lambda i: F.concat(F.get(v, i), F.lit(","), F.get(v, i + 1))))
     texts = F.array_join(F.transform("j.pages", lambda p: p["text"]), "\n")
     return read.select("file_id", F.col("j.document.total_pages").alias("pages"), F.md5(F.array_join(pairs, ";").cast("binary")).alias("tags"), F.md5(texts.cast("binary")).alias("texts"))
 
@@ -29,7 +35,7 @@ _ESCAPED = """replace(replace(replace(replace(replace(text, '&', '&amp;'), '<',
 @query(f"WITH {_PT}, e AS (SELECT file_id, page_pos, {_ESCAPED} AS x FROM t) SELECT file_id, count(*) AS sections, md5(string_agg(x, chr(10) ORDER BY page_pos)) AS texts FROM e GROUP BY file_id")
 def html_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the HTML: the escaped texts of all sections."""
-    made = sinks.html_documents(fx.page_texts(*fx.print_pages(spark, sf_dir)))
+    made = sinks.html_documents(_by_file(spark, sf_dir, fx.page_texts(*fx.print_pages(spark, sf_dir))))
     texts = F.regexp_extract_all("html", F.lit("(?s)<pre>(.*?)</pre>"))
     return made.select("file_id", F.regexp_count("html", F.lit('<section id="page-')).cast("long").alias("sections"), F.md5(F.array_join(texts, "\n").cast("binary")).alias("texts"))
 

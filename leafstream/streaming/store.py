@@ -151,9 +151,7 @@ class Archive:
                 index = put("pages", pages.page_index(sf))
                 placed = asof.tag_pages(tags.tags(sf), index, ["file_id"])
                 said = put("tags", search.search_tags(placed.withColumnRenamed("offset", "seq"), ["file_id"], "page_pos"), "file_id", "page_pos")
-                text = ptoca.page_text(ptoca.text_runs(ptoca.text_blocks(sf, index)), ["file_id", "page_pos"])
-                text = index.select("file_id", "page_pos").join(text, ["file_id", "page_pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-                texts = put("texts", search.search_pages(text, ["file_id"], "page_pos", "text"), "file_id", "page_pos")
+                texts = put("texts", search.search_pages(ptoca.page_texts(sf, index), ["file_id"], "page_pos", "text"), "file_id", "page_pos")
                 posted = search.posting_blocks(texts, ["file_id"], "text_lower", "text").unionByName(search.posting_blocks(said, ["file_id"], "combined_lower", "tag"))
                 self._put("postings", batch, posted, ["trigram", "scope", "file_id", "block"], lambda lists: search.merged_blocks(lists, ["file_id"]))
                 check()

@@ -199,6 +199,39 @@ def test_wire_round_trip(spark):
     assert index.count() == 3
 
 
+def test_page_texts_equal_runs_gathered(spark, tmp_path):
+    pages_of = lambda *blocks: "5A0008D3A8AD000000" + "".join("5A0008D3A89B000000" + "".join(blocks_field(p) for p in b) + "5A0008D3A99B000000" for b in blocks) + "5A0008D3A9AD000000"
+
+    def blocks_field(payload: str) -> str:
+        return f"5A{len(payload) // 2 + 8:04X}D3EE9B000000{payload}"
+
+    said = lambda raw: f"{len(raw) // 2 + 2:02X}DB{raw}"
+    utf16 = "2BD3" + said("".join(f"{ord(c):04X}" for c in "wide text")) + said("3000" * 5) + said("0085" + "0041" * 4)
+    one = [
+        pages_of(["2BD3" + said("C1C2"), said("40404140") + said("0005C3")], ["2BD3" + said("C4")]),  # a block of two fields, a blank run, a second block
+        pages_of(), pages_of([]), pages_of(["2BD3" + said("41") + said("0025")]),  # no block, an empty one, blanks only
+        pages_of([utf16]), pages_of(["2BDA03C1C2C3", "C440"]),  # wide characters, the escape dialect
+    ]
+    other = "".join(pages_of(["2BD3" + said(f"{0xF0 + i % 10:02X}")]) for i in range(300))
+    files = spark.createDataFrame([("a", bytes.fromhex("".join(one))), ("b", bytes.fromhex(other)), ("c", b""), ("d", bytes.fromhex("5A0008D3EE9B000000"))], "file_id string, content binary")
+    sf = framing.frames(files)
+    index = pages.page_index(sf)
+    want = {(r.file_id, r.page_pos): "" for r in index.collect()} | {(r.file_id, r.page_pos): r.text for r in ptoca.page_text(ptoca.text_runs(ptoca.text_blocks(sf, index)), ["file_id", "page_pos"]).collect()}
+    got = {(r.file_id, r.page_pos): r.text for r in ptoca.page_texts(sf, index).collect()}
+    assert got == want and len(got) == index.count() == 307
+    assert [got["a", i] for i in range(1, 7)] == ["AB C D", "", "", "", "wide text \x85AAAA", "AB CD "]
+
+
+def test_text_of_a_run_is_the_code_pages_less_controls(spark):
+    every = bytes(range(256))
+    for table in [ebcdic.code_page(n) for n in ("cp037", "cp500", "cp297")] + ["\ufffe\x85\U0001f600" + "x" * 253]:
+        want = "".join(c for c in table if not ("\x00" <= c <= "\x1f" or "\x7f" <= c <= "\x9f"))
+        assert ptoca._State(table, frozenset()).text_of(every) == want
+    points = [i for i in range(0x10000) if not 0xD800 <= i <= 0xDFFF]
+    blank = spark.createDataFrame([(i, chr(i)) for i in points], "i int, c string").where(ebcdic.js_trim(F.col("c")) == "").collect()
+    assert {r.c for r in blank} == set(ebcdic.SPACES)
+
+
 def test_labels_and_groups(spark):
     other = PARTS["TLE"].replace("F1F2F3F4F5", "F9F9F9F9F9")
     body = "".join(PARTS[n] for n in ("BDT", "BPG", "EPG", "TLE", "BPG", "EPG", "BPG", "EPG")) + other + "".join(PARTS[n] for n in ("BPG", "EPG", "EDT"))

@@ -312,6 +312,15 @@ def test_exports(spark):
     assert archive.namelist() == ["a", "b", "_manifest.txt"] and archive.read("_manifest.txt") == b"a\t1\nb\t2\n" and archive.testzip() is None
 
 
+def test_exports_take_a_files_tags_once_and_no_row_a_run(spark, sf_dir):
+    from leafstream.plans.queries import QUERIES
+
+    plan = QUERIES["json_export"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".metadata.tags") == 1, plan  # twice within the pairs: all of a file's tags for each of its pages
+    for name in ("json_export", "html_export", "page_text"):
+        assert "Generate" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pdf(spark, tmp_path):
     rows = spark.createDataFrame([("f", 1, 612.0, 792.0, bytearray(b"\xff\0\0" * 4), 2, 2), ("f", 2, 10.0, 20.0, None, None, None)], "file_id string, page_pos bigint, width_pt double, height_pt double, rgb binary, px int, py int")
     for r in sinks.pdf_pages(rows).collect():
