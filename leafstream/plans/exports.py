@@ -13,7 +13,7 @@ from .registry import query
 
 
 def _by_file(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
-    """Texts dealt out by file into shares that don't grow with the table: a task holds its files' texts, before they move none."""
+    """Texts dealt out by file into shares that don't grow with the table: a task gathers the texts of so many files only, and none before they are dealt out."""
     return texts.repartition(fx.shares(spark, sf_dir, "documents", fx.FILE_DOCS), "file_id")
 
 
